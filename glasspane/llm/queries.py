@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glasspane.llm import decontaminate, fingerprints, langid
+from glasspane.llm import decontaminate, fingerprints, jaccard, langid, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,17 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").where(fold("doc_id", 4) != 2)
+    found = toxicity.score(docs, toxicity.train(docs, labels))
+    return found.withColumn("held_out", fold("doc_id", 4) == 2).select("doc_id", "held_out", "score", "predicted", "spans")
+
+
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar(_table(spark, sf_dir, "documents"))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_neighbours(_table(spark, sf_dir, "documents"))
 
@@ -48,5 +59,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op4_decontamination": op4_decontamination,
+    "op6_toxicity": op6_toxicity,
+    "op8_jaccard_join": op8_jaccard_join,
     "op10_fingerprints": op10_fingerprints,
 }
