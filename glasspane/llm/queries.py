@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glasspane.llm import decontaminate, fingerprints, jaccard, langid, toxicity
+from glasspane.llm import decontaminate, fingerprints, jaccard, langid, linededup, secretscan, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.deduplicated(docs).select("doc_id", "n_cut", "text")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.contamination(docs, _table(spark, sf_dir, "benchmark"))
@@ -41,6 +46,12 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found, _ = secretscan.scan(docs)
+    return secretscan.by_path(docs, found)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = _table(spark, sf_dir, "labels").where(fold("doc_id", 4) != 2)
@@ -58,7 +69,9 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
+    "op3_line_dedup": op3_line_dedup,
     "op4_decontamination": op4_decontamination,
+    "op5_secret_scan": op5_secret_scan,
     "op6_toxicity": op6_toxicity,
     "op8_jaccard_join": op8_jaccard_join,
     "op10_fingerprints": op10_fingerprints,
