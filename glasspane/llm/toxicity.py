@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 from glasspane.llm import tokens
 from glasspane.llm.rows import append_columns
 
-PER_CLASS = 2500
-SAMPLE_BYTES = 64 << 10
+PER_CLASS = 2000
+SAMPLE_BYTES = 16 << 10
 BUCKETS = 1 << 18
 PREFIXES = (3, 4, 5, 6, 7, 8)
 STEPS = 30
