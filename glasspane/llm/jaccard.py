@@ -14,9 +14,10 @@ Sets are the distinct five-word shingles; two documents link when
    or which lie in one component already. What is left is checked exactly.
 
 Trees over many sets are cut into blocks and pairs of blocks are traversed
-apart. A traversal gives at most ``k`` partners to a set in another component;
-while some were left out it is repeated after the components have been joined,
-with a larger ``k``, so no link between components is lost.
+apart; of trees with the same sets one is kept. A traversal gives at most ``k``
+partners to a set in another component; while some were left out it is repeated
+after the components have been joined, with a larger ``k``, so no link between
+components is lost. The first round takes a share of the trees, the others all.
 """
 
 from __future__ import annotations
@@ -42,6 +43,8 @@ BUCKETS = 1 << 22
 SLICE = 1 << 14
 #: Sets in a leaf, children of a node, sets of a block of a large tree.
 LEAF, FANOUT, BLOCK = 32, 8, 2048
+#: The first round takes the trees of one shingle in so many, to join large groups cheaply.
+SHARE = 16
 #: Ids that are broadcast to select documents; beyond it they are joined.
 SENT_IDS = 2_000_000
 #: Sets in a block of the exact check.
@@ -233,47 +236,51 @@ def _first(key: np.ndarray, other: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def _small(starts: np.ndarray, ends: np.ndarray, level: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs left inside trees of one leaf, for all of them at once; rows of the level are members."""
+    member, tree = tokens.spread(starts, ends)
+    y, which = tokens.spread(member + 1, ends[tree])
+    x = member[which]
+    keep = _possible(level, level, x, y)
+    return x[keep], y[keep]
+
+
 def _candidates(members: DataFrame, k: int) -> DataFrame:
-    """``a, b, more`` from ``i, j, side, shingle, sid, label, n, bits``, sorted by (shingle, i, j).
+    """``a, b, more`` from ``shingle, i, j, side, sid, label, n, bits``, sorted by (shingle, i, j).
 
     ``more`` says that partners were left out.
     """
 
-    def group(rows: dict[str, np.ndarray], bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        n, label, sid = rows["n"], rows["label"], rows["sid"]
-        if rows["i"][0] == rows["j"][0]:
-            order = np.argsort(n, kind="stable")
-            tree = _Tree(n[order], bits[order], label[order])
-            x, y = _traverse(tree, tree, True)
-            x, y = order[x], order[y]
-        else:
-            sides = [np.flatnonzero(rows["side"] == s) for s in (0, 1)]
-            sides = [s[np.argsort(n[s], kind="stable")] for s in sides]
-            if not (len(sides[0]) and len(sides[1])):
-                return (np.empty(0, np.int64),) * 3
-            x, y = _traverse(*(_Tree(n[s], bits[s], label[s]) for s in sides), False)
-            x, y = sides[0][x], sides[1][y]
-        keep = _first(x, label[y], k) & _first(y, label[x], k)
-        more = np.full(int(keep.sum()), int(not keep.all()))
-        x, y = x[keep], y[keep]
-        return np.minimum(sid[x], sid[y]), np.maximum(sid[x], sid[y]), more
+    def large(at: np.ndarray, rows: dict[str, np.ndarray], bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sides = [at] if rows["i"][at[0]] == rows["j"][at[0]] else [at[rows["side"][at] == s] for s in (0, 1)]
+        sides = [s[np.argsort(rows["n"][s], kind="stable")] for s in sides]
+        if not all(map(len, sides)):
+            return at[:0], at[:0]
+        trees = [_Tree(rows["n"][s], bits[s], rows["label"][s]) for s in sides]
+        x, y = _traverse(trees[0], trees[-1], len(trees) == 1)
+        return sides[0][x], sides[-1][y]
 
     names = ["shingle", "i", "j", "side", "sid", "label", "n"]
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def answer(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            rows = {c: table[c].to_numpy() for c in names}
-            blob = b"".join(table["bits"].to_pylist())
-            bits = np.frombuffer(blob, np.uint64).reshape(table.num_rows, -1)
-            change = np.any([rows[c][1:] != rows[c][:-1] for c in ("shingle", "i", "j")], axis=0)
-            cuts = [0, *(np.flatnonzero(change) + 1).tolist(), table.num_rows]
-            found = [group({c: v[a:b] for c, v in rows.items()}, bits[a:b]) for a, b in zip(cuts, cuts[1:]) if b - a > 1]
-            if found:
-                a, b, more = (np.concatenate(z) for z in zip(*found))
-                _, at = np.unique(np.stack([a, b]), axis=1, return_index=True)
-                flag = np.full(len(at), int(more.any()) if len(more) else 0)
-                yield pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at]), pa.array(flag)], names=["a", "b", "more"])
+    def answer(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        rows = {c: table[c].to_numpy() for c in names}
+        bits = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint64).reshape(table.num_rows, -1)
+        change = np.flatnonzero(np.any([rows[c][1:] != rows[c][:-1] for c in ("shingle", "i", "j")], axis=0)) + 1
+        starts, ends = np.append(0, change), np.append(change, table.num_rows)
+        small = (ends - starts <= LEAF) & (rows["i"][starts] == rows["j"][starts])
+        lost = rows["n"] - np.bitwise_count(bits).sum(axis=1)
+        found = [_small(starts[small], ends[small], (bits, rows["n"], rows["n"], lost, rows["label"], rows["label"]))]
+        found += [large(np.arange(a, b), rows, bits) for a, b in zip(starts[~small], ends[~small])]
+        x, y = (np.concatenate(z) for z in zip(*found))
+        if not len(x):
+            return
+        label, sid = rows["label"], rows["sid"]
+        keep = _first(x, label[y], k) & _first(y, label[x], k)
+        pairs = np.unique(np.sort(np.stack([sid[x[keep]], sid[y[keep]]]), axis=0), axis=1)
+        more = np.full(pairs.shape[1], int(not keep.all()))
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(more)], names=["a", "b", "more"])
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
             table = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch]).combine_chunks()
@@ -282,22 +289,26 @@ def _candidates(members: DataFrame, k: int) -> DataFrame:
                 continue
             key = [table[c].to_numpy() for c in ("shingle", "i", "j")]
             change = np.flatnonzero(np.any([v[1:] != v[:-1] for v in key], axis=0))
-            cut = int(change[-1]) + 1 if len(change) else 0  # the last group may go on in the next batch
+            cut = int(change[-1]) + 1 if len(change) else 0  # the last tree may go on in the next batch
             if cut:
-                yield from answer(table.slice(0, cut))
+                yield from answer(table.slice(0, cut).combine_chunks())
             held = table.slice(cut)
         if held is not None and held.num_rows:
-            yield from answer(held)
+            yield from answer(held.combine_chunks())
 
     return members.mapInArrow(run, "a long, b long, more long")
 
 
-def _forest(postings: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of the trees that reach into more than one component, cut into pairs of blocks."""
-    mine = postings.join(labels, "sid", "left").select("shingle", "sid", F.coalesce("label", "sid").alias("label"))
-    mine = saved(mine, "labelled")
-    trees = mine.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("c"))
-    trees = trees.where("lo < hi").select("shingle", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
+def _forest(postings: DataFrame, sets: DataFrame, labels: DataFrame, share: int) -> DataFrame:
+    """Members of the trees that reach into more than one component, cut into pairs of blocks.
+
+    Of trees with the same members one stays; ``share`` takes one shingle in so many.
+    """
+    mine = postings.where(F.pmod(F.xxhash64("shingle"), F.lit(share)) == 0).join(labels, "sid", "left")
+    mine = saved(mine.select("shingle", "sid", F.coalesce("label", "sid").alias("label")), "labelled")
+    members = [F.bit_xor(F.xxhash64(F.lit(i), "sid")).alias(f"x{i}") for i in (0, 1)]
+    trees = mine.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("c"), *members).where("lo < hi")
+    trees = trees.groupBy("c", "x0", "x1").agg(F.min("shingle").alias("shingle")).select("shingle", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
     found = mine.join(trees, "shingle").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
     partner = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     found = found.withColumn("other", partner).select(
@@ -389,21 +400,27 @@ def similar(docs: DataFrame) -> DataFrame:
     links = saved(_verified(pairs, sets, docs), "links")
     roots = components(links)
     # trees over what the stars left apart
-    signatures = rows.where("kind = 0 and sid is not null").select("sid", "n", "bits")
+    standing = sets.select("sid", F.col("rep").alias("doc_id"))
+    signatures = rows.where("kind = 0 and sid is not null").select("sid", "doc_id", "n", "bits")
+    signatures = saved(signatures.join(standing, ["sid", "doc_id"]).dropDuplicates(["sid"]).drop("doc_id"), "signatures")
     postings = saved(_postings(docs, _histogram(rows.where("kind = 1"))), "postings")
-    k = 4
+    share, k, tested = SHARE, 2, None
     while True:
         labels = roots.select(F.col("id").alias("sid"), F.col("root").alias("label"))
-        forest = _forest(postings, signatures.dropDuplicates(["sid"]), labels)
+        forest = _forest(postings, signatures, labels, share)
         found = saved(_candidates(forest, k), "candidates")
-        pairs = saved(found.select("a", "b").distinct(), "pairs")
-        more = found.where("more = 1").limit(1).count() > 0
+        pairs = found.select("a", "b").distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = saved(pairs, "pairs")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        more = share > 1 or found.where("more = 1").limit(1).count() > 0
         fresh = saved(_verified(pairs, sets, docs), "links")
         if not fresh.isEmpty():
             roots = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(fresh))
         if not more:
             break
-        k *= 16
+        share, k = 1, 4 if share > 1 else 16 * k
     named = sets.join(roots.withColumnRenamed("id", "sid"), "sid", "left").select("sid", "rep", F.coalesce("root", "sid").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("component"))
     named = named.join(least, "root").select("sid", "component")
