@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glasspane.llm import decontaminate, fingerprints, jaccard, langid, linededup, pseudonyms, secretscan, toxicity
+from glasspane.llm import decontaminate, fingerprints, jaccard, langid, licences, linededup, mixing, pseudonyms, secretscan, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,7 +25,9 @@ DEMO_KEY = b"a key for tests"
 
 def op1_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pseudonyms.pseudonymize(docs, DEMO_KEY)
+    found = pseudonyms.pseudonymize(docs, DEMO_KEY)
+    spans = F.transform("pii", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
+    return found.select("doc_id", "text", F.size("pii").alias("n_pii"), F.array_join(spans, ",").alias("spans"))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,13 +67,29 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = _table(spark, sf_dir, "labels").where(fold("doc_id", 4) != 2)
     found = toxicity.score(docs, toxicity.train(docs, labels))
-    return found.withColumn("held_out", fold("doc_id", 4) == 2).select("doc_id", "held_out", "score", "predicted", "spans")
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted", spans.alias("spans"))
+
+
+#: Share of the tokens wanted from documents that labels call good (1) and poor (0).
+MIX = {"1": 0.95, "0": 0.05}
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), MIX)
+    good, poor = (F.coalesce(F.try_element_at("posterior", F.lit(k)), F.lit(0.0)) for k in ("1", "0"))
+    return found.select("doc_id", "n_tokens", good.alias("p_good"), poor.alias("p_poor"), "rate")
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar(_table(spark, sf_dir, "documents"))
 
 
+def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licences.scan(docs, licences.train(docs))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_neighbours(_table(spark, sf_dir, "documents"))
 
@@ -83,6 +101,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op5_secret_scan": op5_secret_scan,
     "op6_toxicity": op6_toxicity,
+    "op7_mixing": op7_mixing,
     "op8_jaccard_join": op8_jaccard_join,
+    "op9_licence_scan": op9_licence_scan,
     "op10_fingerprints": op10_fingerprints,
 }
