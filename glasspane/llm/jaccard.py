@@ -37,6 +37,7 @@ from glasspane.llm.rows import saved
 
 WORDS = 5
 SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89)
+#: Bits of the nodes' bitmaps; a set's own bitmap is wider where it has more than half as many shingles.
 SIGNATURE_BITS = 2048
 #: Histogram of shingle frequencies: buckets, and buckets in one row of it.
 BUCKETS = 1 << 22
@@ -65,6 +66,25 @@ def _sets(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, n
         yield lo, hi, row, key, rows, first, np.stack([tokens.mix(digests[0] + size), digests[1]])
 
 
+def _signatures(key: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """Bitmap of each set: bit h mod width, the width a power of two of at least twice the set's size."""
+    out = []
+    for lo, hi in zip(first, np.append(first[1:], len(key))):
+        width = SIGNATURE_BITS
+        while width < 2 * (hi - lo):
+            width *= 2
+        bits = np.zeros(width, bool)
+        bits[(key[lo:hi] >> np.uint64(20)).astype(np.int64) % width] = True
+        out.append(np.packbits(bits).tobytes())
+    return out
+
+
+def _folded(blob: bytes, width: int) -> np.ndarray:
+    """The bitmap at a smaller width: halves are OR-combined, since bit h mod width follows from it."""
+    bits = np.frombuffer(blob, np.uint64)
+    return np.bitwise_or.reduce(bits.reshape(-1, width // 64), axis=0)
+
+
 def _sketch(docs: DataFrame) -> DataFrame:
     """One row for each document (kind 0) and, from each task, its part of the histogram (kind 1)."""
     schema = "kind int, doc_id long, n long, sid long, check long, m0 long, m1 long, m2 long, m3 long, bits binary"
@@ -76,17 +96,14 @@ def _sketch(docs: DataFrame) -> DataFrame:
                 n = hi - lo
                 np.add.at(counts, (key & np.uint64(BUCKETS - 1)).astype(np.int64), np.uint32(1))
                 size = np.bincount(row, minlength=n)
-                bits = np.zeros((len(rows), SIGNATURE_BITS), bool)
-                where = np.searchsorted(rows, row)
-                bits[where, (key >> np.uint64(20)).astype(np.int64) % SIGNATURE_BITS] = True
-                bits = np.packbits(bits, axis=1)
+                signatures = _signatures(key, first)
                 wide = np.full((7, n), 0, np.uint64)
                 wide[:2, rows] = digest
                 for i, s in enumerate(SEEDS):
                     wide[2 + i, rows] = np.minimum.reduceat(tokens.mix(key + np.uint64(s)), first) if len(first) else 0
                 blobs: list = [None] * n
-                for r, b in zip(rows.tolist(), bits):
-                    blobs[r] = b.tobytes()
+                for r, b in zip(rows.tolist(), signatures):
+                    blobs[r] = b
                 none = size == 0
                 columns = [pa.array(np.zeros(n, np.int32)), batch.column(0).slice(lo, n), pa.array(size.astype(np.int64))]
                 columns += [pa.array(_signed(wide[i]), mask=none) for i in range(6)]
@@ -245,6 +262,24 @@ def _small(starts: np.ndarray, ends: np.ndarray, level: tuple) -> tuple[np.ndarr
     return x[keep], y[keep]
 
 
+def _wide(x: np.ndarray, y: np.ndarray, n: np.ndarray, blobs: list[bytes]) -> np.ndarray:
+    """Which pairs may link by their own bitmaps, compared at the narrower of the two widths."""
+    width = np.array([8 * len(b) for b in blobs])
+    narrow = np.minimum(width[x], width[y])
+    ok = np.ones(len(x), bool)
+    for w in np.unique(narrow[narrow > SIGNATURE_BITS]).tolist():
+        for part in np.array_split(np.flatnonzero(narrow == w), np.sum(narrow == w) * w // (64 << 20) + 1):
+            used, at = np.unique(np.concatenate([x[part], y[part]]), return_inverse=True)
+            bits = np.stack([_folded(blobs[i], w) for i in used.tolist()])
+            lost = n[used] - np.bitwise_count(bits).sum(axis=1)
+            a, b = at[: len(part)], at[len(part) :]
+            for lo in range(0, len(part), 2048):
+                i, j = a[lo : lo + 2048], b[lo : lo + 2048]
+                most = np.bitwise_count(bits[i] & bits[j]).sum(axis=1) + np.minimum(lost[i], lost[j])
+                ok[part[lo : lo + 2048]] = 175 * most >= 75 * (n[used[i]] + n[used[j]])
+    return ok
+
+
 def _candidates(members: DataFrame, k: int) -> DataFrame:
     """``a, b, more`` from ``shingle, i, j, side, sid, label, n, bits``, sorted by (shingle, i, j).
 
@@ -264,7 +299,8 @@ def _candidates(members: DataFrame, k: int) -> DataFrame:
 
     def answer(table: pa.Table) -> Iterator[pa.RecordBatch]:
         rows = {c: table[c].to_numpy() for c in names}
-        bits = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint64).reshape(table.num_rows, -1)
+        blobs = table["bits"].to_pylist()
+        bits = np.stack([_folded(b, SIGNATURE_BITS) for b in blobs])
         change = np.flatnonzero(np.any([rows[c][1:] != rows[c][:-1] for c in ("shingle", "i", "j")], axis=0)) + 1
         starts, ends = np.append(0, change), np.append(change, table.num_rows)
         small = (ends - starts <= LEAF) & (rows["i"][starts] == rows["j"][starts])
@@ -272,6 +308,10 @@ def _candidates(members: DataFrame, k: int) -> DataFrame:
         found = [_small(starts[small], ends[small], (bits, rows["n"], rows["n"], lost, rows["label"], rows["label"]))]
         found += [large(np.arange(a, b), rows, bits) for a, b in zip(starts[~small], ends[~small])]
         x, y = (np.concatenate(z) for z in zip(*found))
+        if not len(x):
+            return
+        may = _wide(x, y, rows["n"], blobs)
+        x, y = x[may], y[may]
         if not len(x):
             return
         label, sid = rows["label"], rows["sid"]
@@ -299,22 +339,28 @@ def _candidates(members: DataFrame, k: int) -> DataFrame:
     return members.mapInArrow(run, "a long, b long, more long")
 
 
-def _forest(postings: DataFrame, sets: DataFrame, labels: DataFrame, share: int) -> DataFrame:
-    """Members of the trees that reach into more than one component, cut into pairs of blocks.
+def _mixed(postings: DataFrame, labels: DataFrame, share: int) -> DataFrame:
+    """Members (shingle, sid, label, blocks) of the trees that reach into more than one component.
 
-    Of trees with the same members one stays; ``share`` takes one shingle in so many.
+    Of trees with the same members one stays; ``share`` takes one shingle in so
+    many. Components only grow, so later rounds need no other trees than these.
     """
     mine = postings.where(F.pmod(F.xxhash64("shingle"), F.lit(share)) == 0).join(labels, "sid", "left")
     mine = saved(mine.select("shingle", "sid", F.coalesce("label", "sid").alias("label")), "labelled")
     members = [F.bit_xor(F.xxhash64(F.lit(i), "sid")).alias(f"x{i}") for i in (0, 1)]
     trees = mine.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("c"), *members).where("lo < hi")
     trees = trees.groupBy("c", "x0", "x1").agg(F.min("shingle").alias("shingle")).select("shingle", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
-    found = mine.join(trees, "shingle").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    return saved(mine.join(trees, "shingle").select("shingle", "sid", "label", "blocks"), "mixed")
+
+
+def _forest(mixed: DataFrame, signatures: DataFrame) -> DataFrame:
+    """Members with their signatures, cut into pairs of blocks."""
+    found = mixed.withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
     partner = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     found = found.withColumn("other", partner).select(
         "shingle", "sid", "label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side")
     )
-    full = found.join(sets.select("sid", "n", "bits"), "sid")
+    full = found.join(signatures, "sid")
     return full.select("shingle", "i", "j", "side", "sid", "label", "n", "bits").repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j")
 
 
@@ -407,8 +453,10 @@ def similar(docs: DataFrame) -> DataFrame:
     share, k, tested = SHARE, 2, None
     while True:
         labels = roots.select(F.col("id").alias("sid"), F.col("root").alias("label"))
-        forest = _forest(postings, signatures, labels, share)
-        found = saved(_candidates(forest, k), "candidates")
+        mixed = _mixed(postings, labels, share)
+        if share == 1:
+            postings = mixed.select("shingle", "sid")
+        found = saved(_candidates(_forest(mixed, signatures), k), "candidates")
         pairs = found.select("a", "b").distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
