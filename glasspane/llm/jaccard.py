@@ -15,9 +15,9 @@ Sets are the distinct five-word shingles; two documents link when
 
 Trees over many sets are cut into blocks and pairs of blocks are traversed
 apart; of trees with the same sets one is kept. A traversal gives at most ``k``
-partners to a set in another component; while some were left out it is repeated
-after the components have been joined, with a larger ``k``, so no link between
-components is lost. The first round takes a share of the trees, the others all.
+partners to a set in another component; trees where some were left out are
+traversed again after the components have been joined, with a larger ``k``, so no
+link between components is lost. The first round takes a share of the trees.
 """
 
 from __future__ import annotations
@@ -281,9 +281,9 @@ def _wide(x: np.ndarray, y: np.ndarray, n: np.ndarray, blobs: list[bytes]) -> np
 
 
 def _candidates(members: DataFrame, k: int) -> DataFrame:
-    """``a, b, more`` from ``shingle, i, j, side, sid, label, n, bits``, sorted by (shingle, i, j).
+    """``a, b`` from ``shingle, i, j, side, sid, label, n, bits``, sorted by (shingle, i, j).
 
-    ``more`` says that partners were left out.
+    A third column names, in rows of their own, the trees of which partners were left out.
     """
 
     def large(at: np.ndarray, rows: dict[str, np.ndarray], bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -317,8 +317,10 @@ def _candidates(members: DataFrame, k: int) -> DataFrame:
         label, sid = rows["label"], rows["sid"]
         keep = _first(x, label[y], k) & _first(y, label[x], k)
         pairs = np.unique(np.sort(np.stack([sid[x[keep]], sid[y[keep]]]), axis=0), axis=1)
-        more = np.full(pairs.shape[1], int(not keep.all()))
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(more)], names=["a", "b", "more"])
+        left = np.unique(rows["shingle"][x[~keep]])
+        none = [pa.nulls(len(left), pa.int64()), pa.nulls(pairs.shape[1], pa.int64())]
+        for columns in ([pa.array(pairs[0]), pa.array(pairs[1]), none[1]], [none[0], none[0], pa.array(left)]):
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "tree"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -336,7 +338,7 @@ def _candidates(members: DataFrame, k: int) -> DataFrame:
         if held is not None and held.num_rows:
             yield from answer(held.combine_chunks())
 
-    return members.mapInArrow(run, "a long, b long, more long")
+    return members.mapInArrow(run, "a long, b long, tree long")
 
 
 def _mixed(postings: DataFrame, labels: DataFrame, share: int) -> DataFrame:
@@ -442,27 +444,34 @@ def similar(docs: DataFrame) -> DataFrame:
     keyed = sets.select("sid", "n", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"m{i}").alias("m")) for i in range(4)])).alias("k")).select("sid", "n", "k.i", "k.m")
     centres = keyed.groupBy("i", "m").agg(F.min("sid").alias("a"), F.min_by("n", "sid").alias("na"), F.count("*").alias("c")).where("c > 1")
     stars = keyed.join(centres, ["i", "m"]).where("sid != a and 100 * n >= 75 * na and 100 * na >= 75 * n")
-    pairs = saved(stars.select("a", F.col("sid").alias("b")).distinct(), "stars")
+    # two minimum hashes with one centre: most near copies, few others; the trees see the rest
+    pairs = stars.groupBy("a", F.col("sid").alias("b")).count().where("count > 1").select("a", "b")
+    pairs = saved(pairs, "stars")
     links = saved(_verified(pairs, sets, docs), "links")
     roots = components(links)
     # trees over what the stars left apart
-    standing = sets.select("sid", F.col("rep").alias("doc_id"))
-    signatures = rows.where("kind = 0 and sid is not null").select("sid", "doc_id", "n", "bits")
-    signatures = saved(signatures.join(standing, ["sid", "doc_id"]).dropDuplicates(["sid"]).drop("doc_id"), "signatures")
     postings = saved(_postings(docs, _histogram(rows.where("kind = 1"))), "postings")
+    standing = sets.join(postings.select("sid").distinct(), "sid").select("sid", F.col("rep").alias("doc_id"))
+    signatures = rows.where("kind = 0 and sid is not null").select("sid", "doc_id", "n", "bits")
+    same = (F.col("x.sid") == F.col("y.sid")) & F.col("x.doc_id").eqNullSafe(F.col("y.doc_id"))
+    signatures = signatures.alias("x").join(standing.alias("y"), same).select("x.sid", "n", "bits").dropDuplicates(["sid"])
+    signatures = saved(signatures, "signatures")
     share, k, tested = SHARE, 2, None
     while True:
         labels = roots.select(F.col("id").alias("sid"), F.col("root").alias("label"))
         mixed = _mixed(postings, labels, share)
-        if share == 1:
-            postings = mixed.select("shingle", "sid")
         found = saved(_candidates(_forest(mixed, signatures), k), "candidates")
-        pairs = found.select("a", "b").distinct()
+        pairs = found.where("a is not null").select("a", "b").distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = saved(pairs, "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        more = share > 1 or found.where("more = 1").limit(1).count() > 0
+        more = share > 1
+        if share == 1:
+            again = found.where("tree is not null").select(F.col("tree").alias("shingle")).distinct()
+            postings = saved(mixed.join(again, "shingle").select("shingle", "sid"), "postings")
+            more = not postings.isEmpty()
+            signatures = saved(signatures.join(postings.select("sid").distinct(), "sid"), "signatures") if more else signatures
         fresh = saved(_verified(pairs, sets, docs), "links")
         if not fresh.isEmpty():
             roots = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(fresh))
