@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from glasspane.llm import tokens
 from glasspane.llm.components import components
-from glasspane.llm.rows import saved
+from glasspane.llm.rows import Scratch
 
 WORDS = 5
 SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89)
@@ -341,18 +341,18 @@ def _candidates(members: DataFrame, k: int) -> DataFrame:
     return members.mapInArrow(run, "a long, b long, tree long")
 
 
-def _mixed(postings: DataFrame, labels: DataFrame, share: int) -> DataFrame:
+def _mixed(postings: DataFrame, labels: DataFrame, share: int, scratch: Scratch) -> DataFrame:
     """Members (shingle, sid, label, blocks) of the trees that reach into more than one component.
 
     Of trees with the same members one stays; ``share`` takes one shingle in so
     many. Components only grow, so later rounds need no other trees than these.
     """
     mine = postings.where(F.pmod(F.xxhash64("shingle"), F.lit(share)) == 0).join(labels, "sid", "left")
-    mine = saved(mine.select("shingle", "sid", F.coalesce("label", "sid").alias("label")), "labelled")
+    mine = scratch.save(mine.select("shingle", "sid", F.coalesce("label", "sid").alias("label")), "labelled")
     members = [F.bit_xor(F.xxhash64(F.lit(i), "sid")).alias(f"x{i}") for i in (0, 1)]
     trees = mine.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("c"), *members).where("lo < hi")
     trees = trees.groupBy("c", "x0", "x1").agg(F.min("shingle").alias("shingle")).select("shingle", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
-    return saved(mine.join(trees, "shingle").select("shingle", "sid", "label", "blocks"), "mixed")
+    return scratch.save(mine.join(trees, "shingle").select("shingle", "sid", "label", "blocks"), "mixed")
 
 
 def _forest(mixed: DataFrame, signatures: DataFrame) -> DataFrame:
@@ -366,10 +366,10 @@ def _forest(mixed: DataFrame, signatures: DataFrame) -> DataFrame:
     return full.select("shingle", "i", "j", "side", "sid", "label", "n", "bits").repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """The pairs ``a, b`` whose sets link, by exact intersection; each block of sets travels once for each partner block."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    wanted = saved(ends.join(sets.select("sid", "rep"), "sid"), "wanted")
+    wanted = scratch.save(ends.join(sets.select("sid", "rep"), "sid"), "wanted")
     count = wanted.count()
     if count <= SENT_IDS:
         ids = np.sort(wanted.select("rep").where("rep is not null").toArrow()["rep"].to_numpy())
@@ -431,10 +431,10 @@ def similar(docs: DataFrame) -> DataFrame:
     rows with null doc_id take part, and their component is null only if no row
     of it has an id; an empty table gives an empty one.
     """
-    docs = docs.select("doc_id", "text")
-    rows = saved(_sketch(docs), "sets")
+    docs, scratch = docs.select("doc_id", "text"), Scratch(docs.sparkSession)
+    rows = scratch.save(_sketch(docs), "sets")
     per_row = rows.where("kind = 0").select("doc_id", "n", "sid", "check", "m0", "m1", "m2", "m3", "bits")
-    sets = saved(
+    sets = scratch.save(
         per_row.where("sid is not null")
         .groupBy("sid", "check")
         .agg(F.min("doc_id").alias("rep"), *[F.max(c).alias(c) for c in ("n", "m0", "m1", "m2", "m3")]),
@@ -446,33 +446,33 @@ def similar(docs: DataFrame) -> DataFrame:
     stars = keyed.join(centres, ["i", "m"]).where("sid != a and 100 * n >= 75 * na and 100 * na >= 75 * n")
     # two minimum hashes with one centre: most near copies, few others; the trees see the rest
     pairs = stars.groupBy("a", F.col("sid").alias("b")).count().where("count > 1").select("a", "b")
-    pairs = saved(pairs, "stars")
-    links = saved(_verified(pairs, sets, docs), "links")
+    pairs = scratch.save(pairs, "stars")
+    links = scratch.save(_verified(pairs, sets, docs, scratch), "links")
     roots = components(links)
     # trees over what the stars left apart
-    postings = saved(_postings(docs, _histogram(rows.where("kind = 1"))), "postings")
+    postings = scratch.save(_postings(docs, _histogram(rows.where("kind = 1"))), "postings")
     standing = sets.join(postings.select("sid").distinct(), "sid").select("sid", F.col("rep").alias("doc_id"))
     signatures = rows.where("kind = 0 and sid is not null").select("sid", "doc_id", "n", "bits")
     same = (F.col("x.sid") == F.col("y.sid")) & F.col("x.doc_id").eqNullSafe(F.col("y.doc_id"))
     signatures = signatures.alias("x").join(standing.alias("y"), same).select("x.sid", "n", "bits").dropDuplicates(["sid"])
-    signatures = saved(signatures, "signatures")
+    signatures = scratch.save(signatures, "signatures")
     share, k, tested = SHARE, 2, None
     while True:
         labels = roots.select(F.col("id").alias("sid"), F.col("root").alias("label"))
-        mixed = _mixed(postings, labels, share)
-        found = saved(_candidates(_forest(mixed, signatures), k), "candidates")
+        mixed = _mixed(postings, labels, share, scratch)
+        found = scratch.save(_candidates(_forest(mixed, signatures), k), "candidates")
         pairs = found.where("a is not null").select("a", "b").distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = saved(pairs, "pairs")
+        pairs = scratch.save(pairs, "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
         more = share > 1
         if share == 1:
             again = found.where("tree is not null").select(F.col("tree").alias("shingle")).distinct()
-            postings = saved(mixed.join(again, "shingle").select("shingle", "sid"), "postings")
+            postings = scratch.save(mixed.join(again, "shingle").select("shingle", "sid"), "postings")
             more = not postings.isEmpty()
-            signatures = saved(signatures.join(postings.select("sid").distinct(), "sid"), "signatures") if more else signatures
-        fresh = saved(_verified(pairs, sets, docs), "links")
+            signatures = scratch.save(signatures.join(postings.select("sid").distinct(), "sid"), "signatures") if more else signatures
+        fresh = scratch.save(_verified(pairs, sets, docs, scratch), "links")
         if not fresh.isEmpty():
             roots = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(fresh))
         if not more:
@@ -481,4 +481,5 @@ def similar(docs: DataFrame) -> DataFrame:
     named = sets.join(roots.withColumnRenamed("id", "sid"), "sid", "left").select("sid", "rep", F.coalesce("root", "sid").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("component"))
     named = named.join(least, "root").select("sid", "component")
-    return per_row.join(named, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    found = per_row.join(named, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    return scratch.finish(found, "similar")

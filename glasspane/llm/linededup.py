@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from glasspane.llm.rows import saved
+from glasspane.llm.rows import Scratch
 
 MIN_WORDS = 50
 
@@ -47,6 +47,7 @@ def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     ``version`` is a hash of the text: rows equal in id and text are one document.
     """
+    scratch = Scratch(docs.sparkSession)
     content = F.coalesce(F.col(text), F.lit(""))
     line = F.transform(
         _lines(content),
@@ -55,14 +56,14 @@ def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         ),
     )
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(content).alias("version"), F.filter(line, lambda x: x["words"] > 0).alias("lines"))
-    rows = saved(rows.where(F.size("lines") > 0), "line-ids")
+    rows = scratch.save(rows.where(F.size("lines") > 0), "line-ids")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.dropDuplicates(["doc_id", "version"]).repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "version").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "version")
     lines = ordered.select("doc_id", "version", F.posexplode("lines").alias("k", "x")).select("doc_id", "version", "k", "x.line", "x.a", "x.b", "x.words")
     # within a document positions are consecutive: its lines are numbered in one task, in order
-    lines = saved(lines.withColumn("pos", F.monotonically_increasing_id()), "lines")
+    lines = scratch.save(lines.withColumn("pos", F.monotonically_increasing_id()), "lines")
     classes = lines.groupBy("a", "b").agg(F.min("pos").alias("name"), F.count("*").alias("c")).where("c > 1")
-    live = saved(lines.join(classes, ["a", "b"]).select("pos", (F.col("pos") - F.col("k")).alias("doc"), "words", "name"), "names")
+    live = scratch.save(lines.join(classes, ["a", "b"]).select("pos", (F.col("pos") - F.col("k")).alias("doc"), "words", "name"), "names")
     # runs of consecutive lines that each repeat somewhere, long enough together
     place = W.partitionBy("doc").orderBy("pos")
     runs = live.withColumn("run", F.col("pos") - F.row_number().over(place)).groupBy("doc", "run").agg(
@@ -74,34 +75,33 @@ def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     forward = F.transform(_windows(words, min_words), lambda m, i: F.struct((first + i).alias("start"), m.alias("m")))
     back = F.transform(_windows(F.reverse(words), min_words), lambda m, i: F.struct((first + F.size("x") - i - m).alias("start"), m.alias("m")))
     windows = runs.select("doc", "run", F.explode(F.filter(F.array_union(forward, back), lambda s: s["m"].isNotNull())).alias("s"))
-    windows = saved(windows.select("doc", "run", "s.start", "s.m"), "windows")
+    windows = scratch.save(windows.select("doc", "run", "s.start", "s.m"), "windows")
     longest = windows.agg(F.max("m").alias("m")).first()["m"]
     if longest is None:
-        return rows.select("doc_id", "version", F.array().cast("array<int>").alias("cut")).limit(0)
+        return scratch.finish(rows.select("doc_id", "version", F.array().cast("array<int>").alias("cut")).limit(0), "cuts")
     names = live.join(windows.where("m > 1").select("doc").distinct(), "doc", "left_semi").select("pos", "doc", "name")
     hit = [windows.where("m = 1").join(live.where("name < pos").select(F.col("pos").alias("start")), "start", "left_semi").select("start", "m")]
     h = 1
     while longest > 1:
         # windows of h to 2h - 1 lines, by the names of their first and last h lines
-        now = windows.where((F.col("m") > 1) & (F.col("m") >= h) & (F.col("m") < 2 * h))
-        if h > 1 or longest > 1:
-            head = names.select(F.col("pos").alias("start"), F.col("name").alias("head"))
-            tail = names.select((F.col("pos")).alias("last"), F.col("name").alias("tail"))
-            keyed = now.withColumn("last", F.col("start") + F.col("m") - h).join(head, "start").join(tail, "last").select("start", "m", "head", "tail")
-            least = keyed.groupBy("m", "head", "tail").agg(F.min("start").alias("least"))
-            hit.append(keyed.join(least, ["m", "head", "tail"]).where("least < start").select("start", "m"))
+        now = windows.where((F.col("m") >= F.lit(max(h, 2))) & (F.col("m") < 2 * h))
+        head = names.select(F.col("pos").alias("start"), F.col("name").alias("head"))
+        tail = names.select((F.col("pos")).alias("last"), F.col("name").alias("tail"))
+        keyed = now.withColumn("last", F.col("start") + F.col("m") - h).join(head, "start").join(tail, "last").select("start", "m", "head", "tail")
+        least = keyed.groupBy("m", "head", "tail").agg(F.min("start").alias("least"))
+        hit.append(keyed.join(least, ["m", "head", "tail"]).where("least < start").select("start", "m"))
         if 2 * h > longest:
             break
         ahead = names.select((F.col("pos") - h).alias("pos"), "doc", F.col("name").alias("next"))
         pairs = names.join(ahead, ["pos", "doc"])
         named = pairs.groupBy("name", "next").agg(F.min("pos").alias("least"))
-        names = saved(pairs.join(named, ["name", "next"]).select("pos", "doc", F.col("least").alias("name")), "names")
+        names = scratch.save(pairs.join(named, ["name", "next"]).select("pos", "doc", F.col("least").alias("name")), "names")
         h *= 2
     found = hit[0]
     for more in hit[1:]:
         found = found.unionByName(more)
     cut = found.select(F.explode(F.sequence(F.col("start"), F.col("start") + F.col("m") - 1)).alias("pos")).distinct()
-    return lines.join(cut, "pos").groupBy("doc_id", "version").agg(F.array_sort(F.collect_list("line")).alias("cut"))
+    return scratch.finish(lines.join(cut, "pos").groupBy("doc_id", "version").agg(F.array_sort(F.collect_list("line")).alias("cut")), "cuts")
 
 
 def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:

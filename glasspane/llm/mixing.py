@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glasspane.llm.rows import saved
+from glasspane.llm.rows import Scratch
 
 MAX_DOMAINS = 64
 STEPS = 40
@@ -139,14 +139,15 @@ def mix(
     teach each. If nothing can be learned the posterior is empty and the rate 1.
     """
     m = measured(F.col(text))
-    rows = saved(docs.select(F.col(doc_id).alias("doc_id"), *[c.alias(n) for n, c in m.items()]), "measures")
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.save(docs.select(F.col(doc_id).alias("doc_id"), *[c.alias(n) for n, c in m.items()]), "measures")
     known = labels.where(F.col(domain).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(domain).alias("_domain")).distinct()
     model = fit(rows.join(known, "doc_id"), "_domain")
     if not model:
         none = F.create_map().cast("map<string,double>")
-        return rows.select("doc_id", F.col("tokens").alias("n_tokens"), none.alias("posterior"), F.lit(1.0).alias("rate"))
+        return scratch.finish(rows.select("doc_id", F.col("tokens").alias("n_tokens"), none.alias("posterior"), F.lit(1.0).alias("rate")), "rates")
     names = list(model)
-    soft = saved(rows.select("doc_id", "tokens", posteriors(model).alias("_p")), "posteriors")
+    soft = scratch.finish(rows.select("doc_id", "tokens", posteriors(model).alias("_p")), "posteriors")
     wanted = np.array([max(0.0, float(targets.get(n, 0.0))) for n in names])
     if wanted.sum() <= 0:
         raise ValueError("no target for any domain of the labels")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -38,8 +40,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where
-    import tempfile
-
     where = tempfile.mkdtemp(prefix="glasspane-")
     spark.conf.set("spark.checkpoint.dir", where)
     return where
@@ -47,9 +47,29 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` under the shared folder and reads it again: cuts lineage, survives lost executors."""
-    import uuid
-
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Tables written on the way to a result, which are deleted once the result itself is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, f"{checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}"
+        self.count = 0
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        self.count += 1
+        path = f"{self.folder}/{self.count}-{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def finish(self, result: DataFrame, name: str) -> DataFrame:
+        """Writes the result outside the scratch folder and deletes that."""
+        out = saved(result, name)
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        return out
