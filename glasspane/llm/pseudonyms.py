@@ -214,6 +214,9 @@ class Pseudonymizer:
                 if (a and (text[a - 1].isalnum() or text[a - 1] == "_")) or (b < len(text) and (text[b].isalnum() or text[b] == "_")):
                     continue
                 got = self.value(text[a:b])
+                if not got and text[a] == "(":  # a bracket around the value, not a part of it
+                    a += 1
+                    got = self.value(text[a:b])
                 if got:
                     out.append((a, b, *got))
                     break
