@@ -209,10 +209,8 @@ def test_secret_spans_equal_regular_expressions(spark):
 def test_fingerprints(spark, words, awkward):
     rnd = random.Random(2)
     texts = [(i, " ".join(rnd.choice(words) for _ in range(rnd.randint(0, 300)))) for i in range(60)]
-    texts += [(100 + i, t) for i, t in awkward if i is not None]
-    got = {}
-    for r in fingerprints.edited_neighbours(rows_of(spark, texts)).collect():
-        got.setdefault(r.doc_id, r)
+    texts += list({100 + i: t for i, t in awkward if i is not None}.items())
+    got = {r.doc_id: r for r in fingerprints.edited_neighbours(rows_of(spark, texts)).collect()}
     ordered = sorted(dict(texts).items())
     errors = []
     for (i, t), (_, after) in zip(ordered, ordered[1:] + ordered[:1]):
@@ -224,6 +222,9 @@ def test_fingerprints(spark, words, awkward):
     assert max(errors) < 0.2 and sum(errors) / len(errors) < 0.03
     assert got[105].fingerprint == got[106].fingerprint != "" and got[101].fingerprint == ""
     assert fingerprints.fingerprint(rows_of(spark, texts).limit(0)).count() == 0
+    again = fingerprints.edited_neighbours(rows_of(spark, awkward)).collect()
+    assert sorted((r.doc_id for r in again), key=str) == sorted((i for i, _ in awkward), key=str)
+    assert fingerprints.edited_neighbours(rows_of(spark, awkward).limit(0)).count() == 0
 
 
 def test_language_model(spark):
@@ -302,6 +303,7 @@ def test_pseudonyms_keep_formats(spark, awkward):
     assert pseudonyms.pseudonymize(docs, b"key").where("doc_id is null").count() == 2
     one = pseudonyms.Pseudonymizer(b"key").text(text)[0]
     assert [s.kind for s in pseudonyms.pseudonymize(docs, b"key").where("text like 'call%'").first().pii] == ["phone", "ip", "card", "date", "date", "iban", "ssn", "email"]
-    assert re.sub(r"[0-9]", "9", re.sub(r"[a-z]\.[a-z]@", "x.x@", one)) == re.sub(r"[0-9]", "9", re.sub(r"[a-z]\.[a-z]@", "x.x@", text))
+    shape = lambda t: re.sub(r"[0-9]", "9", re.sub(r"\d+(\.\d+){3}", "address", re.sub(r"[a-z]\.[a-z]@", "x.x@", t)))
+    assert shape(one) == shape(text)
     assert one != text and pseudonyms.Pseudonymizer(b"key", back=True).text(one)[0] == text
     assert got[3].text == texts[2][1]
