@@ -1,5 +1,68 @@
-"""DuckDB SQL for the queries of this subpackage that SQL can express."""
+"""DuckDB SQL for the queries of this subpackage that SQL can express.
+
+The trained, keyed and sketching operators have none; their tests hold them
+against plain versions, round trips and held-out accuracy.
+"""
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from glasspane.llm.secretscan import RULES
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _words(pattern: str) -> str:
+    return f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{pattern}')"
+
+
+ALNUM = _words(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+OP4 = f"""
+WITH b AS (SELECT coalesce(item_id::VARCHAR, '') AS id, {ALNUM} AS w FROM benchmark),
+bw AS (SELECT DISTINCT id, least(10, len(w)) AS k, array_to_string(w[i : i + least(10, len(w)) - 1], ' ') AS win
+       FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+d AS (SELECT doc_id, {ALNUM} AS w FROM documents),
+dw AS (SELECT doc_id, i, k, array_to_string(w[i : i + k - 1], ' ') AS win
+       FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM bw) WHERE len(w) >= k)),
+h AS (SELECT dw.doc_id, dw.i, dw.k, bw.id FROM dw JOIN bw USING (k, win)),
+hw AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM h) GROUP BY 1),
+hi AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, id FROM h) GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)
+"""
+
+
+def _matches(number: int) -> str:
+    """Spans of one rule in the texts where it matches at all."""
+    r = RULES[number]
+    p = r.pattern.replace("'", "''")
+    return f"""SELECT doc_id, {number} AS number, '{r.kind}' AS kind, {r.base} AS base,
+        (list_sum(list_transform(a[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1 : i - 1], lambda x: length(x))), 0))::BIGINT AS start,
+        length(m[i]) AS n FROM (SELECT doc_id, a, m, g, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, regexp_split_to_array(text, '{p}') AS a,
+        regexp_extract_all(text, '{p}') AS m, regexp_extract_all(text, '{p}', {r.group}) AS g FROM documents WHERE regexp_matches(text, '{p}'))) WHERE length(g[i]) >= {r.least}"""
+
+
+OP5 = f"""
+WITH s AS ({" UNION ALL ".join(_matches(i) for i in range(len(RULES)))}),
+l AS (SELECT *, kind || ':' || start || ':' || (start + n) AS span FROM s),
+f AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+      string_agg(span, ',' ORDER BY start, number) FILTER (base) AS base, string_agg(span, ',' ORDER BY start, number) AS spans FROM l GROUP BY 1)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents d LEFT JOIN f USING (doc_id)
+"""
+
+OP8 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_words(r"[^\x20\x09-\x0D]+")} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT a AS x, b AS y FROM u UNION SELECT r.x, u.b FROM r JOIN u ON r.y = u.a)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, least(d.doc_id, coalesce(min(r.y), d.doc_id)) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN r ON r.x = d.doc_id GROUP BY d.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op4_decontamination": OP4, "op5_secret_scan": OP5, "op8_jaccard_join": OP8}
