@@ -79,6 +79,25 @@ def flac_blocks(data: Column) -> Column:
     return _walk(data, 4, 4, read, None)
 
 
+def stanzas(data: Column, first: int = 0) -> Column:
+    """Recipient stanzas of an envelope: type byte in hex, length in two bytes, body; bodies over 4096 bytes are refused."""
+
+    def read(d: Column, at: Column) -> tuple[Column, Column, Column]:
+        p = at.cast("int")
+        size = F.conv(F.hex(F.substr(d, p + 2, F.lit(2))), 16, 10).cast("long")
+        return F.hex(F.substr(d, p + 1, F.lit(1))), size, F.when(size <= 4096, size + 3).otherwise(F.octet_length(d) + 1)
+
+    return _walk(data, first, 3, read, None)
+
+
+def tlv_fields(data: Column) -> Column:
+    """Fields (tag in hex, start, size) of a strict record: tags must ascend; an error says where they do not."""
+    walk = stanzas(data)
+    tags = F.transform(walk["chunks"], lambda c: c["tag"])
+    ascending = F.forall(F.zip_with(tags, F.slice(tags, 2, MOST_CHUNKS), lambda a, b: b.isNull() | (a < b)), lambda x: x)
+    return F.struct(walk["chunks"].alias("fields"), F.coalesce(walk["error"], F.when(~ascending, "tags out of order")).alias("error"))
+
+
 def body(data: Column, chunk: Column, most: int | None = None) -> Column:
     size = chunk["size"].cast("int")
     return F.substr(data, (chunk["start"] + 1).cast("int"), size if most is None else F.least(size, F.lit(most)))

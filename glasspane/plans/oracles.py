@@ -189,4 +189,16 @@ ORACLES: dict[str, str] = {
     + " ".join(f"WHEN n >= {1024**i} THEN ((n * 10 + {1024**i // 2}) // {1024**i}) // 10 || '.' || ((n * 10 + {1024**i // 2}) // {1024**i}) % 10 || ' {u}'" for i, u in ((4, "TB"), (3, "GB"), (2, "MB"), (1, "KB")))
     + " ELSE n || ' B' END AS size FROM d",
     "json_report": """SELECT doc_id, '{"id":' || doc_id || ',"source":"' || source || '","bytes":' || strlen(text) || '}' AS line FROM documents""",
+    "jpeg_findings": """WITH c AS (SELECT c_custkey AS a, c_name, c_custkey % 3 = 0 AS l FROM customer)
+        SELECT a AS artifact_id, 0 AS ord, 'unknown extension' AS kind, 'APP0' AS location, '5 bytes' AS value, 0 AS severity FROM c
+        UNION ALL SELECT a, 1, 'device', 'APP1:Exif', '12 bytes', 1 FROM c WHERE l UNION ALL SELECT a, 2, 'gps', 'APP1:Exif/GPS', NULL, 2 FROM c WHERE l
+        UNION ALL SELECT a, CASE WHEN l THEN 3 ELSE 1 END, 'comment', 'COM', c_name, 1 FROM c""",
+    "jpeg_cleaning": """SELECT c_custkey AS artifact_id, (2 + 9 + CASE WHEN c_custkey % 3 = 0 THEN 16 ELSE 0 END + 4 + strlen(c_name) + 6 + 6 + 5)::INT AS bytes,
+        'ffd8ffdb00040001ffda00040102a1b2c3ffd9' AS clean, 0 AS left FROM customer""",
+    "webp_cleaning": """SELECT s_suppkey AS artifact_id, 'device:1:' || strlen(s_name) || ' bytes,author:2:' || strlen(s_name) || ' bytes' AS found,
+        '52494646' || '20000000' || '57454250' || '565038580a000000' || '10000000000000000000' || '56503820020000000102' AS clean, 0 AS left FROM supplier""",
+    "bmp_cleaning": """SELECT page_id AS artifact_id, 'BMP' AS format, CASE WHEN page_id % 4 = 0 THEN '' ELSE 'unknown extension:1:' || strlen(url) || ' bytes' END AS found, 58 AS clean_bytes FROM pages""",
+    "stanza_scan": """WITH o AS (SELECT l_orderkey, list_sort(list(DISTINCT l_suppkey)) AS s FROM lineitem GROUP BY 1),
+        t AS (SELECT l_orderkey, list_transform(s, lambda x: x % 5 = 0) AS f FROM o)
+        SELECT l_orderkey, length(list_filter(f, lambda x: NOT x))::INT AS real, length(list_filter(f, lambda x: x))::INT AS dummies, length(f) = 1 OR (length(f) = 2 AND NOT f[1] AND f[2]) AS strict FROM t""",
 }

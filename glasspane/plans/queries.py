@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glasspane.functions import keys, lengths, magic, text, verdicts
-from glasspane.operators import chunks, findings, rollups, sessions, trust
+from glasspane.operators import chunks, findings, images, rollups, sessions, trust
 from glasspane.plans import tables as t
 from glasspane.plans.tables import table
 from glasspane.sources.artifacts import report
@@ -149,6 +149,50 @@ def png_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("artifact_id", F.octet_length("content").alias("bytes"), F.octet_length("clean").alias("clean_bytes"), (again == F.col("clean")).alias("stable"), F.size(chunks.png_findings(F.col("clean"))).alias("left"), verdict.alias("verdict"))
 
 
+def _jpegs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    return c.select(F.col("c_custkey").alias("artifact_id"), t.jpeg_of(F.col("c_name"), F.pmod("c_custkey", F.lit(3)) == 0).alias("content"))
+
+
+@query
+def jpeg_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.exploded(_jpegs(spark, sf_dir), images.jpeg_findings(F.col("content")))
+
+
+@query
+def jpeg_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    j = _jpegs(spark, sf_dir).withColumn("clean", images.jpeg_cleaned(F.col("content")))
+    return j.select("artifact_id", F.octet_length("content").alias("bytes"), F.lower(F.hex("clean")).alias("clean"), F.size(images.jpeg_findings(F.col("clean"))).alias("left"))
+
+
+@query
+def webp_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("artifact_id"), t.webp_of(F.col("s_name")).alias("content"))
+    w = w.withColumn("clean", images.webp_cleaned(F.col("content")))
+    kinds = F.array_join(F.transform(images.webp_findings(F.col("content")), lambda f: F.concat_ws(":", f["kind"], f["severity"], f["value"])), ",")
+    return w.select("artifact_id", kinds.alias("found"), F.lower(F.hex("clean")).alias("clean"), F.size(images.webp_findings(F.col("clean"))).alias("left"))
+
+
+@query
+def bmp_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages' addresses hidden behind a picture, none in every fourth."""
+    tail = F.when(F.pmod("page_id", F.lit(4)) == 0, F.lit("")).otherwise(F.col("url"))
+    b = table(spark, sf_dir, "pages").select(F.col("page_id").alias("artifact_id"), t.bmp_of(tail).alias("content"))
+    found = F.array_join(F.transform(images.bmp_findings(F.col("content")), lambda f: F.concat_ws(":", f["kind"], f["severity"], f["value"])), ",")
+    clean = images.bmp_cleaned(F.col("content"))
+    return b.select("artifact_id", magic.detect(F.col("content")).alias("format"), found.alias("found"), F.octet_length(clean).alias("clean_bytes"))
+
+
+@query
+def stanza_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers of an order as stanzas; how many of each type, and whether the types ascend as in a strict record."""
+    o = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_suppkey")).alias("s"))
+    got = o.select("l_orderkey", t.stanzas_of(F.col("s")).alias("d"))
+    tags = F.transform(chunks.stanzas(F.col("d"))["chunks"], lambda c: c["tag"])
+    count = lambda tag: F.size(F.filter(tags, lambda x: x == tag))
+    return got.select("l_orderkey", count("01").alias("real"), count("FF").alias("dummies"), chunks.tlv_fields(F.col("d"))["error"].isNull().alias("strict"))
+
+
 def _wavs(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     return c.select(F.col("c_custkey").alias("artifact_id"), t.wav_of(F.col("c_name"), F.col("c_mktsegment")).alias("content"))

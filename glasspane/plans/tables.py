@@ -96,3 +96,33 @@ def messages_of(events: DataFrame) -> DataFrame:
     turn = F.pmod("event_id", F.lit(4))
     signer = F.when(turn == 0, key_of("sig", F.col("user_id"))).when(turn == 1, key_of("old", F.col("user_id"))).when(turn == 2, key_of("other", F.col("user_id")))
     return events.select(F.col("event_id").alias("message_id"), signer.alias("signer"))
+
+
+def jpeg_of(comment: Column, located: Column) -> Column:
+    """A photo with a comment and, where ``located``, an Exif block with a location tag."""
+    segment = lambda marker, data: F.concat(_hex("FF" + marker), F.substr(_be(F.octet_length(data) + 2), F.lit(3), F.lit(2)), data)
+    exif = segment("E1", F.concat(_b("Exif"), _hex("00004D4D002A8825")))
+    parts = [segment("E0", _hex("4A46494600")), F.when(located, exif).otherwise(_hex("")), segment("FE", comment.cast("binary")), segment("DB", _hex("0001")), segment("DA", _hex("0102")), _hex("A1B2C3FFD9")]
+    return F.concat(_hex("FFD8"), *parts)
+
+
+def webp_of(note: Column) -> Column:
+    """A picture with Exif and XMP blocks, announced in its feature byte."""
+    rest = F.concat(_b("WEBP"), riff_chunk("VP8X", _hex("1C000000000000000000")), riff_chunk("VP8 ", _hex("0102")), riff_chunk("EXIF", note.cast("binary")), riff_chunk("XMP ", note.cast("binary")))
+    return F.concat(_b("RIFF"), _le(F.octet_length(rest)), rest)
+
+
+def bmp_of(tail: Column) -> Column:
+    """A picture of four bytes with something behind it."""
+    head = F.concat(_b("BM"), _le(F.lit(58) + F.octet_length(tail)), _hex("00000000"), _le(F.lit(54)))
+    info = F.concat(_le(F.lit(40)), _hex("0100000001000000010018000000000004000000"), _hex("00" * 16))
+    return F.concat(head, info, _hex("01020300"), tail.cast("binary"))
+
+
+def stanzas_of(suppliers: Column) -> Column:
+    """A stanza (type, length, body) for each supplier; every fifth is a dummy."""
+    def stanza(k: Column) -> Column:
+        kind = F.when(F.pmod(k, F.lit(5)) == 0, _hex("FF")).otherwise(_hex("01"))
+        return F.concat(kind, F.substr(_be(F.octet_length(k.cast("string"))), F.lit(3), F.lit(2)), k.cast("string").cast("binary"))
+
+    return F.aggregate(F.transform(suppliers, stanza), _hex(""), lambda a, x: F.concat(a, x))
