@@ -103,27 +103,39 @@ def _document_features(w: tokens.Words, p: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(w.rows), np.log1p(expected), np.log(share + 1e-4) - np.log(1e-4)], axis=1)
 
 
-def _token_labels(w: tokens.Words, feats: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+def _gathered(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text number and features of all words, and all chains, longest first; slice by slice to bound memory."""
+    values, parts, at = tokens.column(pa.array(texts, pa.string())), [], 0
+    for lo, hi in tokens.pieces(values):
+        w = tokens.words(values.slice(lo, hi - lo), tokens.ALNUM)
+        first, size = chains(w)
+        parts.append(((w.row + lo).astype(np.int32), features(w), first + at, size))
+        at += len(w.row)
+    row, feats, first, size = (np.concatenate(x, axis=-1) for x in zip(*parts))
+    order = np.argsort(-size, kind="stable")
+    return row, feats, first[order], size[order]
+
+
+def _token_labels(row: np.ndarray, feats: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """Words of toxic documents with a feature that toxic documents have at least eight times as often."""
     seen = [np.zeros(BUCKETS), np.zeros(BUCKETS)]
     for f in feats:
-        pairs = np.unique(w.row * np.int64(BUCKETS) + f)
-        row, at = pairs // BUCKETS, pairs % BUCKETS
+        pairs = np.unique(row * np.int64(BUCKETS) + f)
+        of, at = pairs // BUCKETS, pairs % BUCKETS
         for label in (0, 1):
-            seen[label] += np.bincount(at[toxic[row] == label], minlength=BUCKETS)
+            seen[label] += np.bincount(at[toxic[of] == label], minlength=BUCKETS)
     rate = [(s + 1) / (np.sum(toxic == label) + 2) for label, s in enumerate(seen)]
     marked = (rate[1] > 8 * rate[0]) & (seen[1] >= 5)
     marked[0] = False
-    return (marked[feats].any(axis=0) & (toxic[w.row] == 1)).astype(float)
+    return (marked[feats].any(axis=0) & (toxic[row] == 1)).astype(float)
 
 
 def fit(texts: list[str], toxic: np.ndarray, share_toxic: float) -> Model:
     """A model from labelled texts; ``share_toxic`` is the share of label 1 among all labelled rows."""
     toxic = np.asarray(toxic)
     test = np.random.default_rng(0).permutation(len(texts)) % 4 == 3  # kept for the calibration
-    w = tokens.words(tokens.column(pa.array([t for t, x in zip(texts, test) if not x], pa.string())), tokens.ALNUM)
-    feats, (first, size) = features(w), chains(w)
-    y = _token_labels(w, feats, toxic[~test])
+    row, feats, first, size = _gathered([t for t, x in zip(texts, test) if not x])
+    y = _token_labels(row, feats, toxic[~test])
     model = Model(np.zeros(BUCKETS, np.float32), -3.0, np.zeros((2, 2)), np.zeros(3))
     ends = first + size - 1
     steps_from = np.ones(len(y), bool)
@@ -136,25 +148,30 @@ def fit(texts: list[str], toxic: np.ndarray, share_toxic: float) -> Model:
         e = model.emissions(feats).astype(float)
         forward, backward = model.passes(e, first, size)
         error = y - _sigmoid(forward + backward)
-        ahead = e[at + 1] + backward[at + 1]
-        pairs = np.stack([i * forward[at] + model.moves[i, j] + j * ahead for i in (0, 1) for j in (0, 1)])
-        pairs = np.exp(pairs - pairs.max(axis=0))
-        expected = (pairs / pairs.sum(axis=0)).sum(axis=1).reshape(2, 2)
+        before, ahead = forward[at].astype(np.float32), (e[at + 1] + backward[at + 1]).astype(np.float32)
+        pairs = np.stack([i * before + np.float32(model.moves[i, j]) + j * ahead for i in (0, 1) for j in (0, 1)])
+        pairs -= pairs.max(axis=0)
+        np.exp(pairs, out=pairs)
+        pairs /= pairs.sum(axis=0)
+        expected = pairs.sum(axis=1, dtype=np.float64).reshape(2, 2)
         steps = [sum(np.bincount(f, weights=error, minlength=BUCKETS) for f in feats) - 0.01 * model.weights, error.sum(), gold - expected]
         steps[0][0] = 0
         scale = [s + g * g for s, g in zip(scale, steps)]
         model.weights += (rate * steps[0] / np.sqrt(scale[0])).astype(np.float32)
         model.bias += rate * steps[1] / np.sqrt(scale[1])
         model.moves += rate * steps[2] / np.sqrt(scale[2])
-    del feats, w
+    del feats, row
     _calibrate(model, [t for t, x in zip(texts, test) if x], toxic[test], share_toxic)
     return model
 
 
 def _calibrate(model: Model, texts: list[str], toxic: np.ndarray, share_toxic: float) -> None:
     """Logistic regression by Newton steps, with classes weighted to their share among all labels."""
-    w = tokens.words(tokens.column(pa.array(texts, pa.string())), tokens.ALNUM)
-    x = _document_features(w, model.marginals(w))
+    values, parts = tokens.column(pa.array(texts, pa.string())), []
+    for lo, hi in tokens.pieces(values):
+        w = tokens.words(values.slice(lo, hi - lo), tokens.ALNUM)
+        parts.append(_document_features(w, model.marginals(w)))
+    x = np.concatenate(parts)
     y = toxic.astype(float)
     of = np.array([np.sum(y == 0), np.sum(y == 1)]).clip(1)
     weight = np.where(y == 1, share_toxic / of[1], (1 - share_toxic) / of[0]) * len(y)
