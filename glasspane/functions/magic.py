@@ -18,6 +18,15 @@ HINTS = (
 )
 
 
+#: Formats whose findings are read; all others are named at most.
+READ = ("PNG", "JPEG", "WebP", "BMP", "WAV", "FLAC", "PDF")
+
+
+def understood(form: Column) -> Column:
+    """Whether a statement about the contents can be made at all."""
+    return F.coalesce(form.isin(*READ), F.lit(False))
+
+
 def at(data: Column, offset: int, magic: str) -> Column:
     """Whether the bytes (in hex) stand at an offset."""
     return F.substr(data, F.lit(offset + 1), F.lit(len(magic) // 2)) == F.unhex(F.lit(magic))

@@ -201,4 +201,8 @@ ORACLES: dict[str, str] = {
     "stanza_scan": """WITH o AS (SELECT l_orderkey, list_sort(list(DISTINCT l_suppkey)) AS s FROM lineitem GROUP BY 1),
         t AS (SELECT l_orderkey, list_transform(s, lambda x: x % 5 = 0) AS f FROM o)
         SELECT l_orderkey, length(list_filter(f, lambda x: NOT x))::INT AS real, length(list_filter(f, lambda x: x))::INT AS dummies, length(f) = 1 OR (length(f) = 2 AND NOT f[1] AND f[2]) AS strict FROM t""",
+    "mixed_file_verdicts": """WITH c AS (SELECT c_custkey % 6 AS n, c_custkey % 18 = 0 AS cut FROM customer),
+        v AS (SELECT (['PNG', 'JPEG', 'WAV', 'BMP', 'Ogg', ''])[(n + 1)::INT] AS format, CASE WHEN cut THEN 'malformed' WHEN n < 4 THEN 'complete' ELSE 'unknown' END AS outcome,
+        CASE WHEN cut THEN -1 ELSE ([1, 2, 2, 0, -1, -1])[(n + 1)::INT] END AS n_findings FROM c)
+        SELECT format, outcome, CASE outcome WHEN 'malformed' THEN 'error' WHEN 'complete' THEN 'confirmed' ELSE 'no statement' END AS verdict, n_findings, count(*) AS files FROM v GROUP BY ALL""",
 }

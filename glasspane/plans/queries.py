@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glasspane.functions import keys, lengths, magic, text, verdicts
-from glasspane.operators import chunks, findings, images, rollups, sessions, trust
+from glasspane.operators import chunks, findings, images, inspect, rollups, sessions, trust
 from glasspane.plans import tables as t
 from glasspane.plans.tables import table
 from glasspane.sources.artifacts import report
@@ -91,7 +91,7 @@ def stanza_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 def format_verdict_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = F.col("text").cast("binary")
     d = _docs(spark, sf_dir).select("source", magic.detect(data).alias("format"), magic.hint(data).alias("hint"))
-    verdict = verdicts.received(F.col("format").isNotNull(), F.lit(0), F.lit(True))
+    verdict = verdicts.received(magic.understood(F.col("format")), F.lit(0), F.lit(True))
     return d.groupBy("source", F.coalesce("format", F.lit("")).alias("format"), F.coalesce("hint", F.lit("")).alias("hint"), verdict.alias("verdict")).agg(F.count("*").alias("files"))
 
 
@@ -99,7 +99,7 @@ def format_verdict_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def format_verdict_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = F.col("html").cast("binary")
     p = table(spark, sf_dir, "pages").select(magic.detect(data).alias("format"))
-    verdict = verdicts.received(F.col("format").isNotNull(), F.lit(0), F.lit(True))
+    verdict = verdicts.received(magic.understood(F.col("format")), F.lit(0), F.lit(True))
     return p.groupBy(F.coalesce("format", F.lit("")).alias("format"), verdict.alias("verdict")).agg(F.count("*").alias("files"))
 
 
@@ -193,6 +193,25 @@ def stanza_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("l_orderkey", count("01").alias("real"), count("FF").alias("dummies"), chunks.tlv_fields(F.col("d"))["error"].isNull().alias("strict"))
 
 
+@query
+def mixed_file_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V1, V2, A3: customers as files of six kinds, some cut short; what they say and what cleaning gives."""
+    n = F.pmod("c_custkey", F.lit(6))
+    c = table(spark, sf_dir, "customer")
+    content = (
+        F.when(n == 0, t.png_of(F.col("c_name"), F.col("c_name"), F.lit(False)))
+        .when(n == 1, t.jpeg_of(F.col("c_name"), F.lit(False)))
+        .when(n == 2, t.wav_of(F.col("c_name"), F.lit("x")))
+        .when(n == 3, t.bmp_of(F.lit("")))
+        .when(n == 4, F.concat(F.lit("OggS").cast("binary"), F.col("c_name").cast("binary")))
+        .otherwise(F.col("c_name").cast("binary"))
+    )
+    short = F.when((n == 0) & (F.pmod("c_custkey", F.lit(18)) == 0), F.substr(content, F.lit(1), F.lit(50))).otherwise(content)
+    files = c.select(short.alias("content"))
+    got = inspect.cleaned(files).select(F.coalesce("format", F.lit("")).alias("format"), "outcome", "verdict", F.coalesce(F.size("findings"), F.lit(-1)).alias("n_findings"))
+    return got.groupBy("format", "outcome", "verdict", "n_findings").agg(F.count("*").alias("files"))
+
+
 def _wavs(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     return c.select(F.col("c_custkey").alias("artifact_id"), t.wav_of(F.col("c_name"), F.col("c_mktsegment")).alias("content"))

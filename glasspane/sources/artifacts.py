@@ -29,7 +29,7 @@ def stream(spark: SparkSession, path: str, most: int = MOST) -> DataFrame:
 def detected(files: DataFrame) -> DataFrame:
     """Adds format, hint and whether the format is understood."""
     f = magic.detect(F.col("content"))
-    return files.withColumns({"format": f, "hint": magic.hint(F.col("content")), "understood": f.isNotNull()})
+    return files.withColumns({"format": f, "hint": magic.hint(F.col("content")), "understood": magic.understood(f)})
 
 
 def report(rows: DataFrame, record: str) -> DataFrame:
