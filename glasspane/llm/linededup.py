@@ -23,6 +23,8 @@ from pyspark.sql import Window as W
 from glasspane.llm.rows import Scratch
 
 MIN_WORDS = 50
+#: Cut lines and documents up to which the cuts are sent to all tasks (some 8 MB); more are joined by a shuffle.
+SENT_LINES, SENT_DOCUMENTS = 1_000_000, 100_000
 
 
 def _lines(text: Column) -> Column:
@@ -114,6 +116,9 @@ def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", mi
     an empty table gives an empty one.
     """
     cuts = repeated_lines(docs, text, doc_id, min_words).select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), F.col("cut").alias("_cut"))
+    size = cuts.agg(F.count("*").alias("n"), F.sum(F.size("_cut")).alias("lines")).first()
+    if size["n"] <= SENT_DOCUMENTS and (size["lines"] or 0) <= SENT_LINES:
+        cuts = F.broadcast(cuts)
     mine = docs.drop("n_cut").withColumn("_text_version", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     joined = mine.join(cuts, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_text_version") == F.col("_version")), "left")
     rest = F.filter(_lines(F.col(text)), lambda x, i: ~F.array_contains("_cut", i))
