@@ -157,7 +157,8 @@ def _postings(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
                 at = order[at]
                 yield pa.RecordBatch.from_arrays([pa.array(_signed(key[at])), pa.array(sids[new][which]), pa.array(r[at] >= hot_from)], names=["shingle", "sid", "hot"])
 
-    def shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def shared(batches: Iterable[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
+        """Distinct rows; where all rows of a shingle are here (``whole``), only of shingles that more than one set has."""
         got = [b for b in batches if b.num_rows]
         if not got:
             return
@@ -168,7 +169,7 @@ def _postings(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
         fresh = np.append(True, ~(same & (sid[1:] == sid[:-1])))  # copies in several tasks
         shingle, sid = shingle[fresh], sid[fresh]
         same = shingle[1:] == shingle[:-1]
-        keep = np.append(same, False) | np.append(False, same)
+        keep = np.append(same, False) | np.append(False, same) if whole else np.ones(len(shingle), bool)
         for lo in range(0, int(keep.sum()), 100_000):
             part = slice(lo, lo + 100_000)
             yield pa.RecordBatch.from_arrays([pa.array(shingle[keep][part]), pa.array(sid[keep][part])], names=["shingle", "sid"])
@@ -178,14 +179,13 @@ def _postings(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
     place = F.when(F.col("hot"), F.col("sid")).otherwise(F.col("shingle"))
 
     def one_pass(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cold = []
+        cold, warm = [], []
         for b in batches:
             hot = b.column(2)
-            warm = b.filter(hot)
-            if warm.num_rows:
-                yield warm.select(["shingle", "sid"])
+            warm.append(b.filter(hot))
             cold.append(b.filter(pc.invert(hot)))
-        yield from shared(cold)
+        yield from shared(warm, False)
+        yield from shared(cold, True)
 
     return all_of.repartition(place).mapInArrow(one_pass, "shingle long, sid long")
 

@@ -83,6 +83,23 @@ def test_similar_awkward_rows(spark, awkward):
     assert jaccard.similar(rows_of(spark, awkward).limit(0)).count() == 0
 
 
+def test_similar_with_copies_of_hot_shingles_in_several_tasks(spark, monkeypatch):
+    import numpy as np
+
+    frequencies = jaccard._histogram
+    monkeypatch.setattr(jaccard, "_histogram", lambda parts: np.minimum(20 * frequencies(parts).astype(int), 255).astype(np.uint8))
+    variants = []
+    for p in range(120):  # 48 of 64 shingles in common; some pairs have too few equal minimum hashes to be linked by stars
+        w = [f"p{p}x{i}" for i in range(60)]
+        variants += [" ".join(w), " ".join(w[:52] + [f"p{p}y{i}" for i in range(8)])]
+    rows = [(i, t) for i, t in enumerate(variants * 4)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 4), "doc_id long, text string")
+    postings = jaccard._postings(docs, jaccard._histogram(jaccard._sketch(docs).where("kind = 1")))
+    assert postings.count() == postings.distinct().count() > 0
+    got = {r.doc_id: r.component_id for r in jaccard.similar(docs).collect()}
+    assert got == {i: i % 240 - i % 2 for i in range(960)}
+
+
 def test_wide_bitmaps_bound_the_overlap(words):
     import numpy as np
 
