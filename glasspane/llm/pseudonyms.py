@@ -177,6 +177,8 @@ KINDS = (
     Kind("card", re.compile(r"\d{13,19}|\d{4}(?: \d{4}){2,3}(?: \d{1,4})?|\d{4}(?:-\d{4}){2,3}(?:-\d{1,4})?|\d{4} \d{6} \d{5}|\d{4}-\d{6}-\d{5}"), _card),
     Kind("phone", re.compile(r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ ./-]?\d{2,4}){1,4}|\(\d{2,5}\)[ .-]?\d{3,4}[ .-]?\d{3,5}|\d{3}[.-]\d{3}[.-]\d{4}"), _phone),
 )
+#: Lengths by country, where a group behind the IBAN could be read as its end.
+IBAN_LENGTHS = dict(AD=24, AT=20, BE=16, BG=22, CH=21, CY=28, CZ=24, DE=22, DK=18, EE=20, ES=24, FI=18, FR=27, GB=22, GI=23, GR=27, HR=21, HU=28, IE=22, IS=26, IT=27, LI=21, LT=20, LU=20, LV=21, MC=27, MT=31, NL=18, NO=15, PL=28, PT=25, RO=24, SE=24, SI=19, SK=24, SM=27)
 _CANDIDATE = re.compile(r"[A-Z]{2}\d\d[A-Z0-9 ]{9,40}|[+(]?\d[\d ().\-/]*\d")
 _MAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 
@@ -224,15 +226,37 @@ class Pseudonymizer:
                 j = i + 1
             i = j
 
+    def _iban_at(self, text: str, start: int, end: int) -> tuple[int, int, str, str] | None:
+        """The IBAN that begins here: of its country's length, else the longest that validates; it ends with a word."""
+        if start and (text[start - 1].isalnum() or text[start - 1] == "_"):
+            return None
+        ends = [b for b in range(end, start, -1) if text[b - 1] != " " and (b == len(text) or not (text[b].isalnum() or text[b] == "_"))]
+        usual = IBAN_LENGTHS.get(text[start : start + 2])
+        for b in sorted(ends, key=lambda b: len(text[start:b].replace(" ", "")) != usual):
+            got = self.value(text[start:b])
+            if got:
+                return start, b, *got
+        return None
+
+    def _in_part(self, text: str, at: int, end: int, out: list) -> None:
+        """Values of a part without e-mail addresses; the search goes on right behind an IBAN, or inside what is none."""
+        while m := _CANDIDATE.search(text, at, end):
+            at = m.end()
+            if m[0][0].isalpha():
+                got = self._iban_at(text, m.start(), m.end())
+                if got:
+                    out.append(got)
+                at = got[1] if got else m.start() + 2  # at the two digits
+            elif at - m.start() >= 7:
+                self._in_run(text, m.start(), at, out)
+
     def spans(self, text: str) -> list[tuple[int, int, str, str]]:
         """Start, end, kind and pseudonym of each value, in order."""
         out: list[tuple[int, int, str, str]] = []
         mails = [m.span() for m in _MAIL.finditer(text)] if "@" in text else []
         at = 0
         for a, b in [*mails, (len(text), len(text))]:
-            for m in _CANDIDATE.finditer(text, at, a):
-                if m.end() - m.start() >= 7:
-                    self._in_run(text, m.start(), m.end(), out)
+            self._in_part(text, at, a, out)
             if b > a:
                 got = self.value(text[a:b])
                 if got:

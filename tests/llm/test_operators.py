@@ -324,3 +324,17 @@ def test_pseudonyms_keep_formats(spark, awkward):
     assert shape(one) == shape(text)
     assert one != text and pseudonyms.Pseudonymizer(b"key", back=True).text(one)[0] == text
     assert got[3].text == texts[2][1]
+
+
+def test_pseudonyms_of_values_beside_an_iban():
+    p, back = pseudonyms.Pseudonymizer(b"key"), pseudonyms.Pseudonymizer(b"key", back=True)
+    others = {"card": "4111 1111 1111 1111", "date": "2021-02-28", "ssn": "123-45-6789", "ip": "97.51.17.173", "phone": "+1 (017) 555-7713", "iban": "GB82 WEST 1234 5698 7654 32"}
+    ibans = ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "BE68 5390 0754 7034", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"]
+    codes = ["AB12 CDEF GHIJ KLMN OPQR", "AB12 CDEF GHIJ KLMN OPQR STUV WXYZ ABCD EFG", "XY12 3456 ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
+    for before, kinds in [(i, ["iban"]) for i in ibans] + [(c, []) for c in codes]:
+        for kind, other in others.items():
+            for between in (" ", "  ", " / ", "/", ", ", " EUR "):
+                text = f"{before}{between}{other} {other}."
+                new, found = p.text(text)
+                assert [f[2] for f in found] == [*kinds, kind, kind] and other not in new, text
+                assert back.text(new)[0] == text
