@@ -4,9 +4,8 @@ Sparse one-against-rest logistic regression over word 1- and 2-grams identifies
 licence families. Examples are notices of each family, whole and in part, and a
 bounded sample of the corpus's own paragraphs (those of the least hash); their features come from
 DataFrame functions, the proximal-gradient fit of some thousand short rows runs
-in the driver. The logit of the class "unknown" is calibrated on sampled
-paragraphs that took no part in the fit, and a prediction is confirmed by the
-share of a notice's 2-grams that the paragraph has.
+in the driver. The logit of the class "unknown" comes from the notices alone, and
+a prediction is confirmed by the share of a notice's 2-grams that the paragraph has.
 """
 
 from __future__ import annotations
@@ -45,7 +44,7 @@ NOTICES = (
 )
 FAMILIES = tuple(dict.fromkeys(f for f, _ in NOTICES))
 BUCKETS = 1 << 16
-#: Paragraphs of the corpus taken as examples of no licence; half train, half calibrate.
+#: Paragraphs of the corpus taken as examples of no licence.
 SAMPLE = 4000
 STEPS = 400
 SPARSITY = 0.001
@@ -147,7 +146,7 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     other = sample.where(F.coalesce(_notice_likeness(F.col("w")), F.lit(0.0)) < CONFIRMED)
     shown = _examples(_notices(spark)).select("family", F.array_distinct(grams(F.col("w"))).alias("f")).collect()
     buckets = sorted({f for r in shown for f in r["f"]})  # a fixed number, from the notices
-    rest = other.select(F.pmod("h", F.lit(2)).alias("half"), F.array_distinct(_among(grams(F.col("w")), buckets)).alias("f")).collect()
+    rest = other.select(F.array_distinct(_among(grams(F.col("w")), buckets)).alias("f")).collect()
     place = {f: i for i, f in enumerate(buckets)}
 
     def matrix(rows: list) -> np.ndarray:
@@ -156,11 +155,10 @@ def train(docs: DataFrame, text: str = "text") -> Model:
             x[i, [place[f] for f in r["f"]]] = 1
         return x
 
-    fitted = [r for r in rest if r["half"] == 0]
-    x = matrix([*shown, *fitted])
-    family = np.array([r["family"] for r in shown] + [-1] * len(fitted))
+    x = matrix([*shown, *rest])
+    family = np.array([r["family"] for r in shown] + [-1] * len(rest))
     y = (family[:, None] == np.arange(k)).astype(np.float32)
-    weight = np.where(family < 0, 0.5 / max(1, len(fitted)), 0.5 / len(shown))[:, None]
+    weight = np.where(family < 0, 0.5 / max(1, len(rest)), 0.5 / len(shown))[:, None]
     w, bias, rate = np.zeros((len(buckets), k)), np.full(k, -2.0), 2.0
     for _ in range(STEPS):
         error = weight * (1 / (1 + np.exp(-(x @ w + bias))) - y)
@@ -169,10 +167,9 @@ def train(docs: DataFrame, text: str = "text") -> Model:
         w = np.sign(w) * np.maximum(0, np.abs(w) - rate * SPARSITY / k)
     used = np.flatnonzero(np.abs(w).max(axis=1) > 0)
     model = Model([buckets[i] for i in used], w[used].tolist(), bias.tolist())
-    held = matrix([r for r in rest if r["half"] == 1])
-    clear = (x[: len(shown)] @ w + bias)[np.arange(len(shown)), family[: len(shown)]]
-    noise = np.quantile((held @ w + bias).max(axis=1), 0.999) if len(held) else bias.max()
-    model.unknown = float((noise + clear.min()) / 2) if noise < clear.min() else float(noise)
+    clear = (x[: len(shown)] @ w + bias)[np.arange(len(shown)), family[: len(shown)]].min()
+    # sampled paragraphs have no label and may hold reworded notices: between no word at all and the least clear notice
+    model.unknown = float((min(bias.max(), clear - 1e-6) + clear) / 2)
     return model
 
 

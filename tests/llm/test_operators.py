@@ -304,6 +304,18 @@ def test_licence_scan(spark, words, awkward):
     assert {(r.doc_id, r.paragraph, r.family) for r in got} == {(500 + i, 1, f) for i, (f, _) in enumerate(licences.NOTICES)}
 
 
+def test_licence_scan_beside_reworded_notices(spark, words):
+    rnd = random.Random(11)
+    lines = [" ".join(rnd.choice(words) for _ in range(12)) for _ in range(400)]
+    for family in licences.FAMILIES:  # the words of a family's notices in other orders: unlike the notices by their 2-grams
+        own = " ".join(t for f, t in licences.NOTICES if f == family).split()
+        lines += [" ".join([*own[::-1], w]) for w in rnd.sample(words, 4)]
+    texts = [*enumerate(lines), *((1000 + i, t) for i, (_, t) in enumerate(licences.NOTICES))]
+    docs = rows_of(spark, texts)
+    got = {(r.doc_id, r.family) for r in licences.scan(docs, licences.train(docs)).collect() if r.confirmed}
+    assert {(1000 + i, f) for i, (f, _) in enumerate(licences.NOTICES)} <= got
+
+
 def test_permutation_is_one_and_turns_back():
     for size in (2, 3, 10, 97, 1000):
         moved = [pseudonyms.permute(i, size, b"k", "x") for i in range(size)]
