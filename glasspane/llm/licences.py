@@ -120,19 +120,32 @@ def paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
     return lines.where(F.rlike("content", F.lit("[A-Za-z0-9]")))
 
 
-def _notice_likeness(w: Column, family: Column | None = None) -> Column:
-    """Largest share of a notice's 2-grams that the words have (of the notices of one family, or of all)."""
+def _notice_pairs() -> list[dict]:
     table: list[dict] = []
     for i, (f, t) in enumerate(NOTICES):
         got = [x for x in "".join(c if c.isascii() and c.isalnum() else " " for c in t.lower()).split()]
         table.append({"family": FAMILIES.index(f), "pairs": sorted({f"{a} {b}" for a, b in zip(got, got[1:])})})
-    notices = _constant(table, "array<struct<family:int,pairs:array<string>>>")
+    return table
+
+
+def _notice_likeness(w: Column, family: Column | None = None) -> Column:
+    """Largest share of a notice's 2-grams that the words have (of the notices of one family, or of all)."""
+    notices = _constant(_notice_pairs(), "array<struct<family:int,pairs:array<string>>>")
     if family is not None:
         notices = F.filter(notices, lambda x: x["family"] == family)
     pairs = _pairs(w)
     return F.array_max(F.transform(notices, lambda x: F.size(F.array_intersect(x["pairs"], pairs)) / F.size(x["pairs"])))
 
 
+def _like_any(rows: DataFrame, w: Column) -> DataFrame:
+    """The rows whose words have enough 2-grams of some notice, in any order; no part of the words has more."""
+    known = _constant(sorted({p for n in _notice_pairs() for p in n["pairs"]}), "array<string>")
+    rows = rows.withColumn("near", F.array_intersect(known, _pairs(w))).where(F.size("near") > 0)
+    notices = _constant(_notice_pairs(), "array<struct<family:int,pairs:array<string>>>")
+    enough = lambda x: F.size(F.array_intersect(x["pairs"], F.col("near"))) / F.size(x["pairs"]) >= CONFIRMED
+    return rows.where(F.exists(notices, enough)).drop("near")
+
+
 def train(docs: DataFrame, text: str = "text") -> Model:
     """Fits the classifier; the corpus gives at most ``SAMPLE`` paragraphs, those of the least hash."""
     spark, k = docs.sparkSession, len(FAMILIES)
@@ -173,17 +186,57 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     return model
 
 
+def _classified(rows: DataFrame, model: Model) -> DataFrame:
+    """``i`` (family's number), ``probability`` and ``likeness`` of the words ``w`` of every row that is no "unknown"."""
+    kept = rows.columns
+    z = rows.withColumn("z", model.logits(F.array_distinct(grams(F.col("w"))))).withColumn("top", F.array_max("z")).where(F.col("top") > model.unknown)
+    others = F.aggregate("z", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
+    sure = 1 / (others + F.exp(F.lit(model.unknown) - F.col("top")))
+    got = z.select(*kept, (F.array_position("z", F.col("top")) - 1).cast("int").alias("i"), sure.alias("probability"))
+    return got.withColumn("likeness", _notice_likeness(F.col("w"), F.col("i")))
+
+
+def _wrapped(docs: DataFrame, model: Model) -> DataFrame:
+    """Notices that run over lines of one paragraph: the least runs of lines that confirm a family, none within another.
+
+    Lines without words part paragraphs. A run ends where the lines between its
+    first and its last have twice the words of the longest notice.
+    """
+    room = 2 * max(len(t.split()) for _, t in NOTICES)
+    lines = F.transform(F.split("text", "\n", -1), words)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", lines.alias("lines"))
+    rows = _like_any(rows.where(F.size("lines") > 1), F.flatten("lines"))
+    rows = rows.select("row", "doc_id", "lines", F.posexplode("lines").alias("paragraph", "w")).where(F.size("w") > 0)
+    begun = F.struct(F.lit(0).alias("n"), F.lit(0).alias("words"), F.lit(False).alias("over"))
+
+    def longer(a: Column, line: Column) -> Column:
+        over = a["over"] | (F.size(line) == 0) | (a["words"] >= room)
+        return F.struct((a["n"] + F.when(over, 0).otherwise(1)).alias("n"), (a["words"] + F.size(line)).alias("words"), over.alias("over"))
+
+    after = F.aggregate(F.slice("lines", F.col("paragraph") + 2, F.lit(room + 1)), begun, longer)["n"]
+    rows = rows.withColumn("n", after).where("n > 0").withColumn("lines", F.slice("lines", F.col("paragraph") + 1, F.col("n") + 1))
+    rows = _like_any(rows, F.flatten("lines"))
+    rows = rows.select("row", "doc_id", "paragraph", "lines", F.explode(F.sequence(F.lit(2), F.col("n") + 1)).alias("k"))
+    rows = _like_any(rows.withColumn("w", F.flatten(F.slice("lines", F.lit(1), F.col("k")))), F.col("w"))
+    got = _classified(rows, model).where(F.col("likeness") >= CONFIRMED)
+    for inner in (F.slice("lines", F.lit(2), F.col("k") - 1), F.slice("lines", F.lit(1), F.col("k") - 1)):
+        got = got.where(_notice_likeness(F.flatten(inner), F.col("i")) < CONFIRMED)
+    # one notice may have several least runs: from the top, those that meet no earlier one
+    run = F.struct("paragraph", (F.col("paragraph") + F.col("k")).alias("end"), "probability", "likeness")
+    found = got.groupBy("row", "doc_id", "i").agg(F.array_sort(F.collect_list(run)).alias("runs"))
+    apart = lambda a, x: F.when((F.size(a) > 0) & (F.get(a, F.size(a) - 1)["end"] > x["paragraph"]), a).otherwise(F.concat(a, F.array(x)))
+    found = found.select("doc_id", "i", F.explode(F.aggregate("runs", F.slice("runs", 1, 0), apart)).alias("r"))
+    return found.select("doc_id", "r.paragraph", "i", "r.probability", "r.likeness")
+
+
 def scan(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``doc_id, paragraph, family, probability, likeness, confirmed`` of every paragraph that is no "unknown".
+    """``doc_id, paragraph, family, probability, likeness, confirmed`` of every line that is no "unknown", and of confirmed notices over several lines.
 
-    Paragraphs are lines, numbered from 0. Null and empty texts have none;
-    repeated rows give their findings each; other columns do not matter.
+    ``paragraph`` is the number, from 0, of the line or of the first of the lines;
+    parts of a notice may have unconfirmed rows beside it. Null and empty texts
+    have none; repeated rows give their findings each; other columns do not matter.
     """
-    lines = paragraphs(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
-    w = lines.select("doc_id", "paragraph", words(F.col("content")).alias("w"))
-    z = w.withColumn("z", model.logits(F.array_distinct(grams(F.col("w"))))).withColumn("top", F.array_max("z")).where(F.col("top") > model.unknown)
-    others = F.aggregate("z", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
-    sure = 1 / (others + F.exp(F.lit(model.unknown) - F.col("top")))
-    got = z.select("doc_id", "paragraph", "w", (F.array_position("z", F.col("top")) - 1).cast("int").alias("i"), sure.alias("probability"))
-    got = got.withColumn("likeness", _notice_likeness(F.col("w"), F.col("i")))
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    lines = paragraphs(docs).select("doc_id", "paragraph", words(F.col("content")).alias("w"))
+    got = _classified(lines, model).drop("w").unionByName(_wrapped(docs, model))
     return got.select("doc_id", "paragraph", F.get(F.lit(list(FAMILIES)), F.col("i")).alias("family"), "probability", "likeness", (F.col("likeness") >= CONFIRMED).alias("confirmed"))

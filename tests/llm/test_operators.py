@@ -316,6 +316,20 @@ def test_licence_scan_beside_reworded_notices(spark, words):
     assert {(1000 + i, f) for i, (f, _) in enumerate(licences.NOTICES)} <= got
 
 
+def test_licence_scan_of_wrapped_notices(spark, words):
+    rnd = random.Random(12)
+    some = lambda: " ".join(rnd.choice(words) for _ in range(9))
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:"
+    mit = "Permission is hereby granted, free of charge, to any person obtaining\na copy of this software and associated\ndocumentation files (the Software), to deal"
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or"
+    starred = lambda t: "/*\n * " + t.replace("\n", "\n * ") + "\n */"
+    short = "Released under the MIT License."
+    texts = [(1, bsd), (2, f"{some()}\n{some()}\n\n{mit}\n{some()}"), (3, starred(gpl)), (4, f"{some()}\n{bsd}\n{bsd}\n{some()}"), (5, bsd.replace("\n", "\n\n")), (6, f"{some()}\n{short}\n{some()}"), (7, f"{short}\n{bsd}"), (7, bsd)]
+    docs = rows_of(spark, texts + [(100 + i, "\n".join(some() for _ in range(3))) for i in range(200)])
+    got = sorted((r.doc_id, r.paragraph, r.family) for r in licences.scan(docs, licences.train(docs)).collect() if r.confirmed)
+    assert got == [(1, 0, "bsd"), (2, 3, "mit"), (3, 1, "gpl-3.0"), (4, 1, "bsd"), (4, 3, "bsd"), (6, 1, "mit"), (7, 0, "bsd"), (7, 0, "mit"), (7, 1, "bsd")]
+
+
 def test_permutation_is_one_and_turns_back():
     for size in (2, 3, 10, 97, 1000):
         moved = [pseudonyms.permute(i, size, b"k", "x") for i in range(size)]
