@@ -27,6 +27,9 @@ BINS = 1 << BIN_BITS
 BITS = 4
 
 
+_OF_BIN = tokens.mix(np.arange(1, BINS + 1, dtype=np.uint64))
+
+
 def _filled(first: np.ndarray, have: np.ndarray) -> np.ndarray:
     """Optimal densification of ``first`` (rows x bins), where ``have`` says which bins have a value."""
     sizes = have.sum(axis=1)
@@ -56,14 +59,16 @@ def sketch(texts: pa.Array) -> list[np.ndarray | None]:
         place = (row << BIN_BITS) | (key >> np.uint64(tokens.KEY_BITS - BIN_BITS)).astype(np.int64)
         new = np.concatenate([[True], place[1:] != place[:-1]])  # keys ascend, so the first is the least
         rows, inverse = np.unique(row[new], return_inverse=True)
-        value = (tokens.mix(key[new]) & np.uint64((1 << BITS) - 1)).astype(np.uint8)
+        value = key[new]
         for part in range(0, len(rows), 512):  # bounds the dense matrix
             mine = (inverse >= part) & (inverse < part + 512)
             n = min(512, len(rows) - part)
-            first, have = np.zeros((n, BINS), np.uint8), np.zeros((n, BINS), bool)
+            first, have = np.zeros((n, BINS), np.uint64), np.zeros((n, BINS), bool)
             at = (inverse[mine] - part, place[new][mine] & (BINS - 1))
             first[at], have[at] = value[mine], True
-            for r, s in zip(rows[part : part + n], _filled(first, have)):
+            # the bin takes part, so that one key in many bins agrees with another in few of them by chance
+            low = (tokens.mix(_filled(first, have) ^ _OF_BIN) & np.uint64((1 << BITS) - 1)).astype(np.uint8)
+            for r, s in zip(rows[part : part + n], low):
                 out[lo + r] = s
     return out
 

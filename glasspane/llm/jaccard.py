@@ -1,55 +1,59 @@
 """Similarity join of documents on word shingles with signature trees.
 
 Sets are the distinct five-word shingles; two documents link when
-100 * |A & B| >= 75 * |A | B|. Equal sets are one set from the start.
+100 * |A & B| >= 75 * |A | B|. Equal sets are one set from the start, named by a
+64-bit digest.
 
-1. A star on each of a few minimum hashes links most near copies at once.
-2. Shingles are put in one global order, rare ones first (frequencies from a
+1. Shingles are put in one global order, rare ones first (frequencies from a
    hashed histogram over all documents). Two sets that link share a shingle
    among the first n - ceil(0.75 n) + 1 of each, so the sets that have a
-   shingle there form a forest: one signature tree for each such shingle.
-3. The nodes of a tree hold OR-combined bitmaps, size ranges and, for the
+   shingle there make one signature tree for each such shingle. Of trees with
+   the same sets one stays.
+2. The nodes of a tree hold OR-combined bitmaps, size ranges and, for the
    collisions inside the bitmaps, the largest number of lost bits. A dual
    traversal drops pairs of nodes whose largest possible overlap is too small
-   or which lie in one component already. What is left is checked exactly.
-
-Trees over many sets are cut into blocks and pairs of blocks are traversed
-apart; of trees with the same sets one is kept. A traversal gives at most ``k``
-partners to a set in another component; trees where some were left out are
-traversed again after the components have been joined, with a larger ``k``, so no
-link between components is lost. The first round takes a share of the trees.
+   or which lie in one component already.
+3. What is left is checked exactly. A traversal gives each set at most ``k``
+   partners, those of the least names, so near copies meet at few centres; trees
+   where partners were left out are traversed again, with a larger ``k``, after
+   the components have been joined, until none is left out: no link between
+   components is lost.
+
+A tree of more than ``BLOCK`` sets is cut into blocks. The first rounds look
+inside blocks only and join most of a large group; then all pairs of blocks are
+traversed but those inside one component and those whose sizes cannot link.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glasspane.llm import tokens
 from glasspane.llm.components import components
-from glasspane.llm.rows import Scratch
+from glasspane.llm.rows import Scratch, discard, small_batches
 
 WORDS = 5
-SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89)
-#: Bits of the nodes' bitmaps; a set's own bitmap is wider where it has more than half as many shingles.
-SIGNATURE_BITS = 2048
+SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344)
+#: Least and largest number of bits of a set's bitmap; nodes have the least.
+SIGNATURE_BITS, MOST_BITS = 2048, 1 << 16
 #: Histogram of shingle frequencies: buckets, and buckets in one row of it.
 BUCKETS = 1 << 22
 SLICE = 1 << 14
+#: A shingle in a bucket of so many times the median, and at least so many rows, is dealt by set too, to so many places.
+HOT_TIMES, HOT_LEAST, HOT_PLACES = 64, 256, 64
 #: Sets in a leaf, children of a node, sets of a block of a large tree.
-LEAF, FANOUT, BLOCK = 32, 8, 2048
-#: The first round takes the trees of one shingle in so many, to join large groups cheaply.
-SHARE = 16
-#: Ids that are broadcast to select documents; beyond it they are joined.
-SENT_IDS = 2_000_000
-#: Sets in a block of the exact check.
-CHECKED = 256
+LEAF, FANOUT, BLOCK = 8, 4, 1024
+#: Rounds that look inside the blocks of large trees only, and what ``k`` grows by.
+INSIDE, GROWTH = 3, 8
+#: Bits of the filter by which documents are chosen for the exact check: of a fixed size, whatever the corpus.
+CHOSEN = 67_108_859
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -57,21 +61,21 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _sets(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For slices of rows: range, shingle rows and keys, and of the rows with words: number, first key, two digests."""
+    """For slices of rows: range, shingle rows and keys, and of the rows with words: number, first key, name."""
     for lo, hi in tokens.pieces(texts):
         row, key = tokens.shingles(tokens.words(texts.slice(lo, hi - lo), tokens.NOT_SPACE), WORDS)
         rows, first = np.unique(row, return_index=True)
-        digests = [np.add.reduceat(tokens.mix(key ^ np.uint64(s)), first) if len(first) else key for s in SEEDS[:2]]
+        digest = np.add.reduceat(tokens.mix(key ^ np.uint64(SEEDS[0])), first) if len(first) else key
         size = np.diff(np.append(first, len(row))).astype(np.uint64)
-        yield lo, hi, row, key, rows, first, np.stack([tokens.mix(digests[0] + size), digests[1]])
+        yield lo, hi, row, key, rows, first, _signed(tokens.mix(digest + size))
 
 
 def _signatures(key: np.ndarray, first: np.ndarray) -> list[bytes]:
-    """Bitmap of each set: bit h mod width, the width a power of two of at least twice the set's size."""
+    """Bitmap of each set: bit h mod width, the width a power of two of at least twice the set's size, within bounds."""
     out = []
     for lo, hi in zip(first, np.append(first[1:], len(key))):
         width = SIGNATURE_BITS
-        while width < 2 * (hi - lo):
+        while width < min(2 * (hi - lo), MOST_BITS):
             width *= 2
         bits = np.zeros(width, bool)
         bits[(key[lo:hi] >> np.uint64(20)).astype(np.int64) % width] = True
@@ -87,33 +91,32 @@ def _folded(blob: bytes, width: int) -> np.ndarray:
 
 def _sketch(docs: DataFrame) -> DataFrame:
     """One row for each document (kind 0) and, from each task, its part of the histogram (kind 1)."""
-    schema = "kind int, doc_id long, n long, sid long, check long, m0 long, m1 long, m2 long, m3 long, bits binary"
+    schema = "kind int, doc_id long, n long, sid long, least long, bits binary"
+    names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.uint32)
         for batch in batches:
-            for lo, hi, row, key, rows, first, digest in _sets(tokens.column(batch.column(1))):
+            for lo, hi, row, key, rows, first, sid in _sets(tokens.column(batch.column(1))):
                 n = hi - lo
                 np.add.at(counts, (key & np.uint64(BUCKETS - 1)).astype(np.int64), np.uint32(1))
                 size = np.bincount(row, minlength=n)
-                signatures = _signatures(key, first)
-                wide = np.full((7, n), 0, np.uint64)
-                wide[:2, rows] = digest
-                for i, s in enumerate(SEEDS):
-                    wide[2 + i, rows] = np.minimum.reduceat(tokens.mix(key + np.uint64(s)), first) if len(first) else 0
+                wide = np.zeros((2, n), np.int64)
+                wide[0, rows] = sid
+                wide[1, rows] = _signed(np.minimum.reduceat(tokens.mix(key + np.uint64(SEEDS[1])), first)) if len(first) else 0
                 blobs: list = [None] * n
-                for r, b in zip(rows.tolist(), signatures):
+                for r, b in zip(rows.tolist(), _signatures(key, first)):
                     blobs[r] = b
                 none = size == 0
                 columns = [pa.array(np.zeros(n, np.int32)), batch.column(0).slice(lo, n), pa.array(size.astype(np.int64))]
-                columns += [pa.array(_signed(wide[i]), mask=none) for i in range(6)]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array(blobs, pa.binary())], names=[f.split()[0] for f in schema.split(", ")])
+                columns += [pa.array(w, mask=none) for w in wide]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(blobs, pa.binary())], names=names)
         parts = counts.reshape(-1, SLICE)
         used = np.flatnonzero(parts.any(axis=1))
-        blobs = [zlib.compress(parts[i].tobytes(), 1) for i in used]
-        nothing = pa.nulls(len(used), pa.int64())
-        columns = [pa.array(np.ones(len(used), np.int32)), nothing, pa.array(used.astype(np.int64)), *[nothing] * 6]
-        yield pa.RecordBatch.from_arrays(columns + [pa.array(blobs, pa.binary())], names=[f.split()[0] for f in schema.split(", ")])
+        for i in used:
+            nothing = pa.nulls(1, pa.int64())
+            columns = [pa.array([1], pa.int32()), nothing, pa.array([i], pa.int64()), nothing, nothing]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array([zlib.compress(parts[i].tobytes(), 1)], pa.binary())], names=names)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
@@ -124,10 +127,11 @@ def _histogram(parts: DataFrame) -> np.ndarray:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
-            for i, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held[i] = held.get(i, 0) + np.frombuffer(zlib.decompress(blob), np.uint32).astype(np.uint64)
-        blobs = [np.minimum(4 * np.log2(1.0 + c), 255).astype(np.uint8).tobytes() for c in held.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(blobs, pa.binary())], names=["slice", "ranks"])
+            for i, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                held[i] = held.get(i, 0) + np.frombuffer(zlib.decompress(blob.as_py()), np.uint32).astype(np.uint64)
+        for i, c in held.items():
+            blob = np.minimum(4 * np.log2(1.0 + c), 255).astype(np.uint8).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([blob], pa.binary())], names=["slice", "ranks"])
 
     got = parts.select(F.col("n").alias("slice"), "bits").repartition("slice").mapInArrow(run, "slice long, ranks binary")
     out = np.zeros(BUCKETS, np.uint8)
@@ -136,62 +140,49 @@ def _histogram(parts: DataFrame) -> np.ndarray:
     return out
 
 
-def _postings(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
-    """``shingle, sid`` of the first shingles of each set that more than one set has there."""
-    sent = docs.sparkSession.sparkContext.broadcast(ranks)
-    usual = int(np.median(ranks))
-    hot_from = min(255, usual + 4 * 12)  # 4096 times the median bucket: surely shared, and never dealt by shingle
+def _postings(docs: DataFrame, sent) -> DataFrame:
+    """Distinct ``shingle, place, sid`` of the first shingles of each set; ``place`` is 0 but for frequent shingles."""
+    usual = float(np.median(sent.value))
+    hot_from = min(255, max(usual + 4 * np.log2(HOT_TIMES), 4 * np.log2(1.0 + HOT_LEAST)))
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank, seen = sent.value, set()
+        rank = sent.value
         for batch in batches:
-            for _, _, row, key, rows, first, digest in _sets(tokens.column(batch.column(0))):
+            for _, _, row, key, _, first, sids in _sets(tokens.column(batch.column(0))):
                 if not len(key):
                     continue
                 r = rank[(key & np.uint64(BUCKETS - 1)).astype(np.int64)]
                 order = np.argsort((row << 8) | r, kind="stable")
                 size = np.diff(np.append(first, len(row)))
-                sids = _signed(digest[0])
-                new = np.array([s not in seen and not seen.add(s) for s in sids.tolist()], bool)
+                # copies in one slice are one set
+                new = np.sort(np.unique(sids, return_index=True)[1])
                 at, which = tokens.spread(first[new], (first + size - -(-75 * size // 100) + 1)[new])
-                at = order[at]
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(key[at])), pa.array(sids[new][which]), pa.array(r[at] >= hot_from)], names=["shingle", "sid", "hot"])
+                at, sid = order[at], sids[new][which]
+                place = np.where(r[at] >= hot_from, 1 + (sid % HOT_PLACES), 0).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(key[at])), pa.array(place), pa.array(sid)], names=["shingle", "place", "sid"])
 
-    def shared(batches: Iterable[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
-        """Distinct rows; where all rows of a shingle are here (``whole``), only of shingles that more than one set has."""
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        shingle, sid = (np.concatenate([b.column(i).to_numpy() for b in got]) for i in (0, 1))
-        order = np.lexsort((sid, shingle))
-        shingle, sid = shingle[order], sid[order]
-        same = shingle[1:] == shingle[:-1]
-        fresh = np.append(True, ~(same & (sid[1:] == sid[:-1])))  # copies in several tasks
-        shingle, sid = shingle[fresh], sid[fresh]
-        same = shingle[1:] == shingle[:-1]
-        keep = np.append(same, False) | np.append(False, same) if whole else np.ones(len(shingle), bool)
-        for lo in range(0, int(keep.sum()), 100_000):
-            part = slice(lo, lo + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(shingle[keep][part]), pa.array(sid[keep][part])], names=["shingle", "sid"])
-
-    all_of = docs.select("text").mapInArrow(emit, "shingle long, sid long, hot boolean")
-    # a hot shingle's rows are spread by set and kept; the others meet by shingle
-    place = F.when(F.col("hot"), F.col("sid")).otherwise(F.col("shingle"))
-
-    def one_pass(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cold, warm = [], []
-        for b in batches:
-            hot = b.column(2)
-            warm.append(b.filter(hot))
-            cold.append(b.filter(pc.invert(hot)))
-        yield from shared(warm, False)
-        yield from shared(cold, True)
-
-    return all_of.repartition(place).mapInArrow(one_pass, "shingle long, sid long")
+    all_of = docs.select("text").mapInArrow(emit, "shingle long, place int, sid long")
+    return all_of.where("shingle is not null and place is not null").repartition("shingle", "place").dropDuplicates(["shingle", "place", "sid"])
+
+
+def _trees(postings: DataFrame) -> DataFrame:
+    """``shingle, place, c`` of one of each group of trees with the same ``c`` members, more than one.
+
+    Members are known by their number, least, greatest, and two sums of hashes.
+    A frequent shingle has a row for each place, so that the postings need not be dealt again.
+    """
+    part = [F.sum(F.shiftright(F.xxhash64(F.lit(i), "sid"), 32)).alias(f"x{i}") for i in (0, 1)]
+    per = postings.groupBy("shingle", "place").agg(F.count("*").alias("c"), F.min("sid").alias("lo"), F.max("sid").alias("hi"), *part)
+    # frequent shingles have a row for each place; a filter on the place alone would be pushed into a second scan of the texts
+    sums = [F.sum(x).alias(x) for x in ("c", "x0", "x1")]
+    whole = per.where("c > 1 or place > 0").groupBy("shingle").agg(sums[0], F.max("place").alias("place"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), *sums[1:]).where("c > 1")
+    one = whole.groupBy("c", "lo", "hi", "x0", "x1").agg(F.min(F.struct("shingle", "place")).alias("t"))
+    places = F.when(F.col("t.place") > 0, F.sequence(F.lit(1), F.lit(HOT_PLACES))).otherwise(F.array(F.lit(0)))
+    return one.select("t.shingle", F.explode(places).alias("place"), "c")
 
 
 class _Tree:
-    """Levels of a signature tree over sets sorted by size; leaves come first."""
+    """Levels of a signature tree over sets in their order; leaves come first."""
 
     def __init__(self, n: np.ndarray, bits: np.ndarray, label: np.ndarray):
         lost = n - np.bitwise_count(bits).sum(axis=1)
@@ -215,8 +206,8 @@ def _possible(one: tuple, two: tuple, x: np.ndarray, y: np.ndarray) -> np.ndarra
     ok = (100 * hi[x] >= 75 * lo2[y]) & (100 * hi2[y] >= 75 * lo[x])
     ok &= ~((least[x] == most[x]) & (least2[y] == most2[y]) & (least[x] == least2[y]))
     at = np.flatnonzero(ok)
-    for part in range(0, len(at), 8192):
-        p = at[part : part + 8192]
+    for part in range(0, len(at), 4096):
+        p = at[part : part + 4096]
         common = np.bitwise_count(bits[x[p]] & bits2[y[p]]).sum(axis=1) + np.minimum(lost[x[p]], lost2[y[p]])
         bound = np.minimum(common, np.minimum(hi[x[p]], hi2[y[p]]))
         ok[p] = 175 * bound >= 75 * (lo[x[p]] + lo2[y[p]])
@@ -243,18 +234,8 @@ def _traverse(a: _Tree, b: _Tree, itself: bool) -> tuple[np.ndarray, np.ndarray]
             x, y = x[x <= y], y[x <= y]
 
 
-def _first(key: np.ndarray, other: np.ndarray, k: int) -> np.ndarray:
-    """Which rows are among the first k of their (key, other)."""
-    order = np.lexsort((other, key))
-    new = np.append(True, (key[order][1:] != key[order][:-1]) | (other[order][1:] != other[order][:-1]))
-    start = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-    out = np.empty(len(order), bool)
-    out[order] = np.arange(len(order)) - start < k
-    return out
-
-
-def _small(starts: np.ndarray, ends: np.ndarray, level: tuple) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs left inside trees of one leaf, for all of them at once; rows of the level are members."""
+def _inside(starts: np.ndarray, ends: np.ndarray, level: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs left inside trees whose root is a leaf, for all of them at once; rows of the level are members."""
     member, tree = tokens.spread(starts, ends)
     y, which = tokens.spread(member + 1, ends[tree])
     x = member[which]
@@ -262,164 +243,191 @@ def _small(starts: np.ndarray, ends: np.ndarray, level: tuple) -> tuple[np.ndarr
     return x[keep], y[keep]
 
 
-def _wide(x: np.ndarray, y: np.ndarray, n: np.ndarray, blobs: list[bytes]) -> np.ndarray:
+def _wide(x: np.ndarray, y: np.ndarray, n: np.ndarray, blobs: pa.Array) -> np.ndarray:
     """Which pairs may link by their own bitmaps, compared at the narrower of the two widths."""
-    width = np.array([8 * len(b) for b in blobs])
+    width = 8 * np.diff(np.frombuffer(blobs.buffers()[1], np.int32)[blobs.offset : blobs.offset + len(blobs) + 1])
     narrow = np.minimum(width[x], width[y])
     ok = np.ones(len(x), bool)
     for w in np.unique(narrow[narrow > SIGNATURE_BITS]).tolist():
-        for part in np.array_split(np.flatnonzero(narrow == w), np.sum(narrow == w) * w // (64 << 20) + 1):
-            used, at = np.unique(np.concatenate([x[part], y[part]]), return_inverse=True)
-            bits = np.stack([_folded(blobs[i], w) for i in used.tolist()])
+        step = (4 << 23) // w  # pairs for some 4 MB of bitmaps
+        at = np.flatnonzero(narrow == w)
+        at = at[np.argsort(x[at], kind="stable")]
+        for part in (at[lo : lo + step] for lo in range(0, len(at), step)):
+            used, place = np.unique(np.concatenate([x[part], y[part]]), return_inverse=True)
+            bits = np.stack([_folded(blobs[i].as_py(), w) for i in used.tolist()])
             lost = n[used] - np.bitwise_count(bits).sum(axis=1)
-            a, b = at[: len(part)], at[len(part) :]
-            for lo in range(0, len(part), 2048):
-                i, j = a[lo : lo + 2048], b[lo : lo + 2048]
-                most = np.bitwise_count(bits[i] & bits[j]).sum(axis=1) + np.minimum(lost[i], lost[j])
-                ok[part[lo : lo + 2048]] = 175 * most >= 75 * (n[used[i]] + n[used[j]])
+            i, j = place[: len(part)], place[len(part) :]
+            most = np.bitwise_count(bits[i] & bits[j]).sum(axis=1) + np.minimum(lost[i], lost[j])
+            ok[part] = 175 * most >= 75 * (n[used[i]] + n[used[j]])
     return ok
 
 
 def _candidates(members: DataFrame, k: int) -> DataFrame:
-    """``a, b`` from ``shingle, i, j, side, sid, label, n, bits``, sorted by (shingle, i, j).
+    """``a, b`` (a < b) from ``shingle, i, j, side, sid, label, n, bits``, sorted by (shingle, i, j).
 
     A third column names, in rows of their own, the trees of which partners were left out.
     """
+    names = ["shingle", "i", "j", "side", "sid", "label", "n"]
 
     def large(at: np.ndarray, rows: dict[str, np.ndarray], bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sides = [at] if rows["i"][at[0]] == rows["j"][at[0]] else [at[rows["side"][at] == s] for s in (0, 1)]
-        sides = [s[np.argsort(rows["n"][s], kind="stable")] for s in sides]
         if not all(map(len, sides)):
             return at[:0], at[:0]
         trees = [_Tree(rows["n"][s], bits[s], rows["label"][s]) for s in sides]
         x, y = _traverse(trees[0], trees[-1], len(trees) == 1)
         return sides[0][x], sides[-1][y]
 
-    names = ["shingle", "i", "j", "side", "sid", "label", "n"]
-
-    def answer(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        rows = {c: table[c].to_numpy() for c in names}
-        blobs = table["bits"].to_pylist()
-        bits = np.stack([_folded(b, SIGNATURE_BITS) for b in blobs])
+    def answer(table: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        rows = {c: table.column(c).to_numpy() for c in names}
+        blobs = table.column("bits")
+        bits = np.stack([_folded(b.as_py(), SIGNATURE_BITS) for b in blobs])
         change = np.flatnonzero(np.any([rows[c][1:] != rows[c][:-1] for c in ("shingle", "i", "j")], axis=0)) + 1
         starts, ends = np.append(0, change), np.append(change, table.num_rows)
-        small = (ends - starts <= LEAF) & (rows["i"][starts] == rows["j"][starts])
+        leaf = (ends - starts <= LEAF) & (rows["i"][starts] == rows["j"][starts])
         lost = rows["n"] - np.bitwise_count(bits).sum(axis=1)
-        found = [_small(starts[small], ends[small], (bits, rows["n"], rows["n"], lost, rows["label"], rows["label"]))]
-        found += [large(np.arange(a, b), rows, bits) for a, b in zip(starts[~small], ends[~small])]
+        found = [_inside(starts[leaf], ends[leaf], (bits, rows["n"], rows["n"], lost, rows["label"], rows["label"]))]
+        found += [large(np.arange(a, b), rows, bits) for a, b in zip(starts[~leaf], ends[~leaf])]
         x, y = (np.concatenate(z) for z in zip(*found))
-        if not len(x):
-            return
         may = _wide(x, y, rows["n"], blobs)
         x, y = x[may], y[may]
         if not len(x):
             return
-        label, sid = rows["label"], rows["sid"]
-        keep = _first(x, label[y], k) & _first(y, label[x], k)
-        pairs = np.unique(np.sort(np.stack([sid[x[keep]], sid[y[keep]]]), axis=0), axis=1)
+        sid = rows["sid"]
+        x, y = np.where(sid[x] < sid[y], x, y), np.where(sid[x] < sid[y], y, x)
+        order = np.lexsort((sid[x], y))  # y is a member of one tree, so this ranks its partners there
+        x, y = x[order], y[order]
+        start = np.maximum.accumulate(np.where(np.append(True, y[1:] != y[:-1]), np.arange(len(y)), 0))
+        keep = np.arange(len(y)) - start < k
+        pairs = np.unique(np.stack([sid[x[keep]], sid[y[keep]]]), axis=1)
         left = np.unique(rows["shingle"][x[~keep]])
         none = [pa.nulls(len(left), pa.int64()), pa.nulls(pairs.shape[1], pa.int64())]
         for columns in ([pa.array(pairs[0]), pa.array(pairs[1]), none[1]], [none[0], none[0], pa.array(left)]):
             yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "tree"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held: list[pa.RecordBatch] = []  # the last tree may go on in the next batch
         for batch in batches:
-            table = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch]).combine_chunks()
-            if table.num_rows < 20_000:
-                held = table
+            if not batch.num_rows:
                 continue
-            key = [table[c].to_numpy() for c in ("shingle", "i", "j")]
+            key = [np.append(held[0].column(c)[-1].as_py() if held else batch.column(c)[0].as_py(), batch.column(c).to_numpy()) for c in ("shingle", "i", "j")]
             change = np.flatnonzero(np.any([v[1:] != v[:-1] for v in key], axis=0))
-            cut = int(change[-1]) + 1 if len(change) else 0  # the last tree may go on in the next batch
-            if cut:
-                yield from answer(table.slice(0, cut).combine_chunks())
-            held = table.slice(cut)
-        if held is not None and held.num_rows:
-            yield from answer(held.combine_chunks())
+            if len(change):
+                whole = [*held, batch.slice(0, int(change[-1]))]
+                yield from answer(pa.concat_batches(whole))
+                held = []
+            held.append(batch.slice(int(change[-1]) if len(change) else 0))
+        if held:
+            yield from answer(pa.concat_batches(held))
 
     return members.mapInArrow(run, "a long, b long, tree long")
 
 
-def _mixed(postings: DataFrame, labels: DataFrame, share: int, scratch: Scratch) -> DataFrame:
-    """Members (shingle, sid, label, blocks) of the trees that reach into more than one component.
+def _size_class(n: str) -> Column:
+    """Sets that link are in one or in neighbouring classes."""
+    return F.floor(F.log(F.col(n).cast("double")) / float(np.log(4 / 3)))
 
-    Of trees with the same members one stays; ``share`` takes one shingle in so
-    many. Components only grow, so later rounds need no other trees than these.
-    """
-    mine = postings.where(F.pmod(F.xxhash64("shingle"), F.lit(share)) == 0).join(labels, "sid", "left")
-    mine = scratch.save(mine.select("shingle", "sid", F.coalesce("label", "sid").alias("label")), "labelled")
-    members = [F.bit_xor(F.xxhash64(F.lit(i), "sid")).alias(f"x{i}") for i in (0, 1)]
-    trees = mine.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("c"), *members).where("lo < hi")
-    trees = trees.groupBy("c", "x0", "x1").agg(F.min("shingle").alias("shingle")).select("shingle", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
-    return scratch.save(mine.join(trees, "shingle").select("shingle", "sid", "label", "blocks"), "mixed")
 
+def _pairs_of_blocks(large: DataFrame, sets: DataFrame) -> DataFrame:
+    """Members of large trees at all pairs of blocks that may hold links between components.
 
-def _forest(mixed: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Members with their signatures, cut into pairs of blocks."""
-    found = mixed.withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-    partner = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    found = found.withColumn("other", partner).select(
-        "shingle", "sid", "label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side")
-    )
-    full = found.join(signatures, "sid")
-    return full.select("shingle", "i", "j", "side", "sid", "label", "n", "bits").repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j")
+    A block has sets of one size class, and of one component where that has more
+    than a block of the tree's sets.
+    """
+    own = large.groupBy("shingle", "label").agg(F.count("*").alias("of_label"))
+    at = large.join(own, ["shingle", "label"]).join(sets.select("sid", "n"), "sid")
+    at = at.withColumn("owner", F.when(F.col("of_label") > BLOCK, F.col("label"))).withColumn("class", _size_class("n"))
+    groups = at.groupBy("shingle", "owner", "class").agg(F.count("*").alias("of_group")).withColumnsRenamed({"shingle": "_s", "owner": "_o", "class": "_c"})
+    same = (F.col("shingle") == F.col("_s")) & F.col("owner").eqNullSafe(F.col("_o")) & (F.col("class") == F.col("_c"))
+    at = at.join(groups, same).withColumn("part", F.pmod(F.xxhash64("sid"), F.ceil(F.col("of_group") / BLOCK)))
+    at = at.withColumn("block", F.xxhash64(F.coalesce("owner", F.lit(0)), F.col("owner").isNull(), "class", "part"))
+    blocks = at.groupBy("shingle", "block", "owner", "class").count()
+    i, j = (blocks.select("shingle", F.col("block").alias(x), F.col("owner").alias(f"{x}_owner"), F.col("class").alias(f"{x}_class")) for x in "ij")
+    pairs = i.join(j, "shingle").where("i <= j and abs(i_class - j_class) <= 1 and not (i_owner <=> j_owner and i_owner is not null)").select("shingle", "i", "j")
+    ends = F.explode(F.when(F.col("i") == F.col("j"), F.array(F.struct(F.col("i").alias("block"), F.lit(0).alias("side")))).otherwise(
+        F.array(F.struct(F.col("i").alias("block"), F.lit(0).alias("side")), F.struct(F.col("j").alias("block"), F.lit(1).alias("side")))
+    ))
+    visits = pairs.select("shingle", "i", "j", ends.alias("e")).select("shingle", "i", "j", "e.block", "e.side")
+    return at.select("shingle", "block", "sid", "label").join(visits, ["shingle", "block"]).select("shingle", "i", "j", "side", "sid", "label")
+
+
+def _forest(members: DataFrame, sets: DataFrame, turn: int) -> DataFrame:
+    """Members of ``shingle, sid, label, c`` with signatures and their block or pair of blocks, sorted for the traversal."""
+    zero = F.lit(0).cast("long")
+    placed = members.where(F.col("c") <= BLOCK).select("shingle", zero.alias("i"), zero.alias("j"), F.lit(0).alias("side"), "sid", "label")
+    large = members.where(F.col("c") > BLOCK)
+    if turn < INSIDE:
+        # one set of each component; trees with other numbers of blocks cut alike, so that centres are shared
+        some = large.groupBy("shingle", "label").agg(F.min("sid").alias("sid"))
+        number = some.groupBy("shingle").agg(F.pow(F.lit(2), F.ceil(F.log2(F.count("*") / BLOCK))).cast("long").alias("blocks"))
+        block = F.pmod(F.xxhash64(F.lit(turn), "sid"), F.greatest("blocks", F.lit(1)))
+        cut = some.join(number, "shingle").select("shingle", block.alias("i"), block.alias("j"), F.lit(0).alias("side"), "sid", "label")
+    else:
+        cut = _pairs_of_blocks(large, sets)
+    full = placed.unionByName(cut).join(sets.select("sid", "n", "least", "bits").hint("merge"), "sid")
+    full = full.select("shingle", "i", "j", "side", "sid", "label", "n", _size_class("n").alias("class"), "least", "bits")
+    # similar sets stand side by side, so that nodes differ
+    full = full.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j", "side", "class", "least", "sid")
+    return full.drop("class", "least")
+
+
+def _chosen(reps: DataFrame) -> np.ndarray:
+    """The ids modulo ``CHOSEN`` as a table of bits."""
+    p = F.pmod("rep", F.lit(CHOSEN))
+    words = reps.where("rep is not null").select((p / 32).cast("long").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (p % 32).cast("int")).alias("bit"))
+    got = words.groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(CHOSEN // 32 + 1, np.uint32)
+    out[got["w"].to_numpy()] = got["bits"].to_numpy().astype(np.uint32)
+    return out
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """The pairs ``a, b`` whose sets link, by exact intersection; each block of sets travels once for each partner block."""
+    """The pairs ``a, b`` whose sets link, by exact intersection; a set's keys travel once for each of its centres ``a``."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    wanted = scratch.save(ends.join(sets.select("sid", "rep"), "sid"), "wanted")
-    count = wanted.count()
-    if count <= SENT_IDS:
-        ids = np.sort(wanted.select("rep").where("rep is not null").toArrow()["rep"].to_numpy())
-        sent = docs.sparkSession.sparkContext.broadcast(ids)
-
-        def only(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                mask = pc.is_in(b.column(0), value_set=pa.array(sent.value)) if len(sent.value) else pa.array([False] * b.num_rows)
-                mask = pc.or_(mask, pc.is_null(b.column(0)))
-                yield b.filter(mask)
-
-        docs = docs.select("doc_id", "text").mapInArrow(only, "doc_id long, text string")
-    else:
-        docs = docs.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").unionByName(docs.where("doc_id is null"), True)
+    sent = docs.sparkSession.sparkContext.broadcast(_chosen(ends.join(sets.select("sid", "rep"), "sid").select("rep")))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, row, key, rows, first, digest in _sets(tokens.column(batch.column(0))):
-                size = np.diff(np.append(first, len(row)))
-                blobs = [key[f : f + s].tobytes() for f, s in zip(first, size)]
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(digest[0])), pa.array(blobs, pa.binary())], names=["sid", "keys"])
-
-    keys = docs.select("text").mapInArrow(run, "sid long, keys binary")
-    blocks = max(1, count // CHECKED)
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
-    placed = pairs.select("a", "b", F.least(block("a"), block("b")).alias("i"), F.greatest(block("a"), block("b")).alias("j"))
-    visits = placed.select(F.explode(F.array("a", "b")).alias("sid"), "i", "j").distinct().join(keys, "sid")
-    rows = visits.select("i", "j", F.lit(0).alias("kind"), F.col("sid").alias("a"), F.col("sid").alias("b"), "keys")
-    rows = rows.unionByName(placed.select("i", "j", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("keys")))
-    rows = rows.repartition("i", "j").sortWithinPartitions("i", "j", "kind")
+            ids = batch.column(0)
+            none = ids.is_null().to_numpy(zero_copy_only=False)
+            at = np.mod(ids.fill_null(0).to_numpy(), CHOSEN)
+            mask = none | ((sent.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1).astype(bool)
+            if not mask.any():
+                continue
+            for _, _, _, key, _, first, sids in _sets(tokens.column(batch.column(1).filter(pa.array(mask)))):
+                blobs = [k.tobytes() for k in np.split(key, first[1:])] if len(first) else []
+                yield pa.RecordBatch.from_arrays([pa.array(sids), pa.array(blobs, pa.binary())], names=["sid", "keys"])
+
+    keys = docs.select("doc_id", "text").mapInArrow(run, "sid long, keys binary")
+    visits = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("sid"), "a", F.lit(0).alias("role")), F.struct(F.col("b").alias("sid"), "a", F.lit(1).alias("role")))).alias("v"))
+    rows = visits.select("v.a", "v.role", "v.sid").distinct().hint("merge").join(keys, "sid").select("a", "role", "sid", "keys")
+    rows = rows.repartition("a").sortWithinPartitions("a", "role")
 
     def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        at = None
+        at, own = None, np.empty(0, np.uint64)
         for batch in batches:
             out: list[tuple[int, int]] = []
-            for i, j, kind, a, b, blob in zip(*(c.to_pylist() for c in batch.columns)):
-                if (i, j) != at:
-                    held, at = {}, (i, j)
-                if kind == 0:
-                    held[a] = np.frombuffer(blob, np.uint64)
-                elif a in held and b in held:
-                    one, two = held[a], held[b]
-                    common = len(np.intersect1d(one, two, assume_unique=True))
-                    if 100 * common >= 75 * (len(one) + len(two) - common):
+            for i, (a, role, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("a", "role", "sid")))):
+                other = np.frombuffer(batch.column("keys")[i].as_py(), np.uint64)
+                if role == 0:
+                    at, own = a, other
+                elif a == at:
+                    common = int((own[np.minimum(np.searchsorted(own, other), len(own) - 1)] == other).sum())
+                    if 100 * common >= 75 * (len(own) + len(other) - common):
                         out.append((a, b))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return rows.mapInArrow(check, "a long, b long")
+    links = scratch.save(rows.mapInArrow(check, "a long, b long"), "links")
+    sent.destroy()
+    return links
+
+
+def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """``shingle, sid, label, c`` of the trees that reach into more than one component."""
+    labels = roots.select(F.col("id").alias("sid"), F.col("root").alias("label"))
+    mine = members.join(labels, "sid", "left").select("shingle", "sid", "c", F.coalesce("label", "sid").alias("label"))
+    trees = mine.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("shingle")
+    return mine.join(trees, "shingle").select("shingle", "sid", "label", "c")
 
 
 def similar(docs: DataFrame) -> DataFrame:
@@ -432,54 +440,44 @@ def similar(docs: DataFrame) -> DataFrame:
     of it has an id; an empty table gives an empty one.
     """
     docs, scratch = docs.select("doc_id", "text"), Scratch(docs.sparkSession)
-    rows = scratch.save(_sketch(docs), "sets")
-    per_row = rows.where("kind = 0").select("doc_id", "n", "sid", "check", "m0", "m1", "m2", "m3", "bits")
-    sets = scratch.save(
-        per_row.where("sid is not null")
-        .groupBy("sid", "check")
-        .agg(F.min("doc_id").alias("rep"), *[F.max(c).alias(c) for c in ("n", "m0", "m1", "m2", "m3")]),
-        "classes",
-    )
-    # stars on minimum hashes
-    keyed = sets.select("sid", "n", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"m{i}").alias("m")) for i in range(4)])).alias("k")).select("sid", "n", "k.i", "k.m")
-    centres = keyed.groupBy("i", "m").agg(F.min("sid").alias("a"), F.min_by("n", "sid").alias("na"), F.count("*").alias("c")).where("c > 1")
-    stars = keyed.join(centres, ["i", "m"]).where("sid != a and 100 * n >= 75 * na and 100 * na >= 75 * n")
-    # two minimum hashes with one centre: most near copies, few others; the trees see the rest
-    pairs = stars.groupBy("a", F.col("sid").alias("b")).count().where("count > 1").select("a", "b")
-    pairs = scratch.save(pairs, "stars")
-    links = scratch.save(_verified(pairs, sets, docs, scratch), "links")
-    roots = components(links)
-    # trees over what the stars left apart
-    postings = scratch.save(_postings(docs, _histogram(rows.where("kind = 1"))), "postings")
-    standing = sets.join(postings.select("sid").distinct(), "sid").select("sid", F.col("rep").alias("doc_id"))
-    signatures = rows.where("kind = 0 and sid is not null").select("sid", "doc_id", "n", "bits")
-    same = (F.col("x.sid") == F.col("y.sid")) & F.col("x.doc_id").eqNullSafe(F.col("y.doc_id"))
-    signatures = signatures.alias("x").join(standing.alias("y"), same).select("x.sid", "n", "bits").dropDuplicates(["sid"])
-    signatures = scratch.save(signatures, "signatures")
-    share, k, tested = SHARE, 2, None
-    while True:
-        labels = roots.select(F.col("id").alias("sid"), F.col("root").alias("label"))
-        mixed = _mixed(postings, labels, share, scratch)
-        found = scratch.save(_candidates(_forest(mixed, signatures), k), "candidates")
+    with small_batches(docs.sparkSession):
+        return scratch.finish(_similar(docs, scratch), "similar")
+
+
+def _similar(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    rows = scratch.save(_sketch(docs), "rows")
+    per_row = rows.where("kind = 0").select("doc_id", "n", "sid")
+    kept = [F.first(c).alias(c) for c in ("n", "least", "bits")]
+    sets = scratch.save(rows.where("kind = 0 and sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), *kept), "sets")
+    ranks = docs.sparkSession.sparkContext.broadcast(_histogram(rows.where("kind = 1")))
+    postings = _postings(docs, ranks)
+    members = scratch.save(postings.join(_trees(postings).hint("merge"), ["shingle", "place"]).select("shingle", "sid", "c"), "members")
+    ranks.destroy()
+    roots = scratch.save(sets.select(F.col("sid").alias("id"), F.col("sid").alias("root")).limit(0), "roots")
+    now, tested, k = members.withColumn("label", F.col("sid")), None, 1
+    for turn in count():
+        large = not now.where(F.col("c") > BLOCK).isEmpty()
+        found = scratch.save(_candidates(_forest(now, sets, turn if large else 0), k), "candidates")
         pairs = found.where("a is not null").select("a", "b").distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = scratch.save(pairs, "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        more = share > 1
-        if share == 1:
-            again = found.where("tree is not null").select(F.col("tree").alias("shingle")).distinct()
-            postings = scratch.save(mixed.join(again, "shingle").select("shingle", "sid"), "postings")
-            more = not postings.isEmpty()
-            signatures = scratch.save(signatures.join(postings.select("sid").distinct(), "sid"), "signatures") if more else signatures
-        fresh = scratch.save(_verified(pairs, sets, docs, scratch), "links")
-        if not fresh.isEmpty():
-            roots = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(fresh))
-        if not more:
+        fresh = _verified(pairs, sets, docs, scratch)
+        joined = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(fresh), scratch)
+        again = found.where("tree is not null").select(F.col("tree").alias("shingle"))
+        if turn < INSIDE:
+            again = again.unionByName(now.where(F.col("c") > BLOCK).select("shingle"))
+        left = scratch.save(_mixed(now.select("shingle", "sid", "c").join(again.distinct(), "shingle"), joined), "left")
+        for done in (found, fresh, roots, now):
+            discard(done)
+        now, roots, k = left, joined, GROWTH * k
+        if now.isEmpty():
             break
-        share, k = 1, 4 if share > 1 else 16 * k
-    named = sets.join(roots.withColumnRenamed("id", "sid"), "sid", "left").select("sid", "rep", F.coalesce("root", "sid").alias("root"))
+    named = sets.select("sid", "rep").join(roots.withColumnRenamed("id", "sid"), "sid", "left").select("sid", "rep", F.coalesce("root", "sid").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("component"))
     named = named.join(least, "root").select("sid", "component")
-    found = per_row.join(named, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
-    return scratch.finish(found, "similar")
+    some = per_row.where("sid is not null").join(named, "sid", "left")
+    rest = per_row.where("sid is null").withColumn("component", F.lit(None).cast("long"))
+    found = some.unionByName(rest)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

@@ -1,10 +1,11 @@
-"""Row-wise Arrow stages that keep a table's own columns."""
+"""Row-wise Arrow stages that keep a table's own columns, and tables written on the way to a result."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,26 +36,63 @@ def append_columns(
     return df.mapInArrow(run, schema)
 
 
+_OWN: dict[str, str] = {}  # application: folder of this process, for local sessions alone
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; one of this process where none is set (tests)."""
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``.
+
+    A session with a local master that names none gets a folder of this
+    process; anywhere else a missing setting is an error, since executors would
+    write to folders that others cannot read.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where
-    where = tempfile.mkdtemp(prefix="glasspane-")
-    spark.conf.set("spark.checkpoint.dir", where)
-    return where
+    sc = spark.sparkContext
+    if sc.master != "local" and not sc.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if sc.applicationId not in _OWN:
+        _OWN[sc.applicationId] = tempfile.mkdtemp(prefix="glasspane-")
+    return _OWN[sc.applicationId]
+
+
+def _file_system(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that ``saved`` or ``Scratch`` wrote."""
+    files, where = _file_system(spark, path)
+    files.delete(where, True)
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` under the shared folder and reads it again: cuts lineage, survives lost executors."""
+    """Writes ``df`` under the shared folder and reads it again: cuts lineage, survives lost executors.
+
+    The table is there until the session ends or ``discard`` is called.
+    """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    files, where = _file_system(spark, path)
+    files.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the table behind a DataFrame that ``saved`` returned; others are left alone."""
+    path = getattr(df, "_saved_at", None)
+    if path:
+        delete(df.sparkSession, path)
 
 
 class Scratch:
-    """Tables written on the way to a result, which are deleted once the result itself is written."""
+    """Tables written on the way to a result, which are deleted when they or the whole are done with."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.folder = spark, f"{checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}"
@@ -64,12 +102,27 @@ class Scratch:
         self.count += 1
         path = f"{self.folder}/{self.count}-{name}"
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._saved_at = path
+        return out
 
     def finish(self, result: DataFrame, name: str) -> DataFrame:
         """Writes the result outside the scratch folder and deletes that."""
         out = saved(result, name)
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.folder)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self.close()
         return out
+
+    def close(self) -> None:
+        delete(self.spark, self.folder)
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: int = 4 << 20):
+    """Bounds the bytes of the Arrow batches that jobs started inside hand to Python workers."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

@@ -1,8 +1,7 @@
 """Words and word shingles of Arrow string columns, hashed with numpy.
 
 Everything works on the UTF-8 bytes of a slice of a column, so no Python object
-is made for a word. Words are hashed with 64 bits; shingles are kept with 48
-bits so that a row number fits beside them in one sortable integer.
+is made for a word. Words and shingles are hashed with 64 bits.
 """
 
 from __future__ import annotations
@@ -15,9 +14,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text worked on at a time; bounds a worker's memory whatever the batch size.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 MAX_ROWS = 60_000
-KEY_BITS = 48
+KEY_BITS = 64
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
@@ -143,7 +142,7 @@ def windows(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and 48-bit key of each distinct k-word shingle, sorted by both.
+    """Row and 64-bit key of each distinct k-word shingle, sorted by both.
 
     A row of fewer words, but not none, has its whole sequence as one shingle.
     """
@@ -157,8 +156,12 @@ def shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
             for j in range(1, m):
                 acc = acc * _STEP + w.hash[firsts[short] + j]
             row, key = np.concatenate([row, short]), np.concatenate([key, mix(acc + np.uint64(m))])
-    packed = np.unique((row.astype(np.uint64) << np.uint64(KEY_BITS)) | (key >> np.uint64(64 - KEY_BITS)))
-    return (packed >> np.uint64(KEY_BITS)).astype(np.int64), packed & np.uint64((1 << KEY_BITS) - 1)
+    order = np.argsort(key)
+    order = order[np.argsort(row[order].astype(np.uint16), kind="stable")]  # a slice has at most MAX_ROWS rows
+    row, key = row[order], key[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1])
+    return row[new], key[new]
 
 
 def spread(firsts: np.ndarray, lasts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -84,29 +84,58 @@ def test_similar_awkward_rows(spark, awkward):
 
 
 def test_similar_with_copies_of_hot_shingles_in_several_tasks(spark, monkeypatch):
-    import numpy as np
-
-    frequencies = jaccard._histogram
-    monkeypatch.setattr(jaccard, "_histogram", lambda parts: np.minimum(20 * frequencies(parts).astype(int), 255).astype(np.uint8))
+    monkeypatch.setattr(jaccard, "HOT_TIMES", 1e-9)
+    monkeypatch.setattr(jaccard, "HOT_LEAST", 1)
     variants = []
-    for p in range(120):  # 48 of 64 shingles in common; some pairs have too few equal minimum hashes to be linked by stars
+    for p in range(120):  # 48 of 64 shingles in common: just enough
         w = [f"p{p}x{i}" for i in range(60)]
         variants += [" ".join(w), " ".join(w[:52] + [f"p{p}y{i}" for i in range(8)])]
     rows = [(i, t) for i, t in enumerate(variants * 4)]
-    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 4), "doc_id long, text string")
-    postings = jaccard._postings(docs, jaccard._histogram(jaccard._sketch(docs).where("kind = 1")))
-    assert postings.count() == postings.distinct().count() > 0
-    got = {r.doc_id: r.component_id for r in jaccard.similar(docs).collect()}
-    assert got == {i: i % 240 - i % 2 for i in range(960)}
+    for parts in (1, 2, 4):
+        docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, parts), "doc_id long, text string")
+        sketch = jaccard._sketch(docs)
+        postings = jaccard._postings(docs, spark.sparkContext.broadcast(jaccard._histogram(sketch.where("kind = 1"))))
+        assert postings.where("place > 0").count() > 0
+        assert postings.count() == postings.distinct().count()
+        assert jaccard._trees(postings).select("shingle", "c").distinct().groupBy("c").count().collect() == [(2, 120)]
+        got = {r.doc_id: r.component_id for r in jaccard.similar(docs).collect()}
+        assert got == {i: i % 240 - i % 2 for i in range(960)}
+
+
+def test_trees_with_different_members_stay_apart(spark):
+    rows = [(1, 0, 10), (1, 0, 11), (2, 0, 10), (2, 0, 11), (3, 0, 12), (3, 0, 11), (4, 5, 7), (4, 6, 8), (5, 0, 9)]
+    postings = spark.createDataFrame(rows, "shingle long, place int, sid long")
+    got = jaccard._trees(postings).select("shingle", "c").distinct().collect()
+    assert sorted(map(tuple, got)) == [(1, 2), (3, 2), (4, 2)]
+
+
+@pytest.mark.parametrize("inside", [0, 1, 3])
+def test_similar_in_many_blocks(spark, words, monkeypatch, inside):
+    """Two groups in common trees: near copies in a chain, and sets that share much but too little to link."""
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    monkeypatch.setattr(jaccard, "INSIDE", inside)
+    rnd = random.Random(15)
+    base = [f"v{i}" for i in range(120)]
+    chain, rows = base[:], []
+    for i in range(150):
+        if i % 2:
+            chain[rnd.randrange(60)] = rnd.choice(words)
+            w = chain
+        else:
+            w = base[60:] + [rnd.choice(words) for _ in range(rnd.randint(5, 60))]
+        rows.append((i, " ".join(w)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar(rows_of(spark, rows)).collect()}
+    assert got == plain_components(rows)
 
 
-def test_wide_bitmaps_bound_the_overlap(words):
+def test_bitmaps_bound_the_overlap(words):
     import numpy as np
+    import pyarrow as pa
 
     rnd = random.Random(1)
     sets = [np.array(sorted(rnd.sample(range(1 << 48), 3000)), np.uint64) for _ in range(3)]
     sets.append(np.sort(np.concatenate([sets[0][:2900], sets[1][:50]])))
-    blobs = jaccard._signatures(np.concatenate(sets), np.cumsum([0] + [len(s) for s in sets[:-1]]))
+    blobs = pa.array(jaccard._signatures(np.concatenate(sets), np.cumsum([0] + [len(s) for s in sets[:-1]])), pa.binary())
     n = np.array([len(s) for s in sets])
     ok = jaccard._wide(np.array([0, 0]), np.array([1, 3]), n, blobs)
     assert ok.tolist() == [False, True]
