@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glasspane.llm import decontaminate, jaccard, linededup, mixing, toxicity
-from glasspane.llm.rows import saved
+from glasspane.llm.rows import discard, saved
 
 #: Share of the tokens wanted from documents that labels call good (1) and poor (0).
 TARGETS = {"1": 0.95, "0": 0.05}
@@ -40,9 +40,9 @@ def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays; rows without an id stay."""
-    found = jaccard.similar(docs)
-    gone = saved(found.where("component_id != doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "copies")
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = jaccard.similar(docs).where("component_id != doc_id").select(F.struct(F.col("doc_id").alias("id")).alias("_gone")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"))
+    return rows.join(gone, F.col("id") == F.col("_gone.id"), "left_anti").select("row.*")
 
 
 def reject_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,5 +74,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order, over the whole of ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir), name)
+        before, docs = docs, saved(stage(spark, docs, sf_dir), name)
+        discard(before)
     return docs
