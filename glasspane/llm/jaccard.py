@@ -13,11 +13,11 @@ Sets are the distinct five-word shingles; two documents link when
    collisions inside the bitmaps, the largest number of lost bits. A dual
    traversal drops pairs of nodes whose largest possible overlap is too small
    or which lie in one component already.
-3. What is left is checked exactly. A traversal gives each set at most ``k``
-   partners, those of the least names, so near copies meet at few centres; trees
-   where partners were left out are traversed again, with a larger ``k``, after
-   the components have been joined, until none is left out: no link between
-   components is lost.
+3. What is left is checked exactly. A traversal gives each set at most ``most``
+   partners, those of the least names, so near copies meet at few centres, and
+   each two components at most as many pairs. Trees where pairs were left out are
+   traversed again, with a larger ``most``, after the components have been
+   joined, until none is left out: no link between components is lost.
 
 A tree of more than ``BLOCK`` sets is cut into blocks. The first rounds look
 inside blocks only and join most of a large group; then all pairs of blocks are
@@ -50,7 +50,7 @@ SLICE = 1 << 14
 HOT_TIMES, HOT_LEAST, HOT_PLACES = 64, 256, 64
 #: Sets in a leaf, children of a node, sets of a block of a large tree.
 LEAF, FANOUT, BLOCK = 8, 4, 1024
-#: Rounds that look inside the blocks of large trees only, and what ``k`` grows by.
+#: Rounds that look inside the blocks of large trees only, and what ``most`` grows by.
 INSIDE, GROWTH = 3, 8
 #: Bits of the filter by which documents are chosen for the exact check: of a fixed size, whatever the corpus.
 CHOSEN = 67_108_859
@@ -262,12 +262,22 @@ def _wide(x: np.ndarray, y: np.ndarray, n: np.ndarray, blobs: pa.Array) -> np.nd
     return ok
 
 
-def _candidates(members: DataFrame, k: int) -> DataFrame:
-    """``a, b`` (a < b) from ``shingle, i, j, side, sid, label, n, bits``, sorted by (shingle, i, j).
+def _rank(*keys: np.ndarray) -> np.ndarray:
+    """Place of each row, from 0, among the rows that have all keys but the first in common, in the order of the first."""
+    order = np.lexsort(keys)
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys[1:]], axis=0)
+    out = np.empty(len(order), np.int64)
+    out[order] = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    return out
+
+
+def _candidates(members: DataFrame) -> DataFrame:
+    """``a, b`` (a < b) from ``shingle, i, j, side, most, sid, label, n, bits``, sorted by (shingle, i, j).
 
-    A third column names, in rows of their own, the trees of which partners were left out.
+    A third column names, in rows of their own, the trees of which pairs were left out.
     """
-    names = ["shingle", "i", "j", "side", "sid", "label", "n"]
+    names = ["shingle", "i", "j", "side", "most", "sid", "label", "n"]
 
     def large(at: np.ndarray, rows: dict[str, np.ndarray], bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sides = [at] if rows["i"][at[0]] == rows["j"][at[0]] else [at[rows["side"][at] == s] for s in (0, 1)]
@@ -294,10 +304,10 @@ def _candidates(members: DataFrame, k: int) -> DataFrame:
             return
         sid = rows["sid"]
         x, y = np.where(sid[x] < sid[y], x, y), np.where(sid[x] < sid[y], y, x)
-        order = np.lexsort((sid[x], y))  # y is a member of one tree, so this ranks its partners there
-        x, y = x[order], y[order]
-        start = np.maximum.accumulate(np.where(np.append(True, y[1:] != y[:-1]), np.arange(len(y)), 0))
-        keep = np.arange(len(y)) - start < k
+        most, label, tree = rows["most"][y], rows["label"], np.searchsorted(starts, y, side="right")
+        keep = _rank(sid[x], y) < most  # a row is a member of one tree
+        one, two = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
+        keep[keep] = _rank(sid[x[keep]], one[keep], two[keep], tree[keep]) < most[keep]
         pairs = np.unique(np.stack([sid[x[keep]], sid[y[keep]]]), axis=1)
         left = np.unique(rows["shingle"][x[~keep]])
         none = [pa.nulls(len(left), pa.int64()), pa.nulls(pairs.shape[1], pa.int64())]
@@ -353,18 +363,18 @@ def _pairs_of_blocks(large: DataFrame, sets: DataFrame) -> DataFrame:
 def _forest(members: DataFrame, sets: DataFrame, turn: int) -> DataFrame:
     """Members of ``shingle, sid, label, c`` with signatures and their block or pair of blocks, sorted for the traversal."""
     zero = F.lit(0).cast("long")
-    placed = members.where(F.col("c") <= BLOCK).select("shingle", zero.alias("i"), zero.alias("j"), F.lit(0).alias("side"), "sid", "label")
+    placed = members.where(F.col("c") <= BLOCK).select("shingle", zero.alias("i"), zero.alias("j"), F.lit(0).alias("side"), F.lit(min(GROWTH**turn, 1 << 30)).alias("most"), "sid", "label")
     large = members.where(F.col("c") > BLOCK)
     if turn < INSIDE:
         # one set of each component; trees with other numbers of blocks cut alike, so that centres are shared
         some = large.groupBy("shingle", "label").agg(F.min("sid").alias("sid"))
         number = some.groupBy("shingle").agg(F.pow(F.lit(2), F.ceil(F.log2(F.count("*") / BLOCK))).cast("long").alias("blocks"))
         block = F.pmod(F.xxhash64(F.lit(turn), "sid"), F.greatest("blocks", F.lit(1)))
-        cut = some.join(number, "shingle").select("shingle", block.alias("i"), block.alias("j"), F.lit(0).alias("side"), "sid", "label")
+        cut = some.join(number, "shingle").select("shingle", block.alias("i"), block.alias("j"), F.lit(0).alias("side"), F.lit(min(GROWTH**turn, 1 << 30)).alias("most"), "sid", "label")
     else:
-        cut = _pairs_of_blocks(large, sets)
+        cut = _pairs_of_blocks(large, sets).select("shingle", "i", "j", "side", F.lit(min(GROWTH ** (turn - INSIDE + 1), 1 << 30)).alias("most"), "sid", "label")
     full = placed.unionByName(cut).join(sets.select("sid", "n", "least", "bits").hint("merge"), "sid")
-    full = full.select("shingle", "i", "j", "side", "sid", "label", "n", _size_class("n").alias("class"), "least", "bits")
+    full = full.select("shingle", "i", "j", "side", "most", "sid", "label", "n", _size_class("n").alias("class"), "least", "bits")
     # similar sets stand side by side, so that nodes differ
     full = full.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j", "side", "class", "least", "sid")
     return full.drop("class", "least")
@@ -454,10 +464,9 @@ def _similar(docs: DataFrame, scratch: Scratch) -> DataFrame:
     members = scratch.save(postings.join(_trees(postings).hint("merge"), ["shingle", "place"]).select("shingle", "sid", "c"), "members")
     ranks.destroy()
     roots = scratch.save(sets.select(F.col("sid").alias("id"), F.col("sid").alias("root")).limit(0), "roots")
-    now, tested, k = members.withColumn("label", F.col("sid")), None, 1
+    now, tested = members.withColumn("label", F.col("sid")), None
     for turn in count():
-        large = not now.where(F.col("c") > BLOCK).isEmpty()
-        found = scratch.save(_candidates(_forest(now, sets, turn if large else 0), k), "candidates")
+        found = scratch.save(_candidates(_forest(now, sets, turn)), "candidates")
         pairs = found.where("a is not null").select("a", "b").distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -471,7 +480,7 @@ def _similar(docs: DataFrame, scratch: Scratch) -> DataFrame:
         left = scratch.save(_mixed(now.select("shingle", "sid", "c").join(again.distinct(), "shingle"), joined), "left")
         for done in (found, fresh, roots, now):
             discard(done)
-        now, roots, k = left, joined, GROWTH * k
+        now, roots = left, joined
         if now.isEmpty():
             break
     named = sets.select("sid", "rep").join(roots.withColumnRenamed("id", "sid"), "sid", "left").select("sid", "rep", F.coalesce("root", "sid").alias("root"))
