@@ -6,8 +6,6 @@ against plain versions, round trips and held-out accuracy.
 
 from __future__ import annotations
 
-from glasspane.llm.secretscan import RULES
-
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -33,18 +31,27 @@ FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)
 """
 
 
+#: Kind, pattern, group whose length counts, least length, whether base: the contract's patterns, then the added ones.
+SECRETS = (
+    ("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6, True),
+    ("access", "AKIA[A-Z0-9]+", 0, 20, True),
+    ("hex", "[0-9a-f]+", 0, 24, True),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, 1, False),
+    ("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, False),
+)
+
+
 def _matches(number: int) -> str:
-    """Spans of one rule in the texts where it matches at all."""
-    r = RULES[number]
-    p = r.pattern.replace("'", "''")
-    return f"""SELECT doc_id, {number} AS number, '{r.kind}' AS kind, {r.base} AS base,
-        (list_sum(list_transform(a[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1 : i - 1], lambda x: length(x))), 0))::BIGINT AS start,
-        length(m[i]) AS n FROM (SELECT doc_id, a, m, g, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, regexp_split_to_array(text, '{p}') AS a,
-        regexp_extract_all(text, '{p}') AS m, regexp_extract_all(text, '{p}', {r.group}) AS g FROM documents WHERE regexp_matches(text, '{p}'))) WHERE length(g[i]) >= {r.least}"""
+    """Spans of one rule: a match starts after the texts before it, which are its gaps and the earlier matches."""
+    kind, pattern, group, least, base = SECRETS[number]
+    p = pattern.replace("'", "''")
+    return f"""SELECT doc_id, {number} AS number, '{kind}' AS kind, {base} AS base, n, (sum(gap + n) OVER (PARTITION BY doc_id ORDER BY i) - n)::BIGINT AS start, kept
+        FROM (SELECT doc_id, i, length(a[i]) AS gap, length(m[i]) AS n, length(g[i]) AS kept FROM (SELECT doc_id, a, m, g, unnest(range(1, len(m) + 1)) AS i
+        FROM (SELECT doc_id, regexp_split_to_array(text, '{p}') AS a, regexp_extract_all(text, '{p}') AS m, regexp_extract_all(text, '{p}', {group}) AS g FROM documents WHERE regexp_matches(text, '{p}')))) QUALIFY kept >= {least}"""
 
 
 OP5 = f"""
-WITH s AS ({" UNION ALL ".join(_matches(i) for i in range(len(RULES)))}),
+WITH s AS ({" UNION ALL ".join(_matches(i) for i in range(len(SECRETS)))}),
 l AS (SELECT *, kind || ':' || start || ':' || (start + n) AS span FROM s),
 f AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
       string_agg(span, ',' ORDER BY start, number) FILTER (base) AS base, string_agg(span, ',' ORDER BY start, number) AS spans FROM l GROUP BY 1)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glasspane.llm import decontaminate, fingerprints, jaccard, langid, licences, linededup, mixing, pseudonyms, secretscan, toxicity
+from glasspane.llm.rows import own_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,8 +60,9 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    found, _ = secretscan.scan(docs)
-    return secretscan.by_path(docs, found)
+    ledger = secretscan.Ledger(spark, own_folder(spark, "secret-ledger"))  # a deployment names a lasting folder
+    secretscan.update(docs, ledger)
+    return secretscan.by_path(docs, ledger)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

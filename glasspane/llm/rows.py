@@ -63,6 +63,20 @@ def _file_system(spark: SparkSession, path: str):
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    files, where = _file_system(spark, path)
+    return files.exists(where)
+
+
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under the shared one, deleted when the session ends."""
+    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    files, where = _file_system(spark, path)
+    files.mkdirs(where)
+    files.deleteOnExit(where)
+    return path
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Deletes a folder that ``saved`` or ``Scratch`` wrote."""
     files, where = _file_system(spark, path)
