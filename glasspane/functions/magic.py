@@ -46,6 +46,12 @@ def be32(data: Column, offset: Column) -> Column:
     return F.conv(F.hex(F.substr(data, offset + 1, F.lit(4))), 16, 10).cast("long")
 
 
+def id3_size(data: Column) -> Column:
+    """Bytes of the ID3 tag at the start, its head of ten included; lengths have seven bits in a byte."""
+    size = [F.conv(F.hex(F.substr(data, F.lit(i), F.lit(1))), 16, 10).cast("int").bitwiseAND(0x7F) for i in (7, 8, 9, 10)]
+    return 10 + ((size[0] * 128 + size[1]) * 128 + size[2]) * 128 + size[3]
+
+
 def head_text(data: Column, n: int = 1024) -> Column:
     """The first code points as text, or null if the bytes are no UTF-8."""
     return F.left(F.try_validate_utf8(data.cast("string")), F.lit(n))
@@ -68,9 +74,7 @@ def detect(data: Column) -> Column:
     third = F.conv(F.hex(F.substr(data, F.lit(3), F.lit(1))), 16, 10).cast("int")
     frame = at(data, 0, "FF") & (second >= 0xE0) & (second.bitwiseAND(0x18) != 0x08) & (second.bitwiseAND(0x06) != 0) & (third.bitwiseAND(0xF0) != 0xF0) & (third.bitwiseAND(0x0C) != 0x0C)
     tagged = at(data, 0, _ascii("ID3"))
-    size = [F.conv(F.hex(F.substr(data, F.lit(i), F.lit(1))), 16, 10).cast("int").bitwiseAND(0x7F) for i in (7, 8, 9, 10)]
-    behind = 10 + ((size[0] * 128 + size[1]) * 128 + size[2]) * 128 + size[3]
-    flac = at(data, 0, _ascii("fLaC")) | (tagged & (F.substr(data, behind + 1, F.lit(4)) == F.unhex(F.lit(_ascii("fLaC")))))
+    flac = at(data, 0, _ascii("fLaC")) | (tagged & (F.substr(data, id3_size(data) + 1, F.lit(4)) == F.unhex(F.lit(_ascii("fLaC")))))
     dib = le32(data, F.lit(14)).isin(12, 40, 52, 56, 64, 108, 124)
     bmp = at(data, 0, _ascii("BM")) & dib & ((le32(data, F.lit(2)) == 0) | (le32(data, F.lit(2)) <= F.octet_length(data)))
     return (

@@ -11,17 +11,40 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glasspane.functions.magic import be32, le32
+from glasspane.functions.magic import be32, id3_size, le32
 from glasspane.functions.text import shown
 
-#: Chunks followed in one file, and bytes of one chunk.
-MOST_CHUNKS, MOST_BYTES = 4096, 64 << 20
+#: Chunks followed in one file (more are an error), blocks of a FLAC file, and bytes of one chunk.
+MOST_CHUNKS, MOST_BLOCKS, MOST_BYTES = 100_000, 10_000, 64 << 20
+#: Items that a fold gathers before they go to a list of lists, so that it does not copy all at each step.
+GATHERED = 256
 #: PNG chunks that an image needs.
 PNG_KEPT = ("IHDR", "PLTE", "IDAT", "IEND", "tRNS", "gAMA", "cHRM", "sRGB")
 _CHUNK = "array<struct<tag:string,start:bigint,size:bigint>>"
 
 
-def _walk(data: Column, first: int, head: int, read: Callable[[Column, Column], tuple[Column, Column, Column]], last: str | None) -> Column:
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _gather(state: Column, item: Column) -> Column:
+    """A fold's state (full: lists of ``GATHERED`` items, open: the next ones) with one item more."""
+    room = F.size(state["open"]) < GATHERED
+    full = F.when(room, state["full"]).otherwise(F.concat(state["full"], F.array(state["open"])))
+    return F.struct(full.alias("full"), F.when(room, F.concat(state["open"], F.array(item))).otherwise(F.array(item)).alias("open"))
+
+
+def _nothing(kind: str) -> Column:
+    none = F.array().cast(kind)
+    return F.struct(F.array().cast(f"array<{kind}>").alias("full"), none.alias("open"))
+
+
+def _all_of(state: Column) -> Column:
+    return F.flatten(F.concat(state["full"], F.array(state["open"])))
+
+
+def _walk(data: Column, first: int | Column, head: int, read: Callable[[Column, Column], tuple[Column, Column, Column]], last: str | None, most: int = MOST_CHUNKS) -> Column:
     """``chunks`` (tag, start of the body from 0, size) and ``error``; ``read`` gives tag, size and bytes to the next chunk."""
     end = F.octet_length(data)
 
@@ -34,18 +57,21 @@ def _walk(data: Column, first: int, head: int, read: Callable[[Column, Column],
         done = over | fault.isNotNull()
         after = F.struct(
             F.when(done, at).otherwise(at + advance).alias("at"),
-            F.when(done, s["chunks"]).otherwise(F.concat(s["chunks"], F.array(chunk))).alias("chunks"),
+            F.when(done, s["got"]).otherwise(_gather(s["got"], chunk)).alias("got"),
             F.when(over, s["error"]).otherwise(fault).alias("error"),
             (done | (F.lit(last is not None) & (tag == (last or "")))).alias("over"),
         )
         return F.when(s["over"], s).otherwise(after)
 
-    none = F.array().cast(_CHUNK)
-    start = F.struct(F.lit(first).cast("long").alias("at"), none.alias("chunks"), F.lit(None).cast("string").alias("error"), F.lit(False).alias("over"))
-    steps = F.sequence(F.lit(1), F.least(F.lit(MOST_CHUNKS), (end / head).cast("int") + 1))
-    out = F.aggregate(steps, start, step)
-    fault = F.when(out["error"].isNotNull(), out["error"]).when(F.size(out["chunks"]) == 0, "no chunks").when(~out["over"] & (out["at"] < end), "too many chunks")
-    return F.struct(out["chunks"].alias("chunks"), fault.alias("error"))
+    first = first if isinstance(first, Column) else F.lit(first)
+    start = F.struct(first.cast("long").alias("at"), _nothing(_CHUNK).alias("got"), F.lit(None).cast("string").alias("error"), F.lit(False).alias("over"))
+    steps = F.sequence(F.lit(1), F.least(F.lit(most), (end / head).cast("int") + 1))
+
+    def finish(s: Column) -> Column:
+        fault = lambda got: F.when(s["error"].isNotNull(), s["error"]).when(F.size(got) == 0, "no chunks").when(~s["over"] & (s["at"] < end), "too many chunks")
+        return let(_all_of(s["got"]), lambda got: F.struct(got.alias("chunks"), fault(got).alias("error")))
+
+    return F.aggregate(steps, start, step, finish)
 
 
 def png_chunks(data: Column) -> Column:
@@ -66,17 +92,53 @@ def riff_chunks(data: Column, first: int = 12) -> Column:
     return _walk(data, first, 8, read, None)
 
 
+def flac_start(data: Column) -> Column:
+    """Bytes of an ID3 tag before the stream's mark; a reader of the stream alone would miss it."""
+    return F.when(F.substr(data, F.lit(1), F.lit(3)) == F.lit("ID3").cast("binary"), id3_size(data)).otherwise(0)
+
+
 def flac_blocks(data: Column) -> Column:
-    """Metadata blocks of a FLAC file, named by their type number; the audio frames are skipped."""
+    """Metadata blocks of a FLAC file, named by their type number; the audio frames are skipped.
+
+    A chain of which no block is marked as the last is an error.
+    """
 
     def read(d: Column, at: Column) -> tuple[Column, Column, Column]:
         word = be32(d, at.cast("int"))
         size = F.pmod(word, F.lit(1 << 24))
         kind = F.pmod((word / (1 << 24)).cast("long"), F.lit(128)).cast("string")
         stop = word >= (1 << 31)
-        return kind, size, F.when(stop, F.greatest(F.octet_length(d) - at, size + 4)).otherwise(size + 4)
+        return kind, size, F.when(stop & (at + size + 4 <= F.octet_length(d)), F.octet_length(d) - at).otherwise(size + 4)
+
+    def closed(walk: Column) -> Column:
+        end = F.try_element_at(walk["chunks"], F.lit(-1))
+        open_end = F.hex(F.substr(data, (end["start"] - 3).cast("int"), F.lit(1))) < "80"
+        return F.struct(walk["chunks"].alias("chunks"), F.coalesce(walk["error"], F.when(open_end, "no last block")).alias("error"))
+
+    return let(_walk(data, flac_start(data) + 4, 4, read, None, MOST_BLOCKS), closed)
+
+
+#: Types of FLAC blocks.
+FLAC_PLAIN, FLAC_APPLICATION, FLAC_COMMENT, FLAC_CUES, FLAC_PICTURE = ("0", "1", "3"), "2", "4", "5", "6"
+
+
+def flac_cleaned(data: Column) -> Column:
+    """Telling blocks become padding of the same size and a tag before the stream goes; null where the file is broken."""
+    skip = flac_start(data)
+
+    def part(c: Column) -> Column:
+        at = c["start"] - 4
+        same = F.substr(data, (at + 1).cast("int"), (c["size"] + 4).cast("int"))
+        mark = F.when(F.hex(F.substr(same, F.lit(1), F.lit(1))) >= "80", F.unhex(F.lit("81"))).otherwise(F.unhex(F.lit("01")))
+        blank = F.concat(mark, F.substr(same, F.lit(2), F.lit(3)), F.unhex(F.repeat(F.lit("00"), c["size"].cast("int"))))
+        return F.when(c["tag"].isin(FLAC_APPLICATION, FLAC_COMMENT, FLAC_PICTURE), blank).otherwise(same)
+
+    def whole(walk: Column) -> Column:
+        end = F.try_element_at(walk["chunks"], F.lit(-1))
+        sound = F.substr(data, (end["start"] + end["size"] + 1).cast("int"), F.octet_length(data))
+        return F.when(walk["error"].isNull(), F.concat(F.substr(data, (skip + 1).cast("int"), F.lit(4)), _join_bytes(F.transform(walk["chunks"], part)), sound))
 
-    return _walk(data, 4, 4, read, None)
+    return let(flac_blocks(data), whole)
 
 
 def stanzas(data: Column, first: int = 0) -> Column:
@@ -92,10 +154,12 @@ def stanzas(data: Column, first: int = 0) -> Column:
 
 def tlv_fields(data: Column) -> Column:
     """Fields (tag in hex, start, size) of a strict record: tags must ascend; an error says where they do not."""
-    walk = stanzas(data)
-    tags = F.transform(walk["chunks"], lambda c: c["tag"])
-    ascending = F.forall(F.zip_with(tags, F.slice(tags, 2, MOST_CHUNKS), lambda a, b: b.isNull() | (a < b)), lambda x: x)
-    return F.struct(walk["chunks"].alias("fields"), F.coalesce(walk["error"], F.when(~ascending, "tags out of order")).alias("error"))
+    def strict(walk: Column) -> Column:
+        tags = F.transform(walk["chunks"], lambda c: c["tag"])
+        ascending = F.forall(F.zip_with(tags, F.slice(tags, 2, MOST_CHUNKS), lambda a, b: b.isNull() | (a < b)), lambda x: x)
+        return F.struct(walk["chunks"].alias("fields"), F.coalesce(walk["error"], F.when(~ascending, "tags out of order")).alias("error"))
+
+    return let(stanzas(data), strict)
 
 
 def body(data: Column, chunk: Column, most: int | None = None) -> Column:
@@ -125,15 +189,17 @@ def png_findings(data: Column) -> Column:
 
 
 def _join_bytes(parts: Column) -> Column:
-    return F.aggregate(parts, F.lit("").cast("binary"), lambda a, x: F.concat(a, x))
+    return F.unhex(F.array_join(F.transform(parts, lambda x: F.hex(x)), ""))
 
 
 def png_cleaned(data: Column) -> Column:
     """The file with the needed chunks alone, copied byte for byte; null where it is broken."""
-    walk = png_chunks(data)
-    kept = F.filter(walk["chunks"], lambda c: c["tag"].isin(*PNG_KEPT))
-    whole = F.transform(kept, lambda c: F.substr(data, (c["start"] - 7).cast("int"), (c["size"] + 12).cast("int")))
-    return F.when(walk["error"].isNull(), F.concat(F.substr(data, F.lit(1), F.lit(8)), _join_bytes(whole)))
+    def whole(walk: Column) -> Column:
+        kept = F.filter(walk["chunks"], lambda c: c["tag"].isin(*PNG_KEPT))
+        parts = F.transform(kept, lambda c: F.substr(data, (c["start"] - 7).cast("int"), (c["size"] + 12).cast("int")))
+        return F.when(walk["error"].isNull(), F.concat(F.substr(data, F.lit(1), F.lit(8)), _join_bytes(parts)))
+
+    return let(png_chunks(data), whole)
 
 
 def riff_info(data: Column) -> Column:
@@ -144,17 +210,48 @@ def riff_info(data: Column) -> Column:
         inner = body(data, c)
         return F.transform(riff_chunks(inner, 4)["chunks"], lambda x: F.struct(x["tag"].alias("tag"), _z_text(body(inner, x)).alias("value")))
 
-    return F.filter(F.flatten(F.transform(lists, fields)), lambda x: F.startswith(x["tag"], F.lit("I")))
+    return F.flatten(F.transform(lists, fields))
 
 
 #: RIFF chunks that tell about people and devices; their place is kept when they go.
-RIFF_REMOVED = ("LIST", "bext", "iXML", "_PMX", "aXML", "id3 ", "ID3 ")
+RIFF_REMOVED = ("LIST", "bext", "iXML", "_PMX", "aXML", "id3 ", "ID3 ", "cset")
+#: Chunks of a sound file that say how it sounds; fields of a broadcast chunk: name, offset, length, kind, severity.
+WAV_KEPT = ("fmt ", "data", "fact", "cue ", "smpl", "inst", "plst", "PEAK", "JUNK", "PAD ")
+BEXT = (
+    ("description", 0, 256, "comment", 2), ("originator", 256, 32, "author", 2), ("reference", 288, 32, "device", 2),
+    ("date", 320, 10, "timestamp", 1), ("time", 330, 8, "timestamp", 1), ("history", 602, 1 << 30, "software", 1),
+)
+
+
+def wav_findings(data: Column) -> Column:
+    """Findings of a sound file: broadcast fields, tags, XML, INFO fields, and every chunk that sound does not need."""
+    item = lambda kind, place, value, severity: F.struct(F.lit(kind).alias("kind"), place.alias("location"), value.alias("value"), F.lit(severity).alias("severity"))
+    walk = riff_chunks(data)["chunks"]
+
+    def of(c: Column) -> Column:
+        b, tag, size = body(data, c), c["tag"], F.concat(c["size"].cast("string"), F.lit(" bytes"))
+        field = lambda at, n: F.trim(_z_text(F.substr(b, F.lit(at + 1), F.lit(n))))
+        bext = [F.when((tag == "bext") & (F.coalesce(field(at, n), F.lit("?")) != ""), item(kind, F.lit(f"WAV:bext/{name}"), field(at, n), severity)) for name, at, n, kind, severity in BEXT]
+        umid = (tag == "bext") & F.rlike(F.hex(F.substr(b, F.lit(339), F.lit(64))), F.lit("[^0]"))
+        xml = tag.isin("iXML", "_PMX", "aXML") & F.rlike(F.regexp_replace(F.decode(b, "ISO-8859-1"), "<[^>]*>", ""), F.lit(r"[^\s\x00]"))
+        info = (tag == "LIST") & (F.substr(b, F.lit(1), F.lit(4)) == F.lit("INFO").cast("binary"))
+        other = ~tag.isin(*WAV_KEPT, *RIFF_REMOVED[1:7]) & ~info
+        return F.array_compact(F.array(
+            *bext, F.when(umid, item("device", F.lit("WAV:bext/UMID"), F.lit(None).cast("string"), 2)),
+            F.when(tag.isin("id3 ", "ID3 "), item("unknown extension", F.lit("WAV:id3"), size, 1)),
+            F.when(xml, item("comment", F.concat(F.lit("WAV:"), F.trim(tag)), size, 2)),
+            F.when(other, item("unknown extension", F.concat(F.lit("WAV:"), tag), size, 0)),
+        ))
+
+    from glasspane.operators.findings import RIFF_INFO, named
+
+    info = F.transform(named(riff_info(data), "tag", "WAV", RIFF_INFO), lambda f: F.struct(f["kind"].alias("kind"), f["location"].alias("location"), f["value"].alias("value"), f["severity"].alias("severity")))
+    every = F.concat(F.flatten(F.transform(walk, of)), info)
+    return F.transform(every, lambda f, i: F.struct(i.alias("ord"), f["kind"].alias("kind"), f["location"].alias("location"), shown(f["value"]).alias("value"), f["severity"].alias("severity")))
 
 
 def riff_cleaned(data: Column) -> Column:
     """The file with telling chunks overwritten by JUNK of the same length, so no offset moves; null where it is broken."""
-    walk = riff_chunks(data)
-
     def part(c: Column) -> Column:
         telling = c["tag"].isin(*RIFF_REMOVED[1:]) | ((c["tag"] == "LIST") & (F.substr(data, (c["start"] + 1).cast("int"), F.lit(4)) == F.lit("INFO").cast("binary")))
         size = F.least(c["size"] + F.pmod(c["size"], F.lit(2)), F.octet_length(data) - c["start"]).cast("int")
@@ -162,28 +259,62 @@ def riff_cleaned(data: Column) -> Column:
         blank = F.unhex(F.repeat(F.lit("00"), size))
         return F.when(telling, F.concat(F.lit("JUNK").cast("binary"), F.substr(data, (c["start"] - 3).cast("int"), F.lit(4)), blank)).otherwise(same)
 
-    return F.when(walk["error"].isNull(), F.concat(F.substr(data, F.lit(1), F.lit(12)), _join_bytes(F.transform(walk["chunks"], part))))
+    whole = lambda walk: F.when(walk["error"].isNull(), F.concat(F.substr(data, F.lit(1), F.lit(12)), _join_bytes(F.transform(walk["chunks"], part))))
+    return let(riff_chunks(data), whole)
 
 
 def vorbis_comments(block: Column) -> Column:
-    """``vendor`` and ``entries`` (key, value) of a comment block; repeats and order stay, no '=' means an empty key."""
+    """``vendor``, ``entries`` (key, value) and ``whole`` of a comment block; repeats and order stay, no '=' means an empty key.
+
+    ``whole`` is false where the block is cut short or says it has more entries than it has.
+    """
     size = le32(block, F.lit(0))
     vendor = F.substr(block, F.lit(5), size.cast("int")).cast("string")
     count = le32(block, (size + 4).cast("int"))
-    none = F.array().cast("array<string>")
+    most = F.least(F.coalesce(count, F.lit(0)), (F.octet_length(block) / 4).cast("long"))  # the count is untrusted: no more steps than there is room for
 
     def step(s: Column, _: Column) -> Column:
         n = le32(block, s["at"].cast("int"))
         good = (s["at"] + 4 <= F.octet_length(block)) & (s["at"] + 4 + n <= F.octet_length(block))
         text = F.substr(block, (s["at"] + 5).cast("int"), n.cast("int")).cast("string")
-        return F.struct(F.when(good, s["at"] + 4 + n).otherwise(F.octet_length(block).cast("long")).alias("at"), F.when(good, F.concat(s["all"], F.array(text))).otherwise(s["all"]).alias("all"))
+        return F.struct(F.when(good, s["at"] + 4 + n).otherwise(F.octet_length(block).cast("long") + 1).alias("at"), F.when(good, _gather(s["got"], text)).otherwise(s["got"]).alias("got"))
 
-    # the count is untrusted: no more steps than the block has room for
-    steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.coalesce(count, F.lit(0)), (F.octet_length(block) / 4).cast("long"), F.lit(MOST_CHUNKS).cast("long")).cast("int")))
-    texts = F.aggregate(steps, F.struct((size + 8).alias("at"), none.alias("all")), step)["all"]
-    texts = F.when(F.coalesce(count, F.lit(0)) > 0, texts).otherwise(none)
+    steps = F.sequence(F.lit(1), F.greatest(F.lit(1), most.cast("int")))
+    texts = F.aggregate(steps, F.struct((size + 8).alias("at"), _nothing("array<string>").alias("got")), step, lambda s: _all_of(s["got"]))
+    texts = F.when(F.coalesce(count, F.lit(0)) > 0, texts).otherwise(F.array().cast("array<string>"))
     pair = lambda t: F.struct(F.when(F.contains(t, F.lit("=")), F.substring_index(t, "=", 1)).otherwise("").alias("key"), F.when(F.contains(t, F.lit("=")), F.substr(t, F.locate("=", t) + 1)).otherwise(t).alias("value"))  # noqa: E731,E501
-    return F.struct(vendor.alias("vendor"), F.transform(texts, pair).alias("entries"))
+    whole = lambda got: F.coalesce((size + 8 <= F.octet_length(block)) & (F.size(got) == count), F.lit(False))
+    return let(texts, lambda got: F.struct(vendor.alias("vendor"), F.transform(got, pair).alias("entries"), whole(got).alias("whole")))
+
+
+def flac_findings(data: Column) -> Column:
+    """Findings of a FLAC file: a tag before the stream, comments with their writer, pictures, and every block that sound does not need."""
+    from glasspane.operators.findings import VORBIS, named
+
+    item = lambda kind, place, value, severity: F.struct(F.lit(kind).alias("kind"), place.alias("location"), value.alias("value"), F.lit(severity).alias("severity"))
+    skip = flac_start(data)
+    bytes_of = lambda n: F.concat(n.cast("string"), F.lit(" bytes"))
+    before = F.array_compact(F.array(F.when(skip > 0, item("unknown extension", F.lit("FLAC:ID3v2"), bytes_of(skip), 2))))
+
+    def told_by(c: Column, v: Column) -> Column:
+        tag, size = c["tag"], bytes_of(c["size"])
+        comment = tag == FLAC_COMMENT
+        mine = F.array_compact(F.array(
+            F.when(comment & (v["vendor"] != ""), item("software", F.lit("FLAC:vendor"), v["vendor"], 1)),
+            F.when(comment & ~v["whole"], item("unknown extension", F.lit("FLAC:comments"), F.lit("not readable"), 1)),
+            F.when(tag == FLAC_PICTURE, item("embedded preview", F.lit("FLAC:picture"), size, 2)),
+            F.when(tag == FLAC_APPLICATION, item("unknown extension", F.lit("FLAC:application"), F.concat(F.coalesce(_z_text(body(data, c, 4)), F.lit("?")), F.lit(", "), size), 2)),
+            F.when(tag == FLAC_CUES, item("comment", F.lit("FLAC:cue sheet"), size, 1)),
+            F.when(~tag.isin(*FLAC_PLAIN, FLAC_APPLICATION, FLAC_COMMENT, FLAC_CUES, FLAC_PICTURE), item("unknown extension", F.concat(F.lit("FLAC:block "), tag), size, 1)),
+        ))
+        entries = F.when(comment, v["entries"]).otherwise(F.slice(v["entries"], 1, 0))
+        # an embedded picture is shown by its size, not by its bytes in base64
+        shown_of = lambda f: F.when(f["kind"] == "embedded preview", F.concat(F.length(f["value"]).cast("string"), F.lit(" characters"))).otherwise(f["value"])
+        told = F.transform(named(entries, "key", "FLAC", VORBIS), lambda f: F.struct(f["kind"].alias("kind"), f["location"].alias("location"), shown_of(f).alias("value"), f["severity"].alias("severity")))
+        return F.concat(mine, told)
+
+    every = F.concat(before, F.flatten(F.transform(flac_blocks(data)["chunks"], lambda c: let(vorbis_comments(F.when(c["tag"] == FLAC_COMMENT, body(data, c)).otherwise(F.unhex(F.lit("0000000000000000")))), lambda v: told_by(c, v)))))
+    return F.transform(every, lambda f, i: F.struct(i.alias("ord"), f["kind"].alias("kind"), f["location"].alias("location"), shown(f["value"]).alias("value"), f["severity"].alias("severity")))
 
 
 #: Byte patterns of a PDF and what they tell.
@@ -193,8 +324,27 @@ PDF_FLAGS = (
 )
 
 
+#: What hides values from a reader of plain bytes: packed objects, encryption, names in hex.
+PDF_HIDDEN = r"/ObjStm\b|/XRef\b|/Encrypt\b|/[A-Za-z0-9]*#[0-9A-Fa-f]{2}"
+
+
+def pdf_open(data: Column) -> Column:
+    """Whether all objects of a PDF stand in the clear; of others nothing can be said."""
+    return ~F.rlike(F.decode(data, "ISO-8859-1"), F.lit(PDF_HIDDEN))
+
+
+def pdf_fault(data: Column) -> Column:
+    """Why a PDF is broken, or null."""
+    text = F.decode(data, "ISO-8859-1")
+    return F.when(~F.contains(text, F.lit("endobj")), "no object").when(~F.contains(text, F.lit("%%EOF")), "no end mark")
+
+
 def pdf_findings(data: Column) -> Column:
-    """Findings that plain byte patterns of a PDF show: flags, information fields in the clear, and an edit history."""
+    """Findings that the bytes of an open PDF show: flags, information fields, XMP, and an edit history.
+
+    A field's value is a text in brackets (nested ones must be escaped), one in hex,
+    or somewhere else (then it is not shown); a field with an empty value tells nothing.
+    """
     text = F.decode(data, "ISO-8859-1")
     finding = lambda kind, place, value, severity: F.struct(F.lit(kind).alias("kind"), F.lit(f"PDF:{place}").alias("location"), shown(value).alias("value"), F.lit(severity).alias("severity"))  # noqa: E731,E501
     from glasspane.operators.findings import PDF_INFO
@@ -202,9 +352,14 @@ def pdf_findings(data: Column) -> Column:
     out = []
     for (kind, severity), names in PDF_INFO.items():
         for name in names:
-            value = F.regexp_extract(text, f"/{name}\\s*\\(([^)]*)\\)", 1)
-            out.append(F.when(value != "", finding(kind, name, value, severity)))
+            there = F.regexp_extract(text, f"/{name}(?![A-Za-z0-9])\\s*+(?!\\(\\)|<>)(.)", 1) != ""
+            plain = F.nullif(F.regexp_extract(text, f"/{name}\\s*\\(((?:[^()\\\\]|\\\\.)+)\\)", 1), F.lit(""))
+            digits = F.regexp_replace(F.regexp_extract(text, f"/{name}\\s*<([0-9A-Fa-f\\s]+)>", 1), r"\s", "")
+            wide = F.startswith(F.upper(digits), F.lit("FEFF"))
+            of_hex = F.when(wide, F.decode(F.unhex(F.substr(digits, F.lit(5))), "UTF-16BE")).when(digits != "", F.decode(F.unhex(digits), "ISO-8859-1"))
+            out.append(F.when(there, finding(kind, name, F.coalesce(plain, of_hex), severity)))
     none = F.lit(None).cast("string")
+    out.append(F.when(F.rlike(text, F.lit(r"<x:xmpmeta|<\?xpacket|/Metadata(?![A-Za-z0-9])")), finding("author", "XMP", none, 2)))
     out += [F.when(F.contains(text, F.lit(p)), finding(kind, place, none, severity)) for p, place, kind, severity in PDF_FLAGS]
     ends = F.regexp_count(text, F.lit("%%EOF"))
     out.append(F.when(ends > 1, finding("tracked change", "history", F.concat(ends.cast("string"), F.lit(" revisions")), 2)))
@@ -212,7 +367,7 @@ def pdf_findings(data: Column) -> Column:
 
 
 def pdf_revisions(data: Column, most: int = 64) -> Column:
-    """End (bytes) of each revision: after every %%EOF and the line break behind it."""
+    """End (bytes) of each revision, of the first ``most``: after every %%EOF and the line break behind it."""
     text = F.decode(data, "ISO-8859-1")
     parts = F.slice(F.split(text, "(?<=%%EOF(?:\\r\\n|\\r(?!\\n)|\\n|(?![\\r\\n])))", -1), 1, most)
     ends = F.filter(parts, lambda p: F.contains(p, F.lit("%%EOF")))

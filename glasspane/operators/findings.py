@@ -23,8 +23,10 @@ def worst_first(findings: DataFrame, artifact: str = "artifact_id") -> DataFrame
 
 def critical_summary(findings: DataFrame, artifact: str = "artifact_id", most: int = 3) -> DataFrame:
     """Of each artifact: whether any finding is critical, and the first distinct critical kinds."""
-    kinds = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.col("severity") == 2, F.struct("ord", "kind")))), lambda x: x["kind"]))
-    got = findings.groupBy(artifact).agg(F.bool_or(F.col("severity") == 2).alias("critical"), kinds.alias("kinds"))
+    # one row for each kind first: an artifact's list is never longer than there are kinds
+    first = findings.groupBy(artifact, "kind").agg(F.min(F.when(F.col("severity") == 2, F.col("ord"))).alias("ord"))
+    kinds = F.transform(F.array_sort(F.collect_list(F.when(F.col("ord").isNotNull(), F.struct("ord", "kind")))), lambda x: x["kind"])
+    got = first.groupBy(artifact).agg(F.max(F.col("ord").isNotNull()).alias("critical"), kinds.alias("kinds"))
     return got.select(artifact, "critical", F.array_join(F.slice("kinds", 1, most), ",").alias("kinds"), (F.size("kinds") > most).alias("more"))
 
 
@@ -77,6 +79,19 @@ PDF_INFO = {
 }
 
 
+def named(entries: Column, tag: str, place: str, table: dict) -> Column:
+    """Findings of (tag, value) entries by a fixed table of kinds; other entries are comments."""
+
+    def one(e: Column, i: Column) -> Column:
+        upper = F.upper(e[tag])
+        kind, severity = F.lit("comment"), F.lit(1)
+        for (k, s), names in table.items():
+            kind, severity = F.when(upper.isin(*names), k).otherwise(kind), F.when(upper.isin(*names), s).otherwise(severity)
+        return F.struct(i.alias("ord"), kind.alias("kind"), F.concat(F.lit(f"{place}:"), e[tag]).alias("location"), e["value"].alias("value"), severity.alias("severity"))
+
+    return F.transform(entries, one)
+
+
 def rule_table(spark, table: dict) -> DataFrame:
     rows = ", ".join(f"('{k}', '{kind}', {severity})" for (kind, severity), keys in table.items() for k in keys)
     return spark.sql(f"SELECT * FROM VALUES {rows} AS t(key, kind, severity)")

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from glasspane.functions.magic import le32
 from glasspane.functions.text import shown
-from glasspane.operators.chunks import _join_bytes, _walk, body, riff_chunks
+from glasspane.operators.chunks import _join_bytes, _walk, body, let, riff_chunks
 
 #: JPEG segments that an image needs (frames, tables, restarts, scan), by the second marker byte.
 JPEG_KEPT = ("C0", "C1", "C2", "C3", "C4", "C5", "C6", "C7", "C9", "CA", "CB", "CD", "CE", "CF", "DB", "DD", "DA")
 #: Telling chunks of WebP: kind and severity; bits of the feature byte that announce them.
 WEBP_TELLING = (("EXIF", "device", 1), ("XMP ", "author", 2), ("ICCP", "color profile", 0))
+WEBP_KEPT = ("VP8 ", "VP8L", "VP8X", "ALPH", "ANIM", "ANMF")
 WEBP_BITS = 0x20 | 0x08 | 0x04
 #: Colour spaces of a BMP header ("MBED" embedded, "LINK" linked profile).
 EMBEDDED, LINKED = 0x4D424544, 0x4C494E4B
@@ -69,19 +70,22 @@ def jpeg_findings(data: Column) -> Column:
 
 def jpeg_cleaned(data: Column) -> Column:
     """The needed segments and the scan, byte for byte; null where the file is broken."""
-    walk = jpeg_segments(data)
-    kept = F.filter(walk["chunks"], lambda c: c["tag"].isin(*JPEG_KEPT))
-    parts = F.transform(kept, lambda c: F.substr(data, (c["start"] - 3).cast("int"), (c["size"] + 4).cast("int")))
-    last = F.try_element_at(walk["chunks"], F.lit(-1))
-    scan = F.substr(data, (last["start"] + last["size"] + 1).cast("int"), F.octet_length(data))
-    return F.when(walk["error"].isNull() & (last["tag"] == "DA"), F.concat(F.substr(data, F.lit(1), F.lit(2)), _join_bytes(parts), scan))
+    def whole(walk: Column) -> Column:
+        kept = F.filter(walk["chunks"], lambda c: c["tag"].isin(*JPEG_KEPT))
+        parts = F.transform(kept, lambda c: F.substr(data, (c["start"] - 3).cast("int"), (c["size"] + 4).cast("int")))
+        last = F.try_element_at(walk["chunks"], F.lit(-1))
+        scan = F.substr(data, (last["start"] + last["size"] + 1).cast("int"), F.octet_length(data))
+        return F.when(walk["error"].isNull() & (last["tag"] == "DA"), F.concat(F.substr(data, F.lit(1), F.lit(2)), _join_bytes(parts), scan))
+
+    return let(jpeg_segments(data), whole)
 
 
 def webp_findings(data: Column) -> Column:
-    chunks = F.filter(riff_chunks(data)["chunks"], lambda c: c["tag"].isin(*[t for t, _, _ in WEBP_TELLING]))
+    """Findings of the chunks that an image does not need; those of unknown names are extensions."""
+    chunks = F.filter(riff_chunks(data)["chunks"], lambda c: ~c["tag"].isin(*WEBP_KEPT))
 
     def of(c: Column, i: Column) -> Column:
-        kind, severity = F.lit(None).cast("string"), F.lit(None).cast("int")
+        kind, severity = F.lit("unknown extension"), F.lit(0)
         for tag, k, s in WEBP_TELLING:
             kind, severity = F.when(c["tag"] == tag, k).otherwise(kind), F.when(c["tag"] == tag, s).otherwise(severity)
         return _finding(i, kind, F.concat(F.lit("WebP:"), F.rtrim(c["tag"])), F.concat(c["size"].cast("string"), F.lit(" bytes")), severity)
@@ -96,8 +100,6 @@ def _le(n: Column) -> Column:
 
 def webp_cleaned(data: Column) -> Column:
     """Without telling chunks, their feature bits cleared and the size set anew; null where the file is broken."""
-    walk = riff_chunks(data)
-
     def part(c: Column) -> Column:
         b = body(data, c)
         first = F.conv(F.hex(F.substr(b, F.lit(1), F.lit(1))), 16, 10).cast("int").bitwiseAND(255 - WEBP_BITS)
@@ -105,8 +107,15 @@ def webp_cleaned(data: Column) -> Column:
         pad = F.when(F.pmod(c["size"], F.lit(2)) == 1, F.unhex(F.lit("00"))).otherwise(F.unhex(F.lit("")))
         return F.concat(c["tag"].cast("binary"), _le(c["size"]), b, pad)
 
-    rest = _join_bytes(F.transform(F.filter(walk["chunks"], lambda c: ~c["tag"].isin(*[t for t, _, _ in WEBP_TELLING])), part))
-    return F.when(walk["error"].isNull(), F.concat(F.lit("RIFF").cast("binary"), _le(F.octet_length(rest) + 4), F.lit("WEBP").cast("binary"), rest))
+    kept = lambda walk: F.filter(walk["chunks"], lambda c: ~c["tag"].isin(*[t for t, _, _ in WEBP_TELLING]))
+    headed = lambda rest: F.concat(F.lit("RIFF").cast("binary"), _le(F.octet_length(rest) + 4), F.lit("WEBP").cast("binary"), rest)
+    return let(riff_chunks(data), lambda walk: F.when(walk["error"].isNull(), let(_join_bytes(F.transform(kept(walk), part)), headed)))
+
+
+def bmp_fault(data: Column) -> Column:
+    """Why a BMP is broken, or null: its head or its picture reaches beyond the end."""
+    end = F.octet_length(data)
+    return F.when(end < 14 + le32(data, F.lit(14)), "truncated head").when(le32(data, F.lit(10)) + F.coalesce(le32(data, F.lit(34)), F.lit(0)) > end, "truncated picture")
 
 
 def bmp_tail(data: Column) -> Column:

@@ -10,35 +10,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glasspane.functions import magic, verdicts
-from glasspane.operators import chunks, findings, images
+from glasspane.operators import chunks, images
 
 _FINDINGS = "array<struct<ord:int,kind:string,location:string,value:string,severity:int>>"
 
 
-def _named(entries: Column, tag: str, place: str, table: dict) -> Column:
-    """Findings of (tag, value) entries by a fixed table of kinds; other entries are comments."""
-
-    def one(e: Column, i: Column) -> Column:
-        upper = F.upper(e[tag])
-        kind, severity = F.lit("comment"), F.lit(1)
-        for (k, s), names in table.items():
-            kind, severity = F.when(upper.isin(*names), k).otherwise(kind), F.when(upper.isin(*names), s).otherwise(severity)
-        return F.struct(i.alias("ord"), kind.alias("kind"), F.concat(F.lit(f"{place}:"), e[tag]).alias("location"), e["value"].alias("value"), severity.alias("severity"))
-
-    return F.transform(entries, one)
-
-
-def _flac_findings(data: Column) -> Column:
-    blocks = F.filter(chunks.flac_blocks(data)["chunks"], lambda c: c["tag"] == "4")
-    entries = F.flatten(F.transform(blocks, lambda c: chunks.vorbis_comments(chunks.body(data, c))["entries"]))
-    return _named(entries, "key", "FLAC", findings.VORBIS)
-
-
 def findings_of(form: Column, data: Column) -> Column:
     """Findings by format; null for a format that is not read."""
     readers = {
         "PNG": chunks.png_findings(data), "JPEG": images.jpeg_findings(data), "WebP": images.webp_findings(data), "BMP": images.bmp_findings(data),
-        "PDF": chunks.pdf_findings(data), "WAV": _named(chunks.riff_info(data), "tag", "WAV", findings.RIFF_INFO), "FLAC": _flac_findings(data),
+        "PDF": chunks.pdf_findings(data), "WAV": chunks.wav_findings(data), "FLAC": chunks.flac_findings(data),
     }
     out = F.lit(None).cast(_FINDINGS)
     for name, found in readers.items():
@@ -54,14 +35,21 @@ def fault_of(form: Column, data: Column) -> Column:
         .when(form == "JPEG", images.jpeg_segments(data)["error"])
         .when(form.isin("WAV", "WebP"), riff)
         .when(form == "FLAC", chunks.flac_blocks(data)["error"])
+        .when(form == "BMP", images.bmp_fault(data))
+        .when(form == "PDF", chunks.pdf_fault(data))
     )
 
 
 def inspected(files: DataFrame) -> DataFrame:
-    """Adds format, hint, understood, error, findings and the verdict on a received file."""
+    """Adds format, hint, understood, error, findings and the verdict on a received file.
+
+    A PDF with packed or encrypted objects is not understood: its bytes do not show what it tells.
+    """
     data = F.col("content")
     got = files.withColumn("format", magic.detect(data)).withColumn("error", fault_of(F.col("format"), data))
-    got = got.withColumns({"hint": magic.hint(data), "understood": magic.understood(F.col("format")), "findings": F.when(F.col("error").isNull(), findings_of(F.col("format"), data))})
+    understood = magic.understood(F.col("format")) & ((F.col("format") != "PDF") | chunks.pdf_open(data))
+    got = got.withColumns({"hint": magic.hint(data), "understood": F.coalesce(understood, F.lit(False))})
+    got = got.withColumn("findings", F.when(F.col("error").isNull() & F.col("understood"), findings_of(F.col("format"), data)))
     verdict = verdicts.received(F.col("understood"), F.coalesce(F.size("findings"), F.lit(0)), F.col("error").isNull())
     return got.withColumn("verdict", verdict)
 
@@ -69,13 +57,17 @@ def inspected(files: DataFrame) -> DataFrame:
 def cleaned(files: DataFrame) -> DataFrame:
     """Adds outcome (complete, partial, unknown, malformed), the bytes after cleaning and the verdict.
 
-    A BMP with a profile and every PDF are cleaned in part only; the bytes of
-    what is not understood or broken stay as they are.
+    A BMP with a profile, a FLAC file with a cue sheet or blocks of unknown types,
+    a WAV or WebP file with chunks of unknown names, and every PDF with findings
+    are cleaned in part only; the bytes of what is not understood or broken stay
+    as they are.
     """
     data, form = F.col("content"), F.col("format")
     got = inspected(files).drop("verdict")
-    new = F.when(form == "PNG", chunks.png_cleaned(data)).when(form == "JPEG", images.jpeg_cleaned(data)).when(form == "WebP", images.webp_cleaned(data)).when(form == "WAV", chunks.riff_cleaned(data)).when(form == "BMP", images.bmp_cleaned(data))
-    partial = (form.isin("PDF", "FLAC")) | ((form == "BMP") & F.exists("findings", lambda f: f["location"] == "BMP:profile"))
+    new = F.when(form == "PNG", chunks.png_cleaned(data)).when(form == "JPEG", images.jpeg_cleaned(data)).when(form == "WebP", images.webp_cleaned(data)).when(form == "WAV", chunks.riff_cleaned(data)).when(form == "BMP", images.bmp_cleaned(data)).when(form == "FLAC", chunks.flac_cleaned(data))
+    kept = lambda f: f["location"].isin("BMP:profile", "FLAC:cue sheet") | F.startswith(f["location"], F.lit("FLAC:block ")) | ((f["kind"] == "unknown extension") & (form == "WAV") & (f["location"] != "WAV:id3"))
+    kept_of = lambda f: kept(f) | ((f["kind"] == "unknown extension") & (form == "WebP"))
+    partial = (form == "PDF") | F.coalesce(F.exists("findings", kept_of), F.lit(False))
     outcome = F.when(F.col("error").isNotNull(), "malformed").when(~F.col("understood"), "unknown").when(partial, "partial").otherwise("complete")
     got = got.withColumns({"outcome": outcome, "cleaned": F.coalesce(new, data)})
     return got.withColumn("verdict", verdicts.cleaning(F.col("outcome")))
