@@ -1,17 +1,20 @@
 """Deletes later copies of repeated runs of lines, by DataFrame functions alone.
 
 The corpus is one sequence of line ids, document after document (by doc_id).
-Suffixes are named by prefix doubling: two positions have the same name at
-length h if the h lines from there are the same, and the name is the first such
-position, so each class is an interval of the suffix array whose common prefix
-is h lines or more, and a position whose name is not its own repeats an earlier
-one. Names at length 2h come from the pairs of names at length h.
+Its suffix array is made by prefix doubling: each position has a rank by the h
+lines from there, an order-preserving number from a range-partitioned sort of the
+distinct pairs (rank of the first h lines, rank of the next h). Positions of one
+rank are an interval of the suffix array whose longest common prefix is h lines
+or more. An interval of one position repeats nothing and is dropped, so only
+positions that are still shared go on to length 2h.
 
 A run is a repeat if it has ``MIN_WORDS`` words or more. A line lies in a
 repeated run exactly if it lies in a shortest window of that many words, from
-its first or its last line, that repeats; such windows have at most
-``MIN_WORDS`` lines, so six doublings reach them, and overlapping windows make up
-the maximal runs.
+its first or its last line, that repeats; such a window of m lines is known by
+the ranks of its first and its last h lines (h <= m < 2h), and the least position
+with the same ranks is the copy that stays. Windows have at most ``MIN_WORDS``
+lines, so six doublings reach them, and overlapping windows make up the maximal
+runs.
 """
 
 from __future__ import annotations
@@ -23,8 +26,6 @@ from pyspark.sql import Window as W
 from glasspane.llm.rows import Scratch
 
 MIN_WORDS = 50
-#: Cut lines and documents up to which the cuts are sent to all tasks (some 8 MB); more are joined by a shuffle.
-SENT_LINES, SENT_DOCUMENTS = 1_000_000, 100_000
 
 
 def _lines(text: Column) -> Column:
@@ -44,6 +45,12 @@ def _windows(words: Column, size: int) -> Column:
     return F.transform(words, shortest)
 
 
+def _ranked(classes: DataFrame, keys: list[str], n: int, scratch: Scratch) -> DataFrame:
+    """``classes`` with ``rank``, a number in the order of ``keys``; written first, since a range sort reads its input twice."""
+    ordered = scratch.save(classes, "classes").repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    return scratch.save(ordered.withColumn("rank", F.monotonically_increasing_id()), "ranks")
+
+
 def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
     """``doc_id, version, cut``: for documents that lose lines, the numbers (from 0) of these lines.
 
@@ -64,12 +71,13 @@ def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     lines = ordered.select("doc_id", "version", F.posexplode("lines").alias("k", "x")).select("doc_id", "version", "k", "x.line", "x.a", "x.b", "x.words")
     # within a document positions are consecutive: its lines are numbered in one task, in order
     lines = scratch.save(lines.withColumn("pos", F.monotonically_increasing_id()), "lines")
-    classes = lines.groupBy("a", "b").agg(F.min("pos").alias("name"), F.count("*").alias("c")).where("c > 1")
-    live = scratch.save(lines.join(classes, ["a", "b"]).select("pos", (F.col("pos") - F.col("k")).alias("doc"), "words", "name"), "names")
+    classes = lines.groupBy("a", "b").agg(F.min("pos").alias("least"), F.count("*").alias("c")).where("c > 1").drop("c")
+    classes = _ranked(classes, ["a", "b"], n, scratch)
+    live = scratch.save(lines.join(classes.hint("merge"), ["a", "b"]).select("pos", (F.col("pos") - F.col("k")).alias("doc"), "words", "rank", "least"), "names")
     # runs of consecutive lines that each repeat somewhere, long enough together
     place = W.partitionBy("doc").orderBy("pos")
     runs = live.withColumn("run", F.col("pos") - F.row_number().over(place)).groupBy("doc", "run").agg(
-        F.sum("words").alias("total"), F.array_sort(F.collect_list(F.struct("pos", "words", "name"))).alias("x")
+        F.sum("words").alias("total"), F.array_sort(F.collect_list(F.struct("pos", "words"))).alias("x")
     )
     runs = runs.where(F.col("total") >= min_words)
     first = F.get(F.col("x"), F.lit(0))["pos"]
@@ -81,23 +89,23 @@ def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     longest = windows.agg(F.max("m").alias("m")).first()["m"]
     if longest is None:
         return scratch.finish(rows.select("doc_id", "version", F.array().cast("array<int>").alias("cut")).limit(0), "cuts")
-    names = live.join(windows.where("m > 1").select("doc").distinct(), "doc", "left_semi").select("pos", "doc", "name")
-    hit = [windows.where("m = 1").join(live.where("name < pos").select(F.col("pos").alias("start")), "start", "left_semi").select("start", "m")]
+    names = live.join(windows.where("m > 1").select("doc").distinct().hint("merge"), "doc", "left_semi").select("pos", "doc", "rank")
+    hit = [windows.where("m = 1").join(live.where("least < pos").select(F.col("pos").alias("start")), "start", "left_semi").select("start", "m")]
     h = 1
     while longest > 1:
-        # windows of h to 2h - 1 lines, by the names of their first and last h lines
+        # windows of h to 2h - 1 lines, by the ranks of their first and last h lines
         now = windows.where((F.col("m") >= F.lit(max(h, 2))) & (F.col("m") < 2 * h))
-        head = names.select(F.col("pos").alias("start"), F.col("name").alias("head"))
-        tail = names.select((F.col("pos")).alias("last"), F.col("name").alias("tail"))
+        head = names.select(F.col("pos").alias("start"), F.col("rank").alias("head"))
+        tail = names.select(F.col("pos").alias("last"), F.col("rank").alias("tail"))
         keyed = now.withColumn("last", F.col("start") + F.col("m") - h).join(head, "start").join(tail, "last").select("start", "m", "head", "tail")
         least = keyed.groupBy("m", "head", "tail").agg(F.min("start").alias("least"))
         hit.append(keyed.join(least, ["m", "head", "tail"]).where("least < start").select("start", "m"))
         if 2 * h > longest:
             break
-        ahead = names.select((F.col("pos") - h).alias("pos"), "doc", F.col("name").alias("next"))
-        pairs = names.join(ahead, ["pos", "doc"])
-        named = pairs.groupBy("name", "next").agg(F.min("pos").alias("least"))
-        names = scratch.save(pairs.join(named, ["name", "next"]).select("pos", "doc", F.col("least").alias("name")), "names")
+        ahead = names.select((F.col("pos") - h).alias("pos"), "doc", F.col("rank").alias("next"))
+        pairs = scratch.save(names.withColumnRenamed("rank", "own").join(ahead.hint("merge"), ["pos", "doc"]), "pairs")
+        shared = _ranked(pairs.groupBy("own", "next").agg(F.count("*").alias("c")).where("c > 1").drop("c"), ["own", "next"], n, scratch)
+        names = scratch.save(pairs.join(shared.hint("merge"), ["own", "next"]).select("pos", "doc", "rank"), "names")
         h *= 2
     found = hit[0]
     for more in hit[1:]:
@@ -115,13 +123,13 @@ def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", mi
     one document and get the same result; an own column ``n_cut`` is replaced;
     an empty table gives an empty one.
     """
-    cuts = repeated_lines(docs, text, doc_id, min_words).select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), F.col("cut").alias("_cut"))
-    size = cuts.agg(F.count("*").alias("n"), F.sum(F.size("_cut")).alias("lines")).first()
-    if size["n"] <= SENT_DOCUMENTS and (size["lines"] or 0) <= SENT_LINES:
-        cuts = F.broadcast(cuts)
-    mine = docs.drop("n_cut").withColumn("_text_version", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    joined = mine.join(cuts, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_text_version") == F.col("_version")), "left")
-    rest = F.filter(_lines(F.col(text)), lambda x, i: ~F.array_contains("_cut", i))
-    left = F.when(F.col("_cut").isNull(), F.col(text)).otherwise(F.array_join(rest, "\n"))
-    count = F.coalesce(F.size("_cut"), F.lit(0)).cast("long")
-    return joined.withColumns({text: left, "n_cut": F.when(F.col("_cut").isNull(), F.lit(0).cast("long")).otherwise(count)}).drop("_id", "_version", "_cut", "_text_version")
+    cuts = repeated_lines(docs, text, doc_id, min_words)
+    kept = [c for c in docs.columns if c.lower() != "n_cut"]
+    mine = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(doc_id).alias("own_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("own_version"))
+    # one plan at every size: texts and cut lists meet by id and version
+    joined = mine.join(cuts.hint("merge"), F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_version") == F.col("version")), "left")
+    whole = F.col("row").getField(text)
+    rest = F.array_join(F.filter(_lines(whole), lambda x, i: ~F.array_contains("cut", i)), "\n")
+    left = F.when(F.col("cut").isNull(), whole).otherwise(rest)
+    count = F.when(F.col("cut").isNull(), F.lit(0)).otherwise(F.size("cut")).cast("long")
+    return joined.select(*[left.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in kept], count.alias("n_cut"))
