@@ -6,13 +6,15 @@ hash are kept, for the benchmark and for the documents alike. Any shared span of
 extended word by word, which finds every shared span of that length and no other.
 Benchmark items of fewer words are looked up whole.
 
-The benchmark's fingerprints are sent to the tasks in blocks of a checked size;
-a benchmark over the bound is worked off block by block and the hits are united,
-so what a task holds never grows with the benchmark.
+A benchmark of a checked size is sent to the tasks as an index. A larger one is
+joined by a shuffle: the kept k-grams of documents and items meet by hash, and the
+texts of each pair that shares one are brought together to extend the hits, so
+what a task or the driver holds never grows with the benchmark.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +23,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glasspane.llm import tokens
-from glasspane.llm.rows import append_columns
+from glasspane.llm.rows import Scratch, append_columns, small_batches
 
 SPAN = 10
 GRAM = 5
-#: Bytes of benchmark text in a block that is broadcast.
-BLOCK_BYTES = 32 << 20
+#: Bytes of benchmark text up to which its index is broadcast.
+INDEX_BYTES = 32 << 20
 
 
 def _kept(hashed: np.ndarray, whole: np.ndarray, span_row: np.ndarray, width: int) -> np.ndarray:
@@ -45,7 +47,7 @@ def _kept(hashed: np.ndarray, whole: np.ndarray, span_row: np.ndarray, width: in
 
 
 class Index:
-    """Fingerprints of a block of benchmark items, with the items' words to extend hits on."""
+    """Fingerprints of benchmark items, with the items' words to extend hits on."""
 
     def __init__(self, ids: list[str], texts: list[str | None]):
         w = tokens.words(tokens.column(pa.array(texts, pa.string())), tokens.ALNUM)
@@ -97,6 +99,16 @@ class Index:
         return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def _answers(texts: pa.Array, index: Index) -> tuple[list, list, list]:
     """For each text: number of words, merged hit spans, ids of the items."""
     n_words, spans, items = [], [], []
@@ -106,19 +118,12 @@ def _answers(texts: pa.Array, index: Index) -> tuple[list, list, list]:
         start, end, item = index.hits(w)
         n_words += counts.tolist()
         own_spans, own_items = [[] for _ in counts], [[] for _ in counts]
-        order = np.lexsort((end, start))
-        for a, b in zip(start[order].tolist(), end[order].tolist()):
-            r = int(w.row[a])
-            a, b = a - int(firsts[r]), b - int(firsts[r])
-            mine = own_spans[r]
-            if mine and a <= mine[-1][1]:
-                mine[-1] = (mine[-1][0], max(b, mine[-1][1]))
-            else:
-                mine.append((a, b))
-        if len(start):
-            for r, i in np.unique(np.stack([w.row[start], item]), axis=1).T.tolist():
-                own_items[r].append(index.ids[i])
-        spans += own_spans
+        row = w.row[start] if len(start) else start
+        for r, a, b in np.unique(np.stack([row, start - firsts[row], end - firsts[row]]), axis=1).T.tolist() if len(start) else []:
+            own_spans[r].append((a, b))
+        for r, i in np.unique(np.stack([row, item]), axis=1).T.tolist() if len(start) else []:
+            own_items[r].append(index.ids[i])
+        spans += map(_merged, own_spans)
         items += own_items
     return n_words, spans, items
 
@@ -127,26 +132,98 @@ _SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("end",
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _pass(docs: DataFrame, text: str, index: Index) -> DataFrame:
+_NEW = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(_SPAN)), T.StructField("items", T.ArrayType(T.StringType()))])
+
+
+def _listed(spans: list) -> pa.Array:
+    return pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], _SPANS)
+
+
+def _by_index(docs: DataFrame, text: str, index: Index) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(index)
 
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:
         n, spans, items = _answers(tokens.column(batch.column(text)), sent.value)
-        spans = [[{"start": a, "end": b} for a, b in s] for s in spans]
-        return [pa.array(n, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))]
-
-    new = T.StructType(
-        [
-            T.StructField("n_words", T.LongType()),
-            T.StructField("spans", T.ArrayType(_SPAN)),
-            T.StructField("items", T.ArrayType(T.StringType())),
-        ]
-    )
-    return append_columns(docs, new, compute)
+        return [pa.array(n, pa.int64()), _listed(spans), pa.array(items, pa.list_(pa.string()))]
+
+    return append_columns(docs, _NEW, compute)
+
+
+def _key(text: str) -> list:
+    """A text's name: equal texts have the same answer."""
+    content = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(content).alias("key"), F.xxhash64(F.lit("text"), content).alias("key2")]
+
+
+def _fingerprints(texts: DataFrame, keys: list[str], short: list[int], whole: bool) -> DataFrame:
+    """``keys``, ``m`` and ``gram``: the kept k-grams (m = 0), and for items of m words the m-grams, of items the ``whole`` ones alone."""
+    schema = T.StructType([*[texts.schema[k] for k in keys], T.StructField("m", T.IntegerType()), T.StructField("gram", T.LongType())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = tokens.column(batch.column(len(keys)))
+            for lo, hi in tokens.pieces(values):
+                w = tokens.words(values.slice(lo, hi - lo), tokens.ALNUM)
+                counts, firsts = w.counts(), w.firsts()
+                hashed, same = tokens.windows(w, GRAM)
+                at = _kept(hashed, same, w.row[: len(hashed)], SPAN - GRAM + 1)
+                found = [(w.row[at], np.zeros(len(at), np.int32), hashed[at])]
+                for m in short:
+                    hashed, same = tokens.windows(w, m)
+                    at = firsts[:-1][counts == m] if whole else np.flatnonzero(same)
+                    found.append((w.row[at], np.full(len(at), m, np.int32), hashed[at]))
+                row, m, gram = (np.concatenate(x) for x in zip(*found))
+                columns = [batch.column(i).slice(lo, hi - lo).take(pa.array(row)) for i in range(len(keys))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(m), pa.array(gram.view(np.int64))], names=schema.names)
+
+    return texts.mapInArrow(run, schema).distinct()
+
+
+def _by_join(docs: DataFrame, bench: DataFrame, text: str) -> DataFrame:
+    """As ``_by_index``, with all that grows in shuffles."""
+    scratch = Scratch(docs.sparkSession)
+    names = [c for c in docs.columns if c.lower() not in ("n_words", "spans", "items")]
+    texts = docs.select(*_key(text), F.coalesce(text, F.lit("")).alias("text"))
+    short = list(range(1, SPAN))
+    with small_batches(docs.sparkSession):
+        of_items = scratch.save(_fingerprints(bench.select("id", "text"), ["id"], short, True), "items")
+        used = [r["m"] for r in of_items.where("m > 0").select("m").distinct().collect()]  # nine lengths at most
+        of_docs = _fingerprints(texts, ["key", "key2"], sorted(used), False)
+        pairs = scratch.save(of_docs.join(of_items, ["m", "gram"]).select("key", "key2", "id").distinct(), "pairs")
+        mine = texts.join(pairs.select("key", "key2").distinct(), ["key", "key2"], "left_semi").groupBy("key", "key2").agg(F.first("text").alias("text"))
+        items = bench.groupBy("id", "text").count().select("id", F.col("text").alias("item"))
+        both = mine.join(pairs, ["key", "key2"]).join(items, "id").select("key", "key2", "text", "id", "item")
+        both = both.repartition("key", "key2").sortWithinPartitions("key", "key2")
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, spans, ids = None, [], set()
+
+            def answer() -> pa.RecordBatch:
+                columns = [pa.array([at[0]], pa.int64()), pa.array([at[1]], pa.int64()), _listed([_merged(spans)]), pa.array([sorted(ids)], pa.list_(pa.string()))]
+                return pa.RecordBatch.from_arrays(columns, names=["key", "key2", "spans", "items"])
+
+            for batch in batches:
+                for key, key2, doc, i, item in zip(*(c.to_pylist() for c in batch.columns)):
+                    if (key, key2) != at:
+                        if ids:
+                            yield answer()
+                        at, spans, ids = (key, key2), [], set()
+                    _, found, named = _answers(pa.array([doc]), Index([i], [item]))
+                    spans = _merged(spans + found[0])
+                    ids.update(named[0])
+            if ids:
+                yield answer()
+
+        hits = scratch.finish(both.mapInArrow(run, T.StructType([T.StructField("key", T.LongType()), T.StructField("key2", T.LongType()), *_NEW.fields[1:]])), "hits")
+    count = lambda batch: [pa.array(tokens.words(tokens.column(batch.column("text")), tokens.ALNUM).counts(), pa.int64())]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), *_key(text), F.coalesce(text, F.lit("")).alias("text"))
+    rows = append_columns(rows, T.StructType([_NEW["n_words"]]), count).drop("text").join(hits, ["key", "key2"], "left")
+    none = [F.coalesce(f.name, F.array().cast(f.dataType)).alias(f.name) for f in _NEW.fields[1:]]
+    return rows.select("row.*", "n_words", *none)
 
 
 def contamination(
-    docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", block_bytes: int = BLOCK_BYTES
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", index_bytes: int = INDEX_BYTES
 ) -> DataFrame:
     """Adds ``n_words``, ``spans`` (word ranges that occur in the benchmark) and ``items`` to every row.
 
@@ -157,35 +234,10 @@ def contamination(
     """
     bench = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
     size = bench.agg(F.sum(F.octet_length("text") + 16).alias("n")).first()["n"] or 0
-    blocks = -(-size // block_bytes) or 1
-    if blocks == 1:  # its size has been checked
-        got = bench.collect()
-        return _pass(docs, text, Index([r["id"] for r in got], [r["text"] for r in got]))
-    number = F.pmod(F.xxhash64("id"), F.lit(blocks))
-    held = docs
-    for b in range(blocks):
-        got = bench.where(number == b).collect()
-        one = _pass(held, text, Index([r["id"] for r in got], [r["text"] for r in got]))
-        if b:
-            one = one.withColumn("spans", _united("_spans", "spans")).withColumn("items", F.array_union("_items", "items")).drop("_spans", "_items")
-        held = one.withColumnsRenamed({"spans": "_spans", "items": "_items"})
-    return held.withColumnsRenamed({"_spans": "spans", "_items": "items"})
-
-
-def _united(a: str, b: str):
-    """The union of two lists of ranges, merged."""
-    ranges = F.array_sort(F.concat(a, b))
-    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
-
-    def add(done, x):
-        last = F.try_element_at(done, F.lit(-1))
-        joined = F.concat(
-            F.slice(done, F.lit(1), F.size(done) - 1),
-            F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))),
-        )
-        return F.when((F.size(done) > 0) & (x["start"] <= last["end"]), joined).otherwise(F.concat(done, F.array(x)))
-
-    return F.aggregate(ranges, none, add)
+    if size > index_bytes:
+        return _by_join(docs, bench, text)
+    got = bench.collect()  # its size has been checked
+    return _by_index(docs, text, Index([r["id"] for r in got], [r["text"] for r in got]))
 
 
 def n_hit(spans: str = "spans"):

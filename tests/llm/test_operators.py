@@ -203,8 +203,11 @@ def test_contamination_equals_plain_version(spark, words):
         for k in range(max(1, len(w) - 9) if w else 0):
             windows.setdefault(tuple(w[k : k + 10]), set()).add(str(i))
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for block in (1 << 20, 300):
-        got = decontaminate.contamination(rows_of(spark, docs), bench, block_bytes=block).withColumn("hit", decontaminate.n_hit()).collect()
+    for size in (1 << 20, 300):
+        found = decontaminate.contamination(rows_of(spark, docs), bench, index_bytes=size).withColumn("hit", decontaminate.n_hit())
+        assert found._jdf.queryExecution().sparkPlan().toString().count("MapInArrow") == 1
+        got = found.collect()
+        assert len(got) == len(docs)
         for r in got:
             w = find(r.text)
             hit, ids = set(), set()
@@ -219,8 +222,9 @@ def test_contamination_equals_plain_version(spark, words):
 
 def test_contamination_awkward_rows(spark, awkward):
     bench = spark.createDataFrame([(None, "null id text"), (1, None)], "item_id long, text string")
-    got = decontaminate.contamination(rows_of(spark, awkward), bench).collect()
-    assert len(got) == len(awkward) and sum(bool(r["items"]) for r in got) == 1
+    for size in (1 << 20, 0):
+        got = decontaminate.contamination(rows_of(spark, awkward), bench, index_bytes=size).collect()
+        assert len(got) == len(awkward) and sum(bool(r["items"]) for r in got) == 1
     assert decontaminate.contamination(rows_of(spark, awkward), bench.limit(0)).where("size(items) > 0").count() == 0
 
 
