@@ -4,8 +4,9 @@ Sparse one-against-rest logistic regression over word 1- and 2-grams identifies
 licence families. Examples are notices of each family, whole and in part, and a
 bounded sample of the corpus's own paragraphs (those of the least hash); their features come from
 DataFrame functions, the proximal-gradient fit of some thousand short rows runs
-in the driver. The logit of the class "unknown" comes from the notices alone, and
-a prediction is confirmed by the share of a notice's 2-grams that the paragraph has.
+in the driver. The logit of the class "unknown" comes from the notices alone, the
+probability from a logistic curve fitted on held-out examples, and a prediction is
+confirmed by the share of a notice's 2-grams that the paragraph has.
 """
 
 from __future__ import annotations
@@ -41,6 +42,25 @@ NOTICES = (
     ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work (CC0 1.0)."),
     ("unlicense", "This is free and unencumbered software released into the public domain."),
     ("proprietary", "All rights reserved. Unauthorized copying of this file is strictly prohibited. Proprietary and confidential."),
+    ("proprietary", "All rights reserved."),
+    ("apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("gpl-3.0", "You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("isc", "Licensed under the ISC License."),
+    ("zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
+    ("bsl-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("epl-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0."),
+    ("cddl", "The contents of this file are subject to the terms of the Common Development and Distribution License (the License)."),
+    ("eupl-1.2", "Licensed under the EUPL, Version 1.2 or later, as soon as they will be approved by the European Commission."),
+    ("artistic-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the Artistic License 2.0."),
+    ("ofl-1.1", "This Font Software is licensed under the SIL Open Font License, Version 1.1."),
+    ("wtfpl", "This work is free. You can redistribute it and/or modify it under the terms of the Do What The Fuck You Want To Public License."),
+    ("cc-by-nd-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("cc-by-nc-sa-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("odbl-1.0", "This database is made available under the Open Database License."),
+    ("public-domain", "This work has been dedicated to the public domain and may be used without restriction."),
 )
 FAMILIES = tuple(dict.fromkeys(f for f, _ in NOTICES))
 BUCKETS = 1 << 16
@@ -80,21 +100,37 @@ class Model:
     weights: list[list[float]]  # of each bucket, by family; buckets without a weight are left out
     bias: list[float]
     unknown: float = 0.0
+    scale: tuple[float, float] = (1.0, 0.0)  # slope and offset that turn the best logit into a probability
+
+    def _places(self) -> list[int]:
+        """Of every bucket: its place among those with a weight, or -1."""
+        table = [-1] * BUCKETS
+        for i, f in enumerate(self.buckets):
+            table[f] = i
+        return table
 
     def logits(self, feats: Column) -> Column:
         """The families' logits."""
-        table = F.map_from_arrays(_constant(self.buckets, "array<int>"), _constant(self.weights, "array<array<double>>"))
-        add = lambda a, f: F.zip_with(a, F.element_at(table, f), lambda x, y: x + y)
-        return F.aggregate(_among(feats, self.buckets), F.lit(self.bias), add)
+        place, weights = _constant(self._places(), "array<int>"), _constant(self.weights, "array<array<double>>")
+        add = lambda a, i: F.zip_with(a, F.get(weights, i), lambda x, y: x + y)
+        return F.aggregate(F.filter(F.transform(feats, lambda f: F.get(place, f)), lambda i: i >= 0), F.lit(self.bias), add)
+
+    def highest(self, feats: Column) -> Column:
+        """No family's logit is higher: each feature counts with its best family."""
+        best = [0.0] * BUCKETS
+        for f, w in zip(self.buckets, self.weights):
+            best[f] = max(0.0, *w)
+        table = _constant(best, "array<double>")
+        return F.aggregate(feats, F.lit(max(self.bias)), lambda a, f: a + F.get(table, f))
 
 
 def _among(feats: Column, buckets: list[int]) -> Column:
-    """The features that are among the buckets, by a table of bits."""
-    table = [0] * (BUCKETS // 32)
+    """The features that are among the buckets."""
+    table = [0] * BUCKETS
     for f in buckets:
-        table[f // 32] |= 1 << (f % 32)
-    bits = _constant(table, "array<bigint>")
-    return F.filter(feats, lambda f: F.get(bits, F.shiftright(f, 5)).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(f, F.lit(32)))) != 0)
+        table[f] = 1
+    there = _constant(table, "array<tinyint>")
+    return F.filter(feats, lambda f: F.get(there, f) == 1)
 
 
 def _notices(spark: SparkSession) -> DataFrame:
@@ -107,8 +143,10 @@ def _examples(notices: DataFrame) -> DataFrame:
     w = words(F.col("text"))
     n = F.size("w")
     parts = [F.col("w")]
-    parts += [F.slice("w", F.lit(1 + k), F.greatest(n - k, F.lit(3))) for k in (1, 2)]
-    parts += [F.slice("w", F.lit(1), F.greatest(n - k, F.lit(3))) for k in (1, 2)]
+    # a rest of less than three words tells too little
+    rest = lambda k: F.when(n - k >= 3, n - k).otherwise(n)
+    parts += [F.slice("w", F.when(n - k >= 3, 1 + k).otherwise(1), rest(k)) for k in (1, 2)]
+    parts += [F.slice("w", F.lit(1), rest(k)) for k in (1, 2)]
     parts += [F.concat(F.split(F.lit("copyright 2024 the authors"), " "), "w"), F.concat("w", F.split(F.lit("see the license file for details"), " "))]
     return notices.withColumn("w", w).select("family", F.explode(F.array(*parts)).alias("w"))
 
@@ -133,17 +171,47 @@ def _notice_likeness(w: Column, family: Column | None = None) -> Column:
     notices = _constant(_notice_pairs(), "array<struct<family:int,pairs:array<string>>>")
     if family is not None:
         notices = F.filter(notices, lambda x: x["family"] == family)
-    pairs = _pairs(w)
-    return F.array_max(F.transform(notices, lambda x: F.size(F.array_intersect(x["pairs"], pairs)) / F.size(x["pairs"])))
+    share = lambda pairs: F.array_max(F.transform(notices, lambda x: F.size(F.array_intersect(x["pairs"], pairs)) / F.size(x["pairs"])))
+    return F.get(F.transform(F.array(_pairs(w)), share), F.lit(0))
 
 
 def _like_any(rows: DataFrame, w: Column) -> DataFrame:
     """The rows whose words have enough 2-grams of some notice, in any order; no part of the words has more."""
     known = _constant(sorted({p for n in _notice_pairs() for p in n["pairs"]}), "array<string>")
-    rows = rows.withColumn("near", F.array_intersect(known, _pairs(w))).where(F.size("near") > 0)
     notices = _constant(_notice_pairs(), "array<struct<family:int,pairs:array<string>>>")
-    enough = lambda x: F.size(F.array_intersect(x["pairs"], F.col("near"))) / F.size(x["pairs"]) >= CONFIRMED
-    return rows.where(F.exists(notices, enough)).drop("near")
+    enough = lambda near: F.exists(notices, lambda x: F.size(F.array_intersect(x["pairs"], near)) / F.size(x["pairs"]) >= CONFIRMED)
+    # an array of one binds what is near, so that it is worked out once and not for each notice
+    return rows.where(F.get(F.transform(F.array(F.array_intersect(known, _pairs(w))), lambda near: (F.size(near) > 0) & enough(near)), F.lit(0)))
+
+
+def _fitted(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and bias of each family by proximal gradient steps."""
+    k = y.shape[1]
+    w, bias, rate = np.zeros((x.shape[1], k)), np.full(k, -2.0), 2.0
+    for _ in range(STEPS):
+        error = weight * (1 / (1 + np.exp(-(x @ w + bias))) - y)
+        bias -= rate * error.sum(axis=0)
+        w -= rate * (x.T @ error)
+        w = np.sign(w) * np.maximum(0, np.abs(w) - rate * SPARSITY / k)
+    return w, bias
+
+
+def _calibrated(top: np.ndarray, right: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of the logistic curve from the best logit to the share of right families (Platt's fit, on held-out rows)."""
+    weight = weight / max(weight.sum(), 1e-12)
+    # Platt's targets stay off 0 and 1, so the fit is finite however well the classes part
+    n = max(1.0, right.sum()), max(1.0, (1 - right).sum())
+    target = np.where(right > 0, (n[0] + 1) / (n[0] + 2), 1 / (n[1] + 2))
+    a, b = 1.0, 0.0
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-(a * top + b)))
+        g = np.array([(weight * (p - target) * top).sum(), (weight * (p - target)).sum()])
+        v = weight * np.maximum(p * (1 - p), 1e-9)
+        h = np.array([[(v * top * top).sum(), (v * top).sum()], [(v * top).sum(), v.sum()]]) + 1e-6 * np.eye(2)
+        step = np.linalg.solve(h, g)
+        size = min(1.0, 2.0 / max(np.abs(step).max(), 1e-12))
+        a, b = a - size * step[0], b - size * step[1]
+    return float(max(a, 1e-3)), float(b)
 
 
 def train(docs: DataFrame, text: str = "text") -> Model:
@@ -172,16 +240,17 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     family = np.array([r["family"] for r in shown] + [-1] * len(rest))
     y = (family[:, None] == np.arange(k)).astype(np.float32)
     weight = np.where(family < 0, 0.5 / max(1, len(rest)), 0.5 / len(shown))[:, None]
-    w, bias, rate = np.zeros((len(buckets), k)), np.full(k, -2.0), 2.0
-    for _ in range(STEPS):
-        error = weight * (1 / (1 + np.exp(-(x @ w + bias))) - y)
-        bias -= rate * error.sum(axis=0)
-        w -= rate * (x.T @ error)
-        w = np.sign(w) * np.maximum(0, np.abs(w) - rate * SPARSITY / k)
+    # one fold of three is held out for the calibration, then all rows are fitted
+    held = np.arange(len(family)) % 3 == 0
+    trial, trial_bias = _fitted(x[~held], y[~held], weight[~held])
+    z = x[held] @ trial + trial_bias
+    right = (z.argmax(axis=1) == family[held]).astype(float)
+    w, bias = _fitted(x, y, weight)
     used = np.flatnonzero(np.abs(w).max(axis=1) > 0)
     model = Model([buckets[i] for i in used], w[used].tolist(), bias.tolist())
     clear = (x[: len(shown)] @ w + bias)[np.arange(len(shown)), family[: len(shown)]].min()
     # sampled paragraphs have no label and may hold reworded notices: between no word at all and the least clear notice
+    model.scale = _calibrated(z.max(axis=1), right, weight[held, 0])
     model.unknown = float((min(bias.max(), clear - 1e-6) + clear) / 2)
     return model
 
@@ -189,9 +258,9 @@ def train(docs: DataFrame, text: str = "text") -> Model:
 def _classified(rows: DataFrame, model: Model) -> DataFrame:
     """``i`` (family's number), ``probability`` and ``likeness`` of the words ``w`` of every row that is no "unknown"."""
     kept = rows.columns
+    rows = rows.where(model.highest(F.array_distinct(grams(F.col("w")))) > model.unknown)  # few pass, and only these need all families
     z = rows.withColumn("z", model.logits(F.array_distinct(grams(F.col("w"))))).withColumn("top", F.array_max("z")).where(F.col("top") > model.unknown)
-    others = F.aggregate("z", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
-    sure = 1 / (others + F.exp(F.lit(model.unknown) - F.col("top")))
+    sure = 1 / (1 + F.exp(-(F.col("top") * model.scale[0] + model.scale[1])))
     got = z.select(*kept, (F.array_position("z", F.col("top")) - 1).cast("int").alias("i"), sure.alias("probability"))
     return got.withColumn("likeness", _notice_likeness(F.col("w"), F.col("i")))
 

@@ -381,6 +381,23 @@ def test_licence_scan_of_wrapped_notices(spark, words):
     assert got == [(1, 0, "bsd"), (2, 3, "mit"), (3, 1, "gpl-3.0"), (4, 1, "bsd"), (4, 3, "bsd"), (6, 1, "mit"), (7, 0, "bsd"), (7, 0, "mit"), (7, 1, "bsd")]
 
 
+def test_licence_families_of_cut_notices_and_their_probabilities(spark, words):
+    rnd = random.Random(13)
+    texts, want = [(i, " ".join(rnd.choice(words) for _ in range(12))) for i in range(600)], {}
+    for i, (family, notice) in enumerate(licences.NOTICES):
+        w = notice.split()
+        if len(w) >= 6:  # four fifths of the notice from its middle, between strange words: no example of the training
+            lo = max(1, len(w) // 10)
+            texts.append((1000 + i, " ".join([rnd.choice(words), *w[lo : lo + -(-4 * len(w) // 5)], rnd.choice(words)])))
+            want[1000 + i] = family
+    docs = rows_of(spark, texts)
+    got = licences.scan(docs, licences.train(docs)).collect()
+    found = {r.doc_id: r.family for r in got if r.confirmed}
+    assert sum(found.get(i) == f for i, f in want.items()) >= 0.9 * len(want)
+    assert sum(want.get(i) == f for i, f in found.items()) >= 0.9 * len(found) and min(found) >= 1000
+    assert all(0 <= r.probability <= 1 for r in got) and min(r.probability for r in got if r.confirmed) > max((r.probability for r in got if r.doc_id < 1000), default=0)
+
+
 def test_permutation_is_one_and_turns_back():
     for size in (2, 3, 10, 97, 1000):
         moved = [pseudonyms.permute(i, size, b"k", "x") for i in range(size)]
