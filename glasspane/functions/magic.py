@@ -19,7 +19,7 @@ HINTS = (
 
 
 #: Formats whose findings are read; all others are named at most.
-READ = ("PNG", "JPEG", "WebP", "BMP", "WAV", "FLAC", "PDF")
+READ = ("PNG", "JPEG", "WebP", "GIF", "BMP", "AVI", "WAV", "FLAC", "PDF")
 
 
 def understood(form: Column) -> Column:
@@ -106,14 +106,32 @@ def hint(data: Column) -> Column:
     return out
 
 
-def archive_kind(names: Column) -> Column:
-    """What the entry names of a ZIP say it is: an office document, a package, or a plain archive."""
+#: Media types of OpenDocument files begin so.
+ODF = "application/vnd.oasis.opendocument."
+
+
+def odf_kind(mimetype: Column) -> Column:
+    """The kind of OpenDocument file that the content of its type entry names, or null."""
+    kind = F.trim(F.regexp_replace(mimetype, r"^\s+|\s+$", ""))
+    last = F.substring_index(kind, ".", -1)
+    return F.when(F.startswith(kind, F.lit(ODF)), F.when(last.isin("text", "spreadsheet", "presentation"), F.concat(F.lit("ODF "), last)).otherwise("ODF"))
+
+
+def archive_kind(names: Column, mimetype: Column | None = None) -> Column:
+    """What the entry names of a ZIP, and the content of its entry ``mimetype`` (null: none), say it is.
+
+    An office document, a package, a container with a type of its own, or a plain archive.
+    """
+    said = F.regexp_replace(F.lit(None).cast("string") if mimetype is None else mimetype, r"^\s+|\s+$", "")
     has = lambda prefix: F.exists(names, lambda n: F.startswith(n, F.lit(prefix)))
     types = F.array_contains(names, "[Content_Types].xml")
     return (
         F.when(types & has("word/"), "Word")
         .when(types & has("xl/"), "Excel")
         .when(types & has("ppt/"), "PowerPoint")
+        .when(odf_kind(said).isNotNull(), odf_kind(said))
+        .when(said == "application/epub+zip", "EPUB")
+        .when(said != "", "typed container")
         .when(F.array_contains(names, "META-INF/container.xml"), "EPUB")
         .when(F.array_contains(names, "AndroidManifest.xml"), "APK")
         .when(F.array_contains(names, "META-INF/MANIFEST.MF"), "JAR")

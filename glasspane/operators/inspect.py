@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glasspane.functions import magic, verdicts
-from glasspane.operators import chunks, images
+from glasspane.operators import chunks, images, moving
 
 _FINDINGS = "array<struct<ord:int,kind:string,location:string,value:string,severity:int>>"
 
@@ -20,6 +20,7 @@ def findings_of(form: Column, data: Column) -> Column:
     readers = {
         "PNG": chunks.png_findings(data), "JPEG": images.jpeg_findings(data), "WebP": images.webp_findings(data), "BMP": images.bmp_findings(data),
         "PDF": chunks.pdf_findings(data), "WAV": chunks.wav_findings(data), "FLAC": chunks.flac_findings(data),
+        "GIF": moving.gif_findings(data), "AVI": moving.avi_findings(data),
     }
     out = F.lit(None).cast(_FINDINGS)
     for name, found in readers.items():
@@ -35,6 +36,8 @@ def fault_of(form: Column, data: Column) -> Column:
         .when(form == "JPEG", images.jpeg_segments(data)["error"])
         .when(form.isin("WAV", "WebP"), riff)
         .when(form == "FLAC", chunks.flac_blocks(data)["error"])
+        .when(form == "GIF", moving.gif_blocks(data)["error"])
+        .when(form == "AVI", moving.avi_chunks(data)["error"])
         .when(form == "BMP", images.bmp_fault(data))
         .when(form == "PDF", chunks.pdf_fault(data))
     )
@@ -58,15 +61,15 @@ def cleaned(files: DataFrame) -> DataFrame:
     """Adds outcome (complete, partial, unknown, malformed), the bytes after cleaning and the verdict.
 
     A BMP with a profile, a FLAC file with a cue sheet or blocks of unknown types,
-    a WAV or WebP file with chunks of unknown names, and every PDF with findings
+    a WAV, AVI or WebP file with chunks of unknown names, and every PDF with findings
     are cleaned in part only; the bytes of what is not understood or broken stay
     as they are.
     """
     data, form = F.col("content"), F.col("format")
     got = inspected(files).drop("verdict")
-    new = F.when(form == "PNG", chunks.png_cleaned(data)).when(form == "JPEG", images.jpeg_cleaned(data)).when(form == "WebP", images.webp_cleaned(data)).when(form == "WAV", chunks.riff_cleaned(data)).when(form == "BMP", images.bmp_cleaned(data)).when(form == "FLAC", chunks.flac_cleaned(data))
+    new = F.when(form == "PNG", chunks.png_cleaned(data)).when(form == "JPEG", images.jpeg_cleaned(data)).when(form == "WebP", images.webp_cleaned(data)).when(form == "WAV", chunks.riff_cleaned(data)).when(form == "BMP", images.bmp_cleaned(data)).when(form == "FLAC", chunks.flac_cleaned(data)).when(form == "GIF", moving.gif_cleaned(data)).when(form == "AVI", moving.avi_cleaned(data))
     kept = lambda f: f["location"].isin("BMP:profile", "FLAC:cue sheet") | F.startswith(f["location"], F.lit("FLAC:block ")) | ((f["kind"] == "unknown extension") & (form == "WAV") & (f["location"] != "WAV:id3"))
-    kept_of = lambda f: kept(f) | ((f["kind"] == "unknown extension") & (form == "WebP"))
+    kept_of = lambda f: kept(f) | ((f["kind"] == "unknown extension") & form.isin("WebP", "AVI"))
     partial = (form == "PDF") | F.coalesce(F.exists("findings", kept_of), F.lit(False))
     outcome = F.when(F.col("error").isNotNull(), "malformed").when(~F.col("understood"), "unknown").when(partial, "partial").otherwise("complete")
     got = got.withColumns({"outcome": outcome, "cleaned": F.coalesce(new, data)})

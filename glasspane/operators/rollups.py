@@ -13,6 +13,27 @@ def batch_rollup(verdicts: DataFrame, batch: str) -> DataFrame:
     return got.withColumn("decide", F.col("conspicuous") > 0)
 
 
+def conspicuous(verdicts: DataFrame) -> DataFrame:
+    """The files of every batch that need a look, each in a row of its own however many they are."""
+    return verdicts.where(~F.coalesce(F.col("verdict") == "confirmed", F.lit(False)))
+
+
+def tree_preview(entries: DataFrame) -> DataFrame:
+    """Files, their bytes, directories and skipped links below every directory, at any depth, from (path, kind, bytes).
+
+    Entries are summed by their own directory first, so what is copied to the
+    directories above is one row for each directory.
+    """
+    count = lambda kind: F.count_if(F.col("kind") == kind)
+    sizes = F.coalesce(F.sum(F.when(F.col("kind") == "file", F.col("bytes"))), F.lit(0))
+    inside = entries.where(F.contains("path", F.lit("/"))).groupBy(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("parent"))
+    own = inside.agg(count("file").alias("files"), sizes.alias("bytes"), count("dir").alias("dirs"), count("link").alias("links"))
+    parts = F.split("parent", "/", -1)
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    spread = own.withColumn("directory", F.explode(above))
+    return spread.groupBy("directory").agg(*[F.sum(c).alias(c) for c in ("files", "bytes", "dirs", "links")])
+
+
 def directory_preview(files: DataFrame, path: str, size: str) -> DataFrame:
     """Files and bytes of each directory."""
     return files.groupBy(F.regexp_extract(F.col(path), "^(.*)/[^/]*$", 1).alias("directory")).agg(F.count("*").alias("files"), F.sum(size).alias("bytes"))

@@ -51,6 +51,22 @@ def added(contacts: DataFrame, new: DataFrame) -> DataFrame:
     return first_match(fresh, "sig_pub").unionByName(fresh.where("sig_pub is null"))
 
 
+def removed(contacts: DataFrame, gone: DataFrame) -> DataFrame:
+    """The contacts without those of the ``ord`` in ``gone``; their key history goes with them."""
+    return contacts.join(gone.select("ord").distinct(), "ord", "left_anti")
+
+
+def renamed(contacts: DataFrame, names: DataFrame) -> DataFrame:
+    """Contacts under new names, from (ord, name), of which the last in text order counts; all else of a contact stays."""
+    new = names.groupBy("ord").agg(F.max("name").alias("_new"))
+    return contacts.join(new, "ord", "left").withColumn("name", F.coalesce("_new", "name")).select(*contacts.columns)
+
+
+def listed(contacts: DataFrame) -> DataFrame:
+    """The contacts in their order, one line for each."""
+    return contacts.select("ord", "name", "state", F.size("previous_keys").alias("n_previous")).orderBy("ord")
+
+
 def _fold(events: Column) -> Column:
     """State after a sorted list of (seq, at, action); refused actions are counted."""
     start = F.struct(

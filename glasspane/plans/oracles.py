@@ -121,7 +121,7 @@ ORACLES: dict[str, str] = {
         CASE WHEN count(*) > 1 THEN count(*) || ' segments' || coalesce(', each ' || arg_min(value, ord), '') ELSE arg_min(value, ord) END AS value,
         arg_min(severity, ord)::INT AS severity, count(*) AS n FROM f GROUP BY artifact_id, kind, location""",
     "severity_order": f"""WITH f AS ({FINDINGS}), p AS (SELECT *, row_number() OVER (PARTITION BY artifact_id ORDER BY severity DESC, ord) AS place FROM f)
-        SELECT artifact_id, place::INT AS place, ord, severity FROM p WHERE place <= 3""",
+        SELECT artifact_id, place::INT AS place, ord, severity FROM p""",
     "critical_kinds": f"""WITH f AS ({FINDINGS}), k AS (SELECT artifact_id, kind, min(ord) AS o FROM f WHERE severity = 2 GROUP BY 1, 2)
         SELECT artifact_id, count(kind) > 0 AS critical, coalesce(arg_min(kind, o), '') AS kinds, count(kind) > 1 AS more FROM (SELECT DISTINCT artifact_id FROM f) LEFT JOIN k USING (artifact_id) GROUP BY 1""",
     "tracked_changes": """SELECT l_orderkey AS artifact_id, count(*) FILTER (l_returnflag != 'R') AS insertions, count(*) FILTER (l_returnflag = 'R') AS deletions,
@@ -205,4 +205,34 @@ ORACLES: dict[str, str] = {
         v AS (SELECT (['PNG', 'JPEG', 'WAV', 'BMP', 'Ogg', ''])[(n + 1)::INT] AS format, CASE WHEN cut THEN 'malformed' WHEN n < 4 THEN 'complete' ELSE 'unknown' END AS outcome,
         CASE WHEN cut THEN -1 ELSE ([1, 2, 2, 0, -1, -1])[(n + 1)::INT] END AS n_findings FROM c)
         SELECT format, outcome, CASE outcome WHEN 'malformed' THEN 'error' WHEN 'complete' THEN 'confirmed' ELSE 'no statement' END AS verdict, n_findings, count(*) AS files FROM v GROUP BY ALL""",
+    "outside_views": """WITH d AS (SELECT doc_id, doc_id % 5 AS k, strlen(text) AS n FROM documents)
+        SELECT doc_id, ([1, 2])[k + 1]::INT AS version, (['classical', 'hybrid'])[k + 1] AS suite, CASE WHEN k = 1 THEN 3 END AS stanzas,
+        (CASE k WHEN 0 THEN 2 + (n + 10 + 2) // 3 * 4 WHEN 2 THEN n WHEN 3 THEN 4 ELSE n + 5 END)::INT AS bytes,
+        (['header', 'number of stanzas'])[k + 1] AS exposes, ([NULL, NULL, 'bad magic', 'truncated', 'unsupported suite'])[k + 1] AS error FROM d""",
+    "old_formats": r"""WITH d AS (SELECT ([chr(10) || ' eyJ', chr(9) || '{', '', 'x{'])[doc_id % 4 + 1] || text AS t FROM documents)
+        SELECT CASE WHEN starts_with(ltrim(t, chr(32) || chr(9) || chr(10) || chr(12) || chr(13)), 'eyJ') THEN 'message'
+        WHEN starts_with(ltrim(t, chr(32) || chr(9) || chr(10) || chr(12) || chr(13)), '{') THEN 'key file' ELSE 'none' END AS old_format, count(*) AS files FROM d GROUP BY 1""",
+    "header_validation": f"""WITH c AS (SELECT c_custkey, c_name, c_custkey % 8 AS k FROM customer)
+        SELECT c_custkey, ([NULL, NULL, 'signed flag and key disagree', 'reserved type', 'unknown content type', 'name: separator', 'size missing', 'padding not zero'])[k + 1] AS error,
+        CASE WHEN k < 2 THEN 'file' END AS content_type, CASE WHEN k < 2 THEN c_custkey END AS plaintext_size, CASE WHEN k < 2 THEN k = 1 END AS signed,
+        CASE WHEN k = 1 THEN {HEX64('sig', 'c_custkey')} END AS sender_key, CASE WHEN k < 2 THEN replace(c_name, '#', '_') END AS filename FROM c""",
+    "container_types": """SELECT CASE WHEN c_custkey % 7 < 4 THEN (['ODF text', 'ODF spreadsheet', 'ODF presentation', 'ODF'])[c_custkey % 7 + 1] WHEN c_custkey % 7 = 4 THEN 'EPUB'
+        WHEN c_custkey % 7 = 5 THEN 'typed container' WHEN c_custkey % 2 = 0 THEN 'JAR' ELSE 'archive' END AS kind, count(*) AS archives FROM customer GROUP BY 1""",
+    "gif_cleaning": """WITH c AS (SELECT c_custkey, c_name, c_custkey % 3 AS k FROM customer)
+        SELECT c_custkey AS artifact_id, 'comment:1:GIF:comment:' || c_name || (['', ',author:2:GIF:application/XMP Data', ',unknown extension:1:GIF:application/ICCRGBG1'])[k + 1] AS found,
+        '474946383961' || CASE WHEN k = 1 THEN '01000100800000aabbccddeeff' ELSE '01000100000000' END || '21f9040000000000' || CASE WHEN k = 0 THEN '21ff0b4e45545343415045322e300301000000' ELSE '' END
+        || '2c00000000010001000002024c01003b' AS clean FROM c""",
+    "avi_cleaning": """WITH s AS (SELECT c_custkey, c_name, c_mktsegment, strlen(c_name) + 1 AS a, strlen(c_mktsegment) + 1 AS b FROM customer),
+        t AS (SELECT *, (122 + a + a % 2 + b + b % 2)::INT AS bytes FROM s)
+        SELECT c_custkey AS artifact_id, 'comment:1:AVI:strn:' || c_name || ',software:1:AVI:INFO/ISFT:' || c_mktsegment AS found, bytes, bytes AS clean_bytes, 0 AS left, 'AVI' AS format FROM t""",
+    "contact_list": f"""SELECT c_custkey AS ord, CASE WHEN c_custkey % 5 = 0 THEN c_mktsegment ELSE c_name END AS name, {STATE} AS state, CASE WHEN c_custkey % 4 = 2 THEN 1 ELSE 0 END AS n_previous
+        FROM customer WHERE c_custkey % 7 != 0""",
+    "conspicuous_files": "SELECT source, doc_id FROM documents WHERE doc_id % 10 = 9 OR strlen(text) > 4000",
+    "tree_preview": """WITH e AS (SELECT DISTINCT regexp_extract(url, '^(.*)/[^/]*$', 1) AS path, 'dir' AS kind, 0 AS bytes FROM pages
+        UNION ALL SELECT url, CASE WHEN page_id % 11 = 0 THEN 'link' ELSE 'file' END, strlen(html) FROM pages),
+        p AS (SELECT string_split(path, '/') AS parts, kind, bytes FROM e),
+        a AS (SELECT unnest(list_transform(range(1, length(parts)), lambda i: array_to_string(parts[1:i], '/'))) AS directory, kind, bytes FROM p)
+        SELECT directory, count(*) FILTER (kind = 'file') AS files, coalesce(sum(bytes) FILTER (kind = 'file'), 0)::BIGINT AS bytes, count(*) FILTER (kind = 'dir') AS dirs, count(*) FILTER (kind = 'link') AS links FROM a GROUP BY 1""",
+    "refusal_rules": """SELECT CASE WHEN page_id % 20 = 9 THEN 'name does not match' ELSE (['drive root', 'drive root', 'home directory', 'system directory', 'allowed', 'system directory', 'system directory', 'contains a repository', 'link', 'allowed'])[page_id % 10 + 1] END AS refusal,
+        count(*) AS directories FROM pages GROUP BY 1""",
 }

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glasspane.functions import keys, lengths, magic, text, verdicts
-from glasspane.operators import chunks, findings, images, inspect, rollups, sessions, trust
+from glasspane.functions import envelopes, keys, lengths, magic, paths, text, verdicts
+from glasspane.operators import chunks, findings, headers, images, inspect, moving, rollups, sessions, trust
 from glasspane.plans import tables as t
 from glasspane.plans.tables import table
 from glasspane.sources.artifacts import report
@@ -120,6 +120,16 @@ def archive_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.groupBy(magic.archive_kind(F.col("names")).alias("kind")).agg(F.count("*").alias("archives"))
 
 
+@query
+def container_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as archives with a type entry, named after their segments, or none."""
+    odf = lambda kind: F.lit(magic.ODF + kind)
+    n = F.pmod("c_custkey", F.lit(7))
+    said = F.when(n == 0, odf("text\n")).when(n == 1, odf("spreadsheet")).when(n == 2, odf("presentation")).when(n == 3, odf("graphics")).when(n == 4, "application/epub+zip").when(n == 5, F.concat(F.lit("application/"), "c_mktsegment"))
+    names = F.when(F.pmod("c_custkey", F.lit(2)) == 0, F.lit(["META-INF/MANIFEST.MF"])).otherwise(F.lit(["a.txt"]))
+    return table(spark, sf_dir, "customer").groupBy(magic.archive_kind(names, said).alias("kind")).agg(F.count("*").alias("archives"))
+
+
 @query
 def size_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A2: which texts pass a limit, and how many bytes stay outside."""
@@ -183,6 +193,26 @@ def bmp_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("artifact_id", magic.detect(F.col("content")).alias("format"), found.alias("found"), F.octet_length(clean).alias("clean_bytes"))
 
 
+def _told(found: Column) -> Column:
+    return F.array_join(F.transform(found, lambda f: F.concat_ws(":", f["kind"], f["severity"], f["location"], f["value"])), ",")
+
+
+@query
+def gif_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M5, C4: customers as pictures with a comment and application blocks of three kinds."""
+    g = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("artifact_id"), t.gif_of(F.col("c_name"), F.pmod("c_custkey", F.lit(3))).alias("content"))
+    g = g.withColumn("clean", moving.gif_cleaned(F.col("content")))
+    return g.select("artifact_id", _told(moving.gif_findings(F.col("content"))).alias("found"), F.lower(F.hex("clean")).alias("clean"))
+
+
+@query
+def avi_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as films with a track name and a tool."""
+    a = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("artifact_id"), t.avi_of(F.col("c_name"), F.col("c_mktsegment")).alias("content"))
+    a = a.withColumn("clean", moving.avi_cleaned(F.col("content")))
+    return a.select("artifact_id", _told(moving.avi_findings(F.col("content"))).alias("found"), F.octet_length("content").alias("bytes"), F.octet_length("clean").alias("clean_bytes"), F.size(moving.avi_findings(F.col("clean"))).alias("left"), magic.detect(F.col("clean")).alias("format"))
+
+
 @query
 def stanza_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers of an order as stanzas; how many of each type, and whether the types ascend as in a strict record."""
@@ -320,8 +350,8 @@ def keep_first_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def severity_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three most severe findings of each artifact, file order among equals."""
-    return findings.worst_first(_events_as_findings(spark, sf_dir)).where("place <= 3").select("artifact_id", "place", "ord", "severity")
+    """The findings of each artifact, the most severe first, file order among equals."""
+    return findings.worst_first(_events_as_findings(spark, sf_dir)).select("artifact_id", "place", "ord", "severity")
 
 
 @query
@@ -422,6 +452,15 @@ def contacts_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trust.first_match(c, "key").select("key", "ord", "c_name")
 
 
+@query
+def contact_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some contacts removed, some renamed after their segments."""
+    customers = table(spark, sf_dir, "customer")
+    gone = customers.where(F.pmod("c_custkey", F.lit(7)) == 0).select(F.col("c_custkey").alias("ord"))
+    names = customers.where(F.pmod("c_custkey", F.lit(5)) == 0).select(F.col("c_custkey").alias("ord"), F.col("c_mktsegment").alias("name"))
+    return trust.listed(trust.renamed(trust.removed(t.contacts_of(customers), gone), names))
+
+
 @query
 def contact_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V4."""
@@ -470,10 +509,35 @@ def envelope_outside_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("c"))
     suite = F.pmod("l_orderkey", F.lit(3)).cast("long")
     data = F.concat(F.lit("E2").cast("binary"), F.unhex(F.lpad(F.hex(suite), 4, "0")), F.unhex(F.lpad(F.hex(F.col("c")), 2, "0")))
-    number = lambda at, n: F.conv(F.hex(F.substr("d", F.lit(at), F.lit(n))), 16, 10).cast("int")
-    seen = o.select(data.alias("d")).select(number(3, 2).alias("suite_id"), number(5, 1).alias("stanzas"))
-    name = F.when(F.col("suite_id") == 1, "classical").when(F.col("suite_id") == 2, "hybrid").otherwise("unsupported")
-    return seen.groupBy(name.alias("suite"), "stanzas").agg(F.count("*").alias("envelopes"))
+    seen = o.select("c", envelopes.outside_view(data, b"E2").alias("v"))
+    name = F.when(F.col("v.error") == "unsupported suite", "unsupported").otherwise(F.col("v.suite"))
+    return seen.groupBy(name.alias("suite"), F.coalesce("v.stanzas", F.col("c").cast("int")).alias("stanzas")).agg(F.count("*").alias("envelopes"))
+
+
+@query
+def outside_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as messages of both versions, some foreign, cut or of an unknown suite."""
+    n, body = F.pmod("doc_id", F.lit(5)), F.col("text").cast("binary")
+    old = F.regexp_replace(F.base64(F.concat(F.lit('{"header":').cast("binary"), body)), "[\\r\\n]", "").cast("binary")
+    head = lambda digits: F.concat(F.unhex(F.lit(digits)), body)
+    data = F.when(n == 0, F.concat(F.lit("\n ").cast("binary"), old)).when(n == 1, head("4532000203")).when(n == 2, body).when(n == 3, F.unhex(F.lit("45320001"))).otherwise(head("4532000901"))
+    return _docs(spark, sf_dir).select("doc_id", envelopes.outside_view(data, b"E2").alias("v")).select("doc_id", "v.*")
+
+
+@query
+def old_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts behind the first bytes of old messages and key files."""
+    head = F.get(F.lit(["\n eyJ", "\t{", "", "x{"]), F.pmod("doc_id", F.lit(4)).cast("int"))
+    d = _docs(spark, sf_dir).select(envelopes.old_format(F.concat(head, "text").cast("binary")).alias("f"))
+    return d.groupBy(F.coalesce("f", F.lit("none")).alias("old_format")).agg(F.count("*").alias("files"))
+
+
+@query
+def header_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as message headers, six of eight with a fault."""
+    n = F.pmod("c_custkey", F.lit(8))
+    c = table(spark, sf_dir, "customer").select("c_custkey", headers.header_fields(t.header_of(F.col("c_custkey"), F.regexp_replace("c_name", "#", "_"), n)).alias("h"))
+    return c.select("c_custkey", F.col("h.error").alias("error"), F.col("h.content_type").alias("content_type"), F.col("h.plaintext_size").cast("long").alias("plaintext_size"), F.col("h.signed").alias("signed"), F.lower(F.hex("h.sender_key")).alias("sender_key"), F.col("h.filename").alias("filename"))
 
 
 @query
@@ -527,6 +591,34 @@ def batch_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.batch_rollup(_docs(spark, sf_dir).select("source", verdicts.cleaning(outcome).alias("verdict")), "source")
 
 
+@query
+def conspicuous_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V5: the files of each batch that are named one by one."""
+    outcome = F.when(F.pmod("doc_id", F.lit(10)) == 9, "unknown").when(F.col("n") > 4000, "partial").otherwise("complete")
+    return rollups.conspicuous(_docs(spark, sf_dir).select("source", "doc_id", verdicts.cleaning(outcome).alias("verdict"))).select("source", "doc_id")
+
+
+@query
+def tree_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses as a tree of files, links and directories."""
+    p = table(spark, sf_dir, "pages")
+    kind = F.when(F.pmod("page_id", F.lit(11)) == 0, "link").otherwise("file")
+    files = p.select(F.col("url").alias("path"), kind.alias("kind"), F.octet_length("html").cast("long").alias("bytes"))
+    dirs = p.select(F.regexp_extract("url", "^(.*)/[^/]*$", 1).alias("path"), F.lit("dir").alias("kind"), F.lit(0).cast("long").alias("bytes")).distinct()
+    return rollups.tree_preview(files.unionByName(dirs))
+
+
+@query
+def refusal_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts as directories in places of ten kinds; every twentieth is confirmed by a wrong name."""
+    n, host = F.pmod("page_id", F.lit(10)).cast("int"), F.regexp_extract("url", "//([^/]*)", 1)
+    place = F.get(F.lit(["/", "C:\\", "/home/", "/usr/", "/VAR/folders/", "C:\\Program Files (x86)\\", "/private/etc/", "/data/", "/data/", "/usrdata/"]), n)
+    path = F.when(n < 2, place).otherwise(F.concat(place, host))
+    sure = F.when(F.pmod("page_id", F.lit(20)) == 9, "other").otherwise(host)
+    p = table(spark, sf_dir, "pages").select(paths.refusal(path, sure, F.concat(F.lit("/home/"), host), F.lit(True), n == 8, n == 7).alias("r"))
+    return p.groupBy(F.coalesce("r", F.lit("allowed")).alias("refusal")).agg(F.count("*").alias("directories"))
+
+
 @query
 def directory_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages").select("url", F.octet_length("html").cast("long").alias("bytes"))

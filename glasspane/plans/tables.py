@@ -126,3 +126,41 @@ def stanzas_of(suppliers: Column) -> Column:
         return F.concat(kind, F.substr(_be(F.octet_length(k.cast("string"))), F.lit(3), F.lit(2)), k.cast("string").cast("binary"))
 
     return F.aggregate(F.transform(suppliers, stanza), _hex(""), lambda a, x: F.concat(a, x))
+
+
+def gif_of(comment: Column, kind: Column) -> Column:
+    """A picture with a comment of at most 255 bytes and an application block: a loop (0), a text of its maker (1) or another one (2)."""
+    head = F.concat(_b("GIF89a"), F.when(F.pmod(kind, F.lit(2)) == 0, _hex("01000100000000")).otherwise(_hex("01000100800000AABBCCDDEEFF")))
+    block = F.when(kind == 0, _hex("21FF0B4E45545343415045322E300301000000")).when(kind == 1, _hex("21FF0B584D502044617461584D5002616200")).otherwise(_hex("21FF0B494343524742473130313201AA00"))
+    note = F.concat(_hex("21FE"), F.substr(_be(F.octet_length(comment)), F.lit(4), F.lit(1)), comment.cast("binary"), _hex("00"))
+    return F.concat(head, _hex("21F9040000000000"), note, block, _hex("2C000000000100010000"), _hex("02024C0100"), _hex("3B"))
+
+
+def avi_of(track: Column, tool: Column) -> Column:
+    """A film with a track name and the name of a tool."""
+    text = lambda c: F.concat(c.cast("binary"), _hex("00"))
+    track_list = riff_chunk("LIST", F.concat(_b("strl"), riff_chunk("strh", _hex("00000000")), riff_chunk("strn", text(track))))
+    head = riff_chunk("LIST", F.concat(_b("hdrl"), riff_chunk("avih", _hex("00000000")), track_list))
+    info = riff_chunk("LIST", F.concat(_b("INFO"), riff_chunk("ISFT", text(tool))))
+    rest = F.concat(_b("AVI "), head, info, riff_chunk("LIST", F.concat(_b("movi"), riff_chunk("00dc", _hex("0102")))), riff_chunk("idx1", _hex("00000000")))
+    return F.concat(_b("RIFF"), _le(F.octet_length(rest)), rest)
+
+
+def header_field(tag: str, data: Column) -> Column:
+    return F.concat(_hex(tag), F.substr(_be(F.octet_length(data)), F.lit(3), F.lit(2)), data)
+
+
+def header_of(size: Column, name: Column, variant: Column) -> Column:
+    """A message header; variants above 1 break one rule each."""
+    only = lambda k, c, other="": F.when(variant == k, c).otherwise(_hex(other))
+    eight = lambda n: F.unhex(F.lpad(F.hex(n.cast("long")), 16, "0"))
+    return F.concat(
+        header_field("00", F.when(variant == 7, _hex("0001")).otherwise(_hex("0000"))),
+        header_field("01", F.when(variant == 4, _hex("02")).otherwise(_hex("01"))),
+        F.when(variant == 6, _hex("")).otherwise(header_field("02", eight(size))),
+        header_field("03", eight(F.lit(16))),
+        header_field("04", F.when(variant.isin(1, 2), _hex("01")).otherwise(_hex("00"))),
+        only(1, header_field("05", key_of("sig", size))),
+        header_field("06", F.when(variant == 5, F.concat(F.lit("a/"), name)).otherwise(name).cast("binary")),
+        only(3, header_field("09", _hex("00"))),
+    )
