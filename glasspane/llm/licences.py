@@ -12,6 +12,7 @@ confirmed by the share of a notice's 2-grams that the paragraph has.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -76,6 +77,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value worked out once however often it is used: an array of one binds it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def grams(w: Column) -> Column:
     """Buckets of the 1- and 2-grams of an array of words."""
     bucket = lambda *x: F.pmod(F.xxhash64(*x), F.lit(BUCKETS)).cast("int")
@@ -172,7 +178,30 @@ def _notice_likeness(w: Column, family: Column | None = None) -> Column:
     if family is not None:
         notices = F.filter(notices, lambda x: x["family"] == family)
     share = lambda pairs: F.array_max(F.transform(notices, lambda x: F.size(F.array_intersect(x["pairs"], pairs)) / F.size(x["pairs"])))
-    return F.get(F.transform(F.array(_pairs(w)), share), F.lit(0))
+    return _bound(w, lambda w: _bound(_pairs(w), share))
+
+
+def _confirming() -> list[dict]:
+    """Pairs of words of which every text has one that has enough 2-grams of some notice, by their longer word.
+
+    A notice of n 2-grams is confirmed by k or more of them, so one of any n - k + 1 is there; those with the longest words are taken.
+    """
+    chosen: set[str] = set()
+    for x in _notice_pairs():
+        n = len(x["pairs"])
+        enough = next(k for k in range(n + 1) if k / n >= CONFIRMED)
+        chosen |= set(sorted(x["pairs"], key=lambda p: (-max(map(len, p.split())), p))[: n - enough + 1])
+    beside: dict[str, set[str]] = {}
+    for p in chosen:
+        short, long = sorted(p.split(), key=len)
+        beside.setdefault(long, set()).add(short)
+    return [{"long": a, "beside": sorted(b)} for a, b in sorted(beside.items())]
+
+
+def _may_confirm(text: Column) -> Column:
+    """False only where no part of the text has enough 2-grams of a notice; asks for words as parts of the text, without splitting it."""
+    table = _constant(_confirming(), "array<struct<long:string,beside:array<string>>>")
+    return _bound(F.lower(text), lambda t: F.exists(table, lambda x: F.contains(t, x["long"]) & F.exists(x["beside"], lambda w: F.contains(t, w))))
 
 
 def _like_any(rows: DataFrame, w: Column) -> DataFrame:
@@ -180,8 +209,8 @@ def _like_any(rows: DataFrame, w: Column) -> DataFrame:
     known = _constant(sorted({p for n in _notice_pairs() for p in n["pairs"]}), "array<string>")
     notices = _constant(_notice_pairs(), "array<struct<family:int,pairs:array<string>>>")
     enough = lambda near: F.exists(notices, lambda x: F.size(F.array_intersect(x["pairs"], near)) / F.size(x["pairs"]) >= CONFIRMED)
-    # an array of one binds what is near, so that it is worked out once and not for each notice
-    return rows.where(F.get(F.transform(F.array(F.array_intersect(known, _pairs(w))), lambda near: (F.size(near) > 0) & enough(near)), F.lit(0)))
+    near = _bound(w, lambda w: F.array_intersect(known, _pairs(w)))
+    return rows.where(_bound(near, lambda near: (F.size(near) > 0) & enough(near)))
 
 
 def _fitted(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -258,7 +287,7 @@ def train(docs: DataFrame, text: str = "text") -> Model:
 def _classified(rows: DataFrame, model: Model) -> DataFrame:
     """``i`` (family's number), ``probability`` and ``likeness`` of the words ``w`` of every row that is no "unknown"."""
     kept = rows.columns
-    rows = rows.where(model.highest(F.array_distinct(grams(F.col("w")))) > model.unknown)  # few pass, and only these need all families
+    rows = rows.where(_bound(F.col("w"), lambda w: model.highest(F.array_distinct(grams(w)))) > model.unknown)  # few pass, and only these need all families
     z = rows.withColumn("z", model.logits(F.array_distinct(grams(F.col("w"))))).withColumn("top", F.array_max("z")).where(F.col("top") > model.unknown)
     sure = 1 / (1 + F.exp(-(F.col("top") * model.scale[0] + model.scale[1])))
     got = z.select(*kept, (F.array_position("z", F.col("top")) - 1).cast("int").alias("i"), sure.alias("probability"))
@@ -273,7 +302,8 @@ def _wrapped(docs: DataFrame, model: Model) -> DataFrame:
     """
     room = 2 * max(len(t.split()) for _, t in NOTICES)
     lines = F.transform(F.split("text", "\n", -1), words)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", lines.alias("lines"))
+    rows = docs.where(_may_confirm(F.col("text")))  # only these need their words
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", lines.alias("lines"))
     rows = _like_any(rows.where(F.size("lines") > 1), F.flatten("lines"))
     rows = rows.select("row", "doc_id", "lines", F.posexplode("lines").alias("paragraph", "w")).where(F.size("w") > 0)
     begun = F.struct(F.lit(0).alias("n"), F.lit(0).alias("words"), F.lit(False).alias("over"))
