@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glasspane.llm import decontaminate, fingerprints, jaccard, langid, licences, linededup, mixing, pseudonyms, secretscan, toxicity
+from glasspane.llm import decontaminate, fingerprints, jaccard, langid, licences, linededup, merkle, mixing, pseudonyms, quality, search, secretscan, toxicity
 from glasspane.llm.rows import own_folder
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -96,6 +99,30 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_neighbours(_table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    leaf = lambda text: merkle.digest(F.concat(*[merkle.field(x) for x in (F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)]))
+    tampered = F.when(fold("doc_id", 3) == 0, leaf(F.translate("text", UPPER, LOWER))).otherwise(F.col("leaf"))
+    rows = docs.withColumn("leaf", leaf(F.col("text"))).select("lang", "doc_id", "leaf", F.struct("doc_id", tampered.alias("given")).alias("more"))
+    found = merkle.manifest(rows, "lang", ["doc_id"], "leaf")
+    out = found.select(
+        "more.doc_id",
+        *[merkle.shown(F.col(c)).alias(c) for c in ("leaf", "subroot", "root")],
+        F.sha2(merkle.proof_text(F.col("steps")).cast("binary"), 256).alias("proof_sha256"),
+        merkle.folded(F.col("more.given"), F.col("steps")).alias("folded_root"),
+    )
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judged(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_failed", "kept")
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pseudonyms": op1_pseudonyms,
     "op2_language_id": op2_language_id,
@@ -107,4 +134,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_licence_scan": op9_licence_scan,
     "op10_fingerprints": op10_fingerprints,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_quality_rules": op12_quality_rules,
+    "op13_ranked_search": op13_ranked_search,
 }

@@ -111,6 +111,9 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.folder = spark, f"{checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}"
         self.count = 0
+        files, where = _file_system(spark, self.folder)
+        files.mkdirs(where)
+        files.deleteOnExit(where)  # also where a run fails before its end
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         self.count += 1
