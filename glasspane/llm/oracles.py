@@ -131,7 +131,7 @@ f AS (SELECT source, rule, count(*)::DOUBLE AS n, count(*) FILTER (bad)::DOUBLE
       unnest([n_words < 10, 100 * n_repeat_words > 20 * n_words, n_symbols > n_words, 100 * n_dup_lines > 30 * n_lines]) AS bad FROM m WHERE source IS NOT NULL) GROUP BY 1, 2),
 s AS (SELECT rule, sum(f) / sum(n) AS mean, sum(n) AS n, count(*) AS hosts, sum(n) - sum(n * n) / sum(n) AS room, sum(f * f / n) AS spread FROM f GROUP BY 1),
 b AS (SELECT rule, mean, mean * (1 - mean) AS chance, room, CASE WHEN room > 0 THEN (spread - n * mean * mean - (hosts - 1) * mean * (1 - mean)) / room END AS beyond FROM s),
-p AS (SELECT rule, mean, CASE WHEN chance <= 0 OR beyond IS NULL OR beyond <= 0 THEN 1e6 ELSE least(greatest(chance / beyond - 1, 1), 1e6) END AS strength FROM b),
+p AS (SELECT rule, mean, CASE WHEN chance <= 0 OR beyond IS NULL OR beyond <= 0 THEN 1e6 ELSE least(greatest(chance / beyond - 1, 20), 1e6) END AS strength FROM b),
 h AS (SELECT source, max((f + mean * strength) / (n + strength)) > 0.5 AS gone FROM f JOIN p USING (rule) GROUP BY 1),
 o AS (SELECT m.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, coalesce(gone, false) AS host_failed FROM m LEFT JOIN h USING (source))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_failed, NOT base_failed AND NOT host_failed AS kept FROM o

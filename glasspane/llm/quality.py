@@ -20,8 +20,8 @@ from glasspane.llm.rows import Scratch
 WORD, SYMBOL, WINDOW = r"[^\x20\x09-\x0D]+", r"[#*$%&|<>]", 5
 #: A host goes if the shrunk share of its documents that fail one rule is above this.
 HOST_LIMIT = 0.5
-#: Bounds of the prior's strength, in documents: hosts that differ as much as can be, hosts that do not differ.
-WEAKEST, STRONGEST = 1.0, 1e6
+#: Bounds of the prior's strength, in documents: a host of fewer documents than the first stays near the common rate, however much hosts differ.
+WEAKEST, STRONGEST = 20.0, 1e6
 #: Documents of one host that are joined to its verdict in one task are dealt over so many salts.
 SALTS = 64
 #: Rules by name, over the measures of a text; the first two reject a document by themselves.
