@@ -103,9 +103,9 @@ def _document_features(w: tokens.Words, p: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(w.rows), np.log1p(expected), np.log(share + 1e-4) - np.log(1e-4)], axis=1)
 
 
-def _gathered(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _gathered(values: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Text number and features of all words, and all chains, longest first; slice by slice to bound memory."""
-    values, parts, at = tokens.column(pa.array(texts, pa.string())), [], 0
+    parts, at = [], 0
     for lo, hi in tokens.pieces(values):
         w = tokens.words(values.slice(lo, hi - lo), tokens.ALNUM)
         first, size = chains(w)
@@ -130,11 +130,12 @@ def _token_labels(row: np.ndarray, feats: np.ndarray, toxic: np.ndarray) -> np.n
     return (marked[feats].any(axis=0) & (toxic[row] == 1)).astype(float)
 
 
-def fit(texts: list[str], toxic: np.ndarray, share_toxic: float) -> Model:
+def fit(texts: list[str] | pa.Array | pa.ChunkedArray, toxic: np.ndarray, share_toxic: float) -> Model:
     """A model from labelled texts; ``share_toxic`` is the share of label 1 among all labelled rows."""
+    values = tokens.column(pa.array(texts, pa.string()) if isinstance(texts, list) else texts)
     toxic = np.asarray(toxic)
-    test = np.random.default_rng(0).permutation(len(texts)) % 4 == 3  # kept for the calibration
-    row, feats, first, size = _gathered([t for t, x in zip(texts, test) if not x])
+    test = np.random.default_rng(0).permutation(len(values)) % 4 == 3  # kept for the calibration
+    row, feats, first, size = _gathered(values.filter(pa.array(~test)))
     y = _token_labels(row, feats, toxic[~test])
     model = Model(np.zeros(BUCKETS, np.float32), -3.0, np.zeros((2, 2)), np.zeros(3))
     ends = first + size - 1
@@ -161,13 +162,13 @@ def fit(texts: list[str], toxic: np.ndarray, share_toxic: float) -> Model:
         model.bias += rate * steps[1] / np.sqrt(scale[1])
         model.moves += rate * steps[2] / np.sqrt(scale[2])
     del feats, row
-    _calibrate(model, [t for t, x in zip(texts, test) if x], toxic[test], share_toxic)
+    _calibrate(model, values.filter(pa.array(test)), toxic[test], share_toxic)
     return model
 
 
-def _calibrate(model: Model, texts: list[str], toxic: np.ndarray, share_toxic: float) -> None:
+def _calibrate(model: Model, values: pa.Array, toxic: np.ndarray, share_toxic: float) -> None:
     """Logistic regression by Newton steps, with classes weighted to their share among all labels."""
-    values, parts = tokens.column(pa.array(texts, pa.string())), []
+    parts = []
     for lo, hi in tokens.pieces(values):
         w = tokens.words(values.slice(lo, hi - lo), tokens.ALNUM)
         parts.append(_document_features(w, model.marginals(w)))
@@ -212,7 +213,11 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     toxic = got["_toxic"].to_numpy()
     if len(set(toxic.tolist())) < 2:
         return None
-    return fit(got["_text"].to_pylist(), toxic, sizes[1] / (sizes[0] + sizes[1]))
+    # the texts stay in Arrow's memory, which is given back when they have been used
+    model = fit(got["_text"], toxic, sizes[1] / (sizes[0] + sizes[1]))
+    del got
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 _SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("marginal", T.DoubleType())])
