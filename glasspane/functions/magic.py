@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from glasspane.functions.values import bound
+
 #: Brands of ISO base media files.
 VIDEO_BRANDS = ("isom", "iso2", "iso4", "iso5", "iso6", "mp41", "mp42", "avc1", "M4V ", "M4A ", "M4B ", "qt  ", "mmp4")
 IMAGE_COMPATIBLE = ("heic", "heix", "mif1", "msf1", "avif")
@@ -19,7 +21,7 @@ HINTS = (
 
 
 #: Formats whose findings are read; all others are named at most.
-READ = ("PNG", "JPEG", "WebP", "GIF", "BMP", "AVI", "WAV", "FLAC", "PDF")
+READ = ("PNG", "JPEG", "WebP", "GIF", "BMP", "AVI", "WAV", "FLAC", "PDF", "TIFF")
 
 
 def understood(form: Column) -> Column:
@@ -42,6 +44,14 @@ def le32(data: Column, offset: Column) -> Column:
     return F.conv(F.concat(*byte), 16, 10).cast("long")
 
 
+def be16(data: Column, offset: Column) -> Column:
+    return F.conv(F.hex(F.substr(data, offset + 1, F.lit(2))), 16, 10).cast("long")
+
+
+def le16(data: Column, offset: Column) -> Column:
+    return F.conv(F.concat(F.hex(F.substr(data, offset + 2, F.lit(1))), F.hex(F.substr(data, offset + 1, F.lit(1)))), 16, 10).cast("long")
+
+
 def be32(data: Column, offset: Column) -> Column:
     return F.conv(F.hex(F.substr(data, offset + 1, F.lit(4))), 16, 10).cast("long")
 
@@ -57,6 +67,7 @@ def head_text(data: Column, n: int = 1024) -> Column:
     return F.left(F.try_validate_utf8(data.cast("string")), F.lit(n))
 
 
+@bound
 def detect(data: Column) -> Column:
     """Format name, or null."""
     brand = F.substr(data, F.lit(9), F.lit(4)).cast("string")
@@ -98,6 +109,7 @@ def detect(data: Column) -> Column:
     )
 
 
+@bound
 def hint(data: Column) -> Column:
     """What an unjudged file seems to be; a label, never a verdict."""
     out = F.when(at(data, 4, _ascii("ftyp")), "ISO base media")

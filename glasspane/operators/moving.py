@@ -11,8 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from glasspane.functions.magic import le32
-from glasspane.functions.text import shown
-from glasspane.operators.chunks import _CHUNK, _all_of, _gather, _join_bytes, _nothing, _walk, _z_text, let
+from glasspane.functions.values import bound, let
+from glasspane.operators.chunks import _CHUNK, FILLERS, _all_of, _byte, _gather, _join_bytes, _nothing, _walk, _z_text, filled, item, numbered, report, size_text
 from glasspane.operators.findings import RIFF_INFO
 
 #: Steps of one walk through a GIF file; a file that needs more is an error.
@@ -22,31 +22,12 @@ GIF_KEPT = ("NETSCAPE", "ANIMEXTS")
 #: Chunks that an AVI file needs.
 AVI_KEPT = ("RIFF", "LIST", "avih", "strh", "strf", "JUNK", "idx1", "indx", "dmlh", "vprp")
 
-_ITEM = "struct<kind:string,location:string,value:string,severity:int>"
-
-
-def _item(kind: Column | str, place: Column | str, value: Column, severity: Column | int) -> Column:
-    col = lambda x: x if isinstance(x, Column) else F.lit(x)
-    return F.struct(col(kind).alias("kind"), col(place).alias("location"), value.alias("value"), col(severity).alias("severity")).cast(_ITEM)
-
-
-def _numbered(items: Column) -> Column:
-    return F.transform(
-        F.array_compact(items),
-        lambda f, i: F.struct(i.alias("ord"), f["kind"].alias("kind"), f["location"].alias("location"), shown(f["value"]).alias("value"), f["severity"].alias("severity")),
-    )
-
-
-def _byte(data: Column, at: Column) -> Column:
-    """The byte at an offset from 0, or null behind the end."""
-    return F.conv(F.nullif(F.hex(F.substr(data, at.cast("int") + 1, F.lit(1))), F.lit("")), 16, 10).cast("int")
-
-
 def _colours(packed: Column) -> Column:
     """Bytes of the colour table that a packed field announces."""
     return F.when(packed >= 128, F.get(F.lit([6 << i for i in range(8)]), packed.bitwiseAND(7))).otherwise(0)
 
 
+@bound
 def gif_blocks(data: Column) -> Column:
     """``head`` (bytes before the first block), ``blocks`` (label in hex, start, size), ``end`` of the last one and ``error``.
 
@@ -117,30 +98,37 @@ def _gif_item(data: Column, block: Column) -> Column:
     name = F.decode(F.substr(data, (block["start"] + 4).cast("int"), fixed), "ISO-8859-1")
     place = F.concat(F.lit("GIF:application/"), F.trim(name))
     application = (
-        F.when(F.startswith(name, F.lit("XMP ")), _item("author", place, nothing, 2))
-        .when(~F.left(name, F.lit(8)).isin(*GIF_KEPT), _item("unknown extension", place, nothing, 1))
+        F.when(F.startswith(name, F.lit("XMP ")), item("author", place, nothing, 2))
+        .when(~F.left(name, F.lit(8)).isin(*GIF_KEPT), item("unknown extension", place, nothing, 1))
     )
-    comment = F.trim(F.decode(_sub_blocks(data, block), "UTF-8"))
+    comment = F.trim(F.make_valid_utf8(_sub_blocks(data, block).cast("string")))
     return (
-        F.when(tag.isin("2C", "3B", "F9"), F.lit(None).cast(_ITEM))
-        .when(tag == "FE", _item("comment", "GIF:comment", comment, 1))
-        .when(tag == "01", _item("comment", "GIF:plain text", nothing, 1))
+        F.when(tag.isin("2C", "3B", "F9"), F.lit(None))
+        .when(tag == "FE", item("comment", "GIF:comment", comment, 1))
+        .when(tag == "01", item("comment", "GIF:plain text", nothing, 1))
         .when(tag == "FF", application)
-        .otherwise(_item("unknown extension", F.concat(F.lit("GIF:block "), tag), nothing, 0))
+        .otherwise(item("unknown extension", F.concat(F.lit("GIF:block "), tag), nothing, 0))
     )
 
 
+def _gif_told(data: Column, walk: Column) -> Column:
+    rest = F.octet_length(data) - walk["end"]
+    tail = F.when(rest > 0, item("unknown extension", "GIF:tail", size_text(rest), 1))
+    return numbered(F.concat(F.transform(walk["blocks"], lambda b: _gif_item(data, b)), F.array(tail)))
+
+
+@bound
 def gif_findings(data: Column) -> Column:
     """Comments, texts, foreign application blocks, unknown blocks and bytes behind the end mark."""
+    return let(gif_blocks(data), lambda w: _gif_told(data, w))
 
-    def of(walk: Column) -> Column:
-        rest = F.octet_length(data) - walk["end"]
-        tail = F.when(rest > 0, _item("unknown extension", "GIF:tail", F.concat(rest.cast("string"), F.lit(" bytes")), 1))
-        return _numbered(F.concat(F.transform(walk["blocks"], lambda b: _gif_item(data, b)), F.array(tail)))
 
-    return let(gif_blocks(data), of)
+@bound
+def gif_report(data: Column) -> Column:
+    return report(gif_blocks(data), lambda w: _gif_told(data, w))
 
 
+@bound
 def gif_cleaned(data: Column) -> Column:
     """The file without blocks that are findings and without what follows its end mark, which is added where it is missing."""
 
@@ -157,7 +145,12 @@ def _avi_kind(data: Column, chunk: Column) -> Column:
     return F.substr(data, (chunk["start"] + 1).cast("int"), F.lit(4)).cast("string")
 
 
-def avi_chunks(data: Column, whole: tuple[str, ...] = ("movi",)) -> Column:
+#: Chunks of a stream within ``movi``, and of its index.
+AVI_STREAM = r"^([0-9]{2}..|ix[0-9]{2})$"
+
+
+@bound
+def avi_chunks(data: Column, whole: tuple[str, ...] = ()) -> Column:
     """All chunks of an AVI file, those within lists behind their list; lists of a kind in ``whole`` are not entered.
 
     The size of a list is 4, the bytes of its kind.
@@ -169,41 +162,52 @@ def avi_chunks(data: Column, whole: tuple[str, ...] = ("movi",)) -> Column:
         group = tag.isin("LIST", "RIFF")
         entered = group & ~F.substr(d, p + 9, F.lit(4)).cast("string").isin(*whole)
         over = F.least(size + 8 + F.pmod(size, F.lit(2)), F.greatest(F.octet_length(d) - at, size + 8))
-        return tag, F.when(group, F.lit(4).cast("long")).otherwise(size), F.when(entered, F.lit(12).cast("long")).otherwise(over)
+        # a list that is longer than the file is an error, though what is within it may not be
+        within = F.when(at + 8 + size > F.octet_length(d), F.octet_length(d) + 1).otherwise(12).cast("long")
+        return tag, F.when(group, F.lit(4).cast("long")).otherwise(size), F.when(entered, within).otherwise(over)
 
-    return _walk(data, 12, 8, read, None)
+    return _walk(data, 12, 8, read, None, MOST_STEPS)
 
 
-def _avi_told(tag: Column) -> Column:
-    """Whether a chunk is a field that tells something."""
-    return tag.isin("strn", *[n for names in RIFF_INFO.values() for n in names])
+def _avi_told(data: Column, walk: Column) -> Column:
+    def of(c: Column) -> Column:
+        tag = c["tag"]
+        inner = F.substr(data, (c["start"] + 1).cast("int"), c["size"].cast("int"))
+        text = F.trim(_z_text(inner))
+        other = ~tag.isin(*AVI_KEPT) & ~F.rlike(tag, F.lit(AVI_STREAM))
+        out = F.when(other, item("unknown extension", F.concat(F.lit("AVI:"), tag), size_text(c["size"]), 0))
+        for (kind, severity), names in RIFF_INFO.items():
+            out = F.when(tag.isin(*names), item(kind, F.concat(F.lit("AVI:INFO/"), tag), text, severity)).otherwise(out)
+        out = F.when(tag.isin(*FILLERS) & filled(inner), item("unknown extension", "AVI:filler", size_text(c["size"]), 1)).otherwise(out)
+        return F.when(tag == "strn", item("comment", "AVI:strn", text, 1)).otherwise(out)
+
+    return numbered(F.transform(walk["chunks"], of))
 
 
+@bound
 def avi_findings(data: Column) -> Column:
-    """Track names, INFO fields wherever they stand, and every chunk that the pictures do not need."""
+    """Track names, INFO fields wherever they stand, fillers that are not empty, and every chunk that the pictures do not need."""
+    return let(avi_chunks(data), lambda w: _avi_told(data, w))
 
-    def of(c: Column) -> Column:
-        tag = c["tag"]
-        text = F.trim(_z_text(F.substr(data, (c["start"] + 1).cast("int"), c["size"].cast("int"))))
-        out = F.when(~tag.isin(*AVI_KEPT) & ~F.rlike(tag, F.lit("^ix[0-9]{2}$")), _item("unknown extension", F.concat(F.lit("AVI:"), tag), F.concat(c["size"].cast("string"), F.lit(" bytes")), 0))
-        for (kind, severity), names in RIFF_INFO.items():
-            out = F.when(tag.isin(*names), _item(kind, F.concat(F.lit("AVI:INFO/"), tag), text, severity)).otherwise(out)
-        return F.when(tag == "strn", _item("comment", "AVI:strn", text, 1)).otherwise(out)
 
-    return let(avi_chunks(data), lambda walk: _numbered(F.transform(walk["chunks"], of)))
+@bound
+def avi_report(data: Column) -> Column:
+    return report(avi_chunks(data), lambda w: _avi_told(data, w))
 
 
+@bound
 def avi_cleaned(data: Column) -> Column:
-    """The file with INFO lists, track names and INFO fields elsewhere overwritten by JUNK of the same length; null where it is broken."""
+    """The file with INFO lists, track names, fillers and INFO fields elsewhere overwritten by JUNK of the same length; null where it is broken."""
+    fields = [n for names in RIFF_INFO.values() for n in names]
 
     def part(c: Column) -> Column:
-        group, kind = c["tag"].isin("LIST", "RIFF"), _avi_kind(data, c)
+        group, kind = c["tag"].isin("LIST", "RIFF"), F.substr(data, (c["start"] + 1).cast("int"), F.lit(4)).cast("string")
         size = le32(data, (c["start"] - 4).cast("int"))
         length = F.least(size + F.pmod(size, F.lit(2)), F.octet_length(data) - c["start"]).cast("int")
         at = (c["start"] - 7).cast("int")
         junk = F.concat(F.lit("JUNK").cast("binary"), F.substr(data, at + 4, F.lit(4)), F.unhex(F.repeat(F.lit("00"), length)))
-        telling = _avi_told(c["tag"]) | (group & (kind == "INFO"))
-        return F.when(telling, junk).when(group & (kind != "movi"), F.substr(data, at, F.lit(12))).otherwise(F.substr(data, at, length + 8))
+        telling = c["tag"].isin("strn", *FILLERS, *fields) | (group & (kind == "INFO"))
+        return F.when(telling, junk).when(group, F.substr(data, at, F.lit(12))).otherwise(F.substr(data, at, length + 8))
 
     whole = lambda walk: F.when(walk["error"].isNull(), F.concat(F.substr(data, F.lit(1), F.lit(12)), _join_bytes(F.transform(walk["chunks"], part))))
-    return let(avi_chunks(data, ("movi", "INFO")), whole)
+    return let(avi_chunks(data, ("INFO",)), whole)

@@ -61,6 +61,11 @@ def _png(stamped: str) -> str:
     return f"(8 + 25 + 12 + strlen(source) + 1 + strlen(text) + CASE WHEN {stamped} THEN 12 + 8 ELSE 0 END + 12 + 10 + 12)"
 
 
+#: Lines of an order as entries of an archive.
+ZIPS = """z AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, (['', 'home/me/', 'C:\\x\\', 'docs/'])[l_suppkey % 4 + 1]) AS k, l_partkey % 3 = 0 AS picture, CASE WHEN l_linenumber % 2 = 1 THEN 0 ELSE 8 END::INT AS method,
+        (['', 'home/me/', 'C:\\x\\', 'docs/'])[l_suppkey % 4 + 1] || 'f' || l_partkey AS name, ([NULL, 'unix home directory', 'absolute path with drive letter', NULL])[l_suppkey % 4 + 1] AS leak,
+        CASE WHEN l_partkey % 3 = 0 THEN 82 ELSE l_linenumber END::BIGINT AS size FROM lineitem)"""
+
 ORACLES: dict[str, str] = {
     "padme_histogram": f"""SELECT padded_size, count(*) AS n_docs, sum(padded_size - n)::BIGINT AS waste
         FROM (SELECT strlen(text) AS n, {_class('strlen(text)')} AS padded_size FROM documents) GROUP BY 1""",
@@ -123,7 +128,7 @@ ORACLES: dict[str, str] = {
     "severity_order": f"""WITH f AS ({FINDINGS}), p AS (SELECT *, row_number() OVER (PARTITION BY artifact_id ORDER BY severity DESC, ord) AS place FROM f)
         SELECT artifact_id, place::INT AS place, ord, severity FROM p""",
     "critical_kinds": f"""WITH f AS ({FINDINGS}), k AS (SELECT artifact_id, kind, min(ord) AS o FROM f WHERE severity = 2 GROUP BY 1, 2)
-        SELECT artifact_id, count(kind) > 0 AS critical, coalesce(arg_min(kind, o), '') AS kinds, count(kind) > 1 AS more FROM (SELECT DISTINCT artifact_id FROM f) LEFT JOIN k USING (artifact_id) GROUP BY 1""",
+        SELECT artifact_id, count(kind) > 0 AS critical, coalesce(array_to_string((list(kind ORDER BY o, kind) FILTER (kind IS NOT NULL))[1:3], ','), '') AS kinds, count(kind) > 3 AS more FROM (SELECT DISTINCT artifact_id FROM f) LEFT JOIN k USING (artifact_id) GROUP BY 1""",
     "tracked_changes": """SELECT l_orderkey AS artifact_id, count(*) FILTER (l_returnflag != 'R') AS insertions, count(*) FILTER (l_returnflag = 'R') AS deletions,
         array_to_string(list_sort(list(DISTINCT strftime(l_shipdate, '%Y-%m'))), ', ') AS authors FROM lineitem GROUP BY 1""",
     "lines_only_in_older_turn": """WITH c AS (SELECT conv_id, arg_min(text, turn) AS old, arg_max(text, turn) AS new FROM conversations GROUP BY 1),
@@ -201,10 +206,25 @@ ORACLES: dict[str, str] = {
     "stanza_scan": """WITH o AS (SELECT l_orderkey, list_sort(list(DISTINCT l_suppkey)) AS s FROM lineitem GROUP BY 1),
         t AS (SELECT l_orderkey, list_transform(s, lambda x: x % 5 = 0) AS f FROM o)
         SELECT l_orderkey, length(list_filter(f, lambda x: NOT x))::INT AS real, length(list_filter(f, lambda x: x))::INT AS dummies, length(f) = 1 OR (length(f) = 2 AND NOT f[1] AND f[2]) AS strict FROM t""",
-    "mixed_file_verdicts": """WITH c AS (SELECT c_custkey % 6 AS n, c_custkey % 18 = 0 AS cut FROM customer),
-        v AS (SELECT (['PNG', 'JPEG', 'WAV', 'BMP', 'Ogg', ''])[(n + 1)::INT] AS format, CASE WHEN cut THEN 'malformed' WHEN n < 4 THEN 'complete' ELSE 'unknown' END AS outcome,
-        CASE WHEN cut THEN -1 ELSE ([1, 2, 2, 0, -1, -1])[(n + 1)::INT] END AS n_findings FROM c)
-        SELECT format, outcome, CASE outcome WHEN 'malformed' THEN 'error' WHEN 'complete' THEN 'confirmed' ELSE 'no statement' END AS verdict, n_findings, count(*) AS files FROM v GROUP BY ALL""",
+    # by format: findings as it is; with two bytes behind it; cut to twenty bytes (-1: none can be told)
+    "mixed_file_verdicts": """WITH f(made_as, format, n0, n1, n2, o0, o1, o2) AS (VALUES
+        (0, 'PNG', 1, -1, -1, 'complete', 'malformed', 'malformed'), (1, 'JPEG', 2, 3, -1, 'complete', 'complete', 'malformed'), (2, 'WebP', 2, -1, -1, 'complete', 'malformed', 'malformed'),
+        (3, 'GIF', 2, 3, -1, 'complete', 'complete', 'malformed'), (4, 'BMP', 0, 1, -1, 'complete', 'complete', 'unknown'), (5, 'AVI', 2, -1, -1, 'complete', 'malformed', 'malformed'),
+        (6, 'WAV', 2, -1, -1, 'complete', 'malformed', 'malformed'), (7, 'FLAC', 2, 2, -1, 'complete', 'complete', 'malformed'), (8, 'PDF', 2, 3, -1, 'partial', 'partial', 'malformed'),
+        (9, 'TIFF', 2, 3, -1, 'partial', 'partial', 'malformed'), (10, 'Ogg', -1, -1, -1, 'unknown', 'unknown', 'unknown')),
+        c AS (SELECT c_custkey % 11 AS made_as, c_custkey // 11 % 3 AS damage FROM customer),
+        v AS (SELECT made_as, damage, CASE WHEN made_as = 4 AND damage = 2 THEN '' ELSE format END AS format, ([o0, o1, o2])[damage + 1] AS outcome, ([n0, n1, n2])[damage + 1]::INT AS n_findings FROM c JOIN f USING (made_as))
+        SELECT made_as, damage, format, outcome, CASE outcome WHEN 'malformed' THEN 'error' WHEN 'complete' THEN 'confirmed' WHEN 'partial' THEN 'warning' ELSE 'no statement' END AS verdict, n_findings, count(*) AS files FROM v GROUP BY ALL""",
+    "tiff_directories": """SELECT c_custkey AS artifact_id, CASE WHEN c_custkey % 4 = 2 THEN 'directories in a circle' END AS error, CASE WHEN c_custkey % 4 != 2 THEN
+        'device:1:TIFF:Make:' || c_mktsegment || ',author:2:TIFF:Artist:' || c_name || (['', ',unknown extension:1:TIFF:tail:2 bytes', '', ',gps:2:TIFF:GPS-IFD:4 bytes'])[c_custkey % 4 + 1] END AS found FROM customer""",
+    "exif_tags": """SELECT s_suppkey AS artifact_id, 'device:1:APP1:Exif/Make:Camera One,author:2:APP1:Exif/Artist:' || s_name || CASE WHEN s_suppkey % 4 = 3 THEN ',gps:2:APP1:Exif/GPS-IFD:4 bytes' ELSE '' END AS found,
+        'ffd8ffdb00040001ffda00040102a1b2c3ffd9' AS clean FROM supplier""",
+    "zip_entries": f"""WITH {ZIPS} SELECT l_orderkey, (k - 1)::INT AS i, name, method, size, (sum(30 + strlen(name) + size) OVER (PARTITION BY l_orderkey ORDER BY k) - 30 - strlen(name) - size)::BIGINT AS "offset", NULL::VARCHAR AS error FROM z WHERE l_orderkey % 7 != 0
+        UNION ALL SELECT DISTINCT l_orderkey, NULL, NULL, NULL, NULL, NULL, 'no end record' FROM z WHERE l_orderkey % 7 = 0""",
+    "zip_findings": f"""WITH {ZIPS} SELECT l_orderkey, CASE WHEN l_orderkey % 7 != 0 THEN 'comment:1:ZIP:entry names:' || count(*) || ' names' || coalesce(',' || string_agg('author:2:ZIP:' || name || ':' || leak, ',' ORDER BY k) FILTER (leak IS NOT NULL), '')
+        || CASE WHEN l_orderkey % 3 = 1 THEN ',comment:1:ZIP:comment:4 bytes' ELSE '' END || CASE WHEN l_orderkey % 5 = 0 THEN ',unknown extension:1:ZIP:tail:2 bytes' ELSE '' END END AS found FROM z GROUP BY l_orderkey""",
+    "zip_members": f"""WITH {ZIPS} SELECT CASE WHEN picture THEN 'PNG' ELSE '' END AS format, CASE WHEN picture THEN 'warning' ELSE 'no statement' END AS verdict, CASE WHEN picture THEN 1 ELSE -1 END AS n_findings, count(*) AS files
+        FROM z WHERE l_orderkey % 7 != 0 AND method = 0 GROUP BY 1, 2, 3""",
     "outside_views": """WITH d AS (SELECT doc_id, doc_id % 5 AS k, strlen(text) AS n FROM documents)
         SELECT doc_id, ([1, 2])[k + 1]::INT AS version, (['classical', 'hybrid'])[k + 1] AS suite, CASE WHEN k = 1 THEN 3 END AS stanzas,
         (CASE k WHEN 0 THEN 2 + (n + 10 + 2) // 3 * 4 WHEN 2 THEN n WHEN 3 THEN 4 ELSE n + 5 END)::INT AS bytes,
@@ -221,7 +241,7 @@ ORACLES: dict[str, str] = {
     "gif_cleaning": """WITH c AS (SELECT c_custkey, c_name, c_custkey % 3 AS k FROM customer)
         SELECT c_custkey AS artifact_id, 'comment:1:GIF:comment:' || c_name || (['', ',author:2:GIF:application/XMP Data', ',unknown extension:1:GIF:application/ICCRGBG1'])[k + 1] AS found,
         '474946383961' || CASE WHEN k = 1 THEN '01000100800000aabbccddeeff' ELSE '01000100000000' END || '21f9040000000000' || CASE WHEN k = 0 THEN '21ff0b4e45545343415045322e300301000000' ELSE '' END
-        || '2c00000000010001000002024c01003b' AS clean FROM c""",
+        || '2c00000000010001000002024c01003b' AS clean, 0 AS left FROM c""",
     "avi_cleaning": """WITH s AS (SELECT c_custkey, c_name, c_mktsegment, strlen(c_name) + 1 AS a, strlen(c_mktsegment) + 1 AS b FROM customer),
         t AS (SELECT *, (122 + a + a % 2 + b + b % 2)::INT AS bytes FROM s)
         SELECT c_custkey AS artifact_id, 'comment:1:AVI:strn:' || c_name || ',software:1:AVI:INFO/ISFT:' || c_mktsegment AS found, bytes, bytes AS clean_bytes, 0 AS left, 'AVI' AS format FROM t""",

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glasspane.functions import envelopes, keys, lengths, magic, paths, text, verdicts
-from glasspane.operators import chunks, findings, headers, images, inspect, moving, rollups, sessions, trust
+from glasspane.functions.values import let
+from glasspane.operators import archives, chunks, findings, headers, images, inspect, moving, rollups, sessions, tiff, trust
 from glasspane.plans import tables as t
 from glasspane.plans.tables import table
 from glasspane.sources.artifacts import report
@@ -202,7 +203,7 @@ def gif_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M5, C4: customers as pictures with a comment and application blocks of three kinds."""
     g = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("artifact_id"), t.gif_of(F.col("c_name"), F.pmod("c_custkey", F.lit(3))).alias("content"))
     g = g.withColumn("clean", moving.gif_cleaned(F.col("content")))
-    return g.select("artifact_id", _told(moving.gif_findings(F.col("content"))).alias("found"), F.lower(F.hex("clean")).alias("clean"))
+    return g.select("artifact_id", _told(moving.gif_findings(F.col("content"))).alias("found"), F.lower(F.hex("clean")).alias("clean"), F.size(moving.gif_findings(F.col("clean"))).alias("left"))
 
 
 @query
@@ -225,21 +226,69 @@ def stanza_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def mixed_file_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V1, V2, A3: customers as files of six kinds, some cut short; what they say and what cleaning gives."""
-    n = F.pmod("c_custkey", F.lit(6))
-    c = table(spark, sf_dir, "customer")
-    content = (
-        F.when(n == 0, t.png_of(F.col("c_name"), F.col("c_name"), F.lit(False)))
-        .when(n == 1, t.jpeg_of(F.col("c_name"), F.lit(False)))
-        .when(n == 2, t.wav_of(F.col("c_name"), F.lit("x")))
-        .when(n == 3, t.bmp_of(F.lit("")))
-        .when(n == 4, F.concat(F.lit("OggS").cast("binary"), F.col("c_name").cast("binary")))
-        .otherwise(F.col("c_name").cast("binary"))
-    )
-    short = F.when((n == 0) & (F.pmod("c_custkey", F.lit(18)) == 0), F.substr(content, F.lit(1), F.lit(50))).otherwise(content)
-    files = c.select(short.alias("content"))
-    got = inspect.cleaned(files).select(F.coalesce("format", F.lit("")).alias("format"), "outcome", "verdict", F.coalesce(F.size("findings"), F.lit(-1)).alias("n_findings"))
-    return got.groupBy("format", "outcome", "verdict", "n_findings").agg(F.count("*").alias("files"))
+    """V1, V2, A3: customers as files of all formats that are read, as they are, with two bytes behind them, or cut short; what they say and what cleaning gives."""
+    n, damage = F.pmod("c_custkey", F.lit(11)), F.pmod(F.floor(F.col("c_custkey") / 11), F.lit(3))
+    name, x = F.col("c_name"), F.lit("xxxxx")
+    made = [
+        t.png_of(name, name, F.lit(False)), t.jpeg_of(name, F.lit(False)), t.webp_of(name), t.gif_of(name, F.lit(1)), t.bmp_of(F.lit("")), t.avi_of(name, x), t.wav_of(name, x),
+        t.flac_of([F.concat(F.lit("ARTIST="), name)]), t.pdf_of(name, F.lit(1)), t.tiff_of(name, x, F.lit(0), True), F.concat(F.lit("OggS"), name).cast("binary"),
+    ]
+    content = F.lit(None).cast("binary")
+    for i, file in enumerate(made):
+        content = F.when(n == i, file).otherwise(content)
+    content = let(content, lambda c: F.when(damage == 1, F.concat(c, F.lit("me").cast("binary"))).when(damage == 2, F.substr(c, F.lit(1), F.lit(20))).otherwise(c))
+    files = table(spark, sf_dir, "customer").select(n.alias("made_as"), damage.alias("damage"), content.alias("content"))
+    got = inspect.cleaned(files).select("made_as", "damage", F.coalesce("format", F.lit("")).alias("format"), "outcome", "verdict", F.coalesce(F.size("findings"), F.lit(-1)).alias("n_findings"))
+    return got.groupBy("made_as", "damage", "format", "outcome", "verdict", "n_findings").agg(F.count("*").alias("files"))
+
+
+@query
+def tiff_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M7: customers as pictures in either byte order, some with a tail, a circle of directories, or a place."""
+    variant = F.pmod("c_custkey", F.lit(4)).cast("int")
+    made = [t.tiff_of(F.col("c_mktsegment"), F.col("c_name"), variant, small) for small in (True, False)]
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("artifact_id"), F.when(F.pmod("c_custkey", F.lit(3)) == 0, made[0]).otherwise(made[1]).alias("content"))
+    r = c.select("artifact_id", tiff.tiff_report(F.col("content")).alias("r"))
+    return r.select("artifact_id", F.col("r.error").alias("error"), _told(F.col("r.findings")).alias("found"))
+
+
+@query
+def exif_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M2: suppliers as photos whose Exif block names a device, a person and, for every fourth, a place."""
+    variant = F.when(F.pmod("s_suppkey", F.lit(4)) == 3, 3).otherwise(0)
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("artifact_id"), t.exif_of(t.tiff_of(F.lit("Camera One"), F.col("s_name"), variant, False)).alias("content"))
+    return s.select("artifact_id", _told(images.jpeg_findings(F.col("content"))).alias("found"), F.lower(F.hex(images.jpeg_cleaned(F.col("content")))).alias("clean"))
+
+
+def _zips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as archives: an entry for each line, stored or packed, some pictures, some with paths of users; some archives with a comment or bytes behind."""
+    where = F.get(F.lit(["", "home/me/", "C:\\x\\", "docs/"]), F.pmod("l_suppkey", F.lit(4)).cast("int"))
+    picture = F.pmod("l_partkey", F.lit(3)) == 0
+    data = F.when(picture, t.png_of(F.lit("k"), F.lit("v"), F.lit(False))).otherwise(F.repeat(F.lit("x"), F.col("l_linenumber")).cast("binary"))
+    entry = F.struct("l_linenumber", F.col("l_partkey").alias("part"), F.concat(where, F.lit("f"), F.col("l_partkey")).alias("name"), F.when(F.pmod("l_linenumber", F.lit(2)) == 1, 0).otherwise(8).alias("method"), data.alias("data"))
+    o = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(entry)).alias("e"))
+    comment = F.when(F.pmod("l_orderkey", F.lit(3)) == 1, "note").otherwise("")
+    made = F.concat(t.zip_of(F.col("e"), comment), F.when(F.pmod("l_orderkey", F.lit(5)) == 0, F.lit("zz")).otherwise("").cast("binary"))
+    return o.select("l_orderkey", F.when(F.pmod("l_orderkey", F.lit(7)) == 0, F.substr(made, F.lit(1), F.octet_length(made) - 30)).otherwise(made).alias("content"))
+
+
+@query
+def zip_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The directories of archives from their bytes, entry by entry."""
+    return archives.entries(_zips(spark, sf_dir), "l_orderkey").select("l_orderkey", "i", "name", "method", "size", "offset", "error")
+
+
+@query
+def zip_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What archives and the names in them tell."""
+    return _zips(spark, sf_dir).select("l_orderkey", _told(archives.zip_findings(F.col("content"))).alias("found"))
+
+
+@query
+def zip_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries that are stored as they are, inspected as files of their own."""
+    got = inspect.inspected(archives.members(_zips(spark, sf_dir), "l_orderkey"))
+    return got.groupBy(F.coalesce("format", F.lit("")).alias("format"), "verdict", F.coalesce(F.size("findings"), F.lit(-1)).alias("n_findings")).agg(F.count("*").alias("files"))
 
 
 def _wavs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -356,7 +405,7 @@ def severity_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def critical_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return findings.critical_summary(_events_as_findings(spark, sf_dir), most=1)
+    return findings.critical_summary(_events_as_findings(spark, sf_dir))
 
 
 @query

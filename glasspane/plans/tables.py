@@ -164,3 +164,41 @@ def header_of(size: Column, name: Column, variant: Column) -> Column:
         header_field("06", F.when(variant == 5, F.concat(F.lit("a/"), name)).otherwise(name).cast("binary")),
         only(3, header_field("09", _hex("00"))),
     )
+
+
+def tiff_of(maker: Column, artist: Column, variant: Column, small: bool) -> Column:
+    """A picture of four bytes with its maker and artist (5 bytes or more each): plain (0), with two bytes behind it (1), with a directory that points to itself (2), with a place (3)."""
+    n32 = _le if small else _be
+    n16 = lambda n: F.substr(_le(n), F.lit(1), F.lit(2)) if small else F.substr(_be(n), F.lit(3), F.lit(2))
+    entry = lambda tag, kind, count, value: F.concat(n16(F.lit(tag)), n16(F.lit(kind)), n32(count), n32(value))
+    a, b = F.octet_length(maker) + 1, F.octet_length(artist) + 1
+    picture = F.lit(74) + a + b
+    last = F.when(variant == 3, entry(0x8825, 4, F.lit(1), picture + 4)).otherwise(entry(0x9999, 4, F.lit(1), F.lit(0)))
+    entries = F.concat(entry(0x010F, 2, a, F.lit(74)), entry(0x0111, 4, F.lit(1), picture), entry(0x0117, 4, F.lit(1), F.lit(4)), entry(0x013B, 2, b, F.lit(74) + a), last)
+    after = n32(F.when(variant == 2, 8).otherwise(0))
+    head = F.concat(_b("II" if small else "MM"), n16(F.lit(42)), n32(F.lit(8)), n16(F.lit(5)), entries, after)
+    behind = F.when(variant == 1, _b("me")).when(variant == 3, _hex("000000000000")).otherwise(_hex(""))
+    return F.concat(head, maker.cast("binary"), _hex("00"), artist.cast("binary"), _hex("00"), _hex("01020304"), behind)
+
+
+def exif_of(tiff: Column) -> Column:
+    """A photo with an Exif block."""
+    body = F.concat(_b("Exif"), _hex("0000"), tiff)
+    return F.concat(_hex("FFD8FFE1"), F.substr(_be(F.octet_length(body) + 2), F.lit(3), F.lit(2)), body, _hex("FFDB00040001FFDA00040102A1B2C3FFD9"))
+
+
+def zip_of(entries: Column, comment: Column) -> Column:
+    """An archive of entries (name, method, data), in order."""
+    n16 = lambda n: F.substr(_le(n), F.lit(1), F.lit(2))
+
+    def add(s: Column, e: Column) -> Column:
+        sizes = F.concat(_hex("0000000000000000"), _le(F.octet_length(e["data"])), _le(F.octet_length(e["data"])), n16(F.octet_length(e["name"])), _hex("0000"))
+        local = F.concat(_hex("504B030414000000"), n16(e["method"]), sizes, e["name"].cast("binary"), e["data"])
+        central = F.concat(_hex("504B0102140014000000"), n16(e["method"]), sizes, _hex("00000000000000000000"), _le(F.octet_length(s["body"])), e["name"].cast("binary"))
+        return F.struct(F.concat(s["body"], local).alias("body"), F.concat(s["central"], central).alias("central"))
+
+    def end(s: Column) -> Column:
+        n = n16(F.size(entries))
+        return F.concat(s["body"], s["central"], _hex("504B050600000000"), n, n, _le(F.octet_length(s["central"])), _le(F.octet_length(s["body"])), n16(F.octet_length(comment)), comment.cast("binary"))
+
+    return F.aggregate(entries, F.struct(_hex("").alias("body"), _hex("").alias("central")), add, end)

@@ -35,7 +35,7 @@ def test_whole_files(spark):
         "ogg": ("unknown", "no statement"), "text": ("unknown", "no statement"), "empty": ("unknown", "no statement"), "zip": ("unknown", "no statement"),
     }
     assert all((r.findings is None) == (not r.understood) for r in got.values())
-    assert [(f.kind, f.severity) for f in got["jpeg"].findings] == [("unknown extension", 0), ("device", 1), ("embedded preview", 2), ("gps", 2), ("comment", 1)]
+    assert [(f.kind, f.severity) for f in got["jpeg"].findings] == [("unknown extension", 0), ("device", 1), ("gps", 2), ("embedded preview", 2), ("comment", 1)]
     assert [f.kind for f in got["webp"].findings] == ["color profile", "author"] and [f.value for f in got["bmp"].findings] == ["5 bytes"]
     assert bytes(got["jpeg"].cleaned) == CLEAN_JPEG and bytes(got["bmp"].cleaned) == BMP[:-5] and len(got["wav"].cleaned) == len(WAV)
     assert bytes(got["webp"].cleaned) == riff(b"WEBP", (b"VP8X", b"\x10" + bytes(9)), (b"VP8 ", b"xy"))
