@@ -1,12 +1,17 @@
 """License scans: a trained paragraph classifier, by DataFrame functions alone.
 
 Sparse one-against-rest logistic regression over word 1- and 2-grams identifies
-licence families. Examples are notices of each family, whole and in part, and a
-bounded sample of the corpus's own paragraphs (those of the least hash); their features come from
-DataFrame functions, the proximal-gradient fit of some thousand short rows runs
-in the driver. The logit of the class "unknown" comes from the notices alone, the
-probability from a logistic curve fitted on held-out examples, and a prediction is
-confirmed by the share of a notice's 2-grams that the paragraph has.
+licence families; the vocabulary are the grams of the notices. Examples are
+notices of each family, whole and in part, and a bounded sample of the corpus's
+own paragraphs (those of the least hash); their features come from DataFrame
+functions, the proximal-gradient fit of some thousand short rows runs in the
+driver. The logit of the class "unknown" comes from the notices alone, the
+probability from a logistic curve fitted on notices that were held out whole, and
+a prediction is confirmed by the share of a notice's 2-grams that the paragraph has.
+
+Most texts are out after one look at their words: no paragraph is above "unknown"
+without a gram of those that are heavy, since the others together weigh too little.
+The few texts with a word of a heavy gram are written and worked on line by line.
 """
 
 from __future__ import annotations
@@ -19,6 +24,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glasspane.llm.rows import saved
+
 #: Families and notices by which they are known.
 NOTICES = (
     ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -64,13 +71,14 @@ NOTICES = (
     ("public-domain", "This work has been dedicated to the public domain and may be used without restriction."),
 )
 FAMILIES = tuple(dict.fromkeys(f for f, _ in NOTICES))
-BUCKETS = 1 << 16
 #: Paragraphs of the corpus taken as examples of no licence.
 SAMPLE = 4000
 STEPS = 400
 SPARSITY = 0.001
-#: Share of a notice's 2-grams that confirms a prediction.
-CONFIRMED = 0.6
+#: Notices held out for the calibration, by their number: every third of those whose family has others.
+HELD_OUT = frozenset([i for i, (f, _) in enumerate(NOTICES) if sum(g == f for g, _ in NOTICES) > 1][::3])
+#: Share of a notice's 2-grams that confirms a prediction, and the probability from which one is told without that.
+CONFIRMED, LIKELY = 0.6, 0.5
 
 
 def words(text: Column) -> Column:
@@ -82,14 +90,6 @@ def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def grams(w: Column) -> Column:
-    """Buckets of the 1- and 2-grams of an array of words."""
-    bucket = lambda *x: F.pmod(F.xxhash64(*x), F.lit(BUCKETS)).cast("int")
-    ones = F.transform(w, lambda x: bucket(x))
-    twos = F.zip_with(w, F.slice(w, 2, 1 << 30), lambda x, y: F.when(y.isNotNull(), bucket(x, y)))
-    return F.concat(ones, F.filter(twos, lambda x: x.isNotNull()))
-
-
 def _pairs(w: Column) -> Column:
     """Pairs of neighbours, and a null at the end; the intersections that they are used in drop both nulls and repeats."""
     return F.zip_with(w, F.slice(w, 2, 1 << 30), lambda x, y: F.concat(x, F.lit(" "), y))
@@ -102,46 +102,52 @@ def _constant(value: object, kind: str) -> Column:
 
 @dataclass
 class Model:
-    buckets: list[int]
-    weights: list[list[float]]  # of each bucket, by family; buckets without a weight are left out
+    vocabulary: list[str]
+    weights: list[list[float]]  # of each gram of the vocabulary, by family; grams without a weight are left out
     bias: list[float]
     unknown: float = 0.0
+    seen: list[int] | None = None  # sampled paragraphs with each gram of the vocabulary
     scale: tuple[float, float] = (1.0, 0.0)  # slope and offset that turn the best logit into a probability
 
-    def _places(self) -> list[int]:
-        """Of every bucket: its place among those with a weight, or -1."""
-        table = [-1] * BUCKETS
-        for i, f in enumerate(self.buckets):
-            table[f] = i
-        return table
-
-    def logits(self, feats: Column) -> Column:
-        """The families' logits."""
-        place, weights = _constant(self._places(), "array<int>"), _constant(self.weights, "array<array<double>>")
+    def logits(self, w: Column) -> Column:
+        """The families' logits of an array of words."""
+        weights = _constant(self.weights, "array<array<double>>")
         add = lambda a, i: F.zip_with(a, F.get(weights, i), lambda x, y: x + y)
-        return F.aggregate(F.filter(F.transform(feats, lambda f: F.get(place, f)), lambda i: i >= 0), F.lit(self.bias), add)
+        return F.aggregate(_places(w, self.vocabulary), F.lit(self.bias), add)
+
+    def heavy_words(self) -> list[str]:
+        """Words of which every paragraph above "unknown" has one.
 
-    def highest(self, feats: Column) -> Column:
-        """No family's logit is higher: each feature counts with its best family."""
-        best = [0.0] * BUCKETS
-        for f, w in zip(self.buckets, self.weights):
-            best[f] = max(0.0, *w)
-        table = _constant(best, "array<double>")
-        return F.aggregate(feats, F.lit(max(self.bias)), lambda a, f: a + F.get(table, f))
+        Grams are taken as light, those most common in the sampled paragraphs
+        first, as long as no family reaches "unknown" with all of them together. A
+        paragraph above it has another gram; of a 2-gram, its rarer word stands
+        for it.
+        """
+        gain = np.maximum(0.0, np.array(self.weights, float).reshape(len(self.vocabulary), len(self.bias)))
+        total, heavy = np.array(self.bias), set()
+        seen = dict(zip(self.vocabulary, self.seen))
+        for i in sorted(range(len(self.vocabulary)), key=lambda i: (-self.seen[i], gain[i].max(), self.vocabulary[i])):
+            if (total + gain[i]).max() <= self.unknown:
+                total = total + gain[i]
+            else:
+                heavy.add(min(self.vocabulary[i].split(), key=lambda x: (seen.get(x, 0), -len(x), x)))
+        return sorted(heavy)
 
 
-def _among(feats: Column, buckets: list[int]) -> Column:
-    """The features that are among the buckets."""
-    table = [0] * BUCKETS
-    for f in buckets:
-        table[f] = 1
-    there = _constant(table, "array<tinyint>")
-    return F.filter(feats, lambda f: F.get(there, f) == 1)
+def _grams(w: Column) -> Column:
+    """The words and the pairs of neighbours."""
+    return F.concat(w, _pairs(w))
+
+
+def _places(w: Column, vocabulary: list[str]) -> Column:
+    """Places in the vocabulary of the grams that the words have, each once."""
+    known = _constant(vocabulary, "array<string>")
+    return F.transform(F.array_intersect(known, _grams(w)), lambda g: (F.array_position(known, g) - 1).cast("int"))
 
 
 def _notices(spark: SparkSession) -> DataFrame:
-    rows = ", ".join(f"({FAMILIES.index(f)}, '{t.replace(chr(39), chr(39) * 2)}')" for f, t in NOTICES)
-    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(family, text)")
+    rows = ", ".join(f"({i}, {FAMILIES.index(f)}, '{t.replace(chr(39), chr(39) * 2)}')" for i, (f, t) in enumerate(NOTICES))
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(notice, family, text)")
 
 
 def _examples(notices: DataFrame) -> DataFrame:
@@ -154,7 +160,7 @@ def _examples(notices: DataFrame) -> DataFrame:
     parts += [F.slice("w", F.when(n - k >= 3, 1 + k).otherwise(1), rest(k)) for k in (1, 2)]
     parts += [F.slice("w", F.lit(1), rest(k)) for k in (1, 2)]
     parts += [F.concat(F.split(F.lit("copyright 2024 the authors"), " "), "w"), F.concat("w", F.split(F.lit("see the license file for details"), " "))]
-    return notices.withColumn("w", w).select("family", F.explode(F.array(*parts)).alias("w"))
+    return notices.withColumn("w", w).select("notice", "family", F.explode(F.array(*parts)).alias("w"))
 
 
 def paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -164,12 +170,17 @@ def paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
     return lines.where(F.rlike("content", F.lit("[A-Za-z0-9]")))
 
 
+def _notice_words(n: int) -> list[str]:
+    return "".join(c if c.isascii() and c.isalnum() else " " for c in NOTICES[n][1].lower()).split()
+
+
+def _notice_grams(n: int) -> set[str]:
+    got = _notice_words(n)
+    return {*got, *(f"{a} {b}" for a, b in zip(got, got[1:]))}
+
+
 def _notice_pairs() -> list[dict]:
-    table: list[dict] = []
-    for i, (f, t) in enumerate(NOTICES):
-        got = [x for x in "".join(c if c.isascii() and c.isalnum() else " " for c in t.lower()).split()]
-        table.append({"family": FAMILIES.index(f), "pairs": sorted({f"{a} {b}" for a, b in zip(got, got[1:])})})
-    return table
+    return [{"family": FAMILIES.index(f), "pairs": sorted(g for g in _notice_grams(n) if " " in g)} for n, (f, _) in enumerate(NOTICES)]
 
 
 def _notice_likeness(w: Column, family: Column | None = None) -> Column:
@@ -181,29 +192,6 @@ def _notice_likeness(w: Column, family: Column | None = None) -> Column:
     return _bound(w, lambda w: _bound(_pairs(w), share))
 
 
-def _confirming() -> list[dict]:
-    """Pairs of words of which every text has one that has enough 2-grams of some notice, by their longer word.
-
-    A notice of n 2-grams is confirmed by k or more of them, so one of any n - k + 1 is there; those with the longest words are taken.
-    """
-    chosen: set[str] = set()
-    for x in _notice_pairs():
-        n = len(x["pairs"])
-        enough = next(k for k in range(n + 1) if k / n >= CONFIRMED)
-        chosen |= set(sorted(x["pairs"], key=lambda p: (-max(map(len, p.split())), p))[: n - enough + 1])
-    beside: dict[str, set[str]] = {}
-    for p in chosen:
-        short, long = sorted(p.split(), key=len)
-        beside.setdefault(long, set()).add(short)
-    return [{"long": a, "beside": sorted(b)} for a, b in sorted(beside.items())]
-
-
-def _may_confirm(text: Column) -> Column:
-    """False only where no part of the text has enough 2-grams of a notice; asks for words as parts of the text, without splitting it."""
-    table = _constant(_confirming(), "array<struct<long:string,beside:array<string>>>")
-    return _bound(F.lower(text), lambda t: F.exists(table, lambda x: F.contains(t, x["long"]) & F.exists(x["beside"], lambda w: F.contains(t, w))))
-
-
 def _like_any(rows: DataFrame, w: Column) -> DataFrame:
     """The rows whose words have enough 2-grams of some notice, in any order; no part of the words has more."""
     known = _constant(sorted({p for n in _notice_pairs() for p in n["pairs"]}), "array<string>")
@@ -214,7 +202,10 @@ def _like_any(rows: DataFrame, w: Column) -> DataFrame:
 
 
 def _fitted(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and bias of each family by proximal gradient steps."""
+    """Weights and bias of each family by proximal gradient steps; equal rows are one, with their weights together."""
+    rows, at = np.unique(np.concatenate([x, y], axis=1), axis=0, return_inverse=True)
+    weight = np.bincount(at.ravel(), weights=np.broadcast_to(weight, (len(x), 1)).ravel())[:, None]
+    x, y = rows[:, : x.shape[1]].astype(float), rows[:, x.shape[1] :].astype(float)
     k = y.shape[1]
     w, bias, rate = np.zeros((x.shape[1], k)), np.full(k, -2.0), 2.0
     for _ in range(STEPS):
@@ -254,30 +245,26 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     sample = hashed.where(F.col("h") <= min(highest, 2**63 - 1)).dropDuplicates(["h"]).orderBy("h").limit(SAMPLE)
     sample = sample.select("h", words(F.col("content")).alias("w"))
     other = sample.where(F.coalesce(_notice_likeness(F.col("w")), F.lit(0.0)) < CONFIRMED)
-    shown = _examples(_notices(spark)).select("family", F.array_distinct(grams(F.col("w"))).alias("f")).collect()
-    buckets = sorted({f for r in shown for f in r["f"]})  # a fixed number, from the notices
-    rest = other.select(F.array_distinct(_among(grams(F.col("w")), buckets)).alias("f")).collect()
-    place = {f: i for i, f in enumerate(buckets)}
-
-    def matrix(rows: list) -> np.ndarray:
-        x = np.zeros((len(rows), len(buckets)), np.float32)
-        for i, r in enumerate(rows):
-            x[i, [place[f] for f in r["f"]]] = 1
-        return x
-
-    x = matrix([*shown, *rest])
-    family = np.array([r["family"] for r in shown] + [-1] * len(rest))
+    examples = _examples(_notices(spark)).select("notice", "family", F.array_distinct(F.array_compact(_grams(F.col("w")))).alias("g")).collect()
+    vocabulary = sorted({g for n in range(len(NOTICES)) for g in _notice_grams(n)})  # a fixed number, from the notices
+    rest = other.select(_places(F.col("w"), vocabulary).alias("f")).collect()
+    place = {g: i for i, g in enumerate(vocabulary)}
+    feats = [[place[g] for g in r["g"] if g in place] for r in examples] + [r["f"] for r in rest]
+    x = np.zeros((len(feats), len(vocabulary)), np.float32)
+    for i, f in enumerate(feats):
+        x[i, f] = 1
+    family = np.array([r["family"] for r in examples] + [-1] * len(rest))
     y = (family[:, None] == np.arange(k)).astype(np.float32)
-    weight = np.where(family < 0, 0.5 / max(1, len(rest)), 0.5 / len(shown))[:, None]
-    # one fold of three is held out for the calibration, then all rows are fitted
-    held = np.arange(len(family)) % 3 == 0
+    weight = np.where(family < 0, 0.5 / max(1, len(rest)), 0.5 / len(examples))[:, None]
+    # whole notices are held out for the calibration, of families that have others; then all rows are fitted
+    held = np.array([r["notice"] in HELD_OUT for r in examples] + [i % 3 == 0 for i in range(len(rest))])
     trial, trial_bias = _fitted(x[~held], y[~held], weight[~held])
     z = x[held] @ trial + trial_bias
     right = (z.argmax(axis=1) == family[held]).astype(float)
     w, bias = _fitted(x, y, weight)
     used = np.flatnonzero(np.abs(w).max(axis=1) > 0)
-    model = Model([buckets[i] for i in used], w[used].tolist(), bias.tolist())
-    clear = (x[: len(shown)] @ w + bias)[np.arange(len(shown)), family[: len(shown)]].min()
+    model = Model([vocabulary[i] for i in used], w[used].tolist(), bias.tolist(), seen=x[len(examples) :].sum(axis=0)[used].astype(int).tolist())
+    clear = (x[: len(examples)] @ w + bias)[np.arange(len(examples)), family[: len(examples)]].min()
     # sampled paragraphs have no label and may hold reworded notices: between no word at all and the least clear notice
     model.scale = _calibrated(z.max(axis=1), right, weight[held, 0])
     model.unknown = float((min(bias.max(), clear - 1e-6) + clear) / 2)
@@ -287,11 +274,11 @@ def train(docs: DataFrame, text: str = "text") -> Model:
 def _classified(rows: DataFrame, model: Model) -> DataFrame:
     """``i`` (family's number), ``probability`` and ``likeness`` of the words ``w`` of every row that is no "unknown"."""
     kept = rows.columns
-    rows = rows.where(_bound(F.col("w"), lambda w: model.highest(F.array_distinct(grams(w)))) > model.unknown)  # few pass, and only these need all families
-    z = rows.withColumn("z", model.logits(F.array_distinct(grams(F.col("w"))))).withColumn("top", F.array_max("z")).where(F.col("top") > model.unknown)
+    z = rows.withColumn("z", _bound(F.col("w"), model.logits)).withColumn("top", F.array_max("z")).where(F.col("top") > model.unknown)
     sure = 1 / (1 + F.exp(-(F.col("top") * model.scale[0] + model.scale[1])))
     got = z.select(*kept, (F.array_position("z", F.col("top")) - 1).cast("int").alias("i"), sure.alias("probability"))
-    return got.withColumn("likeness", _notice_likeness(F.col("w"), F.col("i")))
+    got = got.withColumn("likeness", _notice_likeness(F.col("w"), F.col("i")))
+    return got.where((F.col("probability") >= LIKELY) | (F.col("likeness") >= CONFIRMED))
 
 
 def _wrapped(docs: DataFrame, model: Model) -> DataFrame:
@@ -302,8 +289,7 @@ def _wrapped(docs: DataFrame, model: Model) -> DataFrame:
     """
     room = 2 * max(len(t.split()) for _, t in NOTICES)
     lines = F.transform(F.split("text", "\n", -1), words)
-    rows = docs.where(_may_confirm(F.col("text")))  # only these need their words
-    rows = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", lines.alias("lines"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", lines.alias("lines"))
     rows = _like_any(rows.where(F.size("lines") > 1), F.flatten("lines"))
     rows = rows.select("row", "doc_id", "lines", F.posexplode("lines").alias("paragraph", "w")).where(F.size("w") > 0)
     begun = F.struct(F.lit(0).alias("n"), F.lit(0).alias("words"), F.lit(False).alias("over"))
@@ -329,13 +315,15 @@ def _wrapped(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def scan(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``doc_id, paragraph, family, probability, likeness, confirmed`` of every line that is no "unknown", and of confirmed notices over several lines.
+    """``doc_id, paragraph, family, probability, likeness, confirmed`` of every line that is no "unknown" (likely, or confirmed by a notice), and of confirmed notices over several lines.
 
     ``paragraph`` is the number, from 0, of the line or of the first of the lines;
     parts of a notice may have unconfirmed rows beside it. Null and empty texts
     have none; repeated rows give their findings each; other columns do not matter.
     """
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    lines = paragraphs(docs).select("doc_id", "paragraph", words(F.col("content")).alias("w"))
+    heavy = _constant(model.heavy_words(), "array<string>")
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.arrays_overlap(F.split(F.lower(text), "[^a-z0-9]+"), heavy))
+    docs = saved(docs, "with-licence-words")
+    lines = paragraphs(docs).select("doc_id", "paragraph", words(F.col("content")).alias("w")).where(F.arrays_overlap("w", heavy))
     got = _classified(lines, model).drop("w").unionByName(_wrapped(docs, model))
     return got.select("doc_id", "paragraph", F.get(F.lit(list(FAMILIES)), F.col("i")).alias("family"), "probability", "likeness", (F.col("likeness") >= CONFIRMED).alias("confirmed"))
