@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from glasspane.llm import decontaminate, fingerprints, jaccard, langid, licences, linededup, mixing, pseudonyms, secretscan, toxicity
 
+from tests.llm.unseen import OTHER, UNSEEN
+
 LOWER = {i: i + 32 for i in range(65, 91)}
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, spans string"
 
@@ -381,6 +383,21 @@ def test_licence_scan_of_wrapped_notices(spark, words):
     assert got == [(1, 0, "bsd"), (2, 3, "mit"), (3, 1, "gpl-3.0"), (4, 1, "bsd"), (4, 3, "bsd"), (6, 1, "mit"), (7, 0, "bsd"), (7, 0, "mit"), (7, 1, "bsd")]
 
 
+def test_licences_in_other_words(spark):
+    """Wordings outside the table, and texts that only sound like them: recall and precision over all of at least 0.9."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = spark.createDataFrame([*enumerate(t for _, t in UNSEEN), *((1000 + i, t) for i, t in enumerate(OTHER)), (2000, None), (2001, "")], "doc_id long, text string")
+    model = licences.train(docs)
+    got = {(r.doc_id, r.family) for r in licences.scan(rows, model).collect()}
+    right = {(i, f) for i, (f, _) in enumerate(UNSEEN)}
+    assert len(got & right) >= 0.9 * len(right) and len(got & right) >= 0.9 * len(got)
+    assert licences.scan(rows.limit(0), model).count() == 0
+    # no paragraph above "unknown" is without a heavy word
+    every = rows.where("text is not null").withColumn("w", licences.words(F.col("text")))
+    above = every.where(F.array_max(model.logits(F.col("w"))) > model.unknown)
+    assert above.count() == above.where(F.arrays_overlap("w", F.lit(model.heavy_words()))).count() >= len(got)
+
+
 def test_licence_families_of_cut_notices_and_their_probabilities(spark, words):
     rnd = random.Random(13)
     texts, want = [(i, " ".join(rnd.choice(words) for _ in range(12))) for i in range(600)], {}
