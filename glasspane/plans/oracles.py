@@ -225,6 +225,10 @@ ORACLES: dict[str, str] = {
         || CASE WHEN l_orderkey % 3 = 1 THEN ',comment:1:ZIP:comment:4 bytes' ELSE '' END || CASE WHEN l_orderkey % 5 = 0 THEN ',unknown extension:1:ZIP:tail:2 bytes' ELSE '' END END AS found FROM z GROUP BY l_orderkey""",
     "zip_members": f"""WITH {ZIPS} SELECT CASE WHEN picture THEN 'PNG' ELSE '' END AS format, CASE WHEN picture THEN 'warning' ELSE 'no statement' END AS verdict, CASE WHEN picture THEN 1 ELSE -1 END AS n_findings, count(*) AS files
         FROM z WHERE l_orderkey % 7 != 0 AND method = 0 GROUP BY 1, 2, 3""",
+    "film_keys": """WITH k(place, ord, name, kind) AS (VALUES (3, 1, 'com.apple.quicktime.model', 'device:1'), (1, 2, 'com.apple.quicktime.location.ISO6709', 'gps:2'), (4, 3, 'com.apple.quicktime.creationdate', 'timestamp:1'), (2, 4, 'com.apple.quicktime.make', 'device:1')),
+        f AS (SELECT c_custkey, ord, kind || ':Video:' || name || ':' || (['+' || c_custkey || '/', c_mktsegment, c_name, '2024-01-02'])[place] AS t FROM customer JOIN k ON (c_custkey + place) % 3 != 0
+        UNION ALL SELECT c_custkey, 0, 'timestamp:1:Video:mvhd' FROM customer WHERE c_custkey % 5 = 0)
+        SELECT c_custkey AS artifact_id, CASE WHEN c_custkey % 10 = 9 THEN 'box past its range' END AS error, CASE WHEN c_custkey % 10 != 9 THEN string_agg(t, ',' ORDER BY ord) END AS found FROM f GROUP BY 1""",
     "outside_views": """WITH d AS (SELECT doc_id, doc_id % 5 AS k, strlen(text) AS n FROM documents)
         SELECT doc_id, ([1, 2])[k + 1]::INT AS version, (['classical', 'hybrid'])[k + 1] AS suite, CASE WHEN k = 1 THEN 3 END AS stanzas,
         (CASE k WHEN 0 THEN 2 + (n + 10 + 2) // 3 * 4 WHEN 2 THEN n WHEN 3 THEN 4 ELSE n + 5 END)::INT AS bytes,

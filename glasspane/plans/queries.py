@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from glasspane.functions import envelopes, keys, lengths, magic, paths, text, verdicts
 from glasspane.functions.values import let
-from glasspane.operators import archives, chunks, findings, headers, images, inspect, moving, rollups, sessions, tiff, trust
+from glasspane.operators import archives, boxes, chunks, findings, headers, images, inspect, moving, rollups, sessions, tiff, trust
 from glasspane.plans import tables as t
 from glasspane.plans.tables import table
 from glasspane.sources.artifacts import report
@@ -291,6 +291,18 @@ def zip_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.groupBy(F.coalesce("format", F.lit("")).alias("format"), "verdict", F.coalesce(F.size("findings"), F.lit(-1)).alias("n_findings")).agg(F.count("*").alias("files"))
 
 
+@query
+def film_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as films; each item of the tag list has its name at the place of the key directory that its number says."""
+    n = F.col("c_custkey")
+    places = F.filter(F.array(F.lit(3), F.lit(1), F.lit(4), F.lit(2)), lambda k: F.pmod(n + k, F.lit(3)) != 0)
+    values = [F.concat(F.lit("+"), n, F.lit("/")), F.col("c_mktsegment"), F.col("c_name"), F.lit("2024-01-02")]
+    c = table(spark, sf_dir, "customer").select(n.alias("artifact_id"), t.film_of(values, places, F.pmod(n, F.lit(5)) == 0).alias("content"))
+    cut = F.when(F.pmod("artifact_id", F.lit(10)) == 9, F.substr("content", F.lit(1), F.octet_length("content") - 1)).otherwise(F.col("content"))
+    r = c.select("artifact_id", boxes.video_report(cut).alias("r"))
+    return r.select("artifact_id", F.col("r.error").alias("error"), _told(F.col("r.findings")).alias("found"))
+
+
 def _wavs(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     return c.select(F.col("c_custkey").alias("artifact_id"), t.wav_of(F.col("c_name"), F.col("c_mktsegment")).alias("content"))

@@ -202,3 +202,23 @@ def zip_of(entries: Column, comment: Column) -> Column:
         return F.concat(s["body"], s["central"], _hex("504B050600000000"), n, n, _le(F.octet_length(s["central"])), _le(F.octet_length(s["body"])), n16(F.octet_length(comment)), comment.cast("binary"))
 
     return F.aggregate(entries, F.struct(_hex("").alias("body"), _hex("").alias("central")), add, end)
+
+
+def box(tag: str | Column, *parts: Column) -> Column:
+    body = F.concat(*parts)
+    return F.concat(_be(F.octet_length(body) + 8), _hex(tag) if isinstance(tag, str) else tag, body)
+
+
+#: Names of keys that a phone writes, by their place.
+FILM_KEYS = ("com.apple.quicktime.location.ISO6709", "com.apple.quicktime.make", "com.apple.quicktime.model", "com.apple.quicktime.creationdate")
+
+
+def film_of(values: list[Column], places: Column, stamped: Column) -> Column:
+    """A film with a directory of keys and an item for each of ``places`` (numbers of keys, from 1) with the value of that number; a time where ``stamped``."""
+    names = F.concat(*[F.concat(_be(F.lit(8 + len(n))), _b("mdta"), _b(n)) for n in FILM_KEYS])
+    keys = box("6B657973", _hex("00000000"), _be(F.lit(len(FILM_KEYS))), names)
+    one = lambda k: box(_be(k), box("64617461", _hex("0000000100000000"), F.get(F.array(*values), k - 1).cast("binary")))
+    items = F.aggregate(F.transform(places, one), _hex(""), lambda a, x: F.concat(a, x))
+    meta = box("6D657461", _hex("00000000"), keys, box("696C7374", items))
+    time = box("6D766864", _hex("00000000"), F.when(stamped, _hex("DEADBEEFDEADBEEF")).otherwise(_hex("0000000000000000")), _hex("00" * 20))
+    return F.concat(box("66747970", _b("qt  "), _hex("00000200"), _b("qt  ")), box("6D6F6F76", time, meta), box("6D646174", _hex("010203")))
