@@ -80,12 +80,17 @@ def _card(s: str, move: Move) -> str | None:
     return _refill(s, body + luhn_digit(body))
 
 
+#: Country codes of one and of two digits; all others have three.
+ONE_DIGIT = ("1", "7")
+TWO_DIGITS = tuple("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
+
 def _phone(s: str, move: Move) -> str | None:
     d = _digits(s)
     if not 7 <= len(d) <= 15:
         return None
-    keep = len(re.match(r"\+(\d*)", s)[1]) if s[0] == "+" else 0  # the country code stays
-    keep = min(keep, 3) if keep < len(d) - 4 else min(2, len(d) - 6)
+    # the country code stays; it is told by its digits, so every spelling of a number has one pseudonym
+    keep = (1 if d[:1] in ONE_DIGIT else 2 if d[:2] in TWO_DIGITS else 3) if s[0] == "+" else 0
     n = len(d) - keep
     return _refill(s, d[:keep] + f"{move(int(d[keep:]), 10**n, f'phone{n}'):0{n}d}")
 
@@ -170,16 +175,16 @@ class Kind:
 
 #: Tried in this order on each candidate.
 KINDS = (
-    Kind("iban", re.compile(r"[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"), _iban),
-    Kind("ip", re.compile(r"\d{1,3}(?:\.\d{1,3}){3}"), _ip),
-    Kind("date", re.compile(r"\d{4}-\d\d-\d\d|\d{4}/\d\d/\d\d|\d{4}\.\d\d\.\d\d|\d\d([-./])\d\d\1\d{4}"), _date),
-    Kind("ssn", re.compile(r"\d{3}-\d\d-\d{4}"), _ssn),
-    Kind("card", re.compile(r"\d{13,19}|\d{4}(?: \d{4}){2,3}(?: \d{1,4})?|\d{4}(?:-\d{4}){2,3}(?:-\d{1,4})?|\d{4} \d{6} \d{5}|\d{4}-\d{6}-\d{5}"), _card),
-    Kind("phone", re.compile(r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ ./-]?\d{2,4}){1,4}|\(\d{2,5}\)[ .-]?\d{3,4}[ .-]?\d{3,5}|\d{3}[.-]\d{3}[.-]\d{4}"), _phone),
+    Kind("iban", re.compile(r"[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", re.ASCII), _iban),
+    Kind("ip", re.compile(r"\d{1,3}(?:\.\d{1,3}){3}", re.ASCII), _ip),
+    Kind("date", re.compile(r"\d{4}-\d\d-\d\d|\d{4}/\d\d/\d\d|\d{4}\.\d\d\.\d\d|\d\d([-./])\d\d\1\d{4}", re.ASCII), _date),
+    Kind("ssn", re.compile(r"\d{3}-\d\d-\d{4}", re.ASCII), _ssn),
+    Kind("card", re.compile(r"\d{13,19}|\d{4}(?: \d{4}){2,3}(?: \d{1,4})?|\d{4}(?:-\d{4}){2,3}(?:-\d{1,4})?|\d{4} \d{6} \d{5}|\d{4}-\d{6}-\d{5}", re.ASCII), _card),
+    Kind("phone", re.compile(r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ ./-]?\d{2,4}){1,4}|\(\d{2,5}\)[ .-]?\d{3,4}[ .-]?\d{3,5}|\d{3}[.-]\d{3}[.-]\d{4}", re.ASCII), _phone),
 )
 #: Lengths by country, where a group behind the IBAN could be read as its end.
 IBAN_LENGTHS = dict(AD=24, AT=20, BE=16, BG=22, CH=21, CY=28, CZ=24, DE=22, DK=18, EE=20, ES=24, FI=18, FR=27, GB=22, GI=23, GR=27, HR=21, HU=28, IE=22, IS=26, IT=27, LI=21, LT=20, LU=20, LV=21, MC=27, MT=31, NL=18, NO=15, PL=28, PT=25, RO=24, SE=24, SI=19, SK=24, SM=27)
-_CANDIDATE = re.compile(r"[A-Z]{2}\d\d[A-Z0-9 ]{9,40}|[+(]?\d[\d ().\-/]*\d")
+_CANDIDATE = re.compile(r"[A-Z]{2}\d\d[A-Z0-9 ]{9,40}|[+(]?\d[\d ().\-/]*\d", re.ASCII)
 _MAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 
 

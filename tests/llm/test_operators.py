@@ -449,3 +449,16 @@ def test_pseudonyms_of_values_beside_an_iban():
                 new, found = p.text(text)
                 assert [f[2] for f in found] == [*kinds, kind, kind] and other not in new, text
                 assert back.text(new)[0] == text
+
+
+def test_every_spelling_of_a_phone_number_has_one_pseudonym(spark):
+    spellings = ["+1 017 555-7713", "+1 0175557713", "+10175557713", "+1 (017) 555-7713", "+49 30 1234567", "+49301234567", "+49-30-123-4567", "+352 621 123 456", "+352621123456"]
+    rows = spark.createDataFrame([(i, f"call {t} now") for i, t in enumerate(spellings)] + [(100, "arabic digits \u0661\u0662\u0663-\u0664\u0665-\u0666\u0667\u0668\u0669 stay"), (101, None), (102, "")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pseudonyms.pseudonymize(rows, b"k").collect()}
+    digits = lambda t: "".join(c for c in t if c in "+0123456789")
+    kinds = [{digits(got[i]) for i in ids} for ids in ((0, 1, 2, 3), (4, 5, 6), (7, 8))]
+    assert [len(k) for k in kinds] == [1, 1, 1] and [min(k)[: len(c)] for k, c in zip(kinds, ("+1", "+49", "+352"))] == ["+1", "+49", "+352"]
+    assert all(got[i] != f"call {t} now" for i, t in enumerate(spellings)) and got[100].startswith("arabic digits \u0661") and got[102] == ""
+    assert pseudonyms.pseudonymize(rows.limit(0), b"k").count() == 0
+    back = {r.doc_id: r.text for r in pseudonyms.pseudonymize(spark.createDataFrame(list(got.items()), "doc_id long, text string"), b"k", back=True).collect()}
+    assert [back[i] for i in range(len(spellings))] == [f"call {t} now" for t in spellings]
