@@ -30,7 +30,8 @@ FLOOR = 1e-3
 def measured(text: Column) -> dict[str, Column]:
     """Measures of a text: tokens, and shares of its characters and words."""
     text = F.coalesce(text, F.lit(""))
-    chars, words = F.length(text), F.regexp_count(text, F.lit(r"\S+"))
+    chars, found = F.length(text), F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0))
+    words = F.size(found)
     share = lambda n: n / F.greatest(chars, F.lit(1))
     return {
         "tokens": words.cast("long"),
@@ -39,10 +40,11 @@ def measured(text: Column) -> dict[str, Column]:
         "marks": F.log(share(F.regexp_count(text, F.lit(r"[#$%&*+/<=>@\\^_`{|}~]"))) + 1e-3),
         "capitals": F.log(share(F.regexp_count(text, F.lit(r"[A-Z]"))) + 1e-3),
         "digits": F.log(share(F.regexp_count(text, F.lit(r"[0-9]"))) + 1e-3),
+        "distinct": F.log(F.size(F.array_distinct(found)) / F.greatest(words, F.lit(1)) + 1e-3),
     }
 
 
-MEASURES = ("length", "word", "marks", "capitals", "digits")
+MEASURES = ("length", "word", "marks", "capitals", "digits", "distinct")
 
 
 def fit(labelled: DataFrame, domain: str) -> dict[str, tuple[float, list[tuple[float, float]]]]:

@@ -462,3 +462,14 @@ def test_every_spelling_of_a_phone_number_has_one_pseudonym(spark):
     assert pseudonyms.pseudonymize(rows.limit(0), b"k").count() == 0
     back = {r.doc_id: r.text for r in pseudonyms.pseudonymize(spark.createDataFrame(list(got.items()), "doc_id long, text string"), b"k", back=True).collect()}
     assert [back[i] for i in range(len(spellings))] == [f"call {t} now" for t in spellings]
+
+
+def test_domains_of_held_out_documents(spark):
+    """Posteriors of documents whose labels were not learned: better than the larger class alone, and most poor ones are found."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
+    got = mixing.mix(docs, labels.where(~held), {"1": 0.95, "0": 0.05}).join(labels.where(held), "doc_id").select("quality", (F.col("posterior")["1"] >= 0.5).cast("int").alias("p")).collect()
+    right, larger = sum(r.quality == r.p for r in got) / len(got), sum(r.quality for r in got) / len(got)
+    assert right >= 0.95 and right > larger
+    assert sum(r.p == 0 for r in got if r.quality == 0) >= 0.9 * sum(r.quality == 0 for r in got)
+    assert mixing.mix(docs.limit(0), labels, {"1": 1.0}).count() == 0
