@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
-import hmac
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from glasspane.functions.text import base32, base32_bytes, grouped
+from glasspane.functions.values import let
 
 #: Fixed lengths in bytes: encryption, signing and post-quantum keys.
 ENC, SIG, PQ = 32, 32, 1216
@@ -43,25 +40,41 @@ def short(fp: Column) -> Column:
     return F.left(base32(fp), F.lit(8))
 
 
-def safety_number(a: Column, b: Column, pair_tag: str = PAIR_TAG, digits_tag: str = DIGITS_TAG) -> Column:
-    """Twelve groups of five digits that both sides of a pair see alike (HKDF needs HMAC, which SQL lacks)."""
-
-    @F.pandas_udf("string")
-    def digits(base: pd.Series) -> pd.Series:
-        def one(key: bytes | None) -> str | None:
-            if key is None:
-                return None
-            prk = hmac.digest(bytes(32), key, hashlib.sha256)
-            out, block = b"", b""
-            for i in (1, 2, 3):
-                block = hmac.digest(prk, block + digits_tag.encode() + bytes([i]), hashlib.sha256)
-                out += block
-            return " ".join(f"{int.from_bytes(out[i : i + 8], 'big') % 100_000:05d}" for i in range(0, 96, 8))
-
-        return base.map(one)
+def _padded(key: Column, byte: str) -> Column:
+    """A key of 32 bytes, filled up with zeros to 64, each byte of it combined with the same byte by exclusive or."""
+    digits, h = "0123456789ABCDEF", F.hex(key)
+    of = lambda at, with_: F.translate(F.substr(h, at, F.lit(1)), digits, "".join(f"{d ^ int(with_, 16):X}" for d in range(16)))
+    pairs = F.transform(F.sequence(F.lit(1), F.lit(63), F.lit(2)), lambda i: F.concat(of(i, byte[0]), of(i + 1, byte[1])))
+    return F.unhex(F.concat(F.array_join(pairs, ""), F.lit(byte * 32)))
+
+
+def hmac_sha256(key: Column, message: Column) -> Column:
+    """HMAC with SHA-256 for keys of 32 bytes."""
+    inner = lambda k: F.unhex(F.sha2(F.concat(_padded(k, "36"), message), 256))
+    return let(key, lambda k: F.unhex(F.sha2(F.concat(_padded(k, "5C"), inner(k)), 256)))
+
+
+def _number(h: Column) -> Column:
+    """Eight bytes in hex as a number without a sign, modulo 100 000, in five digits."""
+    half = lambda at: F.conv(F.substr(h, F.lit(at), F.lit(8)), 16, 10).cast("long")
+    return F.lpad(F.pmod(F.pmod(half(1), F.lit(100_000)) * ((1 << 32) % 100_000) + half(9), F.lit(100_000)).cast("string"), 5, "0")
 
+
+def safety_number(a: Column, b: Column, pair_tag: str = PAIR_TAG, digits_tag: str = DIGITS_TAG) -> Column:
+    """Twelve groups of five digits that both sides of a pair see alike: HKDF over the hash of both, in order."""
     pair = F.concat(F.lit(pair_tag).cast("binary"), F.least(a, b), F.greatest(a, b))
-    return digits(F.unhex(F.sha2(F.when(a.isNotNull() & b.isNotNull(), pair), 256)))
+    base = F.when(a.isNotNull() & b.isNotNull(), F.unhex(F.sha2(pair, 256)))
+    tag = F.lit(digits_tag).cast("binary")
+    step = lambda prk, before, i: hmac_sha256(prk, F.concat(before, tag, F.unhex(F.lit(f"{i:02X}"))))
+
+    def digits(blocks: Column) -> Column:
+        return F.array_join(F.transform(F.sequence(F.lit(1), F.lit(177), F.lit(16)), lambda i: _number(F.substr(blocks, i, F.lit(16)))), " ")
+
+    def expand(prk: Column) -> Column:
+        rest = lambda t1, t2: F.concat(F.hex(t1), F.hex(t2), F.hex(step(prk, t2, 3)))
+        return let(step(prk, F.unhex(F.lit("")), 1), lambda t1: let(step(prk, t1, 2), lambda t2: let(rest(t1, t2), digits)))
+
+    return let(base, lambda key: F.when(key.isNotNull(), let(hmac_sha256(F.unhex(F.lit("00" * 32)), key), expand)))
 
 
 def payload(enc: Column, sig: Column, pq: Column, prefix: str = PREFIX, tag: str = TAG) -> Column:

@@ -61,6 +61,19 @@ def _png(stamped: str) -> str:
     return f"(8 + 25 + 12 + strlen(source) + 1 + strlen(text) + CASE WHEN {stamped} THEN 12 + 8 ELSE 0 END + 12 + 10 + 12)"
 
 
+
+
+def _hmac(key: str, message: str) -> str:
+    """HMAC with SHA-256 (both as hex of 64 digits and a blob): the key's bytes with 36 and 5C by exclusive or, filled up to 64 bytes."""
+    padded = lambda byte: f"unhex(list_aggregate(list_transform(range(32), lambda i: printf('%02X', xor(('0x' || substr({key}, (2 * i + 1)::INT, 2))::INT, {int(byte, 16)}))), 'string_agg', '') || '{byte * 32}')"
+    return f"sha256({padded('5C')} || unhex(sha256({padded('36')} || {message})))"
+
+
+_GROUPS = " || ' ' || ".join(f"lpad((('0x' || substr(o, {i * 16 + 1}, 16))::UBIGINT % 100000)::VARCHAR, 5, '0')" for i in range(12))
+SAFETY = f"""WITH k AS (SELECT c_custkey, {{fp}} AS fp FROM customer), p AS (SELECT a.c_custkey, sha256(encode('sn-v2') || unhex(least(a.fp, b.fp)) || unhex(greatest(a.fp, b.fp))) AS base FROM k a JOIN k b ON b.c_custkey = a.c_custkey + 1),
+        e AS (SELECT c_custkey, {_hmac("repeat('0', 64)", "unhex(base)")} AS prk FROM p), t1 AS (SELECT *, {_hmac("prk", "encode('sn-digits') || unhex('01')")} AS t1 FROM e),
+        t2 AS (SELECT *, {_hmac("prk", "unhex(t1) || encode('sn-digits') || unhex('02')")} AS t2 FROM t1), t3 AS (SELECT *, {_hmac("prk", "unhex(t2) || encode('sn-digits') || unhex('03')")} AS t3 FROM t2)
+        SELECT c_custkey, {_GROUPS} AS number FROM (SELECT c_custkey, t1 || t2 || t3 AS o FROM t3)"""
 #: Lines of an order as entries of an archive.
 ZIPS = """z AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, (['', 'home/me/', 'C:\\x\\', 'docs/'])[l_suppkey % 4 + 1]) AS k, l_partkey % 3 = 0 AS picture, CASE WHEN l_linenumber % 2 = 1 THEN 0 ELSE 8 END::INT AS method,
         (['', 'home/me/', 'C:\\x\\', 'docs/'])[l_suppkey % 4 + 1] || 'f' || l_partkey AS name, ([NULL, 'unix home directory', 'absolute path with drive letter', NULL])[l_suppkey % 4 + 1] AS leak,
@@ -135,6 +148,7 @@ ORACLES: dict[str, str] = {
         r AS (SELECT conv_id, list_filter(list_transform(string_split(old || chr(10) || split_part(new, chr(10), 1) || chr(10) || old, chr(10)), lambda x: trim(x, ' ')), lambda x: x != '') AS o,
         list_transform(string_split(new, chr(10)), lambda x: trim(x, ' ')) AS n FROM c), l AS (SELECT conv_id, list_filter(o, lambda x: NOT list_contains(n, x)) AS l FROM r)
         SELECT conv_id, length(l)::INT AS n_lines, md5(array_to_string(l, chr(10))) AS lines_md5 FROM l""",
+    "safety_numbers": SAFETY.replace("{fp}", FP),
     "key_fingerprints": f"""WITH k AS (SELECT c_custkey, {FP} AS fingerprint FROM customer), b AS (SELECT *, {_b32('upper(fingerprint)')} AS b FROM k)
         SELECT c_custkey, fingerprint, regexp_replace(b, '(.{{4}})', '\\1-', 'g')[1:-2] AS full, regexp_replace(left(b, 32), '(.{{4}})', '\\1-', 'g')[1:-2] AS shown, left(b, 8) AS short FROM b""",
     "base32_round_trip": f"SELECT c_custkey, {_b32('hex(encode(c_name))')} AS b32, c_name AS back FROM customer",
