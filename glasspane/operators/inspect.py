@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import cache
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from glasspane.functions import magic, verdicts
@@ -74,6 +74,21 @@ def inspected(files: DataFrame) -> DataFrame:
     return got.withColumn("verdict", verdict)
 
 
+def progress(inspected: DataFrame, observation: Observation | str) -> DataFrame:
+    """The rows as they are; ``observation`` gets their metrics while they are written, without a second pass.
+
+    Files, bytes, faults, findings and one count for each verdict. A batch reads
+    them from an ``Observation``; a stream names one, and a listener finds it in
+    ``observedMetrics`` of each batch's progress.
+    """
+    counts = [F.count_if(F.col("verdict") == v).alias(v.replace(" ", "_")) for v in (verdicts.CONFIRMED, verdicts.WARNING, verdicts.SILENT, verdicts.ERROR)]
+    size = F.octet_length("content")
+    return inspected.observe(
+        observation, F.count(F.lit(1)).alias("files"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes"), F.coalesce(F.max(size), F.lit(0)).alias("largest"),
+        F.count_if(F.col("error").isNotNull()).alias("faults"), F.coalesce(F.sum(F.greatest(F.size("findings"), F.lit(0))), F.lit(0)).alias("findings"), *counts,
+    )
+
+
 def cleaned(files: DataFrame) -> DataFrame:
     """Adds outcome (complete, partial, unknown, malformed), the bytes after cleaning and the verdict.
 
