@@ -193,13 +193,17 @@ def _notice_likeness(w: Column, family: Column | None = None) -> Column:
     return _bound(w, lambda w: _bound(_pairs(w), share))
 
 
-def _like_any(rows: DataFrame, w: Column) -> DataFrame:
-    """The rows whose words have enough 2-grams of some notice, in any order; no part of the words has more."""
+def _enough(w: Column) -> Column:
+    """Whether the words have enough 2-grams of some notice, in any order; no part of the words has more."""
     known = _constant(sorted({p for n in _notice_pairs() for p in n["pairs"]}), "array<string>")
     notices = _constant(_notice_pairs(), "array<struct<family:int,pairs:array<string>>>")
     enough = lambda near: F.exists(notices, lambda x: F.size(F.array_intersect(x["pairs"], near)) / F.size(x["pairs"]) >= CONFIRMED)
     near = _bound(w, lambda w: F.array_intersect(known, _pairs(w)))
-    return rows.where(_bound(near, lambda near: (F.size(near) > 0) & enough(near)))
+    return _bound(near, lambda near: (F.size(near) > 0) & enough(near))
+
+
+def _like_any(rows: DataFrame, w: Column) -> DataFrame:
+    return rows.where(_enough(w))
 
 
 def _fitted(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -289,18 +293,25 @@ def _wrapped(docs: DataFrame, model: Model) -> DataFrame:
     first and its last have twice the words of the longest notice.
     """
     room = 2 * max(len(t.split()) for _, t in NOTICES)
-    lines = F.transform(F.split("text", "\n", -1), words)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", lines.alias("lines"))
-    rows = _like_any(rows.where(F.size("lines") > 1), F.flatten("lines"))
-    rows = rows.select("row", "doc_id", "lines", F.posexplode("lines").alias("paragraph", "w")).where(F.size("w") > 0)
+    known = _constant(sorted({p for n in _notice_pairs() for p in n["pairs"]}), "array<string>")
     begun = F.struct(F.lit(0).alias("n"), F.lit(0).alias("words"), F.lit(False).alias("over"))
 
     def longer(a: Column, line: Column) -> Column:
         over = a["over"] | (F.size(line) == 0) | (a["words"] >= room)
         return F.struct((a["n"] + F.when(over, 0).otherwise(1)).alias("n"), (a["words"] + F.size(line)).alias("words"), over.alias("over"))
 
-    after = F.aggregate(F.slice("lines", F.col("paragraph") + 2, F.lit(room + 1)), begun, longer)["n"]
-    rows = rows.withColumn("n", after).where("n > 0").withColumn("lines", F.slice("lines", F.col("paragraph") + 1, F.col("n") + 1))
+    def runs(lines: Column) -> Column:
+        """From each line with a notice's pair in it, or over its end, the lines that a run may take, cut off before the rows are made."""
+        ahead = lambda i: F.coalesce(F.slice(F.get(lines, i + 1), 1, 1), F.array().cast("array<string>"))
+        begins = lambda w, i: F.size(F.array_intersect(known, _pairs(F.concat(w, ahead(i))))) > 0
+        starts = F.filter(F.transform(lines, lambda w, i: F.when(F.when(F.size(w) > 0, begins(w, i)).otherwise(False), i)), lambda i: i.isNotNull())
+        after = lambda i: F.aggregate(F.slice(lines, i + 2, F.lit(room + 1)), begun, longer)["n"]
+        return F.transform(starts, lambda i: _bound(after(i), lambda n: F.struct(i.alias("paragraph"), n.alias("n"), F.slice(lines, i + 1, n + 1).alias("lines"))))
+
+    # texts that have enough of some notice anywhere are few: written, so that their lines are worked out once
+    near = saved(docs.where(F.contains("text", F.lit("\n")) & _bound(words(F.col("text")), lambda w: _enough(w))), "near-notices")
+    rows = near.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.explode(_bound(F.transform(F.split("text", "\n", -1), words), runs)).alias("r"))
+    rows = rows.select("row", "doc_id", "r.paragraph", "r.n", "r.lines").where("n > 0")
     rows = _like_any(rows, F.flatten("lines"))
     rows = rows.select("row", "doc_id", "paragraph", "lines", F.explode(F.sequence(F.lit(2), F.col("n") + 1)).alias("k"))
     rows = _like_any(rows.withColumn("w", F.flatten(F.slice("lines", F.lit(1), F.col("k")))), F.col("w"))
