@@ -193,13 +193,16 @@ def _notice_likeness(w: Column, family: Column | None = None) -> Column:
     return _bound(w, lambda w: _bound(_pairs(w), share))
 
 
-def _enough(w: Column) -> Column:
-    """Whether the words have enough 2-grams of some notice, in any order; no part of the words has more."""
+def _enough(w: Column, without: Column | None = None) -> Column:
+    """Whether the words have enough 2-grams of some notice, in any order (no part of the words has more), of which ``without`` has not enough."""
     known = _constant(sorted({p for n in _notice_pairs() for p in n["pairs"]}), "array<string>")
     notices = _constant(_notice_pairs(), "array<struct<family:int,pairs:array<string>>>")
-    enough = lambda near: F.exists(notices, lambda x: F.size(F.array_intersect(x["pairs"], near)) / F.size(x["pairs"]) >= CONFIRMED)
-    near = _bound(w, lambda w: F.array_intersect(known, _pairs(w)))
-    return _bound(near, lambda near: (F.size(near) > 0) & enough(near))
+    share = lambda x, near: F.size(F.array_intersect(x["pairs"], near)) / F.size(x["pairs"])
+    of = lambda words_: F.array_intersect(known, _pairs(words_))
+    if without is None:
+        return _bound(of(w), lambda near: (F.size(near) > 0) & F.exists(notices, lambda x: share(x, near) >= CONFIRMED))
+    more = lambda near, less: F.exists(notices, lambda x: (share(x, near) >= CONFIRMED) & (share(x, less) < CONFIRMED))
+    return _bound(of(w), lambda near: _bound(of(without), lambda less: (F.size(near) > F.size(less)) & more(near, less)))
 
 
 def _like_any(rows: DataFrame, w: Column) -> DataFrame:
@@ -312,7 +315,8 @@ def _wrapped(docs: DataFrame, model: Model) -> DataFrame:
     near = saved(docs.where(F.contains("text", F.lit("\n")) & _bound(words(F.col("text")), lambda w: _enough(w))), "near-notices")
     rows = near.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.explode(_bound(F.transform(F.split("text", "\n", -1), words), runs)).alias("r"))
     rows = rows.select("row", "doc_id", "r.paragraph", "r.n", "r.lines").where("n > 0")
-    rows = _like_any(rows, F.flatten("lines"))
+    # a least run has enough of a notice of which its first line alone has not
+    rows = rows.where(_bound(F.flatten("lines"), lambda w: _enough(w, F.get("lines", F.lit(0)))))
     rows = rows.select("row", "doc_id", "paragraph", "lines", F.explode(F.sequence(F.lit(2), F.col("n") + 1)).alias("k"))
     rows = _like_any(rows.withColumn("w", F.flatten(F.slice("lines", F.lit(1), F.col("k")))), F.col("w"))
     got = _classified(rows, model).where(F.col("likeness") >= CONFIRMED)
