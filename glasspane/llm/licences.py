@@ -313,7 +313,8 @@ def _wrapped(docs: DataFrame, model: Model) -> DataFrame:
 
     # texts that have enough of some notice anywhere are few: written, so that their lines are worked out once
     near = saved(docs.where(F.contains("text", F.lit("\n")) & _bound(words(F.col("text")), lambda w: _enough(w))), "near-notices")
-    rows = near.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.explode(_bound(F.transform(F.split("text", "\n", -1), words), runs)).alias("r"))
+    near = near.withColumn("row", F.monotonically_increasing_id())  # numbered before the runs are made: those of one text share it
+    rows = near.select("row", "doc_id", F.explode(_bound(F.transform(F.split("text", "\n", -1), words), runs)).alias("r"))
     rows = rows.select("row", "doc_id", "r.paragraph", "r.n", "r.lines").where("n > 0")
     # a least run has enough of a notice of which its first line alone has not
     rows = rows.where(_bound(F.flatten("lines"), lambda w: _enough(w, F.get("lines", F.lit(0)))))
