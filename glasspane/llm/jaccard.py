@@ -475,9 +475,13 @@ def _similar(docs: DataFrame, scratch: Scratch) -> DataFrame:
         fresh = _verified(pairs, sets, docs, scratch)
         joined = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(fresh), scratch)
         again = found.where("tree is not null").select(F.col("tree").alias("shingle"))
-        if turn < INSIDE:
-            again = again.unionByName(now.where(F.col("c") > BLOCK).select("shingle"))
-        left = scratch.save(_mixed(now.select("shingle", "sid", "c").join(again.distinct(), "shingle"), joined), "left")
+        held = now.select("shingle", "sid", "c")
+        if turn < INSIDE:  # all large trees stay
+            small = held.where(F.col("c") <= BLOCK).join(again, "shingle", "left_semi")
+            rest = held.where(F.col("c") > BLOCK).unionByName(small)
+        else:
+            rest = held.join(again, "shingle", "left_semi")
+        left = scratch.save(_mixed(rest, joined), "left")
         for done in (found, fresh, roots, now):
             discard(done)
         now, roots = left, joined
