@@ -13,21 +13,27 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
 
     Every round sends each id to the least of itself and its neighbours and
     keeps the links between what is left. Ids should be hashes: along a path in
-    random order a constant share of the ids goes in each round. Only counts
-    come to the driver.
+    random order a constant share of the ids goes in each round. ``links`` is
+    read in the first round as it is, so it should be a table that is written.
+    Only counts come to the driver.
     """
-    edges = scratch.save(links.where(F.col("a") != F.col("b")).select("a", "b").distinct(), "edges")
-    roots = scratch.save(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("root", F.col("id")), "roots")
-    while not edges.isEmpty():
+    edges, roots, held = links.where(F.col("a") != F.col("b")).select("a", "b"), None, None
+    while True:
         ends = F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("to")), F.struct(F.col("b").alias("id"), F.col("a").alias("to"))))
         least = edges.select(ends.alias("e")).select("e.id", "e.to").groupBy("id").agg(F.min("to").alias("to"))
         least = scratch.save(least.select("id", F.least("id", "to").alias("to")), "least")
         a, b = (least.select(F.col("id").alias(x), F.col("to").alias(f"{x}_to")) for x in "ab")
         left = edges.join(a, "a").join(b, "b").where(F.col("a_to") != F.col("b_to"))
         left = scratch.save(left.select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct(), "edges")
-        moved = roots.join(least.select(F.col("id").alias("root"), "to"), "root", "left")
-        moved = scratch.save(moved.select("id", F.coalesce("to", "root").alias("root")), "roots")
-        for done in (edges, roots, least):
-            discard(done)
+        if roots is None:  # the first round meets every id
+            moved, held = least.withColumnRenamed("to", "root"), least
+        else:
+            moved = roots.join(least.select(F.col("id").alias("root"), "to"), "root", "left")
+            moved = scratch.save(moved.select("id", F.coalesce("to", "root").alias("root")), "roots")
+            for done in (edges, least, held):
+                discard(done)
+            held = moved
         edges, roots = left, moved
-    return roots
+        if edges.isEmpty():
+            discard(edges)
+            return roots

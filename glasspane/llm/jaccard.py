@@ -19,15 +19,17 @@ Sets are the distinct five-word shingles; two documents link when
    traversed again, with a larger ``most``, after the components have been
    joined, until none is left out: no link between components is lost.
 
-A tree of more than ``BLOCK`` sets is cut into blocks. The first rounds look
-inside blocks only and join most of a large group; then all pairs of blocks are
-traversed but those inside one component and those whose sizes cannot link.
+A tree of more than ``BLOCK`` sets is cut into blocks. The first rounds (one for
+a tree of few blocks) look inside blocks only and join most of a large group;
+then all pairs of blocks are traversed but those inside one component and those
+whose sizes cannot link.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from itertools import count
 
 import numpy as np
@@ -50,7 +52,7 @@ SLICE = 1 << 14
 HOT_TIMES, HOT_LEAST, HOT_PLACES = 64, 256, 64
 #: Sets in a leaf, children of a node, sets of a block of a large tree.
 LEAF, FANOUT, BLOCK = 8, 4, 1024
-#: Rounds that look inside the blocks of large trees only, and what ``most`` grows by.
+#: Rounds that look inside the blocks of large trees only (one where all pairs of blocks are few: up to ``GROWTH`` blocks), and what ``most`` grows by.
 INSIDE, GROWTH = 3, 8
 #: Bits of the filter by which documents are chosen for the exact check: of a fixed size, whatever the corpus.
 CHOSEN = 67_108_859
@@ -343,6 +345,7 @@ def _pairs_of_blocks(large: DataFrame, sets: DataFrame) -> DataFrame:
     A block has sets of one size class, and of one component where that has more
     than a block of the tree's sets.
     """
+    large = large.select("shingle", "sid", "label", "most")
     own = large.groupBy("shingle", "label").agg(F.count("*").alias("of_label"))
     at = large.join(own, ["shingle", "label"]).join(sets.select("sid", "n"), "sid")
     at = at.withColumn("owner", F.when(F.col("of_label") > BLOCK, F.col("label"))).withColumn("class", _size_class("n"))
@@ -357,23 +360,33 @@ def _pairs_of_blocks(large: DataFrame, sets: DataFrame) -> DataFrame:
         F.array(F.struct(F.col("i").alias("block"), F.lit(0).alias("side")), F.struct(F.col("j").alias("block"), F.lit(1).alias("side")))
     ))
     visits = pairs.select("shingle", "i", "j", ends.alias("e")).select("shingle", "i", "j", "e.block", "e.side")
-    return at.select("shingle", "block", "sid", "label").join(visits, ["shingle", "block"]).select("shingle", "i", "j", "side", "sid", "label")
+    return at.select("shingle", "block", "most", "sid", "label").join(visits, ["shingle", "block"]).select("shingle", "i", "j", "side", "most", "sid", "label")
+
+
+def _most(times: int) -> Column:
+    """Partners that a set may have when a tree is traversed for the ``times``-th time, from 0."""
+    return F.lit(min(GROWTH**times, 1 << 30))
+
+
+def _within(turn: int) -> Column:
+    """Which trees are looked at inside their blocks only."""
+    return F.col("c") > (BLOCK if turn == 0 else GROWTH * BLOCK) if turn < INSIDE else F.lit(False)
 
 
 def _forest(members: DataFrame, sets: DataFrame, turn: int) -> DataFrame:
     """Members of ``shingle, sid, label, c`` with signatures and their block or pair of blocks, sorted for the traversal."""
     zero = F.lit(0).cast("long")
-    placed = members.where(F.col("c") <= BLOCK).select("shingle", zero.alias("i"), zero.alias("j"), F.lit(0).alias("side"), F.lit(min(GROWTH**turn, 1 << 30)).alias("most"), "sid", "label")
-    large = members.where(F.col("c") > BLOCK)
+    parts = [members.where(F.col("c") <= BLOCK).select("shingle", zero.alias("i"), zero.alias("j"), F.lit(0).alias("side"), _most(turn).alias("most"), "sid", "label")]
     if turn < INSIDE:
         # one set of each component; trees with other numbers of blocks cut alike, so that centres are shared
-        some = large.groupBy("shingle", "label").agg(F.min("sid").alias("sid"))
+        some = members.where(_within(turn)).groupBy("shingle", "label").agg(F.min("sid").alias("sid"))
         number = some.groupBy("shingle").agg(F.pow(F.lit(2), F.ceil(F.log2(F.count("*") / BLOCK))).cast("long").alias("blocks"))
         block = F.pmod(F.xxhash64(F.lit(turn), "sid"), F.greatest("blocks", F.lit(1)))
-        cut = some.join(number, "shingle").select("shingle", block.alias("i"), block.alias("j"), F.lit(0).alias("side"), F.lit(min(GROWTH**turn, 1 << 30)).alias("most"), "sid", "label")
-    else:
-        cut = _pairs_of_blocks(large, sets).select("shingle", "i", "j", "side", F.lit(min(GROWTH ** (turn - INSIDE + 1), 1 << 30)).alias("most"), "sid", "label")
-    full = placed.unionByName(cut).join(sets.select("sid", "n", "least", "bits").hint("merge"), "sid")
+        parts.append(some.join(number, "shingle").select("shingle", block.alias("i"), block.alias("j"), F.lit(0).alias("side"), _most(turn).alias("most"), "sid", "label"))
+    if turn or not INSIDE:
+        most = F.when(F.col("c") > GROWTH * BLOCK, _most(max(0, turn - INSIDE) + 1)).otherwise(_most(turn - min(1, INSIDE) + 1))
+        parts.append(_pairs_of_blocks(members.where((F.col("c") > BLOCK) & ~_within(turn)).withColumn("most", most), sets))
+    full = reduce(DataFrame.unionByName, parts).join(sets.select("sid", "n", "least", "bits").hint("merge"), "sid")
     full = full.select("shingle", "i", "j", "side", "most", "sid", "label", "n", _size_class("n").alias("class"), "least", "bits")
     # similar sets stand side by side, so that nodes differ
     full = full.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j", "side", "class", "least", "sid")
@@ -432,6 +445,21 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, scratch: Scrat
     return links
 
 
+def _grown(roots: DataFrame, fresh: DataFrame, scratch: Scratch) -> DataFrame:
+    """``id, root`` after the links ``fresh(a, b)``: the components of ``roots`` that they connect become one."""
+    if fresh.isEmpty():
+        return roots
+    a, b = (roots.select(F.col("id").alias(x), F.col("root").alias(f"{x}_root")) for x in "ab")
+    ends = fresh.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+    links = scratch.save(ends.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    new = components(links, scratch)
+    moved = roots.join(new.select(F.col("id").alias("root"), F.col("root").alias("to")), "root", "left").select("id", F.coalesce("to", "root").alias("root"))
+    joined = scratch.save(moved.unionByName(new.join(roots.select("id"), "id", "left_anti")), "roots")
+    for done in (links, new):
+        discard(done)
+    return joined
+
+
 def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
     """``shingle, sid, label, c`` of the trees that reach into more than one component."""
     labels = roots.select(F.col("id").alias("sid"), F.col("root").alias("label"))
@@ -463,27 +491,26 @@ def _similar(docs: DataFrame, scratch: Scratch) -> DataFrame:
     postings = _postings(docs, ranks)
     members = scratch.save(postings.join(_trees(postings).hint("merge"), ["shingle", "place"]).select("shingle", "sid", "c"), "members")
     ranks.destroy()
-    roots = scratch.save(sets.select(F.col("sid").alias("id"), F.col("sid").alias("root")).limit(0), "roots")
-    now, tested = members.withColumn("label", F.col("sid")), None
+    now, tested, roots = members.withColumn("label", F.col("sid")), None, None
     for turn in count():
-        found = scratch.save(_candidates(_forest(now, sets, turn)), "candidates")
-        pairs = found.where("a is not null").select("a", "b").distinct()
+        found = _candidates(_forest(now, sets, turn)).distinct()
         if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = scratch.save(pairs, "pairs")
+            found = found.join(tested, ["a", "b"], "left_anti")  # rows that name a tree have no pair and stay
+        found = scratch.save(found, "candidates")
+        pairs = found.where("a is not null").select("a", "b")
         tested = pairs if tested is None else tested.unionByName(pairs)
         fresh = _verified(pairs, sets, docs, scratch)
-        joined = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(fresh), scratch)
+        joined = _grown(roots, fresh, scratch) if turn else components(fresh, scratch)
         again = found.where("tree is not null").select(F.col("tree").alias("shingle"))
         held = now.select("shingle", "sid", "c")
-        if turn < INSIDE:  # all large trees stay
-            small = held.where(F.col("c") <= BLOCK).join(again, "shingle", "left_semi")
-            rest = held.where(F.col("c") > BLOCK).unionByName(small)
-        else:
-            rest = held.join(again, "shingle", "left_semi")
+        rest = held.join(again, "shingle", "left_semi")
+        if turn < INSIDE:  # trees that have all pairs of blocks before them stay
+            rest = held.where(_within(turn)).unionByName(held.where(~_within(turn)).join(again, "shingle", "left_semi"))
         left = scratch.save(_mixed(rest, joined), "left")
-        for done in (found, fresh, roots, now):
+        for done in (fresh, now):
             discard(done)
+        if turn and joined is not roots:
+            discard(roots)
         now, roots = left, joined
         if now.isEmpty():
             break

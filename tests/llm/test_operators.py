@@ -10,6 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from glasspane.llm import decontaminate, fingerprints, jaccard, langid, licences, linededup, mixing, pseudonyms, secretscan, toxicity
+from glasspane.llm.components import components
+from glasspane.llm.rows import Scratch
 
 from tests.llm.unseen import OTHER, UNSEEN
 
@@ -130,6 +132,49 @@ def test_similar_in_many_blocks(spark, words, monkeypatch, inside):
     assert got == plain_components(rows)
 
 
+@pytest.mark.parametrize("growth, most", [(8, 3), (2, None)])
+def test_similar_few_rounds_for_trees_of_few_blocks(spark, words, monkeypatch, growth, most):
+    """Trees of 40 and 120 sets at 16 a block: with growth 8 both are of few blocks, with 2 the larger one is not."""
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    monkeypatch.setattr(jaccard, "GROWTH", growth)
+    turns, forest = [], jaccard._forest
+    monkeypatch.setattr(jaccard, "_forest", lambda now, sets, turn: turns.append(turn) or forest(now, sets, turn))
+    rnd, rows = random.Random(16), []
+    for group, n in (("p", 40), ("q", 120)):
+        base = [f"{group}{i}" for i in range(124)]
+        for i in range(n):
+            if i % 2:  # near copies, and sets that share their first shingles but too little to link
+                w = base[:]
+                w[rnd.randrange(100, 124)] = rnd.choice(words)
+            else:
+                w = base[:100] + [f"{group}{i}x{k}" for k in range(24)]
+            rows.append((len(rows), " ".join(w)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar(rows_of(spark, rows)).collect()}
+    assert got == plain_components(rows)
+    assert most is None or len(turns) <= most
+
+
+def test_components_grow_by_new_links(spark):
+    rnd, scratch = random.Random(17), Scratch(spark)
+
+    def table(links):
+        return scratch.save(spark.createDataFrame(links, "a long, b long"), "links")
+
+    links = [tuple(sorted(rnd.sample(range(300), 2))) for _ in range(220)]
+    first, second = table(links[:120]), table([*links[120:], links[0], (500, 501)])
+    roots = components(first, scratch)
+    assert jaccard._grown(roots, table(links[:0]), scratch) is roots
+    assert components(table(links[:0]), scratch).collect() == []
+    got = {r.id: r.root for r in jaccard._grown(roots, second, scratch).collect()}
+    parts: list[set[int]] = []
+    for a, b in [*links, (500, 501)]:
+        met = [p for p in parts if a in p or b in p]
+        parts = [p for p in parts if p not in met] + [{a, b}.union(*met)]
+    assert got.keys() == set().union(*parts)
+    assert all(got[a] in p and {got[x] for x in p} == {got[a]} for p in parts for a in p)
+    scratch.close()
+
+
 def test_bitmaps_bound_the_overlap(words):
     import numpy as np
     import pyarrow as pa
