@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from glasspane.llm.rows import Scratch
+from glasspane.llm.rows import Scratch, discard
 
 MIN_WORDS = 50
 
@@ -90,7 +90,9 @@ def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     if longest is None:
         return scratch.finish(rows.select("doc_id", "version", F.array().cast("array<int>").alias("cut")).limit(0), "cuts")
     names = live.join(windows.where("m > 1").select("doc").distinct().hint("merge"), "doc", "left_semi").select("pos", "doc", "rank")
-    hit = [windows.where("m = 1").join(live.where("least < pos").select(F.col("pos").alias("start")), "start", "left_semi").select("start", "m")]
+    # the windows of each length are written by themselves: one plan of all lengths would take much of the driver's memory
+    single = windows.where("m = 1").join(live.where("least < pos").select(F.col("pos").alias("start")), "start", "left_semi")
+    hit = [scratch.save(single.select("start", "m"), "hits")]
     h = 1
     while longest > 1:
         # windows of h to 2h - 1 lines, by the ranks of their first and last h lines
@@ -98,8 +100,10 @@ def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         head = names.select(F.col("pos").alias("start"), F.col("rank").alias("head"))
         tail = names.select(F.col("pos").alias("last"), F.col("rank").alias("tail"))
         keyed = now.withColumn("last", F.col("start") + F.col("m") - h).join(head, "start").join(tail, "last").select("start", "m", "head", "tail")
+        keyed = scratch.save(keyed, "keyed")
         least = keyed.groupBy("m", "head", "tail").agg(F.min("start").alias("least"))
-        hit.append(keyed.join(least, ["m", "head", "tail"]).where("least < start").select("start", "m"))
+        hit.append(scratch.save(keyed.join(least, ["m", "head", "tail"]).where("least < start").select("start", "m"), "hits"))
+        discard(keyed)
         if 2 * h > longest:
             break
         ahead = names.select((F.col("pos") - h).alias("pos"), "doc", F.col("rank").alias("next"))

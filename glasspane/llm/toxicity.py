@@ -27,6 +27,8 @@ from glasspane.llm.rows import append_columns
 PER_CLASS = 2000
 SAMPLE_BYTES = 16 << 10
 BUCKETS = 1 << 18
+#: Words that the fit works on at a time; bounds the driver's memory.
+GROUP = 1 << 17
 PREFIXES = (3, 4, 5, 6, 7, 8)
 STEPS = 30
 #: A token counts as offending from this marginal on.
@@ -103,31 +105,68 @@ def _document_features(w: tokens.Words, p: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(w.rows), np.log1p(expected), np.log(share + 1e-4) - np.log(1e-4)], axis=1)
 
 
-def _gathered(values: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text number and features of all words, and all chains, longest first; slice by slice to bound memory."""
-    parts, at = [], 0
-    for lo, hi in tokens.pieces(values):
-        w = tokens.words(values.slice(lo, hi - lo), tokens.ALNUM)
-        first, size = chains(w)
-        parts.append(((w.row + lo).astype(np.int32), features(w), first + at, size))
-        at += len(w.row)
-    row, feats, first, size = (np.concatenate(x, axis=-1) for x in zip(*parts))
-    order = np.argsort(-size, kind="stable")
-    return row, feats, first[order], size[order]
+def _gathered(values: pa.Array, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Label and features of all words, chain after chain, longest first, and the lengths of the chains.
 
-
-def _token_labels(row: np.ndarray, feats: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Words of toxic documents with a feature that toxic documents have at least eight times as often."""
+    A word counts as offending if it is in a toxic document and has a feature that
+    toxic documents have at least eight times as often. Texts are read slice by
+    slice, twice, so that nothing but the result has the size of the sample.
+    """
+    parts = [(lo, values.slice(lo, hi - lo)) for lo, hi in tokens.pieces(values)]
+    found = [chains(tokens.words(part, tokens.ALNUM)) for _, part in parts]
+    counts = np.array([size.sum() for _, size in found], np.int64)
+    feats, y = np.empty((1 + len(PREFIXES), counts.sum()), np.int32), np.empty(counts.sum(), bool)
     seen = [np.zeros(BUCKETS), np.zeros(BUCKETS)]
-    for f in feats:
-        pairs = np.unique(row * np.int64(BUCKETS) + f)
-        of, at = pairs // BUCKETS, pairs % BUCKETS
-        for label in (0, 1):
-            seen[label] += np.bincount(at[toxic[of] == label], minlength=BUCKETS)
+    for (lo, part), at, to in zip(parts, np.cumsum(counts) - counts, np.cumsum(counts)):
+        w = tokens.words(part, tokens.ALNUM)
+        feats[:, at:to], y[at:to] = features(w), toxic[w.row + lo] == 1
+        for f in feats[:, at:to]:
+            pairs = np.unique(w.row * np.int64(BUCKETS) + f)
+            label = toxic[pairs // BUCKETS + lo]
+            for i in (0, 1):
+                seen[i] += np.bincount(pairs[label == i] % BUCKETS, minlength=BUCKETS)
     rate = [(s + 1) / (np.sum(toxic == label) + 2) for label, s in enumerate(seen)]
     marked = (rate[1] > 8 * rate[0]) & (seen[1] >= 5)
     marked[0] = False
-    return (marked[feats].any(axis=0) & (toxic[row] == 1)).astype(float)
+    first = np.concatenate([f + at for (f, _), at in zip(found, np.cumsum(counts) - counts)])
+    size = np.concatenate([s for _, s in found])
+    order = np.argsort(-size, kind="stable")
+    first, size = first[order], size[order]
+    place = np.concatenate([tokens.spread(first[a:b], first[a:b] + size[a:b])[0].astype(np.int32) for a, b, _, _ in _groups(size)] or [first])
+    hot = np.zeros(len(y), bool)
+    for f in feats:
+        hot |= marked[f]
+        f[:] = f[place]
+    return (hot & y)[place], feats, size
+
+
+def _groups(size: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """Ranges of chains of some ``GROUP`` words (a longer chain stands alone), and the ranges of their words."""
+    ends = np.cumsum(size)
+    cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, ends[-1] if len(ends) else 0, GROUP), side="right"), len(size)))
+    at = np.append(0, ends)[cuts]
+    return list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), at[:-1].tolist(), at[1:].tolist()))
+
+
+def _add_slopes(model: Model, y: np.ndarray, feats: np.ndarray, size: np.ndarray, steps: list) -> None:
+    """Adds the slopes of the likelihood of some chains, which stand one after the other: by weights, bias and moves."""
+    ends = np.cumsum(size)
+    e = model.emissions(feats).astype(float)
+    forward, backward = model.passes(e, ends - size, size)
+    error = y - _sigmoid(forward + backward)
+    for f in feats:
+        steps[0] += np.bincount(f, weights=error, minlength=BUCKETS)
+    steps[1] += error.sum()
+    steps_from = np.ones(len(y), bool)
+    steps_from[ends - 1] = False
+    at = np.flatnonzero(steps_from)  # words that have a next word in their chain
+    gold = np.bincount(2 * y[at] + y[at + 1], minlength=4).reshape(2, 2)
+    before, ahead = forward[at].astype(np.float32), (e[at + 1] + backward[at + 1]).astype(np.float32)
+    pairs = np.stack([i * before + np.float32(model.moves[i, j]) + j * ahead for i in (0, 1) for j in (0, 1)])
+    pairs -= pairs.max(axis=0)
+    np.exp(pairs, out=pairs)
+    pairs /= pairs.sum(axis=0)
+    steps[2] += gold - pairs.sum(axis=1, dtype=np.float64).reshape(2, 2)
 
 
 def fit(texts: list[str] | pa.Array | pa.ChunkedArray, toxic: np.ndarray, share_toxic: float) -> Model:
@@ -135,33 +174,19 @@ def fit(texts: list[str] | pa.Array | pa.ChunkedArray, toxic: np.ndarray, share_
     values = tokens.column(pa.array(texts, pa.string()) if isinstance(texts, list) else texts)
     toxic = np.asarray(toxic)
     test = np.random.default_rng(0).permutation(len(values)) % 4 == 3  # kept for the calibration
-    row, feats, first, size = _gathered(values.filter(pa.array(~test)))
-    y = _token_labels(row, feats, toxic[~test])
+    y, feats, size = _gathered(values.filter(pa.array(~test)), toxic[~test])
     model = Model(np.zeros(BUCKETS, np.float32), -3.0, np.zeros((2, 2)), np.zeros(3))
-    ends = first + size - 1
-    steps_from = np.ones(len(y), bool)
-    steps_from[ends] = False
-    at = np.flatnonzero(steps_from)  # words that have a next word in their chain
-    code = (2 * y[at] + y[at + 1]).astype(int)
-    gold = np.bincount(code, minlength=4).reshape(2, 2)
     rate, scale = 0.25, [np.full(BUCKETS, 1e-6), 1e-6, np.full((2, 2), 1e-6)]
     for _ in range(STEPS if len(y) else 0):
-        e = model.emissions(feats).astype(float)
-        forward, backward = model.passes(e, first, size)
-        error = y - _sigmoid(forward + backward)
-        before, ahead = forward[at].astype(np.float32), (e[at + 1] + backward[at + 1]).astype(np.float32)
-        pairs = np.stack([i * before + np.float32(model.moves[i, j]) + j * ahead for i in (0, 1) for j in (0, 1)])
-        pairs -= pairs.max(axis=0)
-        np.exp(pairs, out=pairs)
-        pairs /= pairs.sum(axis=0)
-        expected = pairs.sum(axis=1, dtype=np.float64).reshape(2, 2)
-        steps = [sum(np.bincount(f, weights=error, minlength=BUCKETS) for f in feats) - 0.01 * model.weights, error.sum(), gold - expected]
+        steps = [-0.01 * model.weights.astype(float), 0.0, np.zeros((2, 2))]
+        for a, b, lo, hi in _groups(size):
+            _add_slopes(model, y[lo:hi], feats[:, lo:hi], size[a:b], steps)
         steps[0][0] = 0
         scale = [s + g * g for s, g in zip(scale, steps)]
         model.weights += (rate * steps[0] / np.sqrt(scale[0])).astype(np.float32)
         model.bias += rate * steps[1] / np.sqrt(scale[1])
         model.moves += rate * steps[2] / np.sqrt(scale[2])
-    del feats, row
+    del feats
     _calibrate(model, values.filter(pa.array(test)), toxic[test], share_toxic)
     return model
 
