@@ -81,22 +81,22 @@ def _walk(data: Column, first: int | Column, head: int, read: Callable[[Column,
 
     def step(s: Column, _: Column) -> Column:
         at = s["at"]
-        tag, size, advance = read(data, at)
-        over = at >= end
-        fault = F.when(at + head > end, "truncated head").when(size > MOST_BYTES, "chunk too large").when(at + advance > end, "truncated chunk")
-        chunk = F.struct(tag.alias("tag"), (at + head).alias("start"), size.alias("size"))
-        done = over | fault.isNotNull()
-        after = F.struct(
-            F.when(done, at).otherwise(at + advance).alias("at"),
-            F.when(done, s["got"]).otherwise(_gather(s["got"], chunk)).alias("got"),
-            F.when(over, s["error"]).otherwise(fault).alias("error"),
-            (done | (F.lit(last is not None) & (tag == (last or "")))).alias("over"),
-        )
+        state = lambda at, got, error, over: F.struct(at.alias("at"), got.alias("got"), error.alias("error"), over.alias("over"))
+
+        def one(s: Column, c: Column) -> Column:
+            fault = F.when(at + head > end, "truncated head").when(c["size"] > MOST_BYTES, "chunk too large").when(at + c["advance"] > end, "truncated chunk")
+            chunk = F.struct(c["tag"].alias("tag"), (at + head).alias("start"), c["size"].alias("size"))
+            goes_on = state(at + c["advance"], _gather(s["got"], chunk), F.lit(None).cast("string"), F.lit(last is not None) & (c["tag"] == (last or "")))
+            return F.when(fault.isNotNull(), state(at, s["got"], fault, F.lit(True))).otherwise(goes_on)
+
+        # the chunk is named by a fold of one step, since ``let`` would copy the whole state
+        chunk = F.struct(*[c.alias(k) for k, c in zip(("tag", "size", "advance"), read(data, at))])
+        after = F.when(at >= end, state(at, s["got"], s["error"], F.lit(True))).otherwise(F.aggregate(F.array(chunk), s, one))
         return F.when(s["over"], s).otherwise(after)
 
     first = first if isinstance(first, Column) else F.lit(first)
     start = F.struct(first.cast("long").alias("at"), _nothing(_CHUNK).alias("got"), F.lit(None).cast("string").alias("error"), F.lit(False).alias("over"))
-    steps = F.sequence(F.lit(1), F.least(F.lit(most), (end / head).cast("int") + 1))
+    steps = F.when(end.isNotNull(), F.sequence(F.lit(1), F.least(F.lit(most), (end / head).cast("int") + 1)))
 
     def finish(s: Column) -> Column:
         fault = lambda got: F.when(s["error"].isNotNull(), s["error"]).when(F.size(got) == 0, "no chunks").when(~s["over"] & (s["at"] < end), "too many chunks").when(s["at"] < end, F.lit(tail))

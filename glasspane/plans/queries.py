@@ -597,7 +597,8 @@ def old_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def header_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as message headers, six of eight with a fault."""
     n = F.pmod("c_custkey", F.lit(8))
-    c = table(spark, sf_dir, "customer").select("c_custkey", headers.header_fields(t.header_of(F.col("c_custkey"), F.regexp_replace("c_name", "#", "_"), n)).alias("h"))
+    rows = t.spread(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey")
+    c = rows.select("c_custkey", headers.header_fields(t.header_of(F.col("c_custkey"), F.regexp_replace("c_name", "#", "_"), n)).alias("h"))
     return c.select("c_custkey", F.col("h.error").alias("error"), F.col("h.content_type").alias("content_type"), F.col("h.plaintext_size").cast("long").alias("plaintext_size"), F.col("h.signed").alias("signed"), F.lower(F.hex("h.sender_key")).alias("sender_key"), F.col("h.filename").alias("filename"))
 
 

@@ -15,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows dealt evenly over all cores, for dear work by row: one task reads a whole row group, which may be the whole table."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def key_of(*parts: Column | str) -> Column:
     """A 32-byte key named by text parts."""
     text = F.concat_ws(":", *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
