@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from glasspane.functions.text import base32, base32_bytes, grouped
-from glasspane.functions.values import let
+from glasspane.functions.values import bound, let
 
 #: Fixed lengths in bytes: encryption, signing and post-quantum keys.
 ENC, SIG, PQ = 32, 32, 1216
@@ -83,17 +83,24 @@ def payload(enc: Column, sig: Column, pq: Column, prefix: str = PREFIX, tag: str
     return F.concat_ws(":", F.lit(prefix), base32(enc), F.coalesce(base32(sig), none), F.coalesce(base32(pq), none), short(fingerprint(enc, sig, pq, tag)))
 
 
+@bound
 def read_payload(text: Column, prefix: str = PREFIX, tag: str = TAG) -> Column:
     """``status`` (read, foreign, damaged), keys and fingerprint; the checksum is computed anew, never trusted."""
-    parts = F.split(text, ":", -1)
-    part = lambda i: F.get(parts, F.lit(i))
-    key = lambda i: F.when(part(i) != "", base32_bytes(part(i)))
-    enc, sig, pq = key(2), key(3), key(4)
-    fp = fingerprint(enc, sig, pq, tag)
-    whole = all_of(enc.isNotNull(), (part(3) == "") | sig.isNotNull(), (part(4) == "") | pq.isNotNull(), fp.isNotNull())
-    mine = (F.size(parts) == 6) & (F.concat_ws(":", part(0), part(1)) == prefix)
-    status = F.when(~F.coalesce(mine, F.lit(False)), "foreign").when(F.coalesce(whole & (short(fp) == part(5)), F.lit(False)), "read").otherwise("damaged")
-    return F.struct(status.alias("status"), enc.alias("enc_pub"), sig.alias("sig_pub"), pq.alias("pq_pub"), fp.alias("fingerprint"))
+
+    def split(parts: Column) -> Column:
+        part = lambda i: F.get(parts, F.lit(i))
+        key = lambda i: F.when(part(i) != "", base32_bytes(part(i)))
+        keys = F.struct(key(2).alias("enc"), key(3).alias("sig"), key(4).alias("pq"))
+
+        def told(k: Column, fp: Column) -> Column:
+            whole = all_of(k["enc"].isNotNull(), (part(3) == "") | k["sig"].isNotNull(), (part(4) == "") | k["pq"].isNotNull(), fp.isNotNull())
+            mine = (F.size(parts) == 6) & (F.concat_ws(":", part(0), part(1)) == prefix)
+            status = F.when(~F.coalesce(mine, F.lit(False)), "foreign").when(F.coalesce(whole & (short(fp) == part(5)), F.lit(False)), "read").otherwise("damaged")
+            return F.struct(status.alias("status"), k["enc"].alias("enc_pub"), k["sig"].alias("sig_pub"), k["pq"].alias("pq_pub"), fp.alias("fingerprint"))
+
+        return let(keys, lambda k: let(fingerprint(k["enc"], k["sig"], k["pq"], tag), lambda fp: told(k, fp)))
+
+    return let(F.split(text, ":", -1), split)
 
 
 def all_of(*conditions: Column) -> Column:

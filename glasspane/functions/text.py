@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from glasspane.functions.values import bound, let
+
 #: Fixed values.
 ALPHABET = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
 SHOWN = 200
@@ -21,14 +23,15 @@ def ascii_lower(s: Column) -> Column:
     return F.translate(s, UPPER, LOWER)
 
 
-#: Digits of ``conv`` in base 32, in the order of the alphabet.
+#: Digits of ``conv`` in base 32, in the order of the alphabet; what is read for each of them.
 _DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
+_READ = dict(zip(ALPHABET + "OIL", _DIGITS + "011"))
 
 
 def base32(data: Column) -> Column:
     """Crockford base32 without padding, most significant bit first, five bits a character."""
-    digits = F.regexp_extract_all(F.concat(F.hex(data), F.lit("0" * 9)), F.lit(".{10}"), F.lit(0))  # 5 bytes are 8 characters
-    joined = F.array_join(F.transform(digits, lambda d: F.lpad(F.conv(d, 16, 32), 8, "0")), "")
+    digits = F.regexp_extract_all(F.concat(F.hex(data), F.lit("0" * 14)), F.lit(".{15}"), F.lit(0))  # 60 bits are 12 characters
+    joined = F.array_join(F.transform(digits, lambda d: F.lpad(F.conv(d, 16, 32), 12, "0")), "")
     return F.left(F.translate(joined, _DIGITS, ALPHABET), F.ceil(F.octet_length(data) * 8 / 5).cast("int"))
 
 
@@ -36,15 +39,19 @@ def grouped(s: Column, n: int = 4) -> Column:
     return F.regexp_replace(s, f"(.{{{n}}})(?=.)", "$1-")
 
 
+@bound
 def base32_bytes(s: Column) -> Column:
     """The bytes of base32 text, or null where it is not canonical: case, dashes and spaces do not matter; O is 0, I and L are 1."""
-    plain = F.translate(F.upper(F.regexp_replace(s, "[- ]", "")), "OIL", "011")
-    n = F.length(plain)
-    groups = F.regexp_extract_all(F.translate(F.concat(plain, F.lit("0" * 7)), ALPHABET, _DIGITS), F.lit(".{8}"), F.lit(0))
-    digits = F.array_join(F.transform(groups, lambda g: F.lpad(F.conv(g, 32, 16), 10, "0")), "")
-    whole = F.floor(n * 5 / 8).cast("int") * 2
-    good = F.rlike(plain, F.lit(f"^[{ALPHABET}]*$")) & (F.pmod(n * 5, F.lit(8)) < 5) & ~F.rlike(F.substr(digits, whole + 1), F.lit("[^0]"))
-    return F.when(good, F.unhex(F.left(digits, whole)))
+
+    def read(plain: Column) -> Column:
+        n = F.length(plain)
+        groups = F.regexp_extract_all(F.translate(F.concat(plain, F.lit("0" * 11)), "".join(_READ), "".join(_READ.values())), F.lit(".{12}"), F.lit(0))
+        digits = F.array_join(F.transform(groups, lambda g: F.lpad(F.conv(g, 32, 16), 15, "0")), "")
+        whole = F.floor(n * 5 / 8).cast("int") * 2
+        good = F.rlike(plain, F.lit(f"^[{''.join(_READ)}]*$")) & (F.pmod(n * 5, F.lit(8)) < 5)
+        return F.when(good, let(digits, lambda d: F.when(~F.rlike(F.substr(d, whole + 1), F.lit("[^0]")), F.unhex(F.left(d, whole)))))
+
+    return let(F.upper(F.regexp_replace(s, "[- ]", "")), read)
 
 
 def shown(value: Column) -> Column:

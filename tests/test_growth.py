@@ -22,3 +22,8 @@ def test_headers_are_made_once(spark):
 def test_no_header_ends(spark):
     rows = spark.createDataFrame([(None,), (b"",)], "d binary").select(headers.header_fields(F.col("d")).alias("h"))
     assert [r.h.error for r in rows.collect()] == ["signed missing"] * 2
+
+
+def test_payloads_are_split_once(spark):
+    got = plan(QUERIES["exchange_payloads"](spark, DATA))
+    assert got.count("split(") == 1 and "Repartition" in got  # 272 copies of the payload before
