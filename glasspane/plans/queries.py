@@ -265,7 +265,7 @@ def _zips(spark: SparkSession, sf_dir: str) -> DataFrame:
     where = F.get(F.lit(["", "home/me/", "C:\\x\\", "docs/"]), F.pmod("l_suppkey", F.lit(4)).cast("int"))
     picture = F.pmod("l_partkey", F.lit(3)) == 0
     data = F.when(picture, t.png_of(F.lit("k"), F.lit("v"), F.lit(False))).otherwise(F.repeat(F.lit("x"), F.col("l_linenumber")).cast("binary"))
-    entry = F.struct("l_linenumber", F.col("l_partkey").alias("part"), F.concat(where, F.lit("f"), F.col("l_partkey")).alias("name"), F.when(F.pmod("l_linenumber", F.lit(2)) == 1, 0).otherwise(8).alias("method"), data.alias("data"))
+    entry = F.struct("l_linenumber", F.col("l_partkey").alias("part"), where.alias("where"), F.concat(where, F.lit("f"), F.col("l_partkey")).alias("name"), F.when(F.pmod("l_linenumber", F.lit(2)) == 1, 0).otherwise(8).alias("method"), data.alias("data"))
     o = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(entry)).alias("e"))
     comment = F.when(F.pmod("l_orderkey", F.lit(3)) == 1, "note").otherwise("")
     made = F.concat(t.zip_of(F.col("e"), comment), F.when(F.pmod("l_orderkey", F.lit(5)) == 0, F.lit("zz")).otherwise("").cast("binary"))
