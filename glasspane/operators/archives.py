@@ -8,6 +8,8 @@ nothing is unpacked.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,12 +76,14 @@ def zip_directory(data: Column) -> Column:
             shift = start - d["said"]
             fault = F.when(d["count"] > MOST_ENTRIES, "too many entries").when((start < 0) | (shift < 0), "directory past the end")
 
-            def read(b: Column, at: Column) -> tuple[Column, Column, Column]:
+            def read(b: Column, at: Column) -> tuple[Column, Column, Callable[[Column], Column]]:
                 p = at.cast("int")
                 size = le16(b, p + 28) + le16(b, p + 30) + le16(b, p + 32)
-                return _mark(b, at), size, F.when(_mark(b, at) == _DIRECTORY, 46 + size).otherwise(F.octet_length(b) + 1)
+                return _mark(b, at), size, lambda c: F.when(c["tag"] == _DIRECTORY, 46 + c["size"]).otherwise(F.octet_length(b) + 1)
 
             def entries(b: Column) -> Column:
+                none = F.array().cast(f"array<{_ENTRY}>")
+
                 def entry(c: Column) -> Column:
                     p = (c["start"] - 46).cast("int")
                     raw = F.substr(b, p + 47, le16(b, p + 28).cast("int"))
@@ -90,13 +94,17 @@ def zip_directory(data: Column) -> Column:
                     ).cast(_ENTRY))
 
                 def checked(walk: Column) -> Column:
-                    none = F.array().cast(f"array<{_ENTRY}>")
                     got = F.when(d["count"] == 0, none).otherwise(F.transform(walk["chunks"], entry))
+                    return let(got, lambda got: judged(walk, got))
+
+                def judged(walk: Column, got: Column) -> Column:
                     off = F.when((d["count"] > 0) & walk["error"].isNotNull(), "broken directory").when(F.size(got) != d["count"], "wrong number of entries")
                     outside = F.exists(got, lambda e: (e["offset"] + 30 > start) | (_mark(data, F.least(e["offset"], F.octet_length(data).cast("long"))) != _LOCAL))
                     error = F.coalesce(off, F.when(outside, "entry past the directory"))
-                    rest = le16(data, end + 20)
-                    return let(error, lambda e: F.struct(e.alias("error"), F.when(e.isNull(), got).otherwise(none).alias("entries"), rest.cast("long").alias("comment"), (F.octet_length(data) - end - 22 - rest).cast("long").alias("tail")))
+                    return let(F.struct(error.alias("error"), le16(data, end + 20).alias("rest")), lambda s: told(got, s["error"], s["rest"]))
+
+                def told(got: Column, e: Column, rest: Column) -> Column:
+                    return F.struct(e.alias("error"), F.when(e.isNull(), got).otherwise(none).alias("entries"), rest.cast("long").alias("comment"), (F.octet_length(data) - end - 22 - rest).cast("long").alias("tail"))
 
                 return let(_walk(b, 0, 46, read, None, MOST_ENTRIES + 1), checked)
 
@@ -115,11 +123,12 @@ def _failed(error: Column) -> Column:
 def stored(data: Column, entry: Column) -> Column:
     """The bytes of an entry that is stored as it is; null for packed ones, folders, and where they reach beyond the end."""
 
-    def content(at: Column) -> Column:
-        start = at + 30 + le16(data, at + 26) + le16(data, at + 28)
+    def content(start: Column) -> Column:
         return F.when(start + entry["packed"] <= F.octet_length(data), F.substr(data, (start + 1).cast("int"), entry["packed"].cast("int")))
 
-    return F.when((entry["method"] == 0) & ~entry["folder"], let(entry["offset"].cast("int"), content))
+    at = entry["offset"].cast("int")
+    start = at + 30 + le16(data, at + 26) + le16(data, at + 28)
+    return F.when((entry["method"] == 0) & ~entry["folder"], let(start, content))
 
 
 def type_entry(data: Column, entries: Column) -> Column:
@@ -170,6 +179,10 @@ def entries(files: DataFrame, key: str, content: str = "content") -> DataFrame:
 
 def members(files: DataFrame, key: str, content: str = "content") -> DataFrame:
     """The stored entries as files: ``key, name, content``, ready to be inspected like any other; packed entries have none."""
-    got = files.select(F.col(key), F.col(content).alias("_whole"), zip_directory(F.col(content)).alias("d"))
-    got = got.select(key, "_whole", F.explode("d.entries").alias("e")).select(key, F.col("e.name").alias("name"), stored(F.col("_whole"), F.col("e")).alias("content"))
-    return got.where("content is not null")
+    def taken(data: Column) -> Column:
+        made = F.transform(zip_directory(data)["entries"], lambda e: F.struct(e["name"].alias("name"), stored(data, e).alias("content")))
+        return F.filter(made, lambda m: m["content"].isNotNull())
+
+    # an inner explode, or a filter on its content, would be pushed down and work the directory or the entry out twice
+    got = files.select(key, F.explode_outer(let(F.col(content), taken)).alias("m")).where("m is not null")
+    return got.select(key, "m.name", "m.content")

@@ -73,7 +73,7 @@ def filled(data: Column) -> Column:
 
 
 def _walk(data: Column, first: int | Column, head: int, read: Callable[[Column, Column], tuple[Column, Column, Column]], last: str | None, most: int = MOST_CHUNKS, tail: str | None = None) -> Column:
-    """``chunks`` (tag, start of the body from 0, size) and ``error``; ``read`` gives tag, size and bytes to the next chunk.
+    """``chunks`` (tag, start of the body from 0, size) and ``error``; ``read`` gives tag, size and bytes to the next chunk (or these as a function of the chunk).
 
     The walk ends with a chunk named ``last``; ``tail`` is the error of a file that goes on behind it.
     """
@@ -82,15 +82,17 @@ def _walk(data: Column, first: int | Column, head: int, read: Callable[[Column,
     def step(s: Column, _: Column) -> Column:
         at = s["at"]
         state = lambda at, got, error, over: F.struct(at.alias("at"), got.alias("got"), error.alias("error"), over.alias("over"))
+        tag, size, advance = read(data, at)
 
         def one(s: Column, c: Column) -> Column:
-            fault = F.when(at + head > end, "truncated head").when(c["size"] > MOST_BYTES, "chunk too large").when(at + c["advance"] > end, "truncated chunk")
+            following = at + (c["advance"] if isinstance(advance, Column) else advance(c))
+            fault = F.when(at + head > end, "truncated head").when(c["size"] > MOST_BYTES, "chunk too large").when(following > end, "truncated chunk")
             chunk = F.struct(c["tag"].alias("tag"), (at + head).alias("start"), c["size"].alias("size"))
-            goes_on = state(at + c["advance"], _gather(s["got"], chunk), F.lit(None).cast("string"), F.lit(last is not None) & (c["tag"] == (last or "")))
+            goes_on = state(following, _gather(s["got"], chunk), F.lit(None).cast("string"), F.lit(last is not None) & (c["tag"] == (last or "")))
             return F.when(fault.isNotNull(), state(at, s["got"], fault, F.lit(True))).otherwise(goes_on)
 
         # the chunk is named by a fold of one step, since ``let`` would copy the whole state
-        chunk = F.struct(*[c.alias(k) for k, c in zip(("tag", "size", "advance"), read(data, at))])
+        chunk = F.struct(*[c.alias(k) for k, c in zip(("tag", "size", "advance"), (tag, size, advance)) if isinstance(c, Column)])
         after = F.when(at >= end, state(at, s["got"], s["error"], F.lit(True))).otherwise(F.aggregate(F.array(chunk), s, one))
         return F.when(s["over"], s).otherwise(after)
 
@@ -109,7 +111,7 @@ def _walk(data: Column, first: int | Column, head: int, read: Callable[[Column,
 def png_chunks(data: Column) -> Column:
     def read(d: Column, at: Column) -> tuple[Column, Column, Column]:
         size = be32(d, at.cast("int"))
-        return F.substr(d, at.cast("int") + 5, F.lit(4)).cast("string"), size, size + 12
+        return F.substr(d, at.cast("int") + 5, F.lit(4)).cast("string"), size, lambda c: c["size"] + 12
 
     return _walk(data, 8, 8, read, "IEND", tail="bytes behind the end")
 

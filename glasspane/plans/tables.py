@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glasspane.functions.values import let
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -196,17 +198,20 @@ def zip_of(entries: Column, comment: Column) -> Column:
     """An archive of entries (name, method, data), in order."""
     n16 = lambda n: F.substr(_le(n), F.lit(1), F.lit(2))
 
+    def parts(e: Column) -> Column:
+        size = lambda n: F.concat(_hex("0000000000000000"), n, n, n16(F.octet_length(e["name"])), _hex("0000"))
+        return F.struct(n16(e["method"]).alias("method"), let(_le(F.octet_length(e["data"])), size).alias("sizes"), e["name"].cast("binary").alias("name"), e["data"].alias("data"))
+
     def add(s: Column, e: Column) -> Column:
-        sizes = F.concat(_hex("0000000000000000"), _le(F.octet_length(e["data"])), _le(F.octet_length(e["data"])), n16(F.octet_length(e["name"])), _hex("0000"))
-        local = F.concat(_hex("504B030414000000"), n16(e["method"]), sizes, e["name"].cast("binary"), e["data"])
-        central = F.concat(_hex("504B0102140014000000"), n16(e["method"]), sizes, _hex("00000000000000000000"), _le(F.octet_length(s["body"])), e["name"].cast("binary"))
+        local = F.concat(_hex("504B030414000000"), e["method"], e["sizes"], e["name"], e["data"])
+        central = F.concat(_hex("504B0102140014000000"), e["method"], e["sizes"], _hex("00000000000000000000"), _le(F.octet_length(s["body"])), e["name"])
         return F.struct(F.concat(s["body"], local).alias("body"), F.concat(s["central"], central).alias("central"))
 
     def end(s: Column) -> Column:
         n = n16(F.size(entries))
         return F.concat(s["body"], s["central"], _hex("504B050600000000"), n, n, _le(F.octet_length(s["central"])), _le(F.octet_length(s["body"])), n16(F.octet_length(comment)), comment.cast("binary"))
 
-    return F.aggregate(entries, F.struct(_hex("").alias("body"), _hex("").alias("central")), add, end)
+    return F.aggregate(F.transform(entries, parts), F.struct(_hex("").alias("body"), _hex("").alias("central")), add, end)
 
 
 def box(tag: str | Column, *parts: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import duckdb
 from pyspark.sql import functions as F
 
-from glasspane.operators import headers
+from glasspane.operators import archives, headers
 from glasspane.plans.oracles import ORACLES
 from glasspane.plans.queries import QUERIES
 
@@ -41,3 +41,9 @@ def test_ties_of_entries_are_as_in_sql(spark, tmp_path):
         want = con.execute(ORACLES[name])
         columns = [c[0] for c in want.description]
         assert sorted(repr(tuple(r[c] for c in columns)) for r in QUERIES[name](spark, str(tmp_path)).collect()) == sorted(map(repr, want.fetchall())), name
+
+
+def test_members_walk_their_archive_once(spark):
+    files = spark.createDataFrame([(1, b"PK")], "key int, content binary").repartition(1)
+    got = plan(archives.members(files, "key"))
+    assert got.count("no end record") == 1  # an inner explode brought a filter that walked the directory again
